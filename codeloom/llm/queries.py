@@ -6,19 +6,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, quality_rules
-from codeloom.llm.common import table
+from codeloom.llm import byte_bpe, fingerprints, language_id, quality_rules
+from codeloom.llm.common import id_remainder, table
 
 
 def op2_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 5 is not 0; a null doc_id counts as held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(True))
+    model = language_id.train(docs, ~held)
+    return language_id.identify(docs.withColumn("held_out", held), model, ["doc_id", "held_out"], reject=False)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_frequency_rules, op6_byte_bpe)}
+def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_line_frequency_rules, op5_nearest_centroid_language, op6_byte_bpe, op10_quartile_digest)
+}
 
 ORACLE_SQL: dict[str, str] = {}
