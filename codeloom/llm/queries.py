@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprints, language_id, quality_rules
+from codeloom.llm import byte_bpe, fingerprints, language_id, quality_rules, rule_ensemble
 from codeloom.llm.common import id_remainder, table
 
 
@@ -16,6 +16,14 @@ def op2_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns labels from rows whose crc32(doc_id) mod 5 is not 0."""
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(True))
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"), "quality", ~held)
+    scored = rule_ensemble.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod 5 is not 0; a null doc_id counts as held out."""
     docs = table(spark, sf_dir, "documents")
@@ -33,7 +41,7 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_frequency_rules, op5_nearest_centroid_language, op6_byte_bpe, op10_quartile_digest)
+    f.__name__: f for f in (op2_line_frequency_rules, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op10_quartile_digest)
 }
 
 ORACLE_SQL: dict[str, str] = {}
