@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprints, language_id, quality_rules, rule_ensemble
+from codeloom.llm import byte_bpe, fingerprints, language_id, quality_rules, rule_ensemble, toxicity
 from codeloom.llm.common import id_remainder, table
 
 
@@ -36,12 +36,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns labels from rows whose crc32(doc_id) mod 3 is not 1."""
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(True))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held)
+    scored = toxicity.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "per_word")
+
+
 def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_frequency_rules, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op10_quartile_digest)
+    f.__name__: f for f in (op2_line_frequency_rules, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op8_class_kneser_ney, op10_quartile_digest)
 }
 
 ORACLE_SQL: dict[str, str] = {}
