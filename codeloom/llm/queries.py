@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprints, language_id, quality_rules, rule_ensemble, toxicity
+from codeloom.llm import byte_bpe, fingerprints, language_id, packing, quality_rules, rule_ensemble, toxicity
 from codeloom.llm.common import id_remainder, table
 
 
@@ -16,6 +16,10 @@ def op2_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns labels from rows whose crc32(doc_id) mod 5 is not 0."""
     docs, held = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(True))
@@ -49,7 +53,7 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_frequency_rules, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op8_class_kneser_ney, op10_quartile_digest)
+    f.__name__: f for f in (op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op8_class_kneser_ney, op10_quartile_digest)
 }
 
 ORACLE_SQL: dict[str, str] = {}
