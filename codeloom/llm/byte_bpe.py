@@ -222,7 +222,7 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     def rows(columns):
         bpe = codec(path, pattern)
         if not hasattr(bpe, "cache"):
-            bpe.cache = ChunkCache(lambda chunks: [(" ".join(map(str, ids)), bpe.decode(ids)) for ids in bpe.encode_chunks(chunks)], most=300_000)
+            bpe.cache = ChunkCache(lambda chunks: [(" ".join(map(str, ids)), bpe.decode(ids)) for ids in bpe.encode_chunks(chunks)], most=700_000)
         n, ids_sha, raw_sha = [], [], []
         for made in bpe.cache.of([split_chunks(t or "") for t in columns[1]]):
             ids = " ".join([dec for dec, _ in made])

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprints, language_id, packing, quality_rules, rule_ensemble, toxicity
+from codeloom.llm import byte_bpe, fingerprints, language_id, packing, quality_rules, rule_ensemble, toxicity, warc
 from codeloom.llm.common import id_remainder, table
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")), ["page_id"])
+
+
 def op2_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op8_class_kneser_ney, op10_quartile_digest)
+    f.__name__: f for f in (op1_warc_derivatives, op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op8_class_kneser_ney, op10_quartile_digest)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.ORACLE_SQL}
