@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprints, language_id, packing, quality_rules, rule_ensemble, toxicity, warc
+from codeloom.llm import byte_bpe, fingerprints, language_id, packing, quality_rules, rule_ensemble, tool_calls, toxicity, warc
 from codeloom.llm.common import id_remainder, table
 
 
@@ -44,6 +44,33 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+#: The one tool that plain conversations call.
+REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+
+
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    made = tool_calls.serialised(tool_calls.ordered(tool_calls.link(calls, results)), REPLY)
+    return made.select("conv_id", "call_id", "level", "turn", "result_turn", "n_calls", "n_results", "status", "valid", "violations", "record")
+
+
+OP7_SQL = """
+WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, min(coalesce(text, '')) AS text, count(*) AS n_calls
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, result_turn, text, content,
+  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM calls c FULL JOIN results r ON c.call_id = r.call_id)
+SELECT conv_id, call_id, 0::int AS level, turn, result_turn, n_calls, n_results, status, TRUE AS valid, '' AS violations,
+  '{' || CASE WHEN status <> 'orphan' THEN '"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},' ELSE '' END
+  || '"call_id":"' || call_id || '"' || CASE WHEN content IS NOT NULL THEN ',"content":' || to_json(content) ELSE '' END
+  || CASE WHEN status <> 'orphan' AND turn >= 2 THEN ',"depends_on":["' || conv_id || ':' || (turn - 2) || '"]' ELSE '' END
+  || ',"level":0' || CASE WHEN status <> 'orphan' THEN ',"name":"reply"' ELSE '' END || ',"status":"' || status || '"}' AS record
+FROM both_"""
+
+
 def op8_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns labels from rows whose crc32(doc_id) mod 3 is not 1."""
     docs, held = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(True))
@@ -57,7 +84,7 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_derivatives, op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op8_class_kneser_ney, op10_quartile_digest)
+    f.__name__: f for f in (op1_warc_derivatives, op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op7_tool_call_linking, op8_class_kneser_ney, op10_quartile_digest)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.ORACLE_SQL, "op7_tool_call_linking": OP7_SQL}
