@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprints, language_id, packing, quality_rules, rule_ensemble, tool_calls, toxicity, warc
+from codeloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, rule_ensemble, tool_calls, toxicity, warc
 from codeloom.llm.common import id_remainder, table
 
 
@@ -79,12 +79,16 @@ def op8_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "per_word")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=4, pct=85)
+
+
 def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_derivatives, op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op7_tool_call_linking, op8_class_kneser_ney, op10_quartile_digest)
+    f.__name__: f for f in (op1_warc_derivatives, op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op7_tool_call_linking, op8_class_kneser_ney, op9_jaccard_join, op10_quartile_digest)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.ORACLE_SQL, "op7_tool_call_linking": OP7_SQL}
