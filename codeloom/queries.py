@@ -1,14 +1,885 @@
-"""Registry of the engine's queries and of the SQL that each is compared with."""
+"""Registry of the engine's queries over the tables of a scale-factor folder, each beside the SQL it is compared with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from codeloom.functions import scalars
+from codeloom.operators import inference, mutations, shaping, tasks, telemetry, traversal
+from codeloom.plans.staging import staged
+from codeloom.sources import text_tables
+from codeloom.sources.graph_tables import GRAPH_SQL, edges, nodes, table
+from codeloom.streaming import events as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+METHOD, CLASS, ROUTE = "cls.1.m0()", "cls.5", "GET /c/50"
+
+
+def query(sql: str | None, graph: bool = True):
+    """Registers a function of (spark, sf_dir) under its name; sql reads nodes and edges if graph is true."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (GRAPH_SQL + (", " + sql[5:] if sql.startswith("WITH ") else sql)) if graph else sql
+        return f
+
+    return add
+
+
+def seeds(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+# Traversal
+
+
+def _levels(depth: int, start: str, here: str, there: str, types: str, both: bool = False) -> str:
+    """CTEs l0.. of (id, depth): one level each, without what earlier levels have."""
+    step = f"SELECT DISTINCT {here} AS cur, {there} AS nxt FROM edges WHERE type IN ({types})" if types else f"SELECT DISTINCT {here} AS cur, {there} AS nxt FROM edges"
+    if both:
+        step += f" UNION SELECT DISTINCT {there}, {here} FROM edges" + (f" WHERE type IN ({types})" if types else "")
+    out = f"WITH step AS MATERIALIZED ({step}), s0 AS MATERIALIZED (SELECT id, 0 AS depth FROM ({start}) GROUP BY id)"
+    for k in range(1, depth + 1):
+        out += f", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT DISTINCT nxt, {k} FROM s{k - 1} JOIN step ON id = cur WHERE depth = {k - 1} AND nxt NOT IN (SELECT id FROM s{k - 1}))"
+    return out
+
+
+DEPENDENCY = "'CALLS','IMPORTS','EXTENDS','IMPLEMENTS','INJECTS'"
+IMPACT_SQL = """, found AS (SELECT s{d}.id, depth, full_name, CASE depth WHEN 1 THEN 'willBreak' WHEN 2 THEN 'likelyAffected' ELSE 'mayNeedTesting' END AS bucket FROM s{d} JOIN nodes USING (id) WHERE depth > 0),
+tot AS (SELECT count(*) FILTER (depth = 1) AS direct, count(*) AS total FROM found)
+SELECT id, depth, rank, bucket, n_at_depth, direct, total, CASE WHEN direct >= 50 THEN 'CRITICAL' WHEN direct >= 15 THEN 'HIGH' WHEN direct >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk
+FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY depth, full_name, id) AS rank, count(*) OVER (PARTITION BY depth) AS n_at_depth FROM found), tot WHERE rank <= 50"""
+
+
+@query(_levels(3, f"SELECT '{METHOD}' AS id", "target", "source", DEPENDENCY) + IMPACT_SQL.format(d=3))
+def impact_dependency(spark, sf_dir):
+    return traversal.impact(nodes(spark, sf_dir), edges(spark, sf_dir), METHOD, 3)
+
+
+@query(_levels(2, f"SELECT '{CLASS}' AS id", "target", "source", "'CONTAINS','DEFINES','HAS_METHOD','HAS_FIELD','HANDLES_ROUTE'", True) + IMPACT_SQL.format(d=2))
+def impact_structural(spark, sf_dir):
+    return traversal.impact(nodes(spark, sf_dir), edges(spark, sf_dir), CLASS, 2, "structural")
+
+
+@query(_levels(2, "SELECT 'cls.4' AS id", "target", "source", "'TYPE_OF','PARAMETER_TYPE','RETURNS','READS','WRITES','CATCHES','STEP_IN_FLOW'", True) + IMPACT_SQL.format(d=2))
+def impact_type_data_flow(spark, sf_dir):
+    return traversal.impact(nodes(spark, sf_dir), edges(spark, sf_dir), "cls.4", 2, "type-data-flow")
+
+
+_SPARSE = "(SELECT * FROM edges WHERE type = 'CALLS' AND (length(source) + length(target) + line_number) % 7 = 0)"
+
+
+@query(_levels(5, f"SELECT '{METHOD}' AS id", "target", "source", "").replace("FROM edges", f"FROM {_SPARSE}") + " SELECT depth, count(*) AS n FROM s5 GROUP BY depth")
+def impact_depth_five(spark, sf_dir):
+    """Counts by depth, five calls deep, over a sparser part of the calls."""
+    e = edges(spark, sf_dir).where("type = 'CALLS' and (length(source) + length(target) + line_number) % 7 = 0")
+    return traversal.reach(seeds(spark, METHOD), e, 5, "in").groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH a AS (SELECT target AS id, min(type) AS edge_type, 1 AS depth FROM edges WHERE source = '{METHOD}' GROUP BY 1),
+b AS (SELECT e.target AS id, min(a.edge_type) AS edge_type, 2 AS depth FROM a JOIN edges e ON e.source = a.id WHERE e.target NOT IN (SELECT id FROM a) GROUP BY 1)
+SELECT id, full_name, edge_type, depth FROM (SELECT * FROM a UNION ALL SELECT * FROM b) JOIN nodes USING (id) ORDER BY full_name, id LIMIT 50""")
+def node_detail(spark, sf_dir):
+    return traversal.node_detail(nodes(spark, sf_dir), edges(spark, sf_dir), METHOD, 2, "out")
+
+
+@query(f"""SELECT id, type, direction, CASE direction WHEN 'OUTGOING' THEN '{METHOD}' ELSE id END AS source, CASE direction WHEN 'OUTGOING' THEN id ELSE '{METHOD}' END AS target FROM (
+SELECT target AS id, type, 'OUTGOING' AS direction FROM edges WHERE source = '{METHOD}' UNION ALL SELECT source, type, 'INCOMING' FROM edges WHERE target = '{METHOD}' ORDER BY id, type, direction LIMIT 500)""")
+def neighbour_fragment(spark, sf_dir):
+    return traversal.neighbours(edges(spark, sf_dir), METHOD)
+
+
+@query(_levels(2, "SELECT id FROM nodes WHERE id IN ('cls.0', 'cls.5', 'cls.10')", "target", "source", "'CALLS','STEP_IN_FLOW','EXTENDS','IMPLEMENTS','INJECTS','IMPORTS'") + " SELECT id, depth FROM s2 ORDER BY depth, id LIMIT 60")
+def reachable_symbols(spark, sf_dir):
+    return traversal.reachable_symbols(edges(spark, sf_dir), seeds(spark, "cls.0", "cls.5", "cls.10"), 2, 60)
+
+
+@query(_levels(2, "SELECT id FROM nodes WHERE id = 'cls.3.m1()'", "target", "source", "'CALLS','STEP_IN_FLOW'") + " SELECT target AS route, min(depth) AS depth FROM s2 JOIN edges ON source = s2.id AND type = 'HANDLES_ROUTE' GROUP BY 1 ORDER BY 2, 1 LIMIT 100")
+def affected_routes(spark, sf_dir):
+    return traversal.affected_routes(edges(spark, sf_dir), seeds(spark, "cls.3.m1()"), 2)
+
+
+_SUFFIX = "SELECT id, regexp_extract(id, '^(.*)\\.m[0-9]+\\(\\)$', 1) AS owner, regexp_extract(id, '(m[0-9]+\\(\\))$', 1) AS suffix FROM nodes WHERE type = 'Method'"
+
+
+@query(f"""WITH m AS ({_SUFFIX}), rel AS (SELECT source AS owner, target AS o2, 'super' AS relation FROM edges WHERE type = 'IMPLEMENTS' UNION SELECT target, source, 'sub' FROM edges WHERE type = 'IMPLEMENTS')
+SELECT a.id, b.id AS counterpart, relation FROM m a JOIN rel USING (owner) JOIN m b ON b.owner = o2 AND b.suffix = a.suffix""")
+def override_counterparts(spark, sf_dir):
+    return traversal.override_counterparts(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(f"""SELECT other, type, direction, count(*) OVER () AS total FROM (SELECT source AS other, type, 'INCOMING' AS direction FROM edges WHERE target = '{METHOD}'
+UNION ALL SELECT target, type, 'OUTGOING' FROM edges WHERE source = '{METHOD}') ORDER BY type, other, direction LIMIT 50""")
+def find_references(spark, sf_dir):
+    return traversal.references(nodes(spark, sf_dir), edges(spark, sf_dir), METHOD)
+
+
+@query("""SELECT id, full_name, CASE WHEN count(*) OVER () = 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS status FROM nodes
+WHERE name = 'm3' OR ends_with(full_name, 'm3') OR ends_with(split_part(full_name, '(', 1), '.m3') OR split_part(full_name, '(', 1) = 'm3'""")
+def resolve_ambiguous(spark, sf_dir):
+    return traversal.resolve(nodes(spark, sf_dir), "m3")
+
+
+@query("SELECT id, full_name, 'UNIQUE' AS status FROM nodes WHERE id = 'cls.3.m1()'")
+def resolve_exact(spark, sf_dir):
+    return traversal.resolve(nodes(spark, sf_dir), "cls.3.m1()")
+
+
+@query(f"""WITH step AS MATERIALIZED (SELECT source AS parent, target AS nxt, line_number AS line FROM edges WHERE type = 'CALLS'),
+s0 AS (SELECT DISTINCT source AS id, 0 AS depth, NULL::varchar AS parent, 0 AS line_number FROM edges WHERE type = 'HANDLES_ROUTE' AND target = '{ROUTE}'),
+s1 AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT nxt, 1, (min((line, step.parent)))[2], (min((line, step.parent)))[1] FROM s0 JOIN step ON step.parent = id WHERE nxt NOT IN (SELECT id FROM s0) GROUP BY nxt),
+s2 AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT nxt, 2, (min((line, step.parent)))[2], (min((line, step.parent)))[1] FROM s1 JOIN step ON step.parent = id WHERE depth = 1 AND nxt NOT IN (SELECT id FROM s1) GROUP BY nxt)
+SELECT id, depth, parent, line_number FROM s2 ORDER BY depth, line_number, id LIMIT 100""")
+def trace_endpoint(spark, sf_dir):
+    return traversal.trace_endpoint(edges(spark, sf_dir), ROUTE, depth=2)
+
+
+# Shapes
+
+
+@query("SELECT id, type FROM nodes WHERE type IN ('Class', 'DBModel')")
+def filter_node_types(spark, sf_dir):
+    return shaping.by_type(nodes(spark, sf_dir), "Class, DBModel").select("id", "type")
+
+
+@query("SELECT id FROM edges WHERE type IN ('CALLS', 'READS')")
+def filter_edge_types(spark, sf_dir):
+    return shaping.edges_by_type(nodes(spark, sf_dir), edges(spark, sf_dir), "calls, reads").select("id")
+
+
+@query("SELECT id FROM nodes WHERE starts_with(package_name, 'pkg.') AND substr(package_name, 1, 9) = (SELECT min(substr(package_name, 1, 9)) FROM nodes WHERE type = 'Package')")
+def filter_package_prefix(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    first = n.where("type = 'Package'").agg(F.min(F.substring("package_name", 1, 9))).first()[0]
+    return shaping.by_package(n, first).select("id")
+
+
+@query(_levels(1, "SELECT id FROM nodes WHERE starts_with(package_name, 'pkg.') AND package_name = (SELECT min(package_name) FROM nodes WHERE type = 'Package')", "source", "target", "", True)
+       + ", k AS (SELECT id FROM nodes JOIN s1 USING (id) WHERE type IN ('Class', 'Interface', 'Method')) SELECT edges.id FROM edges WHERE type IN ('HAS_METHOD', 'CALLS') AND source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
+def filter_package_depth(spark, sf_dir):
+    n = staged(nodes(spark, sf_dir))
+    first = n.where("type = 'Package'").agg(F.min("package_name")).first()[0]
+    return shaping.filtered_graph(n, staged(edges(spark, sf_dir)), first, 1, "Class,Interface,Method", "HAS_METHOD,CALLS")[1].select("id")
+
+
+_KEPT = "'File','Class','Interface','Enum','Record','DBModel','Method','Constructor','APIEndpoint'"
+
+
+@query(f"""SELECT source, e.type, target, sum(greatest(weight, 1))::bigint AS weight, min(e.line_number) AS line_number FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target
+WHERE e.type IN ('DEFINES','HAS_METHOD','CALLS','HANDLES_ROUTE','IMPLEMENTS') AND s.type IN ({_KEPT}) AND t.type IN ({_KEPT}) GROUP BY 1, 2, 3""")
+def architecture_projection(spark, sf_dir):
+    return shaping.architecture(nodes(spark, sf_dir), edges(spark, sf_dir))[1]
+
+
+@query("""SELECT s.file_path AS source, e.type, t.file_path AS target, sum(weight)::bigint AS weight, count(*) AS n_edges FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target
+WHERE e.type IN ('CALLS', 'IMPLEMENTS') AND s.file_path <> t.file_path GROUP BY 1, 2, 3""")
+def file_dependencies(spark, sf_dir):
+    return shaping.file_dependencies(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("""SELECT id FROM nodes WHERE type NOT IN ('Package', 'File') AND id IN (SELECT source FROM edges UNION ALL SELECT target FROM edges)""")
+def visible_nodes(spark, sf_dir):
+    return shaping.visible(nodes(spark, sf_dir), edges(spark, sf_dir), ("Package", "File"), ("CONTAINS",))[0].select("id")
+
+
+@query("""SELECT type, count(*) AS n FROM edges WHERE source NOT LIKE 'pkg.%' GROUP BY 1""")
+def sanitised_stats(spark, sf_dir):
+    return shaping.count_by_type(shaping.sanitised(nodes(spark, sf_dir), edges(spark, sf_dir))[1])
+
+
+_PRIORITY = "CASE type WHEN 'CONTAINS' THEN 9 WHEN 'IMPLEMENTS' THEN 7 WHEN 'DEFINES' THEN 5 WHEN 'HANDLES_ROUTE' THEN 4 WHEN 'HAS_METHOD' THEN 3 WHEN 'CALLS' THEN 2 ELSE 0 END"
+
+
+@query(f"""SELECT source, target, type FROM (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY {_PRIORITY} DESC, id) AS r
+FROM edges WHERE source <> target AND source NOT LIKE 'pkg.%') WHERE r = 1""")
+def strongest_edges(spark, sf_dir):
+    return shaping.strongest_edges(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(f"""SELECT id, CASE WHEN id = '{CLASS}' OR id IN (SELECT target FROM edges WHERE source = '{CLASS}' UNION SELECT source FROM edges WHERE target = '{CLASS}') THEN 'focus' ELSE 'background' END AS part FROM nodes""")
+def focus_partition(spark, sf_dir):
+    return shaping.focus(nodes(spark, sf_dir), edges(spark, sf_dir), [CLASS])
+
+
+@query("""SELECT id, CASE WHEN type = 'Class' THEN 'deep' ELSE 'base' END AS origin FROM nodes WHERE type IN ('Class', 'Interface', 'DBModel')""")
+def merged_graphs(spark, sf_dir):
+    n = nodes(spark, sf_dir).select("id", "type")
+    base = n.where("type in ('Class', 'Interface', 'DBModel')").withColumn("origin", F.lit("base"))
+    return shaping.overlaid(base, n.where("type = 'Class'").withColumn("origin", F.lit("deep"))).select("id", "origin")
+
+
+@query("SELECT type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, type) AS position FROM nodes GROUP BY 1")
+def type_facets(spark, sf_dir):
+    return shaping.facets(nodes(spark, sf_dir))
+
+
+@query("SELECT type, count(*) AS n FROM edges GROUP BY 1")
+def edge_stats(spark, sf_dir):
+    return shaping.count_by_type(edges(spark, sf_dir))
+
+
+@query("SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1")
+def node_degrees(spark, sf_dir):
+    return shaping.degrees(edges(spark, sf_dir))
+
+
+_CAP = """WITH d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1),
+k AS (SELECT nodes.id, type, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d USING (id) ORDER BY CASE type WHEN 'Package' THEN 90 WHEN 'File' THEN 80 WHEN 'Class' THEN 70 WHEN 'Interface' THEN 70 WHEN 'DBModel' THEN 65 WHEN 'APIEndpoint' THEN 60 ELSE 40 END DESC, degree DESC, id LIMIT 300)"""
+
+
+@query(_CAP + " SELECT id, degree FROM k")
+def capped_nodes(spark, sf_dir):
+    return shaping.capped(nodes(spark, sf_dir), edges(spark, sf_dir), 300, 100)[0].select("id", "degree")
+
+
+@query(_CAP + " SELECT id, source, target FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k) ORDER BY id LIMIT 100")
+def capped_edges(spark, sf_dir):
+    return shaping.capped(nodes(spark, sf_dir), edges(spark, sf_dir), 300, 100)[1].select("id", "source", "target")
+
+
+@query("""WITH own AS (SELECT id FROM nodes WHERE file_path = (SELECT file_path FROM nodes WHERE id = 'cls.5')) SELECT id, 'node' AS kind FROM own
+UNION ALL SELECT id, 'edge' FROM edges WHERE source IN (SELECT id FROM own) UNION ALL SELECT id, 'edge' FROM edges WHERE target IN (SELECT id FROM own)""")
+def file_slice(spark, sf_dir):
+    """Edges within the file come twice, once for each end."""
+    n = nodes(spark, sf_dir)
+    return shaping.file_slice(n, edges(spark, sf_dir), n.where("id = 'cls.5'").first()["file_path"])
+
+
+@query("""SELECT file_path, id FROM (SELECT file_path, id, row_number() OVER (PARTITION BY file_path ORDER BY CASE type WHEN 'Class' THEN 70 WHEN 'Interface' THEN 70 WHEN 'DBModel' THEN 65 WHEN 'Method' THEN 40 ELSE 0 END DESC, line_number, id) AS r
+FROM nodes WHERE file_path IS NOT NULL) WHERE r = 1""")
+def best_of_file(spark, sf_dir):
+    return shaping.best_of_file(nodes(spark, sf_dir))
+
+
+@query("SELECT id, name FROM nodes WHERE contains(lower(name), 'service') ORDER BY full_name, id LIMIT 8")
+def name_search(spark, sf_dir):
+    return shaping.search(nodes(spark, sf_dir), "SERVICE")
+
+
+@query("""SELECT id, full_name, (list_contains(w, 'm1')::int + list_contains(w, '7')::int) AS score FROM (SELECT id, full_name, regexp_split_to_array(lower(name || '.' || full_name), '[^a-z0-9]+') AS w FROM nodes)
+WHERE score > 0 ORDER BY score DESC, full_name, id LIMIT 50""")
+def token_search(spark, sf_dir):
+    return shaping.token_search(nodes(spark, sf_dir), "m1 7")
+
+
+@query("""SELECT id FROM nodes WHERE type = 'Interface' AND id NOT IN (SELECT source FROM edges WHERE type = 'IMPLEMENTS' UNION ALL SELECT target FROM edges WHERE type = 'IMPLEMENTS')""")
+def orphan_interfaces(spark, sf_dir):
+    return shaping.orphans(nodes(spark, sf_dir), edges(spark, sf_dir).where("type = 'IMPLEMENTS'"), "Interface").select("id")
+
+
+@query(f"""SELECT kind, id, rank, total FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS rank, count(*) OVER (PARTITION BY kind) AS total FROM (
+SELECT DISTINCT 'out:' || type AS kind, target AS id FROM edges WHERE source = '{CLASS}' UNION SELECT 'in:' || type, source FROM edges WHERE target = '{CLASS}')) WHERE rank <= 50""")
+def class_context(spark, sf_dir):
+    return shaping.class_context(nodes(spark, sf_dir), edges(spark, sf_dir), CLASS)
+
+
+@query("""SELECT source AS id, count(*) FILTER (type = 'CALLS') AS calls, count(*) FILTER (type = 'READS') AS reads, count(*) FILTER (type = 'WRITES') AS writes, count(*) FILTER (type = 'RETURNS') AS type_links, 0 AS flow_steps, 0 AS catches
+FROM edges WHERE type IN ('CALLS', 'READS', 'WRITES', 'RETURNS') GROUP BY 1""")
+def method_relations(spark, sf_dir):
+    return shaping.method_relations(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT file_path, range * 5 AS line FROM nodes, range(1, 12) WHERE type = 'File') SELECT file_path, line, id FROM (
+SELECT l.file_path, line, n.id, row_number() OVER (PARTITION BY l.file_path, line ORDER BY end_line - line_number, n.id) AS r FROM l JOIN nodes n USING (file_path) WHERE type <> 'File' AND line BETWEEN line_number AND end_line) WHERE r = 1""")
+def enclosing_symbols(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    lines = n.where("type = 'File'").select("file_path", F.explode(F.sequence(F.lit(5), F.lit(55), F.lit(5))).alias("line"))
+    return shaping.enclosing_symbol(n, lines)
+
+
+@query("SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(DISTINCT file_path) FROM nodes) AS n_files, (SELECT count(*) FROM edges) AS n_edges")
+def project_metadata(spark, sf_dir):
+    return shaping.project_metadata(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("""SELECT l_partkey AS source, 'X' AS type, l_suppkey AS target, count(*) AS weight, arg_min(l_linenumber, l_orderkey * 100 + l_linenumber) AS line_number, len(list(l_linenumber))::int AS n_lines FROM lineitem GROUP BY 1, 3""".replace("len(list(l_linenumber))", "least(len(list(l_linenumber)), 10)"), graph=False)
+def aggregated_edges(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.lit("X").alias("type"), F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("line_number"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+    return shaping.aggregated(rows).select("source", "type", "target", "weight", "line_number", F.size("occurrences").alias("n_lines"))
+
+
+# Inference
+
+_EVENTS = "WITH ev AS (SELECT user_id AS id, event_type || '-' || json_extract_string(props, '$.k') AS event, event_id FROM events WHERE event_id % 10 < 2)"
+
+
+def _event_sides(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_id % 10 < 2").select("event_id", F.col("user_id").alias("id"), F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("event"))
+    return e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
+
+
+@query(_EVENTS + """ SELECT p.id AS source, l.id AS target, min(p.event) AS event, 0.95::double AS confidence FROM (SELECT * FROM ev WHERE event_id % 2 = 0) p JOIN (SELECT * FROM ev WHERE event_id % 2 = 1) l ON p.event = l.event WHERE p.id <> l.id GROUP BY 1, 2""", graph=False)
+def event_triggers(spark, sf_dir):
+    return inference.triggers(*_event_sides(spark, sf_dir))
+
+
+@query(f"""WITH m AS ({_SUFFIX}), c AS (SELECT DISTINCT a.id AS source, b.id AS target FROM edges e JOIN nodes i ON i.id = e.target AND i.type = 'Interface' JOIN nodes k ON k.id = e.source AND k.type = 'Class'
+JOIN m a ON a.owner = i.id JOIN m b ON b.owner = k.id AND b.suffix = a.suffix WHERE e.type = 'IMPLEMENTS')
+SELECT source, target, CASE WHEN count(*) OVER (PARTITION BY source) = 1 THEN 'RESOLVES_TO' ELSE 'DISPATCH_CANDIDATES' END AS type, round(1.0 / count(*) OVER (PARTITION BY source), 6)::double AS confidence FROM c""")
+def dynamic_dispatch(spark, sf_dir):
+    return inference.dispatch(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(None)
+def route_flows(spark, sf_dir):
+    e = edges(spark, sf_dir).where("type = 'HANDLES_ROUTE' or (type = 'CALLS' and (length(source) + length(target) + line_number) % 7 = 0)")
+    return inference.flow_steps(e)
+
+
+ORACLE_SQL["route_flows"] = GRAPH_SQL.replace("WITH nc", "WITH RECURSIVE nc", 1) + """,
+call AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE type = 'CALLS' AND (length(source) + length(target) + line_number) % 7 = 0),
+handler AS MATERIALIZED (SELECT DISTINCT source AS id FROM edges WHERE type = 'HANDLES_ROUTE'),
+walk AS (SELECT id, id AS flow_id FROM handler UNION SELECT target, flow_id FROM walk JOIN call ON walk.id = call.source),
+best AS (SELECT id, min(flow_id) AS flow_id FROM walk GROUP BY 1)
+SELECT source, target, flow_id FROM call JOIN best ON id = source"""
+
+_LAYERS = """WITH own AS (SELECT id, file_path, CASE WHEN type = 'DBModel' THEN 'DOMAIN' WHEN ends_with(name, 'Controller') THEN 'PRESENTATION' WHEN ends_with(name, 'Service') THEN 'SERVICE' WHEN ends_with(name, 'Repository') THEN 'DATA_ACCESS' ELSE 'DOMAIN' END AS layer
+FROM nodes WHERE type IN ('Class', 'Interface', 'DBModel')), m AS (SELECT id, regexp_extract(id, '^(.*)\\.m[0-9]+\\(\\)$', 1) AS owner FROM nodes WHERE type = 'Method'),
+lay AS (SELECT id, layer FROM own UNION ALL SELECT m.id, layer FROM m JOIN own ON owner = own.id)"""
+
+
+@query(_LAYERS + " SELECT id, layer FROM lay")
+def symbol_layers(spark, sf_dir):
+    return inference.layers(nodes(spark, sf_dir))
+
+
+@query(_LAYERS + """ SELECT layer, type, target_layer, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, type, target_layer) AS rank FROM (
+SELECT a.layer, e.type, b.layer AS target_layer, count(*) AS n FROM edges e JOIN lay a ON a.id = source JOIN lay b ON b.id = target GROUP BY 1, 2, 3)) WHERE rank <= 10""")
+def layer_dependencies(spark, sf_dir):
+    return inference.layer_profile(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("""SELECT count(*) FILTER (name LIKE '%Controller') AS n_controllers, count(*) FILTER (name LIKE '%Service') AS n_services, count(*) FILTER (name LIKE '%Repository') AS n_repositories,
+(SELECT count(*) FROM nodes WHERE type = 'APIEndpoint') AS n_routes, count(*) FILTER (name LIKE '%Controller') > 0 AND count(*) FILTER (name LIKE '%Service') > 0 AND count(*) FILTER (name LIKE '%Repository') > 0 AS layered
+FROM nodes WHERE type IN ('Class', 'Interface', 'DBModel')""")
+def architecture_summary(spark, sf_dir):
+    return inference.architecture_summary(nodes(spark, sf_dir))
+
+
+@query("SELECT target AS interface, count(DISTINCT source) AS n_implementations FROM edges WHERE type = 'IMPLEMENTS' GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def flow_ambiguities(spark, sf_dir):
+    return inference.flow_ambiguities(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+_ENDPOINTS = "SELECT l_shipdate IS NOT NULL AS x, 'D' || (l_suppkey % 7) AS domain, CASE l_linenumber % 5 WHEN 0 THEN 'POST' WHEN 1 THEN 'DELETE' ELSE 'GET' END AS method, l_returnflag AS actor FROM lineitem WHERE l_suppkey % 7 > 2 OR l_linenumber % 5 > 1"
+
+
+@query(f"""SELECT domain, count(*) AS endpoint_count, count(*) FILTER (method <> 'GET') AS mutating_count, count(DISTINCT actor) AS actors, count(*) FILTER (method <> 'GET') >= 0.25 * count(*) AS manages FROM ({_ENDPOINTS}) GROUP BY 1""", graph=False)
+def use_case_domains(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 > 2 or l_linenumber % 5 > 1")
+    method = F.when(F.col("l_linenumber") % 5 == 0, "POST").when(F.col("l_linenumber") % 5 == 1, "DELETE").otherwise("GET")
+    return inference.domains(e.select(F.concat(F.lit("D"), (F.col("l_suppkey") % 7).cast("string")).alias("domain"), method.alias("method"), F.col("l_returnflag").alias("actor")))
+
+
+@query("""WITH u AS (SELECT o_custkey AS use_case, CASE o_orderstatus WHEN 'F' THEN 'LogWriter' WHEN 'O' THEN 'OrderService' ELSE 'PayService' END AS service FROM orders)
+SELECT service, count(DISTINCT use_case) AS n_use_cases FROM u WHERE NOT regexp_matches(service, '(?i)(log|util|config|mapper|cache)') GROUP BY 1 HAVING count(DISTINCT use_case) >= 2""", graph=False)
+def shared_includes(spark, sf_dir):
+    s = F.when(F.col("o_orderstatus") == "F", "LogWriter").when(F.col("o_orderstatus") == "O", "OrderService").otherwise("PayService")
+    return inference.shared_includes(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("use_case"), s.alias("service")))
+
+
+@query("""WITH a AS (SELECT DISTINCT CASE WHEN o_custkey % 3 = 0 THEN 'Admin' ELSE 'User' END AS actor, o_custkey % 40 AS use_case FROM orders WHERE o_custkey % 40 < 30 OR o_custkey % 3 = 0)
+SELECT actor, use_case FROM a WHERE actor <> 'Admin' OR use_case NOT IN (SELECT use_case FROM a WHERE actor = 'User')""", graph=False)
+def subsumed_associations(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_custkey % 40 < 30 or o_custkey % 3 = 0")
+    return inference.subsumed_associations(o.select(F.when(F.col("o_custkey") % 3 == 0, "Admin").otherwise("User").alias("actor"), (F.col("o_custkey") % 40).alias("use_case")).distinct())
+
+
+_CASES = "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN upper(p_type) ELSE ' ' || p_type END AS title, p_size AS confidence FROM part), s AS (SELECT id, arg_min(id, (-confidence, id)) OVER (PARTITION BY lower(trim(title))) AS survivor FROM c)"
+
+
+def _cases(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    title = F.when(F.col("p_size") % 2 == 0, F.upper("p_type")).otherwise(F.concat(F.lit(" "), F.col("p_type")))
+    relations = p.select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + 3) % 100).alias("target"), F.lit("include").alias("type"))
+    return p.select(F.col("p_partkey").alias("id"), title.alias("title"), F.col("p_size").alias("confidence")), relations
+
+
+@query(_CASES + """ SELECT DISTINCT a.survivor AS source, coalesce(b.survivor, t) AS target, 'include' AS type FROM (SELECT p_partkey AS s, (p_partkey * 7 + 3) % 100 AS t FROM part) r JOIN s a ON a.id = r.s LEFT JOIN s b ON b.id = r.t WHERE a.survivor <> coalesce(b.survivor, t)""", graph=False)
+def merged_use_cases(spark, sf_dir):
+    return inference.merged_use_cases(*_cases(spark, sf_dir))[1]
+
+
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'R'), e AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_linestatus = 'O'),
+n AS (SELECT count(*) FILTER (p.key IS NOT NULL AND e.key IS NOT NULL) AS tp, count(*) FILTER (e.key IS NULL) AS fp, count(*) FILTER (p.key IS NULL) AS fn FROM p FULL JOIN e ON p.key = e.key),
+q AS (SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM n) SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM q""", graph=False)
+def set_evaluation(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "key")
+    return inference.evaluation(l.where("l_returnflag = 'R'"), l.where("l_linestatus = 'O'"))
+
+
+# Telemetry, series and ledgers
+
+_REQ = """WITH re AS (SELECT event_id AS id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS user_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'k' || (json_extract_string(props, '$.k')::int % 10) END AS api_key_ref,
+CASE user_id % 7 WHEN 0 THEN '10.0.0.' || (user_id % 9) WHEN 1 THEN 'unknown' ELSE '203.0.113.' || (user_id % 250) END AS ip_address, CASE event_type WHEN 'view' THEN '/actuator/health' ELSE '/api/' || event_type END AS route, ts AS occurred_at, value FROM events)"""
+SINCE = "2024-01-10"
+
+
+def request_events(spark, sf_dir):
+    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    ip = F.when(u % 7 == 0, F.concat(F.lit("10.0.0."), (u % 9).cast("string"))).when(u % 7 == 1, "unknown").otherwise(F.concat(F.lit("203.0.113."), (u % 250).cast("string")))
+    key = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("int") % 10).cast("string")))
+    route = F.when(F.col("event_type") == "view", "/actuator/health").otherwise(F.concat(F.lit("/api/"), F.col("event_type")))
+    return e.select(F.col("event_id").alias("id"), F.when(u % 5 != 0, u).alias("user_id"), key.alias("api_key_ref"), ip.alias("ip_address"), route.alias("route"), F.col("ts").cast("timestamp").alias("occurred_at"), "value")
+
+
+def _since():
+    return F.to_timestamp(F.lit(SINCE))
+
+
+@query(_REQ + f""" SELECT user_id, api_key_ref, strftime(max(date_trunc('minute', occurred_at)), '%Y-%m-%d %H:%M:%S') AS minute_bucket, count(*) AS request_count FROM re
+WHERE occurred_at >= '{SINCE}' AND (user_id IS NOT NULL OR api_key_ref IS NOT NULL) GROUP BY 1, 2 ORDER BY request_count DESC, user_id NULLS FIRST, api_key_ref NULLS FIRST LIMIT 20""", graph=False)
+def top_users(spark, sf_dir):
+    return telemetry.top_users(request_events(spark, sf_dir), _since(), 20).withColumn("minute_bucket", F.date_format("minute_bucket", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(_REQ + f""" SELECT ip_address, strftime(max(date_trunc('minute', occurred_at)), '%Y-%m-%d %H:%M:%S') AS minute_bucket, count(*) AS request_count FROM re WHERE occurred_at >= '{SINCE}' GROUP BY 1 ORDER BY request_count DESC, ip_address LIMIT 20""", graph=False)
+def top_addresses(spark, sf_dir):
+    return telemetry.top_addresses(request_events(spark, sf_dir), _since(), 20).withColumn("minute_bucket", F.date_format("minute_bucket", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(_REQ + f""" SELECT ip_address, strftime(max(date_trunc('minute', occurred_at)), '%Y-%m-%d %H:%M:%S') AS minute_bucket, count(*) AS total_requests, count(DISTINCT user_id) AS unique_users, count(DISTINCT api_key_ref) AS unique_api_keys
+FROM re WHERE occurred_at >= '{SINCE}' AND ip_address <> 'unknown' AND route <> '/actuator/health' AND NOT regexp_matches(ip_address, '^(127[.]|10[.]|192[.]168[.])') GROUP BY 1 ORDER BY total_requests DESC, ip_address LIMIT 20""", graph=False)
+def suspicious_networks(spark, sf_dir):
+    return telemetry.suspicious_networks(request_events(spark, sf_dir), _since(), 20).withColumn("minute_bucket", F.date_format("minute_bucket", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(_REQ + f""" SELECT ip_address, user_id, api_key_ref, count(*) AS requests FROM re WHERE occurred_at >= '{SINCE}' AND route <> '/actuator/health' AND ip_address IN (SELECT DISTINCT ip_address FROM re WHERE user_id % 10 = 2) GROUP BY 1, 2, 3""", graph=False)
+def network_breakdown(spark, sf_dir):
+    e = request_events(spark, sf_dir)
+    return telemetry.network_breakdown(e, _since(), e.where("user_id % 10 = 2").select("ip_address").distinct())
+
+
+@query("""SELECT event_type, CASE WHEN value > 50 THEN 'WARNING' ELSE 'INFO' END AS severity, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events WHERE ts >= '2024-01-10' GROUP BY 1, 2""", graph=False)
+def security_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.when(F.col("value") > 50, "WARNING").otherwise("INFO").alias("severity"), F.col("ts").cast("timestamp").alias("created_at"))
+    return telemetry.security_summary(e, _since()).withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+_LABELS = """SELECT 'day' AS period, strftime(d, '%Y-%m-%d') AS label, v FROM x UNION ALL SELECT 'month', strftime(d, '%Y-%m'), v FROM x UNION ALL SELECT 'quarter', year(d) || '-Q' || quarter(d), v FROM x UNION ALL SELECT 'year', year(d)::varchar, v FROM x"""
+
+
+@query(f"""WITH x AS (SELECT o_orderdate AS d, round(o_totalprice)::bigint AS v FROM orders WHERE o_orderkey % 3 = 0), l AS ({_LABELS}) SELECT period, label, sum(v)::bigint AS value FROM l GROUP BY 1, 2""", graph=False)
+def consumption_series(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select((-F.round("o_totalprice").cast("long")).alias("credits_delta"), F.col("o_orderdate").alias("created_at"))
+    return telemetry.consumption(o)
+
+
+@query(f"""WITH x AS (SELECT min(o_orderdate) AS d, 1 AS v FROM orders GROUP BY o_custkey), l AS ({_LABELS}) SELECT period, label, count(*) AS value FROM l WHERE period <> 'day' GROUP BY 1, 2""", graph=False)
+def growth_series(spark, sf_dir):
+    return telemetry.growth(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at")))
+
+
+@query("""WITH d AS (SELECT ts::date AS day, count(*) AS value FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(date_trunc('month', max(day)), last_day(max(day)), INTERVAL 1 DAY))::date AS day FROM d)
+SELECT strftime(s.day, '%Y-%m-%d') AS day, coalesce(value, 0) AS value FROM s LEFT JOIN d ON s.day = d.day""", graph=False)
+def dense_days(spark, sf_dir):
+    d = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 50 = 0").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("value"))
+    return telemetry.dense_series(d).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("""WITH d AS (SELECT date_trunc('month', o_orderdate)::date AS month, count(*) AS value FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(max(month) - INTERVAL 11 MONTH, max(month), INTERVAL 1 MONTH))::date AS month FROM d)
+SELECT strftime(s.month, '%Y-%m') AS month, coalesce(value, 0) AS value FROM s LEFT JOIN d ON s.month = d.month""", graph=False)
+def dense_months(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("month")).agg(F.count(F.lit(1)).alias("value"))
+    return telemetry.dense_months(d).withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
+@query("SELECT s_nationkey AS owner, sum(round(s_acctbal)::bigint)::bigint AS used_bytes, count(*) AS projects FROM supplier GROUP BY 1 ORDER BY used_bytes DESC, owner LIMIT 5", graph=False)
+def top_storage(spark, sf_dir):
+    return telemetry.storage(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("owner"), F.round("s_acctbal").cast("long").alias("bytes")), 5)
+
+
+@query(_REQ + """ SELECT id, ip_address FROM re WHERE occurred_at >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 1440 MINUTE ORDER BY occurred_at DESC, id DESC LIMIT 200""", graph=False)
+def latest_events(spark, sf_dir):
+    return telemetry.latest_events(request_events(spark, sf_dir), 10_000, 1000, F.to_timestamp(F.lit("2024-01-20 12:00:00"))).select("id", "ip_address")
+
+
+@query("SELECT count(*) AS n, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-25' - INTERVAL 14 DAY", graph=False)
+def retention(spark, sf_dir):
+    e = telemetry.retained(request_events(spark, sf_dir), "occurred_at", F.to_timestamp(F.lit("2024-01-25")), 14)
+    return e.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_id % 4 = 0 AND event_id % 6 <> 0", graph=False)
+def idempotent_insert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    batch = e.where("id % 4 = 0")
+    return telemetry.inserted(e.where("id % 6 = 0"), batch.unionAll(batch))
+
+
+@query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1", graph=False)
+def latest_status(spark, sf_dir):
+    return telemetry.latest_rows(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority IN ('ALL', '1-URGENT') AND o_orderdate <= TIMESTAMP '1998-01-01' AND (o_orderkey % 3 = 0 OR o_orderdate + INTERVAL 400 DAY > TIMESTAMP '1998-01-01') AND o_orderkey % 5 <> 0""", graph=False)
+def visible_announcements(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    ends = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate") + F.expr("interval 400 days"))
+    a = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "P").alias("active"), F.col("o_orderpriority").alias("target"), F.col("o_orderdate").alias("starts_at"), ends.alias("ends_at"))
+    return telemetry.visible_announcements(a, o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id")), "1-URGENT", F.lit("1998-01-01").cast("timestamp_ntz")).select("id")
+
+
+@query("SELECT c_custkey, c_name, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS n_total FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_name, c_custkey LIMIT 10 OFFSET 5", graph=False)
+def report_page(spark, sf_dir):
+    c = telemetry.fold_filters(table(spark, sf_dir, "customer"), equal={"c_mktsegment": "BUILDING", "c_nationkey": None}).select("c_custkey", "c_name")
+    return telemetry.page(c, [F.col("c_name"), F.col("c_custkey")], 5, 10)
+
+
+@query("SELECT o_orderkey FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-01-01'", graph=False)
+def audit_filter(spark, sf_dir):
+    lo, hi = (F.lit(d).cast("timestamp_ntz") for d in ("1996-01-01", "1997-01-01"))
+    return telemetry.fold_filters(table(spark, sf_dir, "orders"), contains={"o_orderpriority": "URGENT"}, between={"o_orderdate": (lo, hi)}).select("o_orderkey")
+
+
+@query("SELECT p_partkey AS id, p_size AS n, CASE WHEN p_size <= 5 THEN 1 WHEN p_size <= 20 THEN 4 ELSE 9 END AS credits FROM part", graph=False)
+def tier_prices(spark, sf_dir):
+    tiers = spark.createDataFrame([(20, 4), (None, 9), (5, 1)], "max_files long, credits int")
+    return telemetry.tier_price(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("n")), tiers)
+
+
+@query("""WITH p AS (SELECT user_id, date_trunc('week', min(ts))::date AS s FROM events GROUP BY 1) SELECT event_id FROM events JOIN p USING (user_id) WHERE ts::date BETWEEN s AND s + 9""", graph=False)
+def events_in_period(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    p = e.groupBy("user_id").agg(F.to_date(F.date_trunc("week", F.min("ts"))).alias("period_start"))
+    return telemetry.in_period(e, p.withColumn("period_end", F.date_add("period_start", 9))).select("event_id")
+
+
+@query("""SELECT event_id AS id, nth FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS nth FROM events) WHERE nth > 1""", graph=False)
+def over_limit(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("occurred_at"))
+    return telemetry.over_limit(e, "user_id", 1, "hour").select("id", "nth")
+
+
+@query("""SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS n_left, (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0) AS n_right,
+(SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS only_left, (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0) AS only_right, FALSE AS same""", graph=False)
+def reconciliation(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return telemetry.reconciliation(o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 5 <> 0"), "o_orderdate", "o_orderkey").select("n_left", "n_right", "only_left", "only_right", "same")
+
+
+@query("""SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 7 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM part
+WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_size % 2 = 0)""", graph=False)
+def snapshot_diff(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey")).alias("path"), F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("sha256"))
+    later = p.where("k % 7 <> 0").withColumn("sha256", F.when(F.col("sha256").cast("int") % 2 == 0, F.concat("sha256", F.lit("x"))).otherwise(F.col("sha256")))
+    return telemetry.snapshot_diff(p.where("k % 5 <> 0").select("path", "sha256"), later.select("path", "sha256"))
+
+
+@query(None, graph=False)
+def accepted_debits(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).cast("long").alias("amount"), F.lit(500).cast("long").alias("credits_limit"))
+    return telemetry.accepted_debits(o)
+
+
+@query("""SELECT n_name AS owner, coalesce(sum(s_acctbal) IS NOT NULL, FALSE) AS has_balance, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000 GROUP BY 1""", graph=False)
+def enriched_owners(spark, sf_dir):
+    """A left join in which owners without a row stay."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    n = table(spark, sf_dir, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return n.select(F.col("n_name").alias("owner"), F.col("n").isNotNull().alias("has_balance"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT (SELECT count(*) FROM customer) AS n_users, (SELECT count(*) FROM orders) AS n_projects, (SELECT count(*) FROM events WHERE ts >= '2024-01-20') AS n_recent, (SELECT count(DISTINCT user_id) FROM events) AS n_active""", graph=False)
+def overview(spark, sf_dir):
+    counts = [table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n_users")), table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_projects"))]
+    e = table(spark, sf_dir, "events").agg(F.count_if(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).alias("n_recent"), F.countDistinct("user_id").alias("n_active"))
+    return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(e))  # one row each
+
+
+@query("SELECT c_mktsegment AS plan, count(*) AS n FROM customer GROUP BY 1", graph=False)
+def plan_distribution(spark, sf_dir):
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("plan")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS active FROM customer", graph=False)
+def active_flags(spark, sf_dir):
+    open_ = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(True))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(open_, "c_custkey", "left").select("c_custkey", F.coalesce("hit", F.lit(False)).alias("active"))
+
+
+@query("SELECT user_id, n FROM (SELECT user_id, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1)", graph=False)
+def unblocked_requests(spark, sf_dir):
+    """Requests by users of addresses that aren't blocked now, counted."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("user_id").cast("string").alias("ip_address"))
+    blocks = e.where("user_id % 3 = 0 or user_id % 3 = 1").distinct().select("ip_address", F.lit(True).alias("active"), F.when(F.col("user_id") % 3 == 1, F.to_timestamp(F.lit("2020-01-01"))).alias("expires_at"))
+    return streams.unblocked(e, blocks, F.to_timestamp(F.lit("2024-01-01"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Scalars
+
+
+@query("""WITH r AS (SELECT event_id, '/api/' || event_type || '/' || event_id || CASE event_id % 5 WHEN 0 THEN '/a@b.io?x=1' WHEN 1 THEN '/0123456789abcdef0123' WHEN 2 THEN '/~home#f' WHEN 3 THEN '/{name}//x' ELSE '?q' END AS route FROM events)
+SELECT event_id, '/api/' || split_part(route, '/', 3) || '/{id}' || CASE event_id % 5 WHEN 0 THEN '/{email}' WHEN 1 THEN '/{token}' WHEN 2 THEN '/{path}' WHEN 3 THEN '/{name}/x' ELSE '' END AS route FROM r""", graph=False)
+def normal_routes(spark, sf_dir):
+    k = F.col("event_id") % 5
+    tail = F.when(k == 0, "/a@b.io?x=1").when(k == 1, "/0123456789abcdef0123").when(k == 2, "/~home#f").when(k == 3, "/{name}//x").otherwise("?q")
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", scalars.normal_route(F.concat(F.lit("/api/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string"), tail)).alias("route"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'UNKNOWN' ELSE upper(substr(event_type, 1, 10)) END AS method, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS address FROM events""", graph=False)
+def normal_fields(spark, sf_dir):
+    v = F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("event_type"), F.lit("\n")))
+    return table(spark, sf_dir, "events").select("event_id", scalars.normal_method(v).alias("method"), scalars.normal_text(v, "unknown", 120).alias("address"))
+
+
+@query("""SELECT c_custkey, (c_custkey % 256) BETWEEN 10 AND 10 AS in_ten, NOT ((c_custkey % 256) IN (10, 127) OR ((c_custkey % 256) = 172 AND c_nationkey BETWEEN 16 AND 31) OR (c_custkey % 256 = 0) OR (c_custkey % 256 BETWEEN 224 AND 239)) AS is_public FROM customer""", graph=False)
+def address_classes(spark, sf_dir):
+    a = F.concat((F.col("c_custkey") % 256).cast("string"), F.lit("."), F.col("c_nationkey").cast("string"), F.lit(".1.2"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.in_network(a, "10.0.0.0/8").alias("in_ten"), scalars.is_public(a).alias("is_public"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate::date AS r, (o_orderdate::date + (o_orderkey % 400)::int) AS t FROM orders), a AS (SELECT *, (date_trunc('month', t) + to_days(least(day(r), day(last_day(t)))::int - 1))::date AS now_ FROM d),
+b AS (SELECT *, CASE WHEN t < now_ THEN (date_trunc('month', t) - INTERVAL 1 MONTH)::date + (least(day(r), day(last_day((date_trunc('month', t) - INTERVAL 1 MONTH)::date)))::int - 1) ELSE now_ END AS s FROM a)
+SELECT o_orderkey, strftime(s, '%Y-%m-%d') AS period_start, strftime((date_trunc('month', s) + INTERVAL 1 MONTH)::date + (least(day(r), day(last_day((date_trunc('month', s) + INTERVAL 1 MONTH)::date)))::int - 2), '%Y-%m-%d') AS period_end FROM b""", graph=False)
+def credit_periods(spark, sf_dir):
+    r = F.to_date("o_orderdate")
+    start, end = scalars.credit_period(r, F.date_add(r, (F.col("o_orderkey") % 400).cast("int")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(start, "yyyy-MM-dd").alias("period_start"), F.date_format(end, "yyyy-MM-dd").alias("period_end"))
+
+
+@query("""SELECT p_partkey, greatest(ceil(2.5 + p_size * 0.1 + (p_partkey * 1000::bigint) / 1048576.0 * 0.25)::bigint, 4) AS credits FROM part""", graph=False)
+def credit_prices(spark, sf_dir):
+    rate = lambda x: F.lit(x).cast("decimal(12,4)")
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.credit_price(rate("2.5"), rate("0.1"), rate("0.25"), F.lit(4), F.col("p_size"), F.col("p_partkey") * 1000).alias("credits"))
+
+
+@query("""SELECT p_partkey, (p_partkey * 9999 + 1048575) // 1048576 AS used_mb, (p_partkey * 9999) // 1048576 AS available_mb, CASE WHEN p_partkey * 9999 < 1024 THEN (p_partkey * 9999) || ' B' WHEN p_partkey * 9999 / 1024.0 < 1024 THEN printf('%.1f KB', p_partkey * 9999 / 1024.0) ELSE printf('%.1f MB', p_partkey * 9999 / 1048576.0) END AS size FROM part""", graph=False)
+def storage_units(spark, sf_dir):
+    b = F.col("p_partkey") * 9999
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.megabytes_used(b).alias("used_mb"), scalars.megabytes_available(b).alias("available_mb"), scalars.readable_size(b).alias("size"))
+
+
+@query("""SELECT o_orderkey, sha256(o_orderstatus || '|X|' || o_orderpriority) AS edge_key, CASE WHEN o_orderkey % 2 = 0 THEN 'src/a/B.java' ELSE 'B.java' END AS path, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter FROM orders""", graph=False)
+def keys_and_paths(spark, sf_dir):
+    path = F.when(F.col("o_orderkey") % 2 == 0, "/home/x/src/a/B.java").otherwise("/home/x/lib/B.java")
+    label = scalars.label_parts(scalars.period_label(F.col("o_orderdate"), "quarter"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.edge_key(F.col("o_orderstatus"), F.lit("X"), F.col("o_orderpriority")).alias("edge_key"), scalars.relative_path(path).alias("path"), label["year"].alias("year"), label["quarter"].alias("quarter"))
+
+
+@query("""SELECT c_custkey, CASE WHEN v <= 0 THEN 1.0 ELSE CASE WHEN v / p <= 1 THEN 1.0 WHEN v / p <= 2 THEN 2.0 WHEN v / p <= 5 THEN 5.0 ELSE 10.0 END * p END AS axis FROM (SELECT c_custkey, c_acctbal AS v, pow(10.0, floor(log10(greatest(c_acctbal, 0.01)))) AS p FROM customer)""", graph=False)
+def axis_maxima(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.axis_maximum(F.when(F.col("c_acctbal") > 0, F.greatest("c_acctbal", F.lit(0.01))).otherwise(F.lit(0.0))).alias("axis"))
+
+
+@query("""SELECT p_partkey, upper(substr(lower(x), 1, 1)) || substr(lower(x), 2) AS title, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS pascal FROM (SELECT *, trim(regexp_replace(p_type, '[_\\-\\s]+', ' ', 'g')) AS x FROM part)""", graph=False)
+def names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.humanised(F.col("p_type")).alias("title"), scalars.pascal(F.col("p_type")).alias("pascal"))
+
+
+@query("""SELECT item_id, word FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS word FROM benchmark) WHERE word NOT IN ('the','and','for','with','that','this','from','into','add','new','fix','use')""", graph=False)
+def keyword_sets(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(scalars.keywords(F.col("text"))).alias("word"))
+
+
+@query("""SELECT file_path AS path, regexp_matches(file_path, '/1[^/]*[.]java') AS skipped FROM nodes WHERE type = 'File'""")
+def ignore_rules(spark, sf_dir):
+    return nodes(spark, sf_dir).where("type = 'File'").select(F.col("file_path").alias("path"), scalars.ignored(F.col("file_path"), ["1*.java"]).alias("skipped"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'api_key: [REDACTED] x' ELSE 'value ' || event_type END AS line FROM events""", graph=False)
+def redacted_lines(spark, sf_dir):
+    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("api_key: "), F.sha2(F.col("event_type"), 256), F.lit(" x"))).otherwise(F.concat(F.lit("value "), F.col("event_type")))
+    return table(spark, sf_dir, "events").select("event_id", scalars.redacted(line).alias("line"))
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"password\":\"[REDACTED]\"}' AS props FROM events", graph=False)
+def redacted_documents(spark, sf_dir):
+    p = F.concat(F.lit('{"password": "x", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.redacted_json(p).alias("props"))
+
+
+@query("""SELECT c_custkey, c_custkey % 2 = 0 AND (c_custkey % 3 <> 0 OR c_nationkey > 12) AS enabled FROM customer""", graph=False)
+def feature_gates(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 3 == 0, "mcp.tool.x").otherwise("ui.x")
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.capability(F.col("c_custkey") % 2 == 0, name, F.col("c_nationkey") > 12).alias("enabled"))
+
+
+# Texts
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, line FROM l WHERE contains(lower(text), 'idiot')""", graph=False)
+def search_source(spark, sf_dir):
+    return text_tables.search_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "Idiot")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, line, length(t) AS n FROM l WHERE line BETWEEN 2 AND 4 AND NOT regexp_matches(t, '(?i)(password|passwd|secret|token|api[_-]?key|bearer|AKIA)')""", graph=False)
+def line_ranges(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    plain = text_tables.lines(d, "doc_id").where(~F.col("text").rlike("(?i)(password|passwd|secret|token|api[_-]?key|bearer|AKIA)")).select("doc_id", "line")
+    return text_tables.line_range(d, "doc_id", 2, 4).join(plain, ["doc_id", "line"]).select("doc_id", "line", F.length("text").alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS t FROM documents), h AS (SELECT doc_id, 'idiot' AS w FROM l WHERE contains(t, 'idiot') UNION ALL SELECT doc_id, 'clown' FROM l WHERE contains(t, 'clown'))
+SELECT doc_id, count(*) * 10 + count(DISTINCT w) AS score FROM h GROUP BY 1""", graph=False)
+def keyword_scores(spark, sf_dir):
+    return text_tables.file_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["idiot", "clown"])
+
+
+@query("SELECT 'src' AS folder, 1 AS depth, count(*) AS n_files FROM supplier UNION ALL SELECT 'src/' || n_name, 2, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1", graph=False)
+def folder_tree(spark, sf_dir):
+    return text_tables.folders(nodes(spark, sf_dir).where("type = 'File'").select(F.col("file_path").alias("path")))
+
+
+@query("""SELECT event_id, 0::bigint AS cause, 2 AS position, 'a.B' AS class_name, 'run' AS method, event_id % 90 AS at_line FROM events UNION ALL SELECT event_id, 1, 4, 'a.C', 'C', 7 FROM events""", graph=False)
+def stack_frames(spark, sf_dir):
+    trace = F.concat(F.lit("java.lang.X: y\n\tat a.B$1.lambda$run$0(B.java:"), (F.col("event_id") % 90).cast("string"), F.lit(")\nCaused by: z\n  at a.C.<init>(C.java:7)"))
+    return text_tables.stack_frames(table(spark, sf_dir, "events").select("event_id", trace.alias("text")), "event_id").select("event_id", "cause", "position", "class_name", "method", "at_line")
+
+
+@query("""SELECT event_id, 'A.java' AS file, event_id % 90 AS at_line, 'no ' || event_type AS message FROM events UNION ALL SELECT event_id, 'b/C.java', 3, 'x' FROM events""", graph=False)
+def compile_errors(spark, sf_dir):
+    out = F.concat(F.lit("[ERROR] A.java:["), (F.col("event_id") % 90).cast("string"), F.lit(",4] no "), F.col("event_type"), F.lit("\nb/C.java:3: error: x\nb/C.java:3: error: x\nBUILD"))
+    return text_tables.compiler_errors(table(spark, sf_dir, "events").select("event_id", out.alias("text")), "event_id")
+
+
+@query("""SELECT event_id, 1 AS section, 'Head' AS title, 1 AS item, event_type AS text FROM events UNION ALL SELECT event_id, 2, 'Two', 1, 'x' FROM events UNION ALL SELECT event_id, 2, 'Two', 2, 'y' FROM events""", graph=False)
+def conventions(spark, sf_dir):
+    md = F.concat(F.lit("- lost\n# Head\n- "), F.col("event_type"), F.lit("\n```\n- code\n```\n## Two\n* x\n1. y\ntext"))
+    return text_tables.conventions(table(spark, sf_dir, "events").select("event_id", md.alias("text")), "event_id")
+
+
+# Tasks
+
+_TASKS = """WITH t AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'BLOCKED_UPSTREAM_ESCALATION' ELSE 'SUPERSEDED' END AS status FROM part),
+dep AS (SELECT p_partkey AS task, p_partkey // 2 AS needs FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0)"""
+
+
+def _tasks(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    s = F.col("p_size") % 4
+    t = p.select(k.alias("id"), F.when(s == 0, "COMPLETED").when(s == 1, "PENDING").when(s == 2, "BLOCKED_UPSTREAM_ESCALATION").otherwise("SUPERSEDED").alias("status"))
+    d = p.where("p_partkey > 0")
+    return t, d.select(k.alias("task"), F.floor(k / 2).alias("needs")).union(d.select(k.alias("task"), F.floor(k / 3).alias("needs"))).distinct()
+
+
+@query(_TASKS.replace("WITH t", "WITH RECURSIVE t", 1) + """, links AS (SELECT p_partkey AS task, p_partkey * 4 AS needs FROM part WHERE p_partkey BETWEEN 1 AND 20 UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey BETWEEN 40 AND 60),
+w AS (SELECT task, needs, needs AS cur FROM links UNION SELECT w.task, w.needs, dep.needs FROM w JOIN dep ON w.cur = dep.task) SELECT task, needs, bool_or(cur = task) AS cycle FROM w GROUP BY 1, 2""", graph=False)
+def task_cycles(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    links = p.where("p_partkey between 1 and 20").selectExpr("p_partkey as task", "p_partkey * 4 as needs").unionAll(p.where("p_partkey between 40 and 60").selectExpr("p_partkey as task", "p_partkey + 1 as needs"))
+    return tasks.would_cycle(_tasks(spark, sf_dir)[1], links)
+
+
+@query(_TASKS.replace("WITH t", "WITH RECURSIVE t", 1) + """, w AS (SELECT id FROM t WHERE id IN (3, 5) UNION SELECT task FROM w JOIN dep ON w.id = dep.needs JOIN t ON t.id = task WHERE status NOT IN ('COMPLETED', 'SUPERSEDED')) SELECT id FROM w WHERE id NOT IN (3, 5)""", graph=False)
+def task_escalation(spark, sf_dir):
+    t, d = _tasks(spark, sf_dir)
+    return tasks.escalated(t, d, t.where("id in (3, 5)").select("id"))
+
+
+@query(_TASKS + """ SELECT id FROM t WHERE status = 'BLOCKED_UPSTREAM_ESCALATION' AND id NOT IN (SELECT task FROM dep JOIN t n ON n.id = needs WHERE n.status <> 'COMPLETED')""", graph=False)
+def task_recovery(spark, sf_dir):
+    return tasks.recovered(*_tasks(spark, sf_dir))
+
+
+@query(_TASKS + """ SELECT id FROM t WHERE status IN ('COMPLETED', 'SUPERSEDED', 'FAILED_TERMINAL') AND id NOT IN (SELECT needs FROM dep)""", graph=False)
+def task_leaves(spark, sf_dir):
+    return tasks.prunable(*_tasks(spark, sf_dir))
+
+
+@query(_TASKS + """, r1 AS MATERIALIZED (SELECT id FROM t WHERE status IN ('COMPLETED', 'SUPERSEDED') AND id NOT IN (SELECT needs FROM dep)),
+r2 AS MATERIALIZED (SELECT id FROM t WHERE status IN ('COMPLETED', 'SUPERSEDED') AND id NOT IN (SELECT id FROM r1) AND id NOT IN (SELECT needs FROM dep WHERE task NOT IN (SELECT id FROM r1)))
+SELECT id, 1 AS round FROM r1 UNION ALL SELECT id, 2 FROM r2""", graph=False)
+def task_pruning(spark, sf_dir):
+    return tasks.pruned(*_tasks(spark, sf_dir), rounds=2)
+
+
+@query(_TASKS + """ SELECT DISTINCT CASE WHEN task % 10 = 3 THEN task + 1000000 ELSE task END AS task, CASE WHEN needs % 10 = 3 THEN needs + 1000000 ELSE needs END AS needs FROM dep""", graph=False)
+def task_retry(spark, sf_dir):
+    t, d = _tasks(spark, sf_dir)
+    return tasks.retried(d, t.where("id % 10 = 3").select("id", (F.col("id") + 1000000).alias("by")))
+
+
+# Mutations
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name || '!' WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""", graph=False)
+def upserted_nodes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.create_map(F.lit("v"), F.lit("1"), F.lit("w"), F.lit("1")).alias("props"))
+    batch = c.where("id % 3 = 0").select("id", F.concat("name", F.lit("!")).alias("name"), F.create_map(F.lit("v"), F.lit("2")).alias("props"))
+    return mutations.upserted_nodes(c.where("id % 2 = 0"), batch).select("id", "name", F.col("props")["v"].cast("int").alias("v"))
+
+
+@query("SELECT 2 * count(*) AS written FROM edges WHERE type = 'IMPLEMENTS'")
+def upserted_edge_count(spark, sf_dir):
+    """Copies in one batch count; edges without both ends don't."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir).where("type = 'IMPLEMENTS'")
+    dangling = e.withColumn("target", F.lit("nowhere"))
+    return mutations.upserted_edges(e, e.unionAll(e).unionAll(dangling), n)[1]
+
+
+@query("""WITH f AS (SELECT file_path FROM nodes WHERE id = 'cls.5'), gone AS (SELECT id FROM nodes WHERE file_path IN (SELECT file_path FROM f)) SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM gone)) AS n_nodes,
+(SELECT count(*) FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone)) AS n_edges""")
+def deleted_file(spark, sf_dir):
+    n = staged(nodes(spark, sf_dir))
+    left, e = mutations.without_file(n, edges(spark, sf_dir), n.where("id = 'cls.5'").first()["file_path"])
+    return left.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n_edges"))))  # one row each
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'added' WHEN c_custkey % 7 = 0 THEN 'removed' ELSE 'modified' END AS change FROM customer WHERE (c_custkey % 5 = 0) <> (c_custkey % 7 = 0) OR (c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_nationkey > 12)""", graph=False)
+def version_diff(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("v"))
+    return mutations.diff(c.where("id % 5 <> 0"), c.where("id % 7 <> 0").withColumn("v", F.when(F.col("v") > 12, F.lit(None)).otherwise(F.col("v"))), "v")
+
+
+@query("""WITH k AS (SELECT id FROM nodes WHERE type NOT IN ('DBModel')) SELECT type, count(*) AS n FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k) GROUP BY 1""")
+def patched_graph(spark, sf_dir):
+    """What is removed goes, though it is also among the changed nodes."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    models = n.where("type = 'DBModel'")
+    return shaping.count_by_type(mutations.patched(n, e, models, e.limit(0), models.select("id"))[1])
+
+
+@query("""SELECT s_nationkey AS owner, sum(CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE greatest(100 - s_suppkey, 0) + 5 END)::bigint AS used_bytes FROM supplier GROUP BY 1""", graph=False)
+def usage_accounts(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("owner"), F.col("s_suppkey").alias("project"))
+    step = lambda seq, kind, b: s.select("owner", "project", F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), b.cast("long").alias("bytes"))
+    changes = step(1, "set", F.lit(100)).unionAll(step(2, "delta", -F.col("project"))).unionAll(step(3, "delta", F.lit(5))).unionAll(step(4, "delete", F.lit(0)).where("project % 4 = 0"))
+    return mutations.usage(changes)
+
+
+# Streams, read here as tables at rest: the same functions take both
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 3600000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k""", graph=False)
+def change_bursts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.bursts(e, "user_id", "1 hour").withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH g AS (SELECT user_id % 10 AS project, event_type AS path, event_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts)) < 60000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY project ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT project, path, arg_max('t' || event_id, (ts, 't' || event_id)) AS type FROM s GROUP BY project, k, path""", graph=False)
+def debounced_changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("project"), F.col("event_type").alias("path"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("type"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.debounced(e, "1 minute").select("project", "path", "type")
+
+
+@query("SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY 1, 2", graph=False)
+def rate_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.per_window(e, "user_id", "1 hour").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, arg_max(value, ts) AS value FROM events GROUP BY 1", graph=False)
+def online_series(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    return streams.online_series(e).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
+
+
+@query(None, graph=False)
+def login_verdicts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") != "error").alias("success"))
+    return streams.throttled_rows(e, failures=2, lock_ms=3_600_000, longest_ms=86_400_000)
+
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1)
+    return impact_dependency(spark, sf_dir)
