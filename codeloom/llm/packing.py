@@ -9,9 +9,10 @@ its windows alone, in any partition, from the tokens that stand before it in its
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,6 +21,7 @@ from codeloom.llm.chunks import ChunkCache, split_chunks
 from codeloom.llm.common import map_rows, materialise
 
 END = 0
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _tokenizers: dict[str, ChunkCache] = {}
 
 
@@ -125,7 +127,7 @@ def pack(tokens: DataFrame, length: int = 1024, window_sequences: int = 64, weig
     window = length * window_sequences
     plan = queues(tokens, window, weights)
     if not plan:
-        return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        return spark.createDataFrame([], ", ".join(f"{c} long" for c in PIECES))
     named = [s for s in dict.fromkeys(q[0] for q in plan) if s is not None]
     blocks = max(1, tokens.count() // block)
     number = {s: k for k, s in enumerate(named)}
@@ -143,33 +145,31 @@ def pack(tokens: DataFrame, length: int = 1024, window_sequences: int = 64, weig
     for q in plan:
         by_queue.setdefault(number.get(q[0], -1), []).append(q)
 
-    def rows(batches):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partitions hold whole blocks in order, so a running sum is all that is held."""
         now = 0
-        for pdf in batches:
-            out = []
-            for i, ids, n, q, opens in zip(pdf["doc_id"].astype("Int64"), pdf["ids"], pdf["n_tokens"], pdf["queue"], pdf["opens"], strict=True):
-                if opens == opens and opens is not None:  # the first row of a block
-                    now = int(opens)
-                    continue
-                n = int(n)
-                for _, phase, first, size, before in by_queue[q]:
-                    if first < now + n and now < first + size:
-                        for place, skip, k in pieces_of(now, n, window, first, size, before, totals[phase], bases[phase]):
-                            while k:
-                                part = min(k, length - place % length)
-                                raw = np.frombuffer(ids, "<u2", part, 2 * skip).astype("<u4").tobytes()
-                                out.append((i, skip, part, zlib.crc32(raw), n, place // length, place % length))
-                                place, skip, k = place + part, skip + part, k - part
-                now += n
-            made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            yield made.astype("Int64")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                out: list[tuple] = []
+                for i, ids, n, q, opens in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
+                    if opens is not None:  # the first row of a block
+                        now = opens
+                        continue
+                    for _, phase, first, size, before in by_queue[q]:
+                        if first < now + n and now < first + size:
+                            for place, skip, k in pieces_of(now, n, window, first, size, before, totals[phase], bases[phase]):
+                                while k:
+                                    part = min(k, length - place % length)
+                                    raw = np.frombuffer(ids, "<u2", part, 2 * skip).astype("<u4").tobytes()
+                                    out.append((i, skip, part, zlib.crc32(raw), n, place // length, place % length))
+                                    place, skip, k = place + part, skip + part, k - part
+                    now += n
+                columns = list(zip(*out, strict=True)) if out else [()] * len(PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECES)
 
     order = ["queue", "block", F.col("opens").isNull(), F.xxhash64(F.lit(1), "doc_id"), "doc_id", "ids"]
     dealt = joined.repartition("queue", "block").sortWithinPartitions(*order)
-    return dealt.select("doc_id", "ids", "n_tokens", "queue", "opens").mapInPandas(
-        rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    return dealt.select("doc_id", "ids", "n_tokens", "queue", "opens").mapInArrow(rows, ", ".join(f"{c} long" for c in PIECES))
 
 
 def pack_documents(docs: DataFrame, path: str, source: str = "source", length: int = 1024, weights: dict[str, float] | None = None) -> DataFrame:
