@@ -26,7 +26,7 @@ STRIP = (
     (r"</?[A-Za-z!?][^>]*>", ""),
 )
 SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^[ \n]+|[ \n]+$", ""))
-TITLE = r"(?i)<title(\s[^>]*)?>([^<]*)</title"
+TITLE = r"(?i)<title(\s[^>]*)?>([\s\S]*?)</title"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'<>]*)["']"""
 LANG = r"""(?i)<html\s[^>]*?lang\s*=\s*["']([^"'<>]*)["']"""
 
