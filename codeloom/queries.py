@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
-from codeloom.operators import inference, mutations, shaping, tasks, telemetry, traversal
+from codeloom.operators import flows, inference, mutations, shaping, tasks, telemetry, traversal, use_cases
+from codeloom.plans import tools
 from codeloom.plans.staging import staged
 from codeloom.sources import text_tables
 from codeloom.sources.graph_tables import GRAPH_SQL, edges, nodes, table
@@ -881,5 +882,118 @@ def login_verdicts(spark, sf_dir):
     return streams.throttled_rows(e, failures=2, lock_ms=3_600_000, longest_ms=86_400_000)
 
 
+
+# Flows, use cases and composite analyses
+
+
+@query("SELECT target AS flow, max(source) AS id, 'GET' AS method, substr(target, 5) AS path FROM edges WHERE type = 'HANDLES_ROUTE' GROUP BY 1")
+def traceable_endpoints(spark, sf_dir):
+    return flows.endpoints(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+_DATA_FLOW = """WITH step AS MATERIALIZED (SELECT DISTINCT source AS parent, target AS nxt, type FROM edges WHERE type IN ('CALLS', 'READS') UNION SELECT source, target, type FROM edges WHERE type = 'IMPLEMENTS' UNION SELECT target, source, type FROM edges WHERE type = 'IMPLEMENTS'),
+s0 AS (SELECT target AS flow, max(source) AS id, 0 AS depth, NULL::varchar AS parent, NULL::varchar AS edge_type FROM edges WHERE type = 'HANDLES_ROUTE' GROUP BY 1),
+s1 AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT flow, nxt, 1, (min((type, step.parent)))[2], (min((type, step.parent)))[1] FROM s0 JOIN step ON step.parent = s0.id WHERE nxt <> s0.id GROUP BY flow, nxt),
+model AS (SELECT id FROM nodes WHERE type = 'DBModel'),
+s2 AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT flow, nxt, 2, (min((type, step.parent)))[2], (min((type, step.parent)))[1] FROM s1 JOIN step ON step.parent = s1.id WHERE depth = 1 AND flow NOT IN (SELECT flow FROM s1 JOIN model USING (id))
+  AND (flow, nxt) NOT IN (SELECT (flow, id) FROM s1) GROUP BY flow, nxt),
+t AS (SELECT flow, id, depth, CASE WHEN id IN (SELECT id FROM model) THEN 0 WHEN regexp_extract(id, '^(.*)[.]m[0-9]+', 1) IN (SELECT id FROM nodes WHERE name LIKE '%Repository') THEN 1 ELSE 2 END AS tier FROM s2 WHERE depth > 0),
+l AS (SELECT flow, arg_min(id, (tier, CASE WHEN tier < 2 THEN depth ELSE -depth END, id)) AS id, min(tier) = 0 AS complete FROM t GROUP BY 1),
+p0 AS (SELECT s2.*, complete FROM l JOIN s2 USING (flow, id)), p1 AS (SELECT s2.*, complete FROM p0 JOIN s2 ON s2.flow = p0.flow AND s2.id = p0.parent), p2 AS (SELECT s2.*, complete FROM p1 JOIN s2 ON s2.flow = p1.flow AND s2.id = p1.parent)
+SELECT flow, depth + 1 AS step, id, edge_type, complete FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
+
+
+@query(_DATA_FLOW)
+def data_flow_traces(spark, sf_dir):
+    """Flows of all endpoints at once; of the edges to models only reads, so that some flows are longer."""
+    n, e = staged(nodes(spark, sf_dir)), staged(edges(spark, sf_dir).where("type in ('CALLS', 'READS', 'IMPLEMENTS', 'HANDLES_ROUTE')"))
+    return flows.data_flows(n, e, flows.endpoints(n, e).select("flow", "id"), 2)
+
+
+@query("""WITH c AS (SELECT source, target FROM edges WHERE type = 'CALLS'), t AS (SELECT id FROM nodes WHERE regexp_matches(name, '(Controller|Service|Component)$'))
+SELECT n.id AS flow, n.id FROM nodes n WHERE type = 'Method' AND regexp_extract(id, '^(.*)[.]m[0-9]+', 1) IN (SELECT id FROM t) AND id IN (SELECT source FROM c) AND id NOT IN (SELECT target FROM c)""")
+def call_roots(spark, sf_dir):
+    return flows.call_roots(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+_ROUTES = """WITH ep AS (SELECT c_custkey AS route, CASE c_custkey % 4 WHEN 0 THEN 'POST' ELSE 'GET' END AS method, CASE c_custkey % 5 WHEN 0 THEN '/api/admin/users/{id}' WHEN 1 THEN '/api/products' WHEN 2 THEN '/login' WHEN 3 THEN '/x/add-new-cards' ELSE '/a.css' END AS path,
+CASE WHEN c_custkey % 3 = 0 THEN 'AdminProductRestController' WHEN c_custkey % 3 = 1 THEN '' END AS controller, CASE c_custkey % 7 WHEN 0 THEN 'ROLE_ADMIN' WHEN 1 THEN 'ROLE_STORE_MANAGER' WHEN 2 THEN 'USER' END AS role FROM customer)"""
+
+
+def _routes(spark, sf_dir):
+    k = F.col("c_custkey")
+    path = F.when(k % 5 == 0, "/api/admin/users/{id}").when(k % 5 == 1, "/api/products").when(k % 5 == 2, "/login").when(k % 5 == 3, "/x/add-new-cards").otherwise("/a.css")
+    controller = F.when(k % 3 == 0, "AdminProductRest").when(k % 3 == 1, "")
+    role = F.when(k % 7 == 0, "ROLE_ADMIN").when(k % 7 == 1, "ROLE_STORE_MANAGER").when(k % 7 == 2, "USER")
+    c = table(spark, sf_dir, "customer")
+    return c.select(k.alias("route"), F.when(k % 4 == 0, "POST").otherwise("GET").alias("method"), path.alias("path"), controller.alias("controller"), role.alias("role"), F.lit(False).alias("is_view"))
+
+
+@query(_ROUTES + """ SELECT route, method, CASE WHEN role = 'ROLE_ADMIN' THEN 'Admin' WHEN role = 'USER' THEN 'User' WHEN role IS NOT NULL THEN 'Store Manager' WHEN path LIKE '%/admin%' THEN 'Admin' ELSE 'User' END AS actor,
+CASE WHEN role = 'ROLE_ADMIN' THEN 0.95 WHEN role = 'USER' THEN 0.9 WHEN role IS NOT NULL THEN 0.85 WHEN path LIKE '%/admin%' THEN 0.9 ELSE 0.7 END AS actor_confidence,
+CASE WHEN route % 3 = 0 THEN 'Product' WHEN route % 5 = 0 THEN 'User' WHEN route % 5 = 1 THEN 'Product' ELSE 'Login' END AS domain, CASE WHEN route % 3 = 0 THEN 0.9 ELSE 0.6 END AS domain_confidence, CASE WHEN route % 5 = 2 THEN 'LOGIN' END AS auth
+FROM ep WHERE route % 5 < 3""", graph=False)
+def use_case_model(spark, sf_dir):
+    return use_cases.inferred(_routes(spark, sf_dir))
+
+
+@query(_ROUTES + """, m AS (SELECT *, CASE WHEN role = 'ROLE_ADMIN' THEN 'Admin' WHEN role = 'USER' THEN 'User' WHEN role IS NOT NULL THEN 'Store Manager' WHEN path LIKE '%/admin%' THEN 'Admin' ELSE 'User' END AS actor, CASE WHEN route % 3 = 0 THEN 'Product' WHEN route % 5 = 0 THEN 'User' ELSE 'Product' END AS domain FROM ep WHERE route % 5 < 2)
+SELECT domain, CASE WHEN count(*) FILTER (method = 'POST') >= 0.25 * count(*) THEN 'Manage ' ELSE 'View ' END || domain || 's' AS title, array_to_string(list_sort(list(DISTINCT actor)), ', ') AS actors, count(*) AS endpoint_count, max(CASE WHEN route % 3 = 0 THEN 0.9 ELSE 0.6 END) AS confidence FROM m GROUP BY 1""", graph=False)
+def use_case_titles(spark, sf_dir):
+    return use_cases.use_cases(use_cases.inferred(_routes(spark, sf_dir)))
+
+
+@query(None)
+def use_case_diagram(spark, sf_dir):
+    return use_cases.plantuml(use_cases.use_cases(use_cases.inferred(_routes(spark, sf_dir))))
+
+
+@query("SELECT DISTINCT regexp_replace(name, 'Service$', '') AS name, 0 AS tier FROM nodes WHERE type IN ('Class', 'DBModel') AND name LIKE '%Service'")
+def use_case_fallback(spark, sf_dir):
+    return use_cases.fallback_cases(nodes(spark, sf_dir))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_type = (SELECT min(p_type) FROM part) THEN 'First' ELSE p_type END AS title FROM part""", graph=False)
+def beautified_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    lexicon = p.agg(F.upper(F.min("p_type")).alias("term")).withColumn("label", F.lit("First"))
+    return use_cases.beautified(p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("title")), lexicon)
+
+
+@query(_levels(2, "SELECT id FROM nodes WHERE file_path = (SELECT file_path FROM nodes WHERE id = 'cls.5') AND type <> 'File'", "target", "source", "'CALLS','STEP_IN_FLOW','EXTENDS','IMPLEMENTS','INJECTS','IMPORTS'")
+       + " SELECT CASE depth WHEN 0 THEN 'changed' ELSE 'dependent' END AS kind, count(*) AS n FROM (SELECT * FROM s2 ORDER BY depth, id LIMIT 500) GROUP BY 1")
+def verified_change(spark, sf_dir):
+    n, e = staged(nodes(spark, sf_dir)), staged(edges(spark, sf_dir))
+    found = tools.verified_change(n, e, [n.where("id = 'cls.5'").first()["file_path"]])
+    return found.where("kind <> 'route'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH m AS (SELECT id FROM nodes WHERE id = 'cls.6' OR starts_with(id, 'cls.6.')) SELECT DISTINCT source AS id, 'GRAPH_REFERENCE' AS match_type, 'HIGH' AS confidence, count(*) OVER () AS total FROM (SELECT DISTINCT source FROM edges WHERE type IN ('CALLS', 'IMPLEMENTS') AND target IN (SELECT id FROM m) AND regexp_matches(source, '[05][.]m[0-9]'))
+ORDER BY id LIMIT 50""")
+def related_tests(spark, sf_dir):
+    """Here the files of every fifth class stand for tests."""
+    n = nodes(spark, sf_dir)
+    n = n.withColumn("file_path", F.when(F.col("id").rlike("[05][.]m[0-9]"), F.concat(F.lit("/src/test/"), "id")).otherwise(F.col("file_path")))
+    return tools.related_tests(n, edges(spark, sf_dir), "cls.6")
+
+
+@query("""SELECT p_partkey AS id, unnest(['unit', 'api']) AS level FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'unit' FROM part WHERE p_partkey % 2 = 1""", graph=False)
+def test_plans(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 2 == 0, "New Endpoint").otherwise("words")
+    return tools.test_plan(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
+
+
+@query("""SELECT 1 AS key, n.id, 0::bigint AS cause FROM nodes n WHERE n.id = 'cls.3.m1()'""")
+def explained_failures(spark, sf_dir):
+    trace = spark.createDataFrame([(1, "x\n at cls.3.m1(A.java:3)\n at no.Such.m(B.java:1)")], "key int, text string")
+    return tools.explained_failures(nodes(spark, sf_dir), trace, "key").select("key", "id", "cause")
+
+
+@query(None)
+def flow_list(spark, sf_dir):
+    e = edges(spark, sf_dir).where("type in ('CALLS', 'READS', 'HANDLES_ROUTE')")
+    return flows.flow_list(staged(nodes(spark, sf_dir)), staged(e))
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_dependency(spark, sf_dir)
