@@ -6,9 +6,9 @@ one-element sets: they are nearer than 1 to exactly the documents that hold them
 pivot that a partner within the threshold could share as its first one in a fixed order (the prefix of its shingles,
 common ones last); that is its replication across borders. Within a region, the triangle inequality bounds how far two
 documents' sizes (their distances to the empty set), their places in the order and their bucketed counts may lie apart.
-Large regions join in two rounds: first every document with the leader of its size window and with its neighbours;
-then, once links have become components, only documents of different components. Both rounds verify candidates by
-their whole sets, so the links are exact (up to collisions of 48-bit hashes).
+Large regions join in rounds: first every document with the leader of its band of sizes; then, once links have become
+components, only documents of different components, a share of the pairs before all the rest. All rounds verify
+candidates by their whole sets, so the links are exact (up to collisions of 48-bit hashes).
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_rows, materialise
 
-BUCKETS = 64
+BUCKETS = 256
+#: The second round first takes one in SHARE of the pairs, so that few are left that are still in different components.
+SHARE = 16
 #: Regions up to this size compare all pairs within their windows at once; larger ones in two rounds.
-SMALL = 128
+SMALL = 32
 #: Ids are broadcast up to this many (16 MB); beyond it the same join shuffles.
 MOST_BROADCAST = 1_000_000
 #: The most frequent shingles that are put last in the order, at most so many (2 MB).
@@ -92,22 +94,18 @@ def prefix(tokens: np.ndarray, common: np.ndarray, pct: int) -> np.ndarray:
     return tokens[: n - -(-pct * n // 100) + 1]
 
 
-def regions(sets: DataFrame, common: np.ndarray, pct: int, only: np.ndarray | None = None) -> DataFrame:
-    """token, v, n, pos: each document in the regions of its prefix, or only in those of `only`."""
-    sent = sets.sparkSession.sparkContext.broadcast((common, only))
+def regions(sets: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
+    """token, v, n, pos: each document in the regions of its prefix."""
+    sent = sets.sparkSession.sparkContext.broadcast(common)
 
     def rows(columns):
-        common, only = sent.value
         out = ([], [], [], [])
         for v, n, data in zip(*columns, strict=True):
-            p = prefix(unpacked(data), common, pct)
-            at = np.arange(len(p))
-            if only is not None:
-                at = at[np.isin(p, only)]
-            out[0].append(p[at].astype(np.int64))
-            out[1].append(np.full(len(at), v, np.int64))
-            out[2].append(np.full(len(at), n, np.int32))
-            out[3].append(at.astype(np.int32))
+            p = prefix(unpacked(data), sent.value, pct)
+            out[0].append(p.astype(np.int64))
+            out[1].append(np.full(len(p), v, np.int64))
+            out[2].append(np.full(len(p), n, np.int32))
+            out[3].append(np.arange(len(p), dtype=np.int32))
         yield [np.concatenate(x) for x in out] if out[0] else [[], [], [], []]
 
     return map_rows(sets.select("v", "n", "tokens"), rows, "token long, v long, n int, pos int")
@@ -165,19 +163,18 @@ def first_round(dealt: DataFrame, pct: int) -> DataFrame:
             for g in np.flatnonzero(size > SMALL).tolist():
                 lo, hi = int(start[g]), int(start[g] + size[g])
                 large.append(token[lo])
-                every = np.arange(lo, hi)
+                # The leader of a band of sizes, all within each other's windows, is the same document in most regions.
+                band = np.floor(np.log(n[lo:hi]) / np.log(100 / pct)).astype(np.int64)
+                mixed = (v[lo:hi].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5851F42D4C957F2D)
+                order = np.lexsort((mixed * np.uint64(0xBF58476D1CE4E5B9), band))
+                opens = np.r_[True, band[order][1:] != band[order][:-1]]
                 leaders = np.empty(hi - lo, np.int64)
-                k = lo
-                while k < hi:  # the sizes ascend: a leader's window ends where the sizes are too far apart
-                    end = max(k + 1, lo + int(np.searchsorted(n[lo:hi], 100 * n[k] // pct, "right")))
-                    leaders[k - lo : end - lo] = k
-                    k = end
-                for other in (leaders, every - 1, every - 2):
-                    sound = (other >= lo) & (other != every)
-                    i, j = other[sound], every[sound]
-                    ok = within(n, pos, i, j, pct)
-                    left.append(v[i[ok]])
-                    right.append(v[j[ok]])
+                leaders[order] = lo + order[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+                every = np.arange(lo, hi)
+                i, j = leaders[leaders != every], every[leaders != every]
+                ok = within(n, pos, i, j, pct)
+                left.append(v[i[ok]])
+                right.append(v[j[ok]])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             pairs = pairs[:, pairs[0] != pairs[1]]
@@ -188,28 +185,52 @@ def first_round(dealt: DataFrame, pct: int) -> DataFrame:
     return dealt.repartition("token").sortWithinPartitions("token", "n", "v").mapInArrow(run, "a long, b long")
 
 
-def second_round(dealt: DataFrame, pct: int) -> DataFrame:
-    """a, b: the pairs of large regions (token, v, n, pos, component, sketch) that are in different components and may link."""
+def held_pivots(sets: DataFrame, common: np.ndarray, pct: int, large: DataFrame) -> DataFrame:
+    """v, n, sketch, held: each document's pivots of large regions (token), with their places in the order."""
+    placed = among(regions(sets, common, pct), large, "token")
+    own = placed.groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("held"))
+    return own.join(sets.select("v", "n", "sketch"), ["v", "n"])
+
+
+def large_regions(held: DataFrame, label: DataFrame) -> DataFrame:
+    """token, v, n, pos, component, sketch, earlier: documents in large regions, with their pivots before this one."""
+    each = held.join(label, "v", "left").select("v", "n", F.coalesce("component", "v").alias("component"), "sketch", "held", F.explode("held").alias("p"))
+    earlier = F.transform(F.filter("held", lambda x: x["pos"] < F.col("p.pos")), lambda x: x["token"])
+    return each.select(F.col("p.token").alias("token"), "v", "n", F.col("p.pos").alias("pos"), "component", "sketch", earlier.alias("earlier"))
+
+
+def second_round(dealt: DataFrame, pct: int, share: int) -> DataFrame:
+    """a, b: the pairs of large regions that are in different components and may link, each at the first large pivot that they share.
+
+    With a share over 1, one in so many of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for token, v, n, pos, component, sketch in groups(batches, 6):
+        for token, v, n, pos, component, sketch, earlier in groups(batches, 7):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
                 if (component[lo:hi] == component[lo]).all():
                     continue
                 own = np.stack([np.frombuffer(s, np.uint8) for s in sketch[lo:hi]]).astype(np.int16)
+                before = [frozenset(x.tolist()) for x in earlier[lo:hi]]
+                left, right = [], []
                 for i in range(lo, hi - 1):
                     end = lo + int(np.searchsorted(n[lo:hi], 100 * n[i] // pct, "right"))
                     j = np.arange(i + 1, end)
                     j = j[component[j] != component[i]]
+                    if share > 1:
+                        j = j[((v[j] ^ v[i]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(share) == 0]
                     j = j[within(n, pos, np.full(len(j), i), j, pct)]
                     if len(j):
                         apart = np.abs(own[j - lo] - own[i - lo]).sum(axis=1)
                         j = j[apart <= n[i] + n[j] - 2 * overlap_needed(n[i], n[j], pct)]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], schema=schema)
+                        first = [k for k in j.tolist() if before[i - lo].isdisjoint(before[k - lo])]
+                        left += [min(v[i], v[k]) for k in first]
+                        right += [max(v[i], v[k]) for k in first]
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
 
     return dealt.repartition("token").sortWithinPartitions("token", "n", "v").mapInArrow(run, "a long, b long")
 
@@ -308,19 +329,14 @@ def join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     label = components(edges)
 
     large = found.where("b is null").select(F.col("a").alias("token")).distinct()
-    n_large = large.limit(MOST_BROADCAST + 1).count()
-    if n_large:  # pivots of regions over SMALL
-        label = materialise(label, "components")
-        if n_large <= MOST_BROADCAST:
-            tokens = np.sort(large.toPandas()["token"].to_numpy(np.int64).astype(np.uint64))
-            again = regions(sets.where("n > 0"), common, pct, tokens)
-        else:
-            again = regions(sets.where("n > 0"), common, pct).join(large, "token", "left_semi")
-        placed = again.join(label, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        placed = placed.join(sets.select("v", "sketch"), "v").select("token", "v", "n", "pos", "component", "sketch")
-        more = materialise(second_round(placed, pct).distinct(), "pairs")
-        if not more.isEmpty():
-            label = components(edges.unionAll(verified(more, sets, pct)))
+    if not large.isEmpty():  # pivots of regions over SMALL
+        held = materialise(held_pivots(sets.where("n > 0"), common, pct, large), "pivots")
+        for share in (SHARE, 1):
+            label = materialise(label, "components")
+            more = materialise(second_round(large_regions(held, label), pct, share).distinct(), "pairs")
+            if not more.isEmpty():
+                edges = edges.unionAll(materialise(verified(more, sets, pct), "links"))
+                label = components(edges)
     label = label.select(F.col("v").alias("first"), "component")
 
     sizes = sets.select(F.col("v").alias("first"), "n").groupBy("first").agg(F.max("n").alias("n"))
