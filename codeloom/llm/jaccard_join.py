@@ -313,10 +313,11 @@ def join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     nothing and has a null component. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.md5("text")).alias("h2"))
-    texts = keyed.where(F.col("doc_id").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    worded = F.col("text").rlike("[^\\x20\\x09-\\x0D]")  # texts without a word link with nothing, not even with their copies
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.md5("text")).alias("h2"), worded.alias("worded"))
+    texts = keyed.where(F.col("doc_id").isNotNull() & F.col("worded")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     many = texts.where("copies > 1").drop("copies")
-    member = materialise(keyed.join(many, ["h1", "h2"]).where(F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("first"))).select("doc_id", "first"), "copies")
+    member = materialise(keyed.where("worded").join(many, ["h1", "h2"]).where(F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("first"))).select("doc_id", "first"), "copies")
     copies = member.select("doc_id").distinct()
     few = copies.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     single = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
