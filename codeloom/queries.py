@@ -74,13 +74,10 @@ def impact_type_data_flow(spark, sf_dir):
     return traversal.impact(nodes(spark, sf_dir), edges(spark, sf_dir), "cls.4", 2, "type-data-flow")
 
 
-_SPARSE = "(SELECT * FROM edges WHERE type = 'CALLS' AND (length(source) + length(target) + line_number) % 7 = 0)"
-
-
-@query(_levels(5, f"SELECT '{METHOD}' AS id", "target", "source", "").replace("FROM edges", f"FROM {_SPARSE}") + " SELECT depth, count(*) AS n FROM s5 GROUP BY depth")
+@query(_levels(5, f"SELECT '{METHOD}' AS id", "target", "source", "'CALLS'") + " SELECT depth, count(*) AS n FROM s5 GROUP BY depth")
 def impact_depth_five(spark, sf_dir):
-    """Counts by depth, five calls deep, over a sparser part of the calls."""
-    e = edges(spark, sf_dir).where("type = 'CALLS' and (length(source) + length(target) + line_number) % 7 = 0")
+    """Counts by depth, five calls deep."""
+    e = edges(spark, sf_dir).where("type = 'CALLS'")
     return traversal.reach(seeds(spark, METHOD), e, 5, "in").groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -308,11 +305,11 @@ def aggregated_edges(spark, sf_dir):
 
 # Inference
 
-_EVENTS = "WITH ev AS (SELECT user_id AS id, event_type || '-' || json_extract_string(props, '$.k') AS event, event_id FROM events WHERE event_id % 10 < 2)"
+_EVENTS = "WITH ev AS (SELECT user_id AS id, event_type || '-' || json_extract_string(props, '$.k') AS event, event_id FROM events)"
 
 
 def _event_sides(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 10 < 2").select("event_id", F.col("user_id").alias("id"), F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("event"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"), F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("event"))
     return e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
 
 
@@ -330,12 +327,11 @@ def dynamic_dispatch(spark, sf_dir):
 
 @query(None)
 def route_flows(spark, sf_dir):
-    e = edges(spark, sf_dir).where("type = 'HANDLES_ROUTE' or (type = 'CALLS' and (length(source) + length(target) + line_number) % 7 = 0)")
-    return inference.flow_steps(e)
+    return inference.flow_steps(edges(spark, sf_dir))
 
 
 ORACLE_SQL["route_flows"] = GRAPH_SQL.replace("WITH nc", "WITH RECURSIVE nc", 1) + """,
-call AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE type = 'CALLS' AND (length(source) + length(target) + line_number) % 7 = 0),
+call AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE type = 'CALLS'),
 handler AS MATERIALIZED (SELECT DISTINCT source AS id FROM edges WHERE type = 'HANDLES_ROUTE'),
 walk AS (SELECT id, id AS flow_id FROM handler UNION SELECT target, flow_id FROM walk JOIN call ON walk.id = call.source),
 best AS (SELECT id, min(flow_id) AS flow_id FROM walk GROUP BY 1)
@@ -369,13 +365,13 @@ def flow_ambiguities(spark, sf_dir):
     return inference.flow_ambiguities(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-_ENDPOINTS = "SELECT l_shipdate IS NOT NULL AS x, 'D' || (l_suppkey % 7) AS domain, CASE l_linenumber % 5 WHEN 0 THEN 'POST' WHEN 1 THEN 'DELETE' ELSE 'GET' END AS method, l_returnflag AS actor FROM lineitem WHERE l_suppkey % 7 > 2 OR l_linenumber % 5 > 1"
+_ENDPOINTS = "SELECT 'D' || (l_suppkey % 7) AS domain, CASE WHEN l_suppkey % 7 < 3 THEN 'GET' WHEN l_linenumber % 5 = 0 THEN 'POST' WHEN l_linenumber % 5 = 1 THEN 'DELETE' ELSE 'GET' END AS method, l_returnflag AS actor FROM lineitem"
 
 
 @query(f"""SELECT domain, count(*) AS endpoint_count, count(*) FILTER (method <> 'GET') AS mutating_count, count(DISTINCT actor) AS actors, count(*) FILTER (method <> 'GET') >= 0.25 * count(*) AS manages FROM ({_ENDPOINTS}) GROUP BY 1""", graph=False)
 def use_case_domains(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 > 2 or l_linenumber % 5 > 1")
-    method = F.when(F.col("l_linenumber") % 5 == 0, "POST").when(F.col("l_linenumber") % 5 == 1, "DELETE").otherwise("GET")
+    e = table(spark, sf_dir, "lineitem")
+    method = F.when(F.col("l_suppkey") % 7 < 3, "GET").when(F.col("l_linenumber") % 5 == 0, "POST").when(F.col("l_linenumber") % 5 == 1, "DELETE").otherwise("GET")
     return inference.domains(e.select(F.concat(F.lit("D"), (F.col("l_suppkey") % 7).cast("string")).alias("domain"), method.alias("method"), F.col("l_returnflag").alias("actor")))
 
 
@@ -452,10 +448,10 @@ def suspicious_networks(spark, sf_dir):
     return telemetry.suspicious_networks(request_events(spark, sf_dir), _since(), 20).withColumn("minute_bucket", F.date_format("minute_bucket", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(_REQ + f""" SELECT ip_address, user_id, api_key_ref, count(*) AS requests FROM re WHERE occurred_at >= '{SINCE}' AND route <> '/actuator/health' AND ip_address IN (SELECT DISTINCT ip_address FROM re WHERE user_id % 10 = 2) GROUP BY 1, 2, 3""", graph=False)
+@query(_REQ + f""" SELECT ip_address, user_id, api_key_ref, count(*) AS requests FROM re WHERE occurred_at >= '{SINCE}' AND route <> '/actuator/health' AND ip_address IN (SELECT ip_address FROM re WHERE occurred_at >= '{SINCE}' GROUP BY 1 ORDER BY count(*) DESC, ip_address LIMIT 20) GROUP BY 1, 2, 3""", graph=False)
 def network_breakdown(spark, sf_dir):
     e = request_events(spark, sf_dir)
-    return telemetry.network_breakdown(e, _since(), e.where("user_id % 10 = 2").select("ip_address").distinct())
+    return telemetry.network_breakdown(e, _since(), telemetry.top_addresses(e, _since(), 20))
 
 
 @query("""SELECT event_type, CASE WHEN value > 50 THEN 'WARNING' ELSE 'INFO' END AS severity, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events WHERE ts >= '2024-01-10' GROUP BY 1, 2""", graph=False)
@@ -467,9 +463,10 @@ def security_summary(spark, sf_dir):
 _LABELS = """SELECT 'day' AS period, strftime(d, '%Y-%m-%d') AS label, v FROM x UNION ALL SELECT 'month', strftime(d, '%Y-%m'), v FROM x UNION ALL SELECT 'quarter', year(d) || '-Q' || quarter(d), v FROM x UNION ALL SELECT 'year', year(d)::varchar, v FROM x"""
 
 
-@query(f"""WITH x AS (SELECT o_orderdate AS d, round(o_totalprice)::bigint AS v FROM orders WHERE o_orderkey % 3 = 0), l AS ({_LABELS}) SELECT period, label, sum(v)::bigint AS value FROM l GROUP BY 1, 2""", graph=False)
+@query(f"""WITH x AS (SELECT o_orderdate AS d, round(o_totalprice)::bigint AS v FROM orders WHERE o_orderstatus = 'F'), l AS ({_LABELS}) SELECT period, label, sum(v)::bigint AS value FROM l GROUP BY 1, 2""", graph=False)
 def consumption_series(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select((-F.round("o_totalprice").cast("long")).alias("credits_delta"), F.col("o_orderdate").alias("created_at"))
+    price = F.round("o_totalprice").cast("long")
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", -price).otherwise(price).alias("credits_delta"), F.col("o_orderdate").alias("created_at"))
     return telemetry.consumption(o)
 
 
@@ -478,17 +475,17 @@ def growth_series(spark, sf_dir):
     return telemetry.growth(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at")))
 
 
-@query("""WITH d AS (SELECT ts::date AS day, count(*) AS value FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(date_trunc('month', max(day)), last_day(max(day)), INTERVAL 1 DAY))::date AS day FROM d)
+@query("""WITH d AS (SELECT ts::date AS day, count(*) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1), s AS (SELECT unnest(generate_series(date_trunc('month', max(day)), last_day(max(day)), INTERVAL 1 DAY))::date AS day FROM d)
 SELECT strftime(s.day, '%Y-%m-%d') AS day, coalesce(value, 0) AS value FROM s LEFT JOIN d ON s.day = d.day""", graph=False)
 def dense_days(spark, sf_dir):
-    d = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 50 = 0").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("value"))
+    d = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("value"))
     return telemetry.dense_series(d).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("""WITH d AS (SELECT date_trunc('month', o_orderdate)::date AS month, count(*) AS value FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(max(month) - INTERVAL 11 MONTH, max(month), INTERVAL 1 MONTH))::date AS month FROM d)
+@query("""WITH d AS (SELECT date_trunc('month', o_orderdate)::date AS month, count(*) AS value FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), s AS (SELECT unnest(generate_series(max(month) - INTERVAL 11 MONTH, max(month), INTERVAL 1 MONTH))::date AS month FROM d)
 SELECT strftime(s.month, '%Y-%m') AS month, coalesce(value, 0) AS value FROM s LEFT JOIN d ON s.month = d.month""", graph=False)
 def dense_months(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("month")).agg(F.count(F.lit(1)).alias("value"))
+    d = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("month")).agg(F.count(F.lit(1)).alias("value"))
     return telemetry.dense_months(d).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
