@@ -158,6 +158,23 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_ids_are_those_of_the_tokenizer_file(tmp_path):
+    around = [f"a{c}1{c}{c} {c}b {c}  .{c}" for k in range(0, 0x110000, 61) if not 0xD800 <= k < 0xE000 for c in [chr(k)]]
+    texts = [*around, "", " ", "\n\n a", "it's 's'll\r\n \t x", "<|endoftext|> a<|endoftext|>", "a" * 30_000, " " * 30_000, "1" * 1999, "ab" * 999, "x " * 5000]
+    library = Tokenizer.from_file(VOCABULARY)
+    expected = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    made = packing.Encoder(VOCABULARY)
+    assert made.fast is not None and made.plain("a b") and not made.plain("a" * 5000)
+    assert made.of(texts) == expected
+    # A file that puts a space in front of each text is left to the library.
+    other = json.loads(library.to_str())
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    prefixed = packing.Encoder(str(tmp_path / "other.json"))
+    assert prefixed.fast is None
+    assert prefixed.of(["ab c"]) == [np.array(library.encode(" ab c").ids, "<u2").tobytes()]
+
+
 # 4 and 8
 
 
