@@ -24,6 +24,8 @@ def statistics(text: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
     words = F.filter(F.split(t, WORD_SPLIT), lambda w: w != "")
+    # Beside words, this holds the word after each. A lookup in words inside a lambda would split the text for every word.
+    rest = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def share(chars: str) -> Column:
@@ -44,7 +46,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "upper": (n - F.length(F.regexp_replace(t, r"\p{Lu}", ""))) / n,
         "letters": (n - F.length(F.regexp_replace(t, r"\p{L}", ""))) / n,
         "distinct_words": ratio(F.size(F.array_distinct(words)), F.size(words)),
-        "repeats": ratio(F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))), F.size(words)),
+        "repeats": ratio(F.size(F.filter(F.zip_with(words, rest, lambda w, after: w == after), lambda same: same)), F.size(words)),
         "lines": ratio(F.size(lines), F.size(words)),
         "distinct_lines": ratio(F.size(F.array_distinct(lines)), F.size(lines)),
         "longest_word": F.coalesce(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(0)).cast("double"),
