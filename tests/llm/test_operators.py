@@ -186,6 +186,15 @@ def labelled(spark, make, n=240, **columns):
     return documents(spark, rows), labels
 
 
+def test_repeated_neighbours_of_any_length(spark):
+    texts = [None, "", " ", "a", "a a", "a b a", "a a a b b", " a\ta  b ", "b " * 20_000, " ".join(f"w{k // 2}" for k in range(20_000))]
+    docs = documents(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    got = {r.doc_id: r.repeats for r in docs.select("doc_id", rule_ensemble.statistics(F.col("text"))["repeats"].alias("repeats")).collect()}
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        assert got[k] == sum(a == b for a, b in itertools.pairwise(words)) / max(1, len(words))
+
+
 def test_rules_find_what_marks_quality(spark):
     docs, labels = labelled(spark, lambda rng, bad: words(rng, 60).upper() if bad else words(rng, 60), quality=False)
     model = rule_ensemble.train(docs, labels, "quality", F.col("doc_id") % 2 == 0)
