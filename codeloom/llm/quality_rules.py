@@ -78,10 +78,10 @@ def normalised_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.02) -> DataFrame:
+def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 3, max_share: float = 0.0) -> DataFrame:
     """host, line_hash of the lines above their host's limit: max(min_docs, max_share of the host's documents).
 
-    Each row counts as a document and counts once for a line, however often it repeats the line. Counts are
+    By default the limit is a number of documents alone, so it is the same at a host of ten documents and at one of millions. Each row counts as a document and counts once for a line, however often it repeats the line. Counts are
     summed before the shuffle, so a line in a third of all documents costs one row a task.
     """
     own = F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))
@@ -108,7 +108,7 @@ def removed_words(docs: DataFrame, frequent: DataFrame, host: str = "source") ->
 
 
 def apply_rules(
-    docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, min_docs: int = 50, max_share: float = 0.02, min_left: float = 0.5
+    docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, min_docs: int = 3, max_share: float = 0.0, min_left: float = 0.5
 ) -> DataFrame:
     """One row per input row: the base counts, base_failed, removed_words, kept.
 
@@ -136,7 +136,7 @@ def apply_rules(
     )
 
 
-def clean_text(docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.02) -> DataFrame:
+def clean_text(docs: DataFrame, host: str = "source", min_docs: int = 3, max_share: float = 0.0) -> DataFrame:
     """doc_id, text without the lines that are too frequent at the host (null stays null)."""
     docs = docs.select("doc_id", F.col(host).alias("host"), "text").withColumn("key", F.xxhash64("doc_id", "host", "text"))
     frequent = line_frequency(docs, "host", min_docs, max_share)

@@ -95,6 +95,17 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert shared not in clean[0] and shared in clean[200] and clean[201] is None
 
 
+def test_shared_lines_go_at_hosts_of_every_size(spark):
+    rng = random.Random(31)
+    shared, rows = words(rng, 80), []
+    for host, n, holders in (("small", 20, 8), ("large", 600, 8), ("few", 20, 3)):  # 8 documents are under 2 % of 600
+        rows += [(len(rows) + i, (shared + "\n" if i < holders else "") + words(rng, 60), None, host) for i in range(n)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(documents(spark, rows)).collect()}
+    for i, text, _, host in rows:
+        depleted = shared in text and host != "few"
+        assert (got[i].removed_words, got[i].kept, got[i].base_failed) == (80 if depleted else 0, not depleted, False)
+
+
 def test_rules_on_odd_rows(spark):
     docs = documents(spark, ODD)
     assert quality_rules.apply_rules(docs).count() == len(ODD)
