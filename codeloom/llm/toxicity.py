@@ -3,6 +3,10 @@
 Two models of the characters of a word, one of toxic and one of ordinary documents, share the counts that they back off
 to, so an expression that neither class has seen often gets the same likelihood from both. A document is judged by
 the difference of its words' two log-likelihoods, as far as it exceeds a margin, normalised by its length.
+
+All documents are counted on Spark, and all labelled ones by class. Where neither class has an n-gram more often than it
+discounts, the shared probability cancels out of the ratio, which then depends on the context alone. So the ratios of the
+other n-grams and of their contexts are the whole model: few enough to be broadcast, or else a table to join with.
 """
 
 from __future__ import annotations
@@ -10,47 +14,64 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_rows
+from codeloom.llm.common import map_rows, materialise
 from codeloom.llm.rule_ensemble import lasso_logistic
 
 ORDER = 5
 #: A word's log-likelihood ratio counts by what it exceeds this, so that common words of long texts do not add up.
 MARGIN = 2.0
 WORD = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are no words; they count as their first and last LONGEST letters.
+#: Runs of letters over twice as many count as their first and last LONGEST letters.
 LONGEST = 40
+#: What a class discounts of an n-gram's count, and what the shared model does.
+OWN, DISCOUNT = 4.0, 0.75
+#: Labels are broadcast up to this many, ratios up to that many; beyond it the same joins shuffle.
+MOST_LABELS, MOST_RATIOS = 1_000_000, 300_000
+#: Distinct words that a task counts before it hands on their n-grams.
+MOST_WORDS = 50_000
+
+
+def words_of(text: str) -> tuple[list[str], list[str]]:
+    """The words of a text, longer runs by their first and last LONGEST letters; and no slices."""
+    words = WORD.findall(text.lower())
+    return [w if len(w) <= 2 * LONGEST else w[:LONGEST] + w[-LONGEST:] for w in words], []
+
 
+def padded(word: str) -> str:
+    return "^" * (ORDER - 1) + word + "$"
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+
+def windows(text: str) -> list[str]:
+    return [text[k : k + ORDER] for k in range(len(text) - ORDER + 1)]
 
 
 def grams(word: str) -> list[str]:
     """The n-grams of ORDER characters that end at each character of the word and at its end."""
-    if len(word) > 2 * LONGEST:
-        word = word[:LONGEST] + word[-LONGEST:]
-    padded = "^" * (ORDER - 1) + word + "$"
-    return [padded[k : k + ORDER] for k in range(len(padded) - ORDER + 1)]
+    return windows(padded(word))
 
 
 class KneserNey:
-    """counts: n-gram -> (in ordinary, in toxic documents).
+    """The model of counts that fit one dictionary: n-gram -> (in ordinary, in toxic documents); `ratios` makes the same on Spark.
+
+    every: n-gram -> count in all documents, without it the sum of both classes.
 
     Each class discounts its own counts of the top order by `own` and gives what that frees to a model of both classes
     together, a Kneser-Ney model whose lower orders count types. An n-gram seen at most `own` times in a class adds
     nothing of its own.
     """
 
-    def __init__(self, counts: dict[str, tuple[int, int]], own: float = 4.0, discount: float = 0.75):
+    def __init__(self, counts: dict[str, tuple[int, int]], every: dict[str, int] | None = None, own: float = OWN, discount: float = DISCOUNT):
         self.counts, self.own, self.discount = counts, own, discount
         self.total: dict[str, list[float]] = {}  # by context: tokens and what is freed, of each class
-        both: Counter = Counter({g: sum(c) for g, c in counts.items()})
+        both: Counter = Counter(every or {g: sum(c) for g, c in counts.items()})
         lower: list[Counter] = [Counter() for _ in range(ORDER + 1)]  # by length; under the top: distinct left extensions
         lower[ORDER] = both
         for g, c in counts.items():
@@ -90,87 +111,164 @@ class KneserNey:
         at = [(max(c[k] - self.own, 0) + t[2 + k] * p) / t[k] if t[k] else p for k in (0, 1)]
         return math.log(at[1] / at[0])
 
-    def ratio(self, word: str, known: dict[str, float]) -> float:
-        """log P(word | toxic) - log P(word | ordinary); known holds the ratios of n-grams met before."""
-        found = grams(word)
-        for g in found:
-            if g not in known:
-                known[g] = self.gram_ratio(g)
-        return sum(map(known.__getitem__, found))
-
 
 @dataclass
 class Model:
-    language: KneserNey
+    ratios: DataFrame
+    """gram, ratio: n-grams of ORDER characters, and contexts (one less) whose other n-grams have that ratio; any other n-gram has 0."""
+    known: dict[str, float] | None
+    """The same as a dictionary, if there are at most MOST_RATIOS."""
     weights: tuple[float, ...] = (0.0, 0.0)
     intercept: float = -2.0
     scale: tuple[float, ...] = (1.0, 1.0)
 
-    def features(self, text: str | None, cache: dict[str, float], grams_known: dict[str, float]) -> tuple[float, float]:
-        """The words' log-likelihood ratios beyond MARGIN, over the number of words and over its root; zeros without a word."""
-        words = words_of(text or "")
-        if not words:
-            return 0.0, 0.0
-        for known in (cache, grams_known):
-            if len(known) > 700_000:
-                known.clear()
-        new = {w for w in words if w not in cache}
-        for w in new:
-            cache[w] = max(self.language.ratio(w, grams_known) - MARGIN, 0.0)
-        total, n = sum(map(cache.__getitem__, words)), len(words)
-        return total / n, total / math.sqrt(n)
 
-    def score(self, f: tuple[float, ...]) -> float:
-        x = self.intercept + sum(w * v / s for w, v, s in zip(self.weights, f, self.scale, strict=True))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
-
-
-def count_grams(sample: DataFrame, most: int) -> dict[str, tuple[int, int]]:
-    """n-gram -> counts in ordinary and toxic rows of (y, text); the `most` most frequent n-grams."""
-
-    def rows(columns):
-        words = (Counter(), Counter())
-        for y, text in zip(*columns, strict=True):
-            words[y].update(words_of(text or ""))
-        out = (Counter(), Counter())
-        for y in (0, 1):
-            for w, n in words[y].items():
-                for g in grams(w):
-                    out[y][g] += n
-        keys = list(out[0].keys() | out[1].keys())
-        yield [keys, [out[0][k] for k in keys], [out[1][k] for k in keys]]
-
-    found = map_rows(sample.select("y", "text"), rows, "gram string, ordinary long, toxic long", rows=4096)
-    total = found.groupBy("gram").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
-    return {r.gram: (r.o, r.t) for r in total.orderBy((F.col("o") + F.col("t")).desc(), "gram").limit(most).toLocalIterator()}
+def features(text: str | None, known: dict[str, float], cache: dict[str, float]) -> tuple[float, float]:
+    """The words' log-likelihood ratios beyond MARGIN, over the number of words and over its root; zeros without a word."""
+
+    def beyond(found: Iterable[str]) -> float:
+        return max(sum(known[g] if g in known else known.get(g[:-1], 0.0) for g in found) - MARGIN, 0.0)
+
+    words, slices = words_of(text or "")
+    n = len(words) + len(slices)
+    if not n:
+        return 0.0, 0.0
+    if len(cache) > 700_000:
+        cache.clear()
+    for w in words:
+        if w not in cache:
+            cache[w] = beyond(grams(w))
+    total = sum(map(cache.__getitem__, words)) + sum(beyond(windows(s)) for s in slices)
+    return total / n, total / math.sqrt(n)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """gram, ordinary, toxic, every: counts in the rows of docs (y, text) with y = 0, with y = 1 and in all rows, whatever y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[Counter] = [Counter(), Counter(), Counter()]
+        pieces: list[Counter] = [Counter(), Counter(), Counter()]
+
+        def handed_on() -> pa.RecordBatch:
+            out: dict[str, list[int]] = {}
+            for y in range(3):
+                for found, split in ((words[y], grams), (pieces[y], windows)):
+                    for w, n in found.items():
+                        for g in split(w):
+                            c = out.setdefault(g, [0, 0, 0])
+                            c[2] += n
+                            if y < 2:
+                                c[y] += n
+                    found.clear()
+            columns = zip(*out.values(), strict=True) if out else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["gram", "ordinary", "toxic", "every"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found = words_of(text or "")
+                    for counter, w in zip((words, pieces), found, strict=True):
+                        counter[2 if y is None else y].update(w)
+                if sum(map(len, words)) + 10 * sum(map(len, pieces)) > MOST_WORDS:
+                    yield handed_on()
+        yield handed_on()
+
+    found = docs.select("y", "text").mapInArrow(run, "gram string, ordinary long, toxic long, every long")
+    return found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "every")])
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """gram, ratio of counts (gram, ordinary, toxic, every), as KneserNey has them.
+
+    Only n-grams that a class has more than OWN times, and the contexts of these: an n-gram without a row has the ratio
+    of its context, and 0 if that has no row either.
+    """
+    level = {ORDER: counts.select("gram", F.col("every").alias("c"))}
+    for n in range(ORDER - 1, 0, -1):
+        level[n] = materialise(level[n + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams")
+    p, shared = F.lit(1 / (1 + level[1].count())), None
+    for n in range(1, ORDER + 1):
+        own = level[n].withColumn("h", F.substring("gram", 1, n - 1))
+        t = own.groupBy("h").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("types"))
+        if n == ORDER:  # the top order is asked for only where a class has something of its own
+            own = own.join(counts.where((F.col("ordinary") > OWN) | (F.col("toxic") > OWN)).select("gram"), "gram", "left_semi")
+        own = own.join(t, "h")
+        if shared is not None:
+            own = own.withColumn("shorter", F.expr("substring(gram, 2)")).join(shared, "shorter")
+            p = F.col("p")
+        shared = own.select(F.col("gram").alias("shorter"), ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * p) / F.col("s")).alias("p"))
+
+    h = F.substring("gram", 1, ORDER - 1)
+    classes = ("ordinary", "toxic")
+    sums = [F.sum(c).alias(f"all_{c}") for c in classes] + [F.sum(F.least(F.col(c).cast("double"), F.lit(OWN))).alias(f"freed_{c}") for c in classes]
+    contexts = counts.groupBy(h.alias("h")).agg(*sums).where("freed_ordinary < all_ordinary or freed_toxic < all_toxic")
+    rest = [F.when(F.col(f"all_{c}") > 0, F.col(f"freed_{c}") / F.col(f"all_{c}")).otherwise(F.lit(1.0)) for c in classes]
+    of_context = contexts.select(F.col("h").alias("gram"), F.log(rest[1] / rest[0]).alias("ratio"))
+    top = counts.join(shared.withColumnRenamed("shorter", "gram"), "gram").withColumn("h", h).join(contexts, "h")
+    at = [F.when(F.col(f"all_{c}") > 0, (F.greatest(F.col(c) - OWN, F.lit(0.0)) + F.col(f"freed_{c}") * F.col("p")) / F.col(f"all_{c}")).otherwise(F.col("p")) for c in classes]
+    return top.select("gram", F.log(at[1] / at[0]).alias("ratio")).unionAll(of_context)
 
 
 def measured(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep, per_word and per_root: the features of each row's whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    if model.known is None:
+        return measured_by_join(docs, model.ratios, keep)
+    sent = docs.sparkSession.sparkContext.broadcast(model.known)
     schema = docs.select(*keep).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", per_word double, per_root double"
     cache: dict[str, float] = {}
-    grams_known: dict[str, float] = {}
 
     def rows(columns):
-        found = [sent.value.features(t, cache, grams_known) for t in columns[-1]]
+        found = [features(t, sent.value, cache) for t in columns[-1]]
         yield [*columns[:-1], [f[0] for f in found], [f[1] for f in found]]
 
     return map_rows(docs.select(*keep, "text"), rows, ddl)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = 16_000, most_grams: int = 300_000) -> Model:
-    """A model from at most `most` labelled rows: those of labels for which learn holds, in the order of a hash of doc_id.
+def measured_by_join(docs: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
+    """measured by joins: table with the n-grams of each distinct word, and the words beyond MARGIN with the texts that hold them."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.md5(text)).alias("h2"), text.alias("text"))
 
-    Three quarters of them are counted, and the last quarter sets how a ratio becomes a probability. Labels that are null
-    or not 0 or 1 teach nothing; an id with several labels takes the largest. With one label only, the score is constant.
+    def rows(columns):
+        out = ([], [], [], [], [])
+        for h1, h2, t in zip(*columns, strict=True):
+            words, slices = words_of(t)
+            for w, n in Counter([*map(padded, words), *slices]).items():
+                for o, x in zip(out, (h1, h2, w, n, len(words) + len(slices)), strict=True):
+                    o.append(x)
+        yield list(out)
+
+    held = materialise(map_rows(keyed.select("h1", "h2", "text"), rows, "h1 long, h2 long, word string, n long, words long", rows=64).distinct(), "words")
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (ORDER - 1)), lambda k: F.substr("word", k, F.lit(ORDER)))).alias("gram")
+    found = held.select("word").distinct().select("word", gram).withColumn("h", F.substring("gram", 1, ORDER - 1))
+    own, rest = table.where(F.length("gram") == ORDER), table.where(F.length("gram") < ORDER).select(F.col("gram").alias("h"), F.col("ratio").alias("other"))
+    value = F.sum(F.coalesce("ratio", "other", F.lit(0.0))) - MARGIN
+    beyond = found.join(own, "gram", "left").join(rest, "h", "left").groupBy("word").agg(value.alias("value")).where("value > 0")
+    total = held.join(beyond, "word").groupBy("h1", "h2", "words").agg(F.sum(F.col("n") * F.col("value")).alias("total"))
+    per = [F.coalesce(F.col("total") / d, F.lit(0.0)) for d in (F.col("words"), F.sqrt("words"))]
+    return keyed.drop("text").join(total, ["h1", "h2"], "left").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], per[0].alias("per_word"), per[1].alias("per_root"))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = 4_000) -> Model:
+    """A model that counts all rows of docs for what both classes share, and for each class all its labelled rows for which learn holds.
+
+    Only a quarter of the labelled rows, `most` at most and the first in the order of a hash of doc_id, are in no class: they
+    set how a ratio becomes a probability. Labels that are null or not 0 or 1 teach nothing; an id with several labels takes
+    the largest. With one label only, the score is constant.
     """
     usable = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(4)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows of three numbers
-    model = Model(KneserNey(count_grams(sample.where("fold > 0"), most_grams)))
-    got = measured(sample.where("fold = 0"), model, ["y"]).toPandas().sort_values(["y", "per_word", "per_root"])
+    quarter = usable.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(4)) == 0)
+    chosen = materialise(quarter.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "chosen")
+    counted = usable.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")  # at most `most` ids
+    few = counted.limit(MOST_LABELS + 1).count() <= MOST_LABELS
+    counts = materialise(count_grams(docs.select("doc_id", "text").join(F.broadcast(counted) if few else counted, "doc_id", "left")), "grams")
+    table = materialise(ratios(counts), "ratios")
+    few = table.limit(MOST_RATIOS + 1).count() <= MOST_RATIOS
+    model = Model(table, {r.gram: r.ratio for r in table.toLocalIterator()} if few else None)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    got = measured(sample, model, ["y"]).toPandas().sort_values(["y", "per_word", "per_root"])
     x, y = got[["per_word", "per_root"]].to_numpy(), got["y"].to_numpy(float)
     if len(y) and y.min() < y.max():
         model.scale = tuple(float(s) for s in np.maximum(x.std(axis=0), 1e-9))

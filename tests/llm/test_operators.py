@@ -254,6 +254,37 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert sum(m.shared(context + c) for c in "ab$") == pytest.approx(1, abs=0.05)
 
 
+def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
+    rng = random.Random(81)
+    rows = [(i, words(rng, 40) + (" zzqux vokkerl" if i % 4 == 0 else ""), None, None) for i in range(300)] + [(900, None), (None, "nobody knows")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, "toxic", F.lit(True), most=20)
+    calibration = {r.doc_id for r in labels.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(4)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()}
+    counts, every = {}, {}
+    for i, text, *_ in rows:
+        for w in toxicity.WORD.findall((text or "").lower()):
+            for g in toxicity.grams(w):
+                every[g] = every.get(g, 0) + 1
+                if i is not None and i < 200 and i not in calibration:
+                    o, t = counts.get(g, (0, 0))
+                    counts[g] = (o + (i % 4 != 0), t + (i % 4 == 0))
+    whole = toxicity.KneserNey(counts, every)
+    for g in every:
+        assert model.known.get(g, model.known.get(g[:-1], 0.0)) == pytest.approx(whole.gram_ratio(g), abs=1e-9)
+    assert whole.gram_ratio("zzqux") > 0 and len(calibration) == 20
+    # A table too large to broadcast gives the same by joins, copies and odd rows included.
+    again = documents(spark, [*rows, *rows[:3], *ODD])
+    here = toxicity.measured(again, model, ["doc_id", "key"]).collect()
+    monkeypatch.setattr(toxicity, "MOST_RATIOS", 10)
+    monkeypatch.setattr(toxicity, "MOST_LABELS", 10)
+    large = toxicity.train(docs, labels, "toxic", F.lit(True), most=20)
+    joined = toxicity.measured(again, large, ["doc_id", "key"]).collect()
+    assert large.known is None and large.weights == pytest.approx(model.weights)
+    for a, b in zip(*(sorted(((-1 if r.doc_id is None else r.doc_id), r.per_word, r.per_root) for r in x) for x in (here, joined)), strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+
+
 # 5
 
 
