@@ -29,7 +29,7 @@ ORDER = 5
 #: A word's log-likelihood ratio counts by what it exceeds this, so that common words of long texts do not add up.
 MARGIN = 2.0
 WORD = re.compile(r"[^\W\d_]+")
-#: Runs of letters over twice as many count as their first and last LONGEST letters.
+#: Runs of letters over twice as many are no words; they are scored in slices of so many n-grams.
 LONGEST = 40
 #: What a class discounts of an n-gram's count, and what the shared model does.
 OWN, DISCOUNT = 4.0, 0.75
@@ -40,9 +40,13 @@ MOST_WORDS = 50_000
 
 
 def words_of(text: str) -> tuple[list[str], list[str]]:
-    """The words of a text, longer runs by their first and last LONGEST letters; and no slices."""
+    """The words of a text; and the slices of its longer runs, which overlap so that each n-gram lies in one slice."""
     words = WORD.findall(text.lower())
-    return [w if len(w) <= 2 * LONGEST else w[:LONGEST] + w[-LONGEST:] for w in words], []
+    if not words or max(map(len, words)) <= 2 * LONGEST:
+        return words, []
+    runs = [padded(w) for w in words if len(w) > 2 * LONGEST]
+    slices = [r[k : k + LONGEST + ORDER - 1] for r in runs for k in range(0, len(r) - ORDER + 1, LONGEST)]
+    return [w for w in words if len(w) <= 2 * LONGEST], slices
 
 
 def padded(word: str) -> str:

@@ -256,7 +256,7 @@ def test_kneser_ney_probabilities_sum_to_one():
 
 def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
     rng = random.Random(81)
-    rows = [(i, words(rng, 40) + (" zzqux vokkerl" if i % 4 == 0 else ""), None, None) for i in range(300)] + [(900, None), (None, "nobody knows")]
+    rows = [(i, words(rng, 40) + (" zzqux vokkerl" if i % 4 == 0 else ""), None, None) for i in range(300)] + [(900, None), (None, "nobody knows"), (901, "ab" * 300 + "zzqux" + "cd" * 300)]
     docs = documents(spark, rows)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, "toxic", F.lit(True), most=20)
@@ -285,6 +285,15 @@ def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
         assert a == pytest.approx(b, abs=1e-9)
 
 
+def test_long_runs_are_counted_and_scored_whole():
+    run = "ab" * 300 + "zzqux" + "cd" * 300
+    found, slices = toxicity.words_of(f"one {run} two")
+    assert found == ["one", "two"] and [g for s in slices for g in toxicity.windows(s)] == toxicity.grams(run)
+    assert "zzqux" in toxicity.grams(run)
+    known = {"zzqux": 9.0}
+    assert toxicity.features(run, known, {})[0] * len(slices) == pytest.approx(9.0 - toxicity.MARGIN)
+
+
 # 5
 
 
