@@ -28,6 +28,8 @@ BUCKETS = 256
 SHARE = 16
 #: Regions up to this size compare all pairs within their windows at once; larger ones in two rounds.
 SMALL = 32
+#: In the second round a region over this many documents joins block against block.
+BLOCK = 2048
 #: Ids are broadcast up to this many (16 MB); beyond it the same join shuffles.
 MOST_BROADCAST = 1_000_000
 #: The most frequent shingles that are put last in the order, at most so many (2 MB).
@@ -199,6 +201,47 @@ def large_regions(held: DataFrame, label: DataFrame) -> DataFrame:
     return each.select(F.col("p.token").alias("token"), "v", "n", F.col("p.pos").alias("pos"), "component", "sketch", earlier.alias("earlier"))
 
 
+def in_blocks(dealt: DataFrame, pct: int) -> DataFrame:
+    """part, side, v, n, pos, component, sketch, earlier: dealt (as of large_regions), cut so that a part is about two blocks at most.
+
+    A region up to BLOCK is one part, and its side is 2: all of it is compared. A larger one is cut into bands of sizes (links
+    join equal or neighbouring bands), these into the band's largest component and the rest, and both by a hash of v into
+    blocks. A part is two blocks, sides 0 and 1, or one block with itself; blocks of one common component meet nowhere.
+    """
+    width = float(np.log(100 / pct)) * 1.000001  # a little wide, so that rounding never puts two that link two bands apart
+    counts = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK)
+    hot = materialise(counts.select("token"), "hot")
+    whole = F.xxhash64("token").alias("part"), F.lit(2).alias("side")
+    columns = ["v", "n", "pos", "component", "sketch", "earlier"]
+    if hot.isEmpty():
+        return dealt.select(*whole, *columns)
+    few = hot.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    hot = F.broadcast(hot) if few else hot
+    small = dealt.join(hot, "token", "left_anti").select(*whole, *columns)
+    rows = dealt.join(hot, "token", "left_semi").withColumn("band", F.floor(F.log("n") / width))
+    of_component = rows.groupBy("token", "band", "component").agg(F.count(F.lit(1)).alias("rows"))
+    band = of_component.groupBy("token", "band").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"))
+    band = materialise(band.select("token", "band", F.col("top.component").alias("main"), F.col("top.rows").alias("own"), (F.col("rows") - F.col("top.rows")).alias("others")), "bands")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    kinds = band.select("token", "band", F.lit(True).alias("is_main"), F.col("main").alias("only"), blocks("own").alias("blocks")).unionAll(
+        band.where("others > 0").select("token", "band", F.lit(False), F.lit(None).cast("long"), blocks("others"))
+    )
+    a, b = (kinds.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("band", "is_main", "only", "blocks")]) for x in "ab")
+    met = a.join(b.withColumn("band_a", F.explode(F.array(F.col("band_b"), F.col("band_b") - 1))), ["token", "band_a"])
+    same_band = F.col("band_a") == F.col("band_b")
+    same = same_band & (F.col("is_main_a") == F.col("is_main_b"))
+    met = met.where(~F.coalesce(F.col("only_a") == F.col("only_b"), F.lit(False)) & (~same_band | (F.col("is_main_a") <= F.col("is_main_b"))))
+    met = met.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
+    met = met.withColumn("block_b", F.explode(F.sequence(F.when(same, F.col("block_a")).otherwise(F.lit(0)), F.col("blocks_b") - 1)))
+    met = met.withColumn("part", F.xxhash64("token", *[f"{c}_{x}" for x in "ab" for c in ("band", "is_main", "block")])).withColumn("alone", same & (F.col("block_a") == F.col("block_b")))
+    side = lambda x, n: met.select("token", *[F.col(f"{c}_{x}").alias(c) for c in ("band", "is_main", "block")], "part", n.cast("int").alias("side"), "alone")
+    to = side("a", F.when(F.col("alone"), 2).otherwise(0)).unionAll(side("b", F.lit(1)).where(~F.col("alone"))).drop("alone")
+    few = band.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    placed = rows.join(F.broadcast(band) if few else band, ["token", "band"]).withColumn("is_main", F.col("component") == F.col("main"))
+    block = F.pmod(F.xxhash64("v"), F.when(F.col("is_main"), blocks("own")).otherwise(blocks("others"))).cast("int")
+    return small.unionAll(placed.withColumn("block", block).join(to, ["token", "band", "is_main", "block"]).select("part", "side", *columns))
+
+
 def second_round(dealt: DataFrame, pct: int, share: int) -> DataFrame:
     """a, b: the pairs of large regions that are in different components and may link, each at the first large pivot that they share.
 
@@ -207,10 +250,10 @@ def second_round(dealt: DataFrame, pct: int, share: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for token, v, n, pos, component, sketch, earlier in groups(batches, 7):
+        for part, side, v, n, pos, component, sketch, earlier in groups(batches, 8):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
+            start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=True):
                 if (component[lo:hi] == component[lo]).all():
                     continue
                 own = np.stack([np.frombuffer(s, np.uint8) for s in sketch[lo:hi]]).astype(np.int16)
@@ -219,7 +262,7 @@ def second_round(dealt: DataFrame, pct: int, share: int) -> DataFrame:
                 for i in range(lo, hi - 1):
                     end = lo + int(np.searchsorted(n[lo:hi], 100 * n[i] // pct, "right"))
                     j = np.arange(i + 1, end)
-                    j = j[component[j] != component[i]]
+                    j = j[(component[j] != component[i]) & ((side[i] == 2) | (side[j] != side[i]))]
                     if share > 1:
                         j = j[((v[j] ^ v[i]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(share) == 0]
                     j = j[within(n, pos, np.full(len(j), i), j, pct)]
@@ -232,7 +275,7 @@ def second_round(dealt: DataFrame, pct: int, share: int) -> DataFrame:
                 if left:
                     yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
 
-    return dealt.repartition("token").sortWithinPartitions("token", "n", "v").mapInArrow(run, "a long, b long")
+    return in_blocks(dealt, pct).repartition("part").sortWithinPartitions("part", "n", "v").mapInArrow(run, "a long, b long")
 
 
 def among(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:

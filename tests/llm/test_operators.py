@@ -439,6 +439,22 @@ def test_jaccard_join_equals_brute_force(spark, k, pct):
     assert got[5003][1] == 5002 and got[5005][1] == 5004
 
 
+def test_large_regions_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(91)
+    rows = [(k, n, n // 5, rng.choice([3, 3, 3, k]), b"", []) for k in range(200) for n in [rng.randint(60, 140)]]
+    dealt = spark.createDataFrame([(t, *r) for t in (1, 2) for r in rows[: 200 if t == 1 else 6]], "token long, v long, n long, pos int, component long, sketch binary, earlier array<long>")
+    made: dict = {}
+    for r in jaccard_join.in_blocks(dealt, 85).collect():
+        made.setdefault(r.part, []).append(r)
+    met = {tuple(sorted((x.v, y.v))) for part in made.values() for x, y in itertools.combinations(part, 2) if x.side == 2 or x.side != y.side}
+    want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if x[3] != y[3] and 100 * min(x[1], y[1]) >= 85 * max(x[1], y[1])}
+    assert want <= met and max(map(len, made.values())) < 40
+    texts = near_copies(random.Random(17))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(documents(spark, texts), 4, 85).collect()}
+    assert got == brute_components(texts, 4, 85)
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.join(documents(spark, ODD)).collect()
     assert len(got) == len(ODD) and sorted(r.component_id for r in got if r.doc_id is not None) == [1, 2, 3, 4, 4, 4, 6, 7, 2**60]
