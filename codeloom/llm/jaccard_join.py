@@ -62,14 +62,14 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """v, n, tokens, sketch of docs (doc_id, text): the set's size, its hashes and how many of them fall in each bucket (255 at most)."""
+    """v, n, tokens, sketch, h1, h2 of docs (doc_id, text, h1, h2): the set's size, its hashes and how many of them fall in each bucket (255 at most)."""
 
     def rows(columns):
         found = [shingles(t, k) for t in columns[1]]
         sketch = [np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for s in found]
-        yield [columns[0], [len(s) for s in found], [packed(s) for s in found], sketch]
+        yield [columns[0], [len(s) for s in found], [packed(s) for s in found], sketch, *columns[2:]]
 
-    return map_rows(docs, rows, "v long, n long, tokens binary, sketch binary", rows=256)
+    return map_rows(docs, rows, "v long, n long, tokens binary, sketch binary, h1 long, h2 long", rows=256)
 
 
 def common_shingles(sets: DataFrame, share: int = 8, least: int = 5) -> np.ndarray:
@@ -357,19 +357,24 @@ def join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     worded = F.col("text").rlike("[^\\x20\\x09-\\x0D]")  # texts without a word link with nothing, not even with their copies
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.md5("text")).alias("h2"), worded.alias("worded"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.md5("text")).alias("h2"))
+    keyed = docs.select("doc_id", "h1", "h2", worded.alias("worded"))
     texts = keyed.where(F.col("doc_id").isNotNull() & F.col("worded")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     many = texts.where("copies > 1").drop("copies")
-    member = materialise(keyed.where("worded").join(many, ["h1", "h2"]).where(F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("first"))).select("doc_id", "first"), "copies")
-    copies = member.select("doc_id").distinct()
+    member = keyed.where("worded").join(many, ["h1", "h2"]).where(F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("first")))
+    member = materialise(member.select("doc_id", "h1", "h2", "first").distinct(), "copies")
+    copies = member.select("doc_id", "h1", "h2")
     few = copies.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    single = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
-    sets = materialise(sets_of(single, k), "sets")
+    single = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(copies) if few else copies, ["doc_id", "h1", "h2"], "left_anti")
+    sets = materialise(sets_of(single.select("doc_id", "text", "h1", "h2"), k), "sets")
+    # A document with a copied text and another one ties them together.
+    other = sets.select(F.col("v").alias("doc_id")).unionAll(member.groupBy("doc_id").count().where("count > 1").select("doc_id")).distinct()
+    ties = materialise(member.join(other, "doc_id", "left_semi").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "ties")
 
     common = common_shingles(sets.where("n > 0"))
     found = materialise(first_round(regions(sets.where("n > 0"), common, pct), pct), "candidates")
     pairs = found.where("b is not null").distinct()
-    edges = materialise(verified(materialise(near_by_sketch(pairs, sets, pct), "pairs"), sets, pct), "links")
+    edges = materialise(verified(materialise(near_by_sketch(pairs, sets, pct), "pairs"), sets, pct), "links").unionAll(ties)
     label = components(edges)
 
     large = found.where("b is null").select(F.col("a").alias("token")).distinct()
@@ -383,13 +388,14 @@ def join(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
                 label = components(edges)
     label = label.select(F.col("v").alias("first"), "component")
 
-    sizes = sets.select(F.col("v").alias("first"), "n").groupBy("first").agg(F.max("n").alias("n"))
+    lengths = sets.select("h1", "h2", "n").distinct().join(member.select("h1", "h2", "doc_id"), ["h1", "h2"]).select("doc_id", "n")
+    sizes = sets.select(F.col("v").alias("doc_id"), "n").unionAll(lengths).groupBy("doc_id").agg(F.max("n").alias("n"))
     own = keyed.where(F.col("doc_id").isNotNull()).select("doc_id").join(member.groupBy("doc_id").agg(F.min("first").alias("of")), "doc_id", "left")
-    own = own.select("doc_id", F.coalesce("of", "doc_id").alias("first")).join(sizes, "first").join(label, "first", "left")
+    own = own.select("doc_id", F.coalesce("of", "doc_id").alias("first")).join(sizes, "doc_id", "left").join(label, "first", "left")
     known = own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
 
     def alone(columns):
         yield [columns[0], [len(shingles(t, k)) for t in columns[1]], [None] * len(columns[0])]
 
-    unnamed = map_rows(docs.where(F.col("doc_id").isNull()), alone, "doc_id long, n_shingles long, component_id long")
+    unnamed = map_rows(docs.where(F.col("doc_id").isNull()).select("doc_id", "text"), alone, "doc_id long, n_shingles long, component_id long")
     return known.unionByName(unnamed)

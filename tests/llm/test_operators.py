@@ -462,6 +462,15 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_join.join(documents(spark, [])).count() == 0
 
 
+def test_copies_of_one_of_several_texts_of_an_id(spark):
+    rng = random.Random(92)
+    a, b, c = (words(rng, n) for n in (40, 60, 90))
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, c), (11, c), (12, c + " end"), (20, a), (20, ""), (30, words(rng, 50))]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(documents(spark, rows)).collect()]
+    want = {3: 37, 5: 57, 9: 87, 11: 87, 12: 88, 20: 37}
+    assert sorted(got) == sorted((i, want.get(i, 47), 3 if i in want else 30) for i, _ in rows)
+
+
 def test_components_of_long_paths(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (601, 600), (600, 601)], "a long, b long")
     got = {r.v: r.component for r in jaccard_join.components(e).collect()}
