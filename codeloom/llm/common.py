@@ -17,10 +17,13 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (a local session, as in tests) a temporary folder is made and set.
+    Where it is unset, a local session (as in tests) gets a temporary folder, and any other is refused: executors could
+    not read what is written to a folder of the driver's machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -43,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(keep: list[str], made: list[str]) -> list[str]:
+    """keep without the names of what an operator makes itself: there the operator's own column stands."""
+    return [c for c in keep if c.lower() not in {m.lower() for m in made}]
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

@@ -8,42 +8,59 @@ task that runs again makes the same record. All of it is Spark expressions; only
 from __future__ import annotations
 
 import gzip
+import html.entities
+import io
+import json
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Elements whose tags end a line of text, and named character references.
+from codeloom.llm.common import kept
+
+#: Elements whose tags end a line of text.
 BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
-NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"))
+#: Elements that go with all that they hold.
+UNSEEN = ("script", "style", "noscript", "template", "head")
 #: Patterns, in order, with what takes their place; the same in the SQL that the query is compared with.
 STRIP = (
-    (r"<!--[\s\S]*?-->", ""),
-    (r"(?i)<(script|style|noscript|template)(\s[^>]*)?>[\s\S]*?</(script|style|noscript|template)\s*>", ""),
-    (r"(?i)<head(\s[^>]*)?>[\s\S]*?</head\s*>", ""),
-    (rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\n"),
+    (r"(?i)<(?:!--[\s\S]*?--" + "".join(rf"|{e}(?:\s[^>]*)?>[\s\S]*?</{e}\s*" for e in UNSEEN) + ")>", ""),
+    (rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>", "\n"),
     (r"</?[A-Za-z!?][^>]*>", ""),
 )
-SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^[ \n]+|[ \n]+$", ""))
-TITLE = r"(?i)<title(\s[^>]*)?>([\s\S]*?)</title"
+#: Runs of white space in a line become a space, and lines that are empty or begin or end with a space lose that.
+SPACES = ((r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), (r" ?\n[ \n]*", "\n"))
+TITLE = r"(?i)<title(?:\s[^>]*)?>([\s\S]*?)</title"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'<>]*)["']"""
 LANG = r"""(?i)<html\s[^>]*?lang\s*=\s*["']([^"'<>]*)["']"""
+#: What may follow an ampersand: a decimal, a hexadecimal or a named reference.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+#: Every named reference that ends with a semicolon, by its name.
+NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+
 
+def resolved(text: Column) -> Column:
+    """text with its character references as characters, each once: `&amp;lt;` is `&lt;`.
 
-def numeric_references(text: Column) -> Column:
-    """Decimal and hexadecimal character references as characters; those outside Unicode become U+FFFD."""
+    Decimal, hexadecimal and all named references of HTML with their semicolon; what is none of these stays as it is.
+    Numbers outside Unicode become U+FFFD. The text is evaluated once, as it may be long to make.
+    """
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
     def one(part: Column, i: Column) -> Column:
-        digits = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", 1)
-        number = F.conv(F.regexp_replace(digits, "^[xX]", ""), 16, 10).cast("long")
-        code = F.when(digits.rlike("^[xX]"), number).otherwise(F.expr("null"))
-        code = F.coalesce(code, F.when(digits.rlike("^[0-9]+$"), digits).cast("long"), F.lit(0))
+        name = F.regexp_extract(part, REFERENCE, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("long")).otherwise(F.substr(name, F.lit(2)).cast("long"))
         sound = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-        made = F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
-        return F.when(i == 0, part).when(digits == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(made, F.substr(part, F.length(digits) + 2)))
+        number = F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        after = F.substr(part, F.length(name) + 2)
+        named = F.coalesce(F.concat(F.try_element_at(names, name), after), F.concat(F.lit("&"), part))
+        made = F.when(part.startswith("amp;"), F.concat(F.lit("&"), F.substr(part, F.lit(5)))).when(name == "", F.concat(F.lit("&"), part))
+        return F.when(i == 0, part).otherwise(made.when(name.startswith("#"), F.concat(number, after)).otherwise(named))
 
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), one), "")).otherwise(text)
+    return F.array_join(F.transform(F.split(text, "&"), one), "")
 
 
 def plain_text(html: Column) -> Column:
@@ -51,12 +68,10 @@ def plain_text(html: Column) -> Column:
     t = F.coalesce(html, F.lit(""))
     for pattern, to in STRIP:
         t = F.regexp_replace(t, pattern, to)
-    for name, to in NAMED:
-        t = F.replace(t, F.lit(name), F.lit(to))
-    t = F.replace(numeric_references(t), F.lit("&amp;"), F.lit("&"))
+    t = resolved(t)
     for pattern, to in SPACES:
         t = F.regexp_replace(t, pattern, to)
-    return t
+    return F.btrim(t, F.lit(" \n"))
 
 
 def urn(*parts: Column) -> Column:
@@ -80,26 +95,33 @@ def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") ->
     )
 
 
+DERIVED = ["record_type", "record_id", "refers_to", "target_uri", "refers_to_date", "content_type", "content_length", "block_digest", "payload_digest", "source_headers", "block"]
+
+
 def derive(responses: DataFrame, keep: list[str]) -> DataFrame:
     """Two records for each response (record_id, target_uri, date, source_headers, payload), after the columns in keep.
 
     Equal responses give equal records; a null payload is an empty page; null headers stay null. The text is made once
-    a response. Other columns are ignored.
+    a response. Other columns are ignored, and so is one of keep with the name of one that is made here.
     """
+    keep = kept(keep, DERIVED)
+    given = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
     payload = F.coalesce("payload", F.lit(""))
-    title = F.trim(F.regexp_replace(F.regexp_extract(payload, TITLE, 2), r"\s+", " "))
+    source = responses.select(*given, F.col("record_id").alias("refers_to"), "target_uri", "date", "source_headers", payload.alias("payload"), digest(payload).alias("payload_digest"))
+    payload = F.col("payload")
+    title = F.trim(F.regexp_replace(resolved(F.regexp_extract(payload, TITLE, 1)), r"\s+", " "))
     links = F.regexp_extract_all(payload, F.lit(LINK), 1)
     fields = F.concat(
-        F.lit("title: "), title, F.lit("\r\nlanguage: "), F.regexp_extract(payload, LANG, 1), F.lit("\r\nsource-payload-digest: "), digest(payload),
-        F.lit("\r\noutlink-count: "), F.size(links), F.array_join(F.transform(links, lambda x: F.concat(F.lit("\r\noutlink: "), x)), ""),
+        F.lit("title: "), title, F.lit("\r\nlanguage: "), F.regexp_extract(payload, LANG, 1), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"),
+        F.lit("\r\noutlink-count: "), F.size(links), resolved(F.array_join(F.transform(links, lambda x: F.concat(F.lit("\r\noutlink: "), x)), "")),
     )
     both = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(payload).alias("block")),
     )
-    made = responses.select(*keep, F.col("record_id").alias("refers_to"), "target_uri", "date", "source_headers", digest(payload).alias("payload_digest"), F.explode(both).alias("r"))
+    made = source.select(*[f"__{i}" for i in range(len(keep))], "refers_to", "target_uri", "date", "source_headers", "payload_digest", F.explode(both).alias("r"))
     return made.select(
-        *keep, F.col("r.record_type").alias("record_type"), urn(F.col("r.record_type"), F.col("refers_to")).alias("record_id"), "refers_to",
+        *[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("r.record_type").alias("record_type"), urn(F.col("r.record_type"), F.col("refers_to")).alias("record_id"), "refers_to",
         "target_uri", F.col("date").alias("refers_to_date"), F.col("r.content_type").alias("content_type"),
         F.octet_length("r.block").cast("long").alias("content_length"), digest(F.col("r.block")).alias("block_digest"), "payload_digest",
         "source_headers", F.col("r.block").alias("block"),
@@ -122,37 +144,92 @@ def serialised(records: DataFrame, keep: list[str]) -> DataFrame:
     return records.select(*keep, F.concat(headers, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("warc"))
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an uncompressed WARC file."""
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode("utf-8", "replace").replace("\r\n ", "\n").split("\r\n")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head.get("content-length", "0"))
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an uncompressed WARC stream, read one record at a time.
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    What stands between records is passed over, and so is the block of a record without a sound Content-Length: reading
+    goes on at the next line that opens a record. A block cut short by the end of the stream is given as far as it goes.
+    """
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head: dict[str, str] = {}
+        name = ""
+        while (line := stream.readline()).strip():
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[0] in " \t" and name:
+                head[name] += "\n" + text[1:]
+            else:
+                name, _, value = text.partition(":")
+                name = name.strip().lower()
+                head[name] = value.strip()
+        size = head.get("content-length", "")
+        yield head, stream.read(int(size)) if size.isascii() and size.isdigit() else b""
+
+
+def unpacked_body(http: str, body: bytes) -> bytes:
+    """A response's body without its chunks and its gzip or deflate coding; as it stands, where it isn't coded as the headers say."""
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (line.partition(":") for line in http.split("\r\n")[1:])}
+    if fields.get("transfer-encoding", "").endswith("chunked"):
+        parts, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0:
+            try:
+                size = int(body[at:end].split(b";")[0], 16)
+            except ValueError:
+                break
+            if size <= 0:
+                at = len(body)
+                break
+            parts.append(body[end + 2 : end + 2 + size])
+            at = end + 4 + size
+        if at >= len(body):
+            body = b"".join(parts)
+    kind = fields.get("content-encoding", "")
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(kind, ()):
+        try:
+            return zlib.decompress(body, bits)
+        except zlib.error:
+            continue
+    return body
+
+
+def read_responses(spark: SparkSession, path: str, batch: int = 256) -> DataFrame:
     """Response records (record_id, target_uri, date, source_headers, payload) of WARC files, plain or gzipped.
 
-    A file is read by one task, as a gzip stream can't be split; payloads are decoded as UTF-8 with replacements.
+    A file is read by one task, as a gzip stream can't be split, and is at most 2 GB as stored; its records are unpacked and
+    handed on `batch` at a time. Payloads lose their chunks and codings and are decoded as UTF-8 with replacements. A file
+    that breaks off gives the records before that place.
     """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
+    names = ["record_id", "target_uri", "date", "source_headers", "payload"]
+
+    def responses(data: bytes) -> Iterator[tuple]:
+        stream = io.BytesIO(data)
+        try:
+            for head, block in parse_records(gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream):
+                if head.get("warc-type") == "response":
+                    http, _, body = block.partition(b"\r\n\r\n")
+                    http = http.decode("utf-8", "replace")
+                    yield head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), http, unpacked_body(http, body).decode("utf-8", "replace")
+        except (EOFError, OSError, zlib.error):
+            return
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names)
+
+        for files in batches:
+            for data in files.column(0):
                 out = []
-                for head, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)):
-                    if head.get("warc-type") == "response":
-                        http, _, body = block.partition(b"\r\n\r\n")
-                        out.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), http.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-                yield pd.DataFrame(out, columns=["record_id", "target_uri", "date", "source_headers", "payload"])
+                for row in responses(data.as_py()):
+                    out.append(row)
+                    if len(out) == batch:
+                        yield made(out)
+                        out = []
+                if out:
+                    yield made(out)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(rows, "record_id string, target_uri string, date string, source_headers string, payload string")
+    return files.mapInArrow(rows, ", ".join(f"{c} string" for c in names))
 
 
 def _sql() -> str:
@@ -161,30 +238,36 @@ def _sql() -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''").replace("\n", "'||chr(10)||'") + "'"
 
-    t = "coalesce(html, '')"
-    for pattern, to in STRIP:
-        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
-    for name, to in (*NAMED, ("&amp;", "&")):
-        t = f"replace({t}, {quoted(name)}, {quoted(to)})"
-    for pattern, to in SPACES:
-        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    def referred(t: str) -> str:
+        code = "(CASE WHEN n[2] IN ('x', 'X') THEN ('0x' || n[3:])::bigint ELSE n[2:]::bigint END)"
+        number = f"chr((CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END)::int)"
+        made = f"CASE WHEN n = '' THEN '&' || p WHEN n[1] = '#' THEN {number} || p[length(n) + 2:] ELSE coalesce(named[n] || p[length(n) + 2:], '&' || p) END"
+        one = f"list_transform([regexp_extract(p, {quoted(REFERENCE)}, 1)], lambda n: {made})[1]"
+        return f"array_to_string(list_transform(string_split({t}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {one} END), '')"
+
+    def replaced(t: str, patterns: tuple[tuple[str, str], ...]) -> str:
+        for pattern, to in patterns:
+            t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
+        return t
 
     def uuid(*parts: str) -> str:
         h = "md5(concat_ws('|', " + ", ".join(f"coalesce('=' || {p}::varchar, '-')" for p in parts) + "))"
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
     nl = "chr(13)||chr(10)"
+    text = f"trim({replaced(referred(replaced('payload', STRIP)), SPACES)}, ' ' || chr(10))"
+    links = f"array_to_string(list_transform(links, lambda x: {nl} || 'outlink: ' || x), '')"
     return f"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, {uuid("'response'", "page_id", "url", "html")} AS refers_to, {t} AS text,
+WITH names AS (SELECT map([{", ".join(map(quoted, NAMED))}], [{", ".join(map(quoted, NAMED.values()))}]) AS named),
+p AS (SELECT page_id, url, coalesce(html, '') AS payload, {uuid("'response'", "page_id", "url", "html")} AS refers_to, named,
   'HTTP/1.1 200 OK'||{nl}||'Content-Type: text/html; charset=utf-8'||{nl}||'Content-Length: '||octet_length(encode(coalesce(html, '')))::varchar AS source_headers
-  FROM pages),
+  FROM pages, names),
 l AS (SELECT *, 'sha256:' || sha256(payload) AS payload_digest, regexp_extract_all(payload, {quoted(LINK)}, 1) AS links FROM p),
 r AS (
-  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-    'title: ' || trim(regexp_replace(regexp_extract(payload, {quoted(TITLE)}, 2), '\\s+', ' ', 'g')) || {nl} || 'language: ' || regexp_extract(payload, {quoted(LANG)}, 1)
-    || {nl} || 'source-payload-digest: ' || payload_digest || {nl} || 'outlink-count: ' || len(links)::varchar
-    || coalesce(array_to_string(list_transform(links, lambda x: {nl} || 'outlink: ' || x), ''), '') AS block FROM l
-  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM l)
+  SELECT * EXCLUDE (named), 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'title: ' || trim(regexp_replace({referred(f"regexp_extract(payload, {quoted(TITLE)}, 1)")}, '\\s+', ' ', 'g')) || {nl} || 'language: ' || regexp_extract(payload, {quoted(LANG)}, 1)
+    || {nl} || 'source-payload-digest: ' || payload_digest || {nl} || 'outlink-count: ' || len(links)::varchar || coalesce({referred(f"coalesce({links}, '')")}, '') AS block FROM l
+  UNION ALL SELECT * EXCLUDE (named), 'conversion', 'text/plain; charset=utf-8', {text} FROM l)
 SELECT page_id, record_type, {uuid("record_type", "refers_to")} AS record_id, refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS refers_to_date, content_type,
   octet_length(encode(block))::bigint AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest, source_headers, block FROM r"""
 

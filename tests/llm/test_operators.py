@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import html
+import io
 import itertools
 import json
 import random
@@ -62,10 +64,45 @@ def test_warc_files_are_read_and_written(spark, tmp_path):
     r = responses.collect()
     assert [(x.record_id, x.payload, x.source_headers) for x in r] == [("<urn:1>", "<p>hi</p>", "HTTP/1.1 200 OK\r\nX: 1")]
     out = warc.serialised(warc.derive(responses, []), []).collect()
-    head, block = next(warc.parse_records(next(x.warc for x in out if "conversion" in x.warc).encode()))
+    head, block = next(warc.parse_records(io.BytesIO(next(x.warc for x in out if "conversion" in x.warc).encode())))
     assert (head["warc-refers-to"], head["warc-type"], block) == ("<urn:1>", "conversion", b"hi")
 
 
+def test_broken_and_coded_responses(spark, tmp_path):
+    def record(body, length=None, kind=b"response"):
+        return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n" % (kind, zlib.crc32(body), length or str(len(body)).encode(), body)
+
+    plain = b"HTTP/1.1 200 OK\r\n\r\none"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3;x=1\r\ntwo\r\n2\r\n !\r\n0\r\n\r\n"
+    packed_ = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"three")
+    wrong = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nfour"
+    raw = [record(plain), record(plain, b"many"), record(b"x", kind=b"request"), record(chunked), record(packed_), record(wrong)]
+    (tmp_path / "a.warc").write_bytes(b"".join(raw))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, raw))[:-40])
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = [r.payload for r in warc.read_responses(spark, str(tmp_path), batch=2).collect()]
+    for payload, least in (("one", 2), ("two !", 1), ("three", 1), ("four", 1), ("", 1)):
+        assert got.count(payload) >= least
+
+
+def test_references_are_resolved_once(spark):
+    texts = ["&amp;lt; &copy;&middot;&NotEqualTilde;&fjlig; &unknown; &amp &; & &#65;&#x1F642;&#0;&#xD800;&#1114112; &#99999999; &CounterClockwiseContourIntegral;x", "", "no reference", "&lt;&gt;&quot;&apos;&nbsp;&"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string")
+    got = {r.k: r.r for r in frame.select("k", warc.resolved(F.col("t")).alias("r")).collect()}
+    for k, t in enumerate(texts):
+        want = html.unescape(t.replace("&amp ", "&\0amp ").replace("&#0;", "\ufffd").replace("&#99999999;", "&\0#99999999;")).replace("\0", "")
+        assert got[k] == want
+    assert got[len(texts)] is None or got[len(texts)] == ""
+
+
+def test_kept_columns_with_the_names_of_derived_ones(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "mine")], "page_id long, url string, html string, r string")
+    responses = warc.responses_of_pages(pages).withColumn("block", F.lit("mine")).withColumn("r", F.lit("r"))
+    got = warc.derive(responses, ["page_id", "block", "r"])
+    assert got.columns[:2] == ["page_id", "r"] and got.columns.count("block") == 1
+    assert {r.block for r in got.where("record_type = 'conversion'").collect()} == {"x"}
+
+
 # 2
 
 
