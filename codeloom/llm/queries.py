@@ -44,8 +44,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-#: The one tool that plain conversations call.
-REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+#: The one tool that plain conversations call: a question has 400 characters at most.
+REPLY = {"reply": {"text": ("string", True, {"min_length": 1, "max_length": 400}), "turn": ("integer", True, {"minimum": 0})}}
 
 
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,19 +55,23 @@ def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, min(coalesce(text, '')) AS text, count(*) AS n_calls
+WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, min(text) AS text, count(*) AS n_calls
   FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, min(text) AS content, count(*) AS n_results
   FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, result_turn, text, content,
+run AS (SELECT conv_id, call_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS start FROM calls),
+levels AS (SELECT conv_id, call_id, (row_number() OVER (PARTITION BY conv_id, turn % 2, start ORDER BY turn) - 1)::int AS level FROM run),
+both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, level, c.turn, result_turn, text, content,
   coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
-  FROM calls c FULL JOIN results r ON c.call_id = r.call_id)
-SELECT conv_id, call_id, 0::int AS level, turn, result_turn, n_calls, n_results, status, TRUE AS valid, '' AS violations,
-  '{' || CASE WHEN status <> 'orphan' THEN '"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},' ELSE '' END
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  concat_ws('; ', CASE WHEN c.call_id IS NOT NULL AND text IS NULL THEN 'missing: text' END, CASE WHEN length(text) < 1 THEN 'too short: text' END,
+    CASE WHEN length(text) > 400 THEN 'too long: text' END, CASE WHEN c.turn < 0 THEN 'too small: turn' END) AS violations
+  FROM calls c FULL JOIN results r ON c.call_id = r.call_id LEFT JOIN levels l ON l.call_id = c.call_id)
+SELECT conv_id, call_id, level, turn, result_turn, n_calls, n_results, status, violations = '' AS valid, violations,
+  '{' || CASE WHEN status <> 'orphan' THEN '"arguments":{' || coalesce('"text":' || to_json(text) || ',', '') || '"turn":' || turn || '},' ELSE '' END
   || '"call_id":"' || call_id || '"' || CASE WHEN content IS NOT NULL THEN ',"content":' || to_json(content) ELSE '' END
   || CASE WHEN status <> 'orphan' AND turn >= 2 THEN ',"depends_on":["' || conv_id || ':' || (turn - 2) || '"]' ELSE '' END
-  || ',"level":0' || CASE WHEN status <> 'orphan' THEN ',"name":"reply"' ELSE '' END || ',"status":"' || status || '"}' AS record
+  || coalesce(',"level":' || level, '') || CASE WHEN status <> 'orphan' THEN ',"name":"reply"' ELSE '' END || ',"status":"' || status || '"}' AS record
 FROM both_"""
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import materialise
 
-#: A tool's parameters: name -> (JSON type, whether it must be there).
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: A tool's parameters: name -> (JSON type, whether it must be there[, limits]). Limits are of those that LIMITS names.
+Schemas = dict[str, dict[str, tuple]]
+LIMITS = ("min_length", "max_length", "minimum", "maximum", "enum")
 #: What schema_of_variant() says of each JSON type.
 KINDS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
@@ -52,16 +53,34 @@ def turns_as_calls(conversations: DataFrame, tool: str = "reply") -> tuple[DataF
     return calls, results
 
 
+def beyond(value: Column, kind: str, name: str, limit: object) -> tuple[Column, str]:
+    """Whether a value (VARIANT) of a JSON type breaks a limit, and what to say then."""
+    text = F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
+    found = {
+        "min_length": lambda: (F.length(text) < limit, "too short"),
+        "max_length": lambda: (F.length(text) > limit, "too long"),
+        "minimum": lambda: (number < limit, "too small"),
+        "maximum": lambda: (number > limit, "too large"),
+        "enum": lambda: (~text.isin([str(x) for x in limit]), "not allowed"),
+    }
+    return found[name]()
+
+
 def violations(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """What is wrong with arguments (VARIANT) under the schema of name: an array of texts, empty if nothing is."""
     checks = [F.when(~name.isin(list(schemas)) | name.isNull(), F.concat(F.lit("unknown tool: "), F.coalesce(name, F.lit("")))), F.when(arguments.isNull(), F.lit("arguments are no JSON"))]
     for tool, parameters in schemas.items():
-        for p, (kind, required) in parameters.items():
-            found = F.schema_of_variant(F.try_variant_get(arguments, f"$.{p}", "variant"))
-            absent = found.isNull() | (found == "VOID")
+        for p, (kind, required, *limits) in parameters.items():
+            value = F.try_variant_get(arguments, f"$.{p}", "variant")
+            found = F.schema_of_variant(value)
+            absent, sound = found.isNull() | (found == "VOID"), found.rlike(f"^{KINDS[kind]}$")
             if required:
                 checks.append(F.when((name == tool) & arguments.isNotNull() & absent, F.lit(f"missing: {p}")))
-            checks.append(F.when((name == tool) & ~absent & ~found.rlike(f"^{KINDS[kind]}$"), F.lit(f"not {kind}: {p}")))
+            checks.append(F.when((name == tool) & ~absent & ~sound, F.lit(f"not {kind}: {p}")))
+            for limit, at in (limits[0] if limits else {}).items():
+                broken, said = beyond(value, kind, limit, at)
+                checks.append(F.when((name == tool) & ~absent & sound & broken, F.lit(f"{said}: {p}")))
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
@@ -84,33 +103,64 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+KEY = ["conv_id", "call_id"]
+
+
+def chains(single: DataFrame) -> DataFrame:
+    """conv_id, call_id, to, steps of calls with one need (conv_id, call_id, to): the first call on their way that has none or several.
+
+    Pointers double, so the rounds grow with the logarithm of the longest way. Calls whose way never ends (a cycle) are left out.
+    """
+    heads = single.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("more"))
+    state = single.withColumn("steps", F.lit(1)).join(heads, ["conv_id", "to"], "left").select(*KEY, "to", "steps", F.col("more").isNull().alias("done"))
+    state, left = materialise(state, "chains"), None
+    while (now := state.where("not done").count()) and now != left:
+        left = now
+        after = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"))
+        moved = state.where("not done").join(after, ["conv_id", "to"]).select(*KEY, F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).cast("int").alias("steps"), F.col("done2").alias("done"))
+        state = materialise(state.where("done").unionByName(moved), "chains")
+    return state.where("done").drop("done")
+
+
 def ordered(linked: DataFrame) -> DataFrame:
-    """linked with level: (level, turn, call_id) orders the calls of a conversation so that none comes before one it needs.
+    """linked with level: the calls on the longest way of needs that leads to a call; so none comes before one it needs.
 
-    In a conversation whose calls need only earlier turns, the turns are the order already and every level is 0. Only
-    conversations with a call that needs a later or the same turn are levelled, a round of joins for each step of their
-    longest chain; calls on a cycle, or behind one, get a null level. Needs that are not in the conversation don't count.
+    A call without needs in its conversation has level 0. Calls on a cycle, or behind one, and results without a call have a
+    null level. Needs that are not calls of the conversation don't count, nor does a need named twice. Ways through calls
+    with one need each take rounds by their logarithm; only calls with several needs are levelled one after another.
     """
-    key = ["conv_id", "call_id"]
-    ids = linked.where(F.col("turn").isNotNull()).select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    needs = linked.select(*key, "turn", F.explode(F.array_distinct("depends_on")).alias("need")).join(ids, ["conv_id", "need"])
-    mixed = needs.where(F.col("need_turn") >= F.col("turn")).select("conv_id").distinct()
-    if mixed.isEmpty():
-        return linked.withColumn("level", F.lit(0).cast("int"))
-    edges = materialise(needs.join(mixed, "conv_id", "left_semi").select(*key, "need"), "needs")
-    todo = materialise(linked.where(F.col("turn").isNotNull()).join(mixed, "conv_id", "left_semi").select(*key), "calls")
-    done, level = None, 0
+    calls = linked.where(F.col("turn").isNotNull())
+    needs = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("to")).join(calls.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_semi")
+    needs = materialise(needs.select(*KEY, "to"), "needs")
+    number = needs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.first("to").alias("to"))
+    ways = chains(number.where("n = 1").select(*KEY, "to"))
+    several = number.where("n > 1").select(*KEY)
+    joint = _levels_of_joints(needs, ways, materialise(several, "joints"))
+    roots = calls.select(*KEY).join(number.select(*KEY), KEY, "left_anti").withColumn("level", F.lit(0))
+    known = materialise(roots.unionByName(joint), "levels")
+    behind = ways.join(known.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base")), ["conv_id", "to"])
+    level = known.unionByName(behind.select(*KEY, (F.col("base") + F.col("steps")).cast("int").alias("level")))
+    return linked.join(level, KEY, "left")
+
+
+def _levels_of_joints(needs: DataFrame, ways: DataFrame, joints: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of the calls with several needs, a round for each step between such calls."""
+    known = joints.limit(0).withColumn("level", F.lit(0))
+    if joints.isEmpty():
+        return known
+    own = needs.join(joints, KEY, "left_semi")
+    to = ways.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("end"), "steps")
+    edges = own.join(to, ["conv_id", "to"], "left").select(*KEY, F.coalesce("end", "to").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    has_need = needs.select("conv_id", F.col("call_id").alias("to")).distinct().withColumn("waits", F.lit(True))
+    edges = materialise(edges.join(has_need, ["conv_id", "to"], "left").select(*KEY, "to", "steps", F.coalesce("waits", F.lit(False)).alias("waits")), "edges")
     while True:
-        blocked = edges.join(todo.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi").select(*key)
-        ready = materialise(todo.join(blocked, key, "left_anti").withColumn("level", F.lit(level).cast("int")), "level")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        todo, level = materialise(todo.join(ready, key, "left_anti"), "calls"), level + 1
-    levels = todo.withColumn("level", F.lit(None).cast("int"))
-    levels = levels if done is None else levels.unionByName(done)
-    found = levels.withColumn("mixed", F.lit(True))
-    return linked.join(found, key, "left").withColumn("level", F.when(F.col("mixed"), F.col("level")).otherwise(F.lit(0))).drop("mixed")
+        met = edges.join(known.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
+        base = F.when(F.col("waits"), F.col("level")).otherwise(F.lit(0))
+        ready = met.groupBy(*KEY).agg(F.max(base + F.col("steps")).cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.count(base).alias("met")).where("n = met")
+        more = materialise(ready.select(*KEY, "level").join(known.select(*KEY), KEY, "left_anti"), "joints")
+        if more.isEmpty():
+            return known
+        known = materialise(known.unionByName(more), "joints")
 
 
 def serialised(linked: DataFrame, schemas: Schemas) -> DataFrame:

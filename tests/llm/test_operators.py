@@ -415,6 +415,56 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert got["c"].record == '{"arguments":{"a":1,"b":2.5},"call_id":"c","depends_on":["d"],"level":1,"name":"add","status":"unanswered"}'
 
 
+def brute_levels(needs):
+    """needs: call -> set of calls; the longest way to each, None on or behind a cycle."""
+    known, changed = {}, True
+    while changed:
+        changed = False
+        for x, of in needs.items():
+            if x not in known and all(y in known for y in of):
+                known[x], changed = max((known[y] + 1 for y in of), default=0), True
+    return {x: known.get(x) for x in needs}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_are_the_longest_way_of_needs(spark, seed):
+    rng, rows, want = random.Random(70 + seed), [], {}
+    for conv in range(6):
+        names = [f"k{j}" for j in range(rng.choice([1, 5, 40]))]
+        needs = {}
+        for j, x in enumerate(names):  # mostly chains, back and forth in turns, with joints and, in some, a cycle
+            pool = names[:j] if conv % 2 else names[j + 1 :]
+            own = {rng.choice(pool)} if pool and rng.random() < 0.5 else set(pool[-1:] if conv % 2 else pool[:1])
+            if pool and rng.random() < 0.2:
+                own |= set(rng.sample(pool, min(3, len(pool))))
+            needs[x] = own
+        if conv == 5 and len(names) > 4:
+            needs["k1"], needs["k3"] = {"k3"}, {"k1"}
+        rows += [(conv, j, x, "add", '{"a":1}', [*sorted(needs[x]), "elsewhere", *list(needs[x])[:1]], "mine") for j, x in enumerate(names)]
+        want |= {(conv, x): v for x, v in brute_levels(needs).items()}
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>, level string")
+    results = spark.createDataFrame([(1, 9, "nobody", "c")], "conv_id long, turn long, call_id string, content string")
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.ordered(tool_calls.link(calls, results)).collect()}
+    assert got.pop((1, "nobody")) is None and got == want
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, write = [], tool_calls.materialise
+    monkeypatch.setattr(tool_calls, "materialise", lambda df, label: rounds.append(label) or write(df, label))
+    calls = spark.range(300).selectExpr("1L conv_id", "id turn", "string(id) call_id", "'add' name", "'{}' arguments", "array(string(id - 1)) depends_on")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = {int(r.call_id): r.level for r in tool_calls.ordered(tool_calls.link(calls, results)).collect()}
+    assert got == {k: k for k in range(300)} and rounds.count("chains") <= 10
+
+
+def test_limits_of_arguments(spark):
+    limits = {"add": {"s": ("string", False, {"min_length": 2, "max_length": 3, "enum": ["ab", "abc"]}), "n": ("number", False, {"minimum": 0, "maximum": 1.5})}}
+    cases = {'{"s":"ab","n":1.5}': "", '{"s":"a"}': "too short: s; not allowed: s", '{"s":"abcd"}': "too long: s; not allowed: s", '{"n":-1}': "too small: n", '{"n":2,"s":null}': "too large: n", '{"s":1}': "not string: s"}
+    frame = spark.createDataFrame(list(cases.items()), "a string, want string")
+    got = frame.select("a", "want", F.array_join(tool_calls.violations(F.lit("add"), F.try_parse_json("a"), limits), "; ").alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
 def test_plain_conversations_and_empty_tables(spark):
     m = messages(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", None), (None, 0, "user", "x"), (2, 5, "assistant", "late"), (1, 0, "user", "q")])
     linked = tool_calls.link(*tool_calls.turns_as_calls(m))
