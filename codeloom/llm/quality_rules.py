@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD_SPLIT, map_rows
+from codeloom.llm.common import WORD_SPLIT, map_rows, materialise
 
 SYMBOLS = b"#*$%&|<>"
 ASCII_SPACE = b" \t\n\v\f\r"
@@ -72,41 +72,48 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "key", "text"), rows, schema)
 
 
-def normalised_lines(text: Column) -> Column:
-    """Distinct lines in lower case, runs of white space as one space, digits as 0; with the words of all their copies."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), WORD_SPLIT, " "), "[0-9]", "0")))
-    return F.filter(lines, lambda x: x != "")
+def normalised(line: Column) -> Column:
+    """A line in lower case, runs of white space as one space, digits as 0."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), WORD_SPLIT, " "), "[0-9]", "0"))
 
 
-def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 3, max_share: float = 0.0) -> DataFrame:
-    """host, line_hash of the lines above their host's limit: max(min_docs, max_share of the host's documents).
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, key, host, doc, line_hash, words of every line with a word in docs (doc_id, key, host, text), written once.
 
-    By default the limit is a number of documents alone, so it is the same at a host of ten documents and at one of millions. Each row counts as a document and counts once for a line, however often it repeats the line. Counts are
-    summed before the shuffle, so a line in a third of all documents costs one row a task.
+    doc tells the documents of a line apart: by doc_id, or by the text where that is null.
     """
-    own = F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))
-    lines = docs.select(F.col(host).alias("host"), F.explode(own).alias("line_hash"))
-    per_line = lines.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    per_host = docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    b = per_host.select(F.col("host").alias("h"), "host_docs")
-    return (
-        per_line.join(b, per_line.host.eqNullSafe(b.h))
-        .where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("host_docs")))
-        .select("host", "line_hash", "n_docs")
-    )
+    doc = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(1), "text")).otherwise(F.xxhash64("doc_id"))
+    one = F.transform(F.filter(F.transform(F.split("text", "\n"), normalised), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+    each = docs.select("doc_id", "key", "host", doc.alias("doc"), F.explode(one).alias("line"))
+    return materialise(each.select("doc_id", "key", "host", "doc", F.col("line.h").alias("line_hash"), F.col("line.n").alias("words")), "lines")
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, key, removed_words: words of each document in lines that are too frequent at its host."""
-    line = F.explode(normalised_lines(F.col("text"))).alias("line")
-    lines = docs.select("doc_id", "key", F.col(host).alias("host"), line).select(
-        "doc_id", "key", "host", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).alias("words")
-    )
+def line_frequency(lines: DataFrame, docs: DataFrame, min_docs: int = 3, max_share: float = 0.0) -> DataFrame:
+    """host, line_hash, n_docs of the lines above their host's limit: max(min_docs, max_share of the host's documents).
+
+    By default the limit is a number of documents alone, so it is the same at a host of ten documents and at one of millions.
+    n_docs are distinct documents: rows that share a doc_id count once for a line, as do rows without one that share a text.
+    A line in a third of all documents is dealt out by document before it is counted, and then costs one row a task.
+    """
+    per_line = lines.select("host", "line_hash", "doc").distinct().groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    if not max_share:
+        return per_line
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5("text")), F.lit("-"))
+    per_host = docs.select(F.col("host").alias("h"), doc.alias("doc")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("host_docs"))
+    return per_line.join(per_host, per_line.host.eqNullSafe(per_host.h)).where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line_hash", "n_docs")
+
+
+def removed_words(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """doc_id, key, removed_words: words of each document in lines that are too frequent at its host, over all rows that repeat it."""
     f = frequent.select(F.col("host").alias("h"), F.col("line_hash").alias("lh"))
     hit = lines.join(f, lines.host.eqNullSafe(f.h) & (lines.line_hash == f.lh), "left_semi")
     return hit.groupBy("doc_id", "key").agg(F.sum("words").alias("removed_words"))
 
 
+def keyed(docs: DataFrame, host: str) -> DataFrame:
+    return docs.select("doc_id", F.col(host).alias("host"), "text").withColumn("key", F.xxhash64("doc_id", "host", "text"))
+
+
 def apply_rules(
     docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, min_docs: int = 3, max_share: float = 0.0, min_left: float = 0.5
 ) -> DataFrame:
@@ -116,9 +123,9 @@ def apply_rules(
     A null or empty text has no words and fails the base rules. A null host is a host of its own. Rows that
     repeat a (doc_id, host, text) get equal verdicts. Other columns are ignored.
     """
-    docs = docs.select("doc_id", F.col(host).alias("host"), "text").withColumn("key", F.xxhash64("doc_id", "host", "text"))
-    base = base_counts(docs)
-    gone = removed_words(docs, line_frequency(docs, "host", min_docs, max_share), "host")
+    docs = keyed(docs, host)
+    base, lines = base_counts(docs), lines_of(docs)
+    gone = removed_words(lines, line_frequency(lines, docs, min_docs, max_share))
     copies = docs.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
     gone = gone.join(copies, gone.doc_id.eqNullSafe(copies.doc_id) & (gone.key == copies.key)).select(
         gone.doc_id.alias("g_id"), gone.key.alias("g_key"), (F.col("removed_words") / F.col("copies")).cast("long").alias("removed_words")
@@ -138,10 +145,9 @@ def apply_rules(
 
 def clean_text(docs: DataFrame, host: str = "source", min_docs: int = 3, max_share: float = 0.0) -> DataFrame:
     """doc_id, text without the lines that are too frequent at the host (null stays null)."""
-    docs = docs.select("doc_id", F.col(host).alias("host"), "text").withColumn("key", F.xxhash64("doc_id", "host", "text"))
-    frequent = line_frequency(docs, "host", min_docs, max_share)
-    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), WORD_SPLIT, " "), "[0-9]", "0"))
-    lines = docs.select("doc_id", "key", "host", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line_hash", F.xxhash64(norm))
+    docs = keyed(docs, host)
+    frequent = line_frequency(lines_of(docs), docs, min_docs, max_share)
+    lines = docs.select("doc_id", "key", "host", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line_hash", F.xxhash64(normalised(F.col("line"))))
     f = frequent.select(F.col("host").alias("h"), F.col("line_hash").alias("lh"))
     left = lines.join(f, lines.host.eqNullSafe(f.h) & (lines.line_hash == f.lh), "left_anti")
     text = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("pos", "line"))), lambda x: x["line"]), "\n")

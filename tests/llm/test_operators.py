@@ -6,8 +6,11 @@ import html
 import io
 import itertools
 import json
+import math
 import random
+import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -143,6 +146,40 @@ def test_shared_lines_go_at_hosts_of_every_size(spark):
         assert (got[i].removed_words, got[i].kept, got[i].base_failed) == (80 if depleted else 0, not depleted, False)
 
 
+def brute_verdicts(rows, min_docs, max_share, min_left):
+    """doc_id, removed words and verdict of each row (doc_id, text, lang, host), by dictionaries."""
+
+    def lines(text):
+        made = [re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower())).strip(" ") for x in (text or "").split("\n")]
+        return [x for x in made if x]
+
+    holders, of_host = {}, {}
+    for i, text, _, host in rows:
+        own = i if i is not None else ("no id", text)
+        of_host.setdefault(host, set()).add(own)
+        for x in lines(text):
+            holders.setdefault((host, x), set()).add(own)
+    out = []
+    for i, text, _, host in rows:
+        n, *_, repeated = quality_rules.text_counts(text)
+        gone = sum(len(x.split(" ")) for x in lines(text) if len(holders[host, x]) > max(min_docs, max_share * len(of_host[host])))
+        out.append((i, gone, not (n < 50 or 100 * repeated > 50 * n) and n - gone >= min_left * n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("min_docs", "max_share"), [(3, 0.0), (1, 0.1)])
+def test_verdicts_equal_brute_force(spark, min_docs, max_share):
+    rng = random.Random(32)
+    pool = [words(rng, rng.choice([5, 20, 40])) + rng.choice(["", " 12", " 77"]) for _ in range(12)]
+    rows = [(rng.choice([None, *range(60)]), "\n".join(rng.sample(pool, rng.randint(0, 3)) + [words(rng, rng.choice([0, 30, 60]))] * rng.choice([1, 1, 2])), None, rng.choice(["a", "b", None])) for _ in range(150)]
+    shared = words(rng, 60)
+    rows += [(900, shared, None, "c")] * 60 + [(901, shared + "\n" + words(rng, 50), None, "c")] + [(None, None, None, None), (None, "", None, "a")] * 5
+    got = sorted(((r.doc_id, r.removed_words, r.kept) for r in quality_rules.apply_rules(documents(spark, rows), min_docs=min_docs, max_share=max_share).collect()), key=str)
+    assert got == brute_verdicts(rows, min_docs, max_share, 0.5)
+    if not max_share:  # a line of one document in 60 rows is in one document
+        assert (900, 0, True) in got
+
+
 def test_rules_on_odd_rows(spark):
     docs = documents(spark, ODD)
     assert quality_rules.apply_rules(docs).count() == len(ODD)
