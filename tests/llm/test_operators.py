@@ -10,6 +10,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -225,7 +226,7 @@ def test_windows_hold_the_target_mixture(spark, weights):
     rng = random.Random(5)
     rows = [(i, words(rng, 300), None, "s0" if i % 2 else "s1") for i in range(200)]
     tokens = packing.tokenise(documents(spark, rows), VOCABULARY).cache()
-    got = packing.pack(tokens, 64, 16, weights).collect()
+    got = packing.pack(tokens, 64, 16, weights, unit=1).collect()
     check_packing(got, rows, 64)
     source = {i: s for i, _, _, s in rows}
     share: dict = {}
@@ -237,6 +238,107 @@ def test_windows_hold_the_target_mixture(spark, weights):
     assert full and all(abs(w["s0"] - want * 1024) <= 2 for w in full)
 
 
+class Node:
+    """A node of the tree of queues, simulated: its sides' deficits grow by their shares, whole units are sent, the rest is carried."""
+
+    def __init__(self, leaves, lo, hi, path=()):
+        self.units, self.parts, self.deficit = sum(leaves[lo:hi]), [], Fraction(0)
+        self.sent = []
+        if hi - lo == 1:
+            self.leaf, self.path = lo, list(path)
+        else:
+            size = 1 << (hi - lo - 1).bit_length() - 1
+            left, both = sum(leaves[lo : lo + size]), self.units
+            split = left and left < both
+            self.parts = [Node(leaves, lo, lo + size, [*path, (False, left, both)] if split else path), Node(leaves, lo + size, hi, [*path, (True, left, both)] if split else path)]
+
+    def send(self, units):
+        self.sent.append(units)
+        if self.parts:
+            left, right = self.parts
+            if not left.units or not right.units:
+                now = units if left.units else 0
+            else:
+                self.deficit += Fraction(units * left.units, self.units)
+                now = int(self.deficit)
+                self.deficit -= now
+            left.send(now)
+            right.send(units - now)
+
+    def all(self):
+        return [x for p in self.parts for x in p.all()] if self.parts else [self]
+
+
+@pytest.mark.parametrize("unit", [1, 8, 64])
+def test_closed_form_is_the_round_robin(unit):
+    rng = random.Random(51 + unit)
+    for _ in range(12):
+        sizes, window = [rng.choice([0, 1, 7, 300, rng.randint(1, 9000)]) for _ in range(rng.randint(1, 9))], 512 // unit
+        units = [n // unit for n in sizes]
+        root, whole = Node(units, 0, len(units)), sum(units)
+        for w in range(-(-whole // window)):
+            root.send(min(window, whole - w * window))
+        (plan,) = packing.turns([whole], [0.0])
+        filled, tail = [], whole * unit
+        for leaf in root.all():
+            n = sizes[leaf.leaf]
+            queue = packing.Queue(plan, leaf.path, units[leaf.leaf], tail, window, unit)
+            got, at = [0] * len(leaf.sent), 0
+            while at < n:  # documents of any length
+                k = min(n - at, rng.choice([1, 3, 50, 5000]))
+                pieces = queue.pieces(at, k)
+                assert [p[1] for p in pieces] == [0, *np.cumsum([p[2] for p in pieces])[:-1]] and sum(p[2] for p in pieces) == k
+                for place, _, m in pieces:
+                    if place < whole * unit:
+                        got[place // unit // window] += m
+                    filled += range(place, place + m)
+                at += k
+            assert got == [unit * x for x in leaf.sent]
+            tail += n % unit
+            for w in range(len(leaf.sent)):  # never far from its share
+                assert abs(sum(leaf.sent[: w + 1]) - min((w + 1) * window, whole) * leaf.units / max(whole, 1)) <= 1 + len(leaf.path)
+        assert sorted(filled) == list(range(sum(sizes)))
+
+
+def test_phases_of_weights_fill_every_place():
+    rng = random.Random(53)
+    for _ in range(30):
+        sizes, weights = [rng.randint(0, 400) for _ in range(4)], [rng.choice([0, 1, 2.5, 7]) for _ in range(4)]
+        plan, filled, tail = packing.turns([n // 8 for n in sizes], weights), [], 8 * sum(n // 8 for n in sizes)
+        for c, n in enumerate(sizes):
+            filled += [x for place, _, m in packing.Queue(plan[c], [], n // 8, tail, 16, 8).pieces(0, n) for x in range(place, place + m)]
+            tail += n % 8
+        assert sorted(filled) == list(range(sum(sizes)))
+
+
+def test_every_source_has_its_own_share(spark):
+    rng = random.Random(52)
+    rows = [(i, words(rng, 30), None, ["big", "big", "big", "mid", None][i % 5] if i % 100 else f"tiny{i}") for i in range(1500)]
+    tokens = packing.tokenise(documents(spark, rows), VOCABULARY).cache()
+    source = {i: s for i, _, _, s in rows}
+    for weights, order in ((None, None), ({"mid": 3.0, "tiny100": 1.0, "big": 0.0, "nowhere": 2.0}, ["mid", "tiny100"])):
+        got = packing.pack(tokens, 64, 16, weights, unit=16, block=2000).collect()
+        check_packing(got, rows, 64)
+        total, by = Counter(), {}
+        for p in got:
+            total[source[p.doc_id]] += p.length
+            by.setdefault(p.sequence_id // 16, Counter())[source[p.doc_id]] += p.length
+        if weights is None:
+            assert all(abs(w[s] - 1024 * total[s] / sum(total.values())) <= 16 * 2 * 5 for k, w in by.items() if k < max(by) - 1 for s in total)  # two units for each of five levels
+        else:
+            first = by[0]  # mid and tiny100 go first, 3 to 1, until one is empty; the others wait for both
+            assert set(first) >= set(order) and first["mid"] >= total["tiny100"] and total["big"] == sum(w["big"] for k, w in by.items() if k >= total["mid"] // 1024)
+    with pytest.raises(ValueError):
+        packing.pack(tokens, weights={"big": -1.0})
+
+
+def test_repeated_rows_are_dealt_over_blocks(spark):
+    rows = [(None, "the same text", None, "s")] * 3000
+    tokens = packing.tokenise(documents(spark, rows), VOCABULARY)
+    assert tokens.select("copy").distinct().count() > 50
+    check_packing(packing.pack(tokens, 64, 16, block=500).collect(), rows, 64)
+
+
 def test_packing_odd_rows(spark):
     docs = documents(spark, ODD)
     check_packing(packing.pack_documents(docs, VOCABULARY).collect(), ODD)
