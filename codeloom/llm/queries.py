@@ -80,7 +80,7 @@ def op8_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(True))
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held)
     scored = toxicity.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
-    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "per_word")
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), *toxicity.FEATURES)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of the characters of a word, one of toxic and one of ordinary documents, share the counts that they back off
-to, so an expression that neither class has seen often gets the same likelihood from both. A document is judged by
-the difference of its words' two log-likelihoods, as far as it exceeds a margin, normalised by its length.
-
-All documents are counted on Spark, and all labelled ones by class. Where neither class has an n-gram more often than it
-discounts, the shared probability cancels out of the ratio, which then depends on the context alone. So the ratios of the
-other n-grams and of their contexts are the whole model: few enough to be broadcast, or else a table to join with.
+Two models of the characters of a word, one of toxic and one of ordinary documents, share the counts that they back off to,
+so an expression that neither class has seen often gets the same likelihood from both. A document is judged by the mean
+over its words of the difference of the two log-likelihoods, taken from both sides beyond a margin: words that the toxic
+model explains better speak for it, words that the ordinary one explains better against it.
+
+All documents are counted on Spark, and all labelled ones by class. Where neither class has an n-gram, the shared
+probability cancels out of the ratio, which then depends on the context alone. So the ratios of the other n-grams and of
+their contexts are the whole model: few enough to be broadcast, or else a table to join with.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_rows, materialise
+from codeloom.llm.common import kept, map_rows, materialise
 from codeloom.llm.rule_ensemble import lasso_logistic
 
-ORDER = 5
-#: A word's log-likelihood ratio counts by what it exceeds this, so that common words of long texts do not add up.
-MARGIN = 2.0
+ORDER = 4
+#: A word's log-likelihood ratio counts by what it exceeds this on either side, so that common words of long texts do not add up.
+MARGIN = 1.5
 WORD = re.compile(r"[^\W\d_]+")
 #: Runs of letters over twice as many are no words; they are scored in slices of so many n-grams.
 LONGEST = 40
-#: What a class discounts of an n-gram's count, and what the shared model does.
-OWN, DISCOUNT = 4.0, 0.75
+#: What a class discounts of an n-gram's count, and what the shared model does: Kneser-Ney discounts, under 1.
+OWN, DISCOUNT = 0.95, 0.75
+#: The features of a text: mean and sum over the root of the words' ratios towards toxic, and the mean of both sides.
+FEATURES = ("per_word", "per_root", "both_sides")
 #: Labels are broadcast up to this many, ratios up to that many; beyond it the same joins shuffle.
 MOST_LABELS, MOST_RATIOS = 1_000_000, 300_000
 #: Distinct words that a task counts before it hands on their n-grams.
@@ -68,8 +71,8 @@ class KneserNey:
     every: n-gram -> count in all documents, without it the sum of both classes.
 
     Each class discounts its own counts of the top order by `own` and gives what that frees to a model of both classes
-    together, a Kneser-Ney model whose lower orders count types. An n-gram seen at most `own` times in a class adds
-    nothing of its own.
+    together, a Kneser-Ney model whose lower orders count types. Under each context the probabilities of all characters
+    and of one that was never seen sum to 1, in the shared model and in both classes.
     """
 
     def __init__(self, counts: dict[str, tuple[int, int]], every: dict[str, int] | None = None, own: float = OWN, discount: float = DISCOUNT):
@@ -122,28 +125,30 @@ class Model:
     """gram, ratio: n-grams of ORDER characters, and contexts (one less) whose other n-grams have that ratio; any other n-gram has 0."""
     known: dict[str, float] | None
     """The same as a dictionary, if there are at most MOST_RATIOS."""
-    weights: tuple[float, ...] = (0.0, 0.0)
+    weights: tuple[float, ...] = (0.0,) * len(FEATURES)
     intercept: float = -2.0
-    scale: tuple[float, ...] = (1.0, 1.0)
+    scale: tuple[float, ...] = (1.0,) * len(FEATURES)
 
 
-def features(text: str | None, known: dict[str, float], cache: dict[str, float]) -> tuple[float, float]:
-    """The words' log-likelihood ratios beyond MARGIN, over the number of words and over its root; zeros without a word."""
+def features(text: str | None, known: dict[str, float], cache: dict[str, float]) -> tuple[float, ...]:
+    """FEATURES of a text, from the words' log-likelihood ratios beyond MARGIN; zeros without a word."""
 
     def beyond(found: Iterable[str]) -> float:
-        return max(sum(known[g] if g in known else known.get(g[:-1], 0.0) for g in found) - MARGIN, 0.0)
+        ratio = sum(known[g] if g in known else known.get(g[:-1], 0.0) for g in found)
+        return max(ratio - MARGIN, 0.0) + min(ratio + MARGIN, 0.0)
 
     words, slices = words_of(text or "")
     n = len(words) + len(slices)
     if not n:
-        return 0.0, 0.0
+        return (0.0,) * len(FEATURES)
     if len(cache) > 700_000:
         cache.clear()
     for w in words:
         if w not in cache:
             cache[w] = beyond(grams(w))
-    total = sum(map(cache.__getitem__, words)) + sum(beyond(windows(s)) for s in slices)
-    return total / n, total / math.sqrt(n)
+    values = [*map(cache.__getitem__, words), *map(beyond, map(windows, slices))]
+    toxic = sum(v for v in values if v > 0)
+    return toxic / n, toxic / math.sqrt(n), sum(values) / n
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -215,19 +220,20 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, per_word and per_root: the features of each row's whole text."""
+    """The columns in keep and FEATURES of each row's whole text; of keep without those names."""
+    keep = kept(keep, [*FEATURES, "score"])
     if model.known is None:
         return measured_by_join(docs, model.ratios, keep)
     sent = docs.sparkSession.sparkContext.broadcast(model.known)
     schema = docs.select(*keep).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", per_word double, per_root double"
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{c} double" for c in FEATURES])
     cache: dict[str, float] = {}
 
     def rows(columns):
         found = [features(t, sent.value, cache) for t in columns[-1]]
-        yield [*columns[:-1], [f[0] for f in found], [f[1] for f in found]]
+        yield [*columns[:-1], *([f[k] for f in found] for k in range(len(FEATURES)))]
 
-    return map_rows(docs.select(*keep, "text"), rows, ddl)
+    return map_rows(docs.select(*keep, F.col("text").alias("__text")), rows, ddl)
 
 
 def measured_by_join(docs: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
@@ -248,18 +254,21 @@ def measured_by_join(docs: DataFrame, table: DataFrame, keep: list[str]) -> Data
     gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (ORDER - 1)), lambda k: F.substr("word", k, F.lit(ORDER)))).alias("gram")
     found = held.select("word").distinct().select("word", gram).withColumn("h", F.substring("gram", 1, ORDER - 1))
     own, rest = table.where(F.length("gram") == ORDER), table.where(F.length("gram") < ORDER).select(F.col("gram").alias("h"), F.col("ratio").alias("other"))
-    value = F.sum(F.coalesce("ratio", "other", F.lit(0.0))) - MARGIN
-    beyond = found.join(own, "gram", "left").join(rest, "h", "left").groupBy("word").agg(value.alias("value")).where("value > 0")
-    total = held.join(beyond, "word").groupBy("h1", "h2", "words").agg(F.sum(F.col("n") * F.col("value")).alias("total"))
-    per = [F.coalesce(F.col("total") / d, F.lit(0.0)) for d in (F.col("words"), F.sqrt("words"))]
-    return keyed.drop("text").join(total, ["h1", "h2"], "left").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], per[0].alias("per_word"), per[1].alias("per_root"))
+    ratio = F.sum(F.coalesce("ratio", "other", F.lit(0.0)))
+    value = F.greatest(ratio - MARGIN, F.lit(0.0)) + F.least(ratio + MARGIN, F.lit(0.0))
+    beyond = found.join(own, "gram", "left").join(rest, "h", "left").groupBy("word").agg(value.alias("value")).where("value <> 0")
+    sums = [F.sum(F.col("n") * F.greatest("value", F.lit(0.0))).alias("toxic"), F.sum(F.col("n") * F.col("value")).alias("both")]
+    total = held.join(beyond, "word").groupBy("h1", "h2", "words").agg(*sums)
+    per = [F.col("toxic") / F.col("words"), F.col("toxic") / F.sqrt("words"), F.col("both") / F.col("words")]
+    made = [F.coalesce(x, F.lit(0.0)).alias(c) for x, c in zip(per, FEATURES, strict=True)]
+    return keyed.drop("text").join(total, ["h1", "h2"], "left").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *made)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = 4_000) -> Model:
     """A model that counts all rows of docs for what both classes share, and for each class all its labelled rows for which learn holds.
 
     Only a quarter of the labelled rows, `most` at most and the first in the order of a hash of doc_id, are in no class: they
-    set how a ratio becomes a probability. Labels that are null or not 0 or 1 teach nothing; an id with several labels takes
+    set how the features become a probability. Labels that are null or not 0 or 1 teach nothing; an id with several labels takes
     the largest. With one label only, the score is constant.
     """
     usable = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -272,8 +281,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: i
     few = table.limit(MOST_RATIOS + 1).count() <= MOST_RATIOS
     model = Model(table, {r.gram: r.ratio for r in table.toLocalIterator()} if few else None)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = measured(sample, model, ["y"]).toPandas().sort_values(["y", "per_word", "per_root"])
-    x, y = got[["per_word", "per_root"]].to_numpy(), got["y"].to_numpy(float)
+    # Ids may repeat, so the rows are bounded too.
+    got = measured(sample, model, ["doc_id", "y"]).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most).toPandas().sort_values(["y", *FEATURES])
+    x, y = got[list(FEATURES)].to_numpy(), got["y"].to_numpy(float)
     if len(y) and y.min() < y.max():
         model.scale = tuple(float(s) for s in np.maximum(x.std(axis=0), 1e-9))
         w, b = lasso_logistic(x / np.array(model.scale), y, penalty=1e-4, rounds=3000)
@@ -282,9 +292,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: i
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, score (0 to 1), per_word and per_root of each row's whole text; null and empty texts as without words."""
+    """The columns in keep, score (0 to 1) and FEATURES of each row's whole text; null and empty texts as without words.
+
+    Of keep, a column with the name of one that is made here is left out.
+    """
     z = F.lit(model.intercept)
-    for name, w, s in zip(("per_word", "per_root"), model.weights, model.scale, strict=True):
+    for name, w, s in zip(FEATURES, model.weights, model.scale, strict=True):
         z = z + F.col(name) * (w / s)
     found = measured(docs, model, keep)
-    return found.select(*keep, (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))).alias("score"), "per_word", "per_root")
+    own = found.columns[: -len(FEATURES)]
+    return found.select(*own, (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))).alias("score"), *FEATURES)

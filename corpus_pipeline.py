@@ -23,9 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score by the class-conditional Kneser-Ney models is TOXIC or more."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", F.col("doc_id").isNotNull())
-    return toxicity.score(docs.withColumn("keep_text", F.col("text")), model, ["doc_id", "keep_text", "lang", "source", "n_chars"]).where(F.col("score") < TOXIC).select(
-        "doc_id", F.col("keep_text").alias("text"), "lang", "source", "n_chars"
-    )
+    return toxicity.score(docs, model, COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

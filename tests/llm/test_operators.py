@@ -421,13 +421,31 @@ def test_toxic_words_are_found_and_clean_texts_left(spark):
 
 def test_kneser_ney_probabilities_sum_to_one():
     counts: dict = {}
-    for w in ("abab", "abba", "bab"):
+    for w in ("abab", "abba", "bab", "caab", "acb"):
         for g in toxicity.grams(w):
             o, t = counts.get(g, (0, 0))
             counts[g] = (o + 1, t + (w == "bab"))
     m = toxicity.KneserNey(counts)
-    for context in ("^^^^", "^^^a"):
-        assert sum(m.shared(context + c) for c in "ab$") == pytest.approx(1, abs=0.05)
+    characters = [*m.lower[1], "?"]  # and one that was never seen
+    for context in {g[:-1] for g in counts}:
+        shared = {c: m.shared(context + c) for c in characters}
+        assert sum(shared.values()) == pytest.approx(1, abs=1e-9)
+        seen, toxic, freed, freed_toxic = m.total[context]
+        for k, all_, rest in ((0, seen, freed), (1, toxic, freed_toxic)):
+            if all_:
+                of = {c: (max(counts.get(context + c, (0, 0))[k] - m.own, 0) + rest * p) / all_ for c, p in shared.items()}
+                assert sum(of.values()) == pytest.approx(1, abs=1e-9)
+
+
+def test_gram_ratio_by_hand():
+    """P(b | aaa) of both classes, from counts small enough to work out."""
+    counts = {"aaab": (1, 2), "aaac": (3, 0)}
+    m, d, own = toxicity.KneserNey(counts), toxicity.DISCOUNT, toxicity.OWN
+    one = (1 - d) / 2 + d * 2 / 2 / 3  # one of two types, backing off to one of two characters or an unseen one
+    two = three = lambda lower: (1 - d) / 2 + d * 2 / 2 * lower
+    shared = (3 - d) / 6 + d * 2 / 6 * three(two(one))
+    ordinary, toxic = (1 - own + 2 * own * shared) / 4, (2 - own + own * shared) / 2
+    assert m.shared("aaab") == pytest.approx(shared) and m.gram_ratio("aaab") == pytest.approx(math.log(toxic / ordinary))
 
 
 def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
@@ -448,7 +466,7 @@ def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
     whole = toxicity.KneserNey(counts, every)
     for g in every:
         assert model.known.get(g, model.known.get(g[:-1], 0.0)) == pytest.approx(whole.gram_ratio(g), abs=1e-9)
-    assert whole.gram_ratio("zzqux") > 0 and len(calibration) == 20
+    assert whole.gram_ratio("zzqu") > 0 and len(calibration) == 20
     # A table too large to broadcast gives the same by joins, copies and odd rows included.
     again = documents(spark, [*rows, *rows[:3], *ODD])
     here = toxicity.measured(again, model, ["doc_id", "key"]).collect()
@@ -457,7 +475,7 @@ def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
     large = toxicity.train(docs, labels, "toxic", F.lit(True), most=20)
     joined = toxicity.measured(again, large, ["doc_id", "key"]).collect()
     assert large.known is None and large.weights == pytest.approx(model.weights)
-    for a, b in zip(*(sorted(((-1 if r.doc_id is None else r.doc_id), r.per_word, r.per_root) for r in x) for x in (here, joined)), strict=True):
+    for a, b in zip(*(sorted(((-1 if r.doc_id is None else r.doc_id), r.per_word, r.per_root, r.both_sides) for r in x) for x in (here, joined)), strict=True):
         assert a == pytest.approx(b, abs=1e-9)
 
 
@@ -465,9 +483,18 @@ def test_long_runs_are_counted_and_scored_whole():
     run = "ab" * 300 + "zzqux" + "cd" * 300
     found, slices = toxicity.words_of(f"one {run} two")
     assert found == ["one", "two"] and [g for s in slices for g in toxicity.windows(s)] == toxicity.grams(run)
-    assert "zzqux" in toxicity.grams(run)
-    known = {"zzqux": 9.0}
-    assert toxicity.features(run, known, {})[0] * len(slices) == pytest.approx(9.0 - toxicity.MARGIN)
+    assert "zzqu" in toxicity.grams(run)
+    known = {"zzqu": 9.0, "abab": -0.5}
+    per_word, _, both = toxicity.features(run, known, {})
+    assert per_word * len(slices) == pytest.approx(9.0 - toxicity.MARGIN)
+    assert both < per_word  # what the ordinary model explains better speaks against it
+
+
+def test_columns_with_the_names_of_features(spark):
+    model = toxicity.Model(spark.createDataFrame([], "gram string, ratio double"), {"zzqu": 9.0})
+    docs = documents(spark, ODD).withColumns({c: F.lit(5.0) for c in toxicity.FEATURES})
+    got = toxicity.score(docs, model, ["doc_id", "score", "per_word", "text", "n_chars"])
+    assert got.columns == ["doc_id", "text", "n_chars", "score", *toxicity.FEATURES] and got.where("per_word = 5 or n_chars <> 7").isEmpty()
 
 
 # 5
