@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +84,8 @@ def compared(i, text: str, own: str, after: str, after_own: str) -> list:
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edge", pa.int32()), ("text", pa.string())]
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    + [("part", pa.int32()), ("edge", pa.int32()), ("text", pa.string())]
 )
 
 
@@ -106,11 +108,13 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     The order is that of doc_id, null first, then of the text; after the last row comes the first (a single row
     follows itself). A null text counts as empty. Other columns are ignored. The texts are dealt out by ranges of
-    doc_id and compared as they stream by; only the last row of each range waits for the first row of the next
-    range, so what is put together afterwards is two rows a task.
+    doc_id (and of the texts' beginnings, where ids repeat) and compared as they stream by; only the last row of each
+    range waits for the first row of the next range. Ranges find each other by number: what a single task orders is two
+    numbers a range, and the texts then meet range by range.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         before, first = None, True
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -119,35 +123,32 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     text = text or ""
                     own = fingerprint(text)
                     if first:
-                        rows.append([i, 0, "", own, "", 0.0, 0.0, 1, text])
+                        rows.append([i, 0, "", own, "", 0.0, 0.0, part, 1, text])
                         first = False
                     else:
-                        rows.append([*compared(*before, text, own), 0, None])
+                        rows.append([*compared(*before, text, own), part, 0, None])
                     before = i, text, own
                 if rows:
                     yield _batch(rows)
         if before:
-            yield _batch([[before[0], 0, "", before[2], "", 0.0, 0.0, 2, before[1]]])
+            yield _batch([[before[0], 0, "", before[2], "", 0.0, 0.0, part, 2, before[1]]])
 
+    ranges = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first()]
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    made = materialise(dealt.mapInArrow(run, RESULT + ", edge int, text string"), "fingerprints")
-
-    # Two rows a task: its first and its last row. In order, each last row is followed by the first row of the next range.
-    w = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first(), "edge")
-    edges = made.where("edge > 0").select("doc_id", "text", "fingerprint", "edge")
-    opening = [F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in ("text", "fingerprint")]
-    open_rows = (
-        edges.withColumns({"after": F.coalesce(F.lead("text").over(w), opening[0]), "after_own": F.coalesce(F.lead("fingerprint").over(w), opening[1])})
-        .where("edge = 2")
-        .select("doc_id", "text", "fingerprint", "after", "after_own")
-    )
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*ranges).sortWithinPartitions(*order)
+    made = materialise(dealt.mapInArrow(run, RESULT + ", part int, edge int, text string"), "fingerprints")
+
+    opening = made.where("edge = 1")
+    w = Window.orderBy("part")  # the numbers of the ranges that have rows
+    after = opening.select("part").withColumn("then", F.coalesce(F.lead("part").over(w), F.first("part").over(w)))
+    first_rows = opening.select(F.col("part").alias("then"), F.col("text").alias("after"), F.col("fingerprint").alias("after_own"))
+    open_rows = made.where("edge = 2").join(after, "part").join(first_rows, "then").select("doc_id", "text", "fingerprint", "after", "after_own")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield _batch([[*compared(*row), 0, None]])
+                yield _batch([[*compared(*row), 0, 0, None]])
 
     names = [f.name for f in made.schema.fields[:7]]
-    closed = open_rows.mapInArrow(close, RESULT + ", edge int, text string")
+    closed = open_rows.mapInArrow(close, RESULT + ", part int, edge int, text string")
     return made.where("edge = 0").select(*names).unionByName(closed.select(*names))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_rows
+from codeloom.llm.common import kept, map_rows
 
 DIM = 4096
 LETTER = r"\p{L}"
@@ -90,18 +90,24 @@ def train(docs: DataFrame, learn: Column, per_language: int = 400, centroids: in
     """A model from at most per_language rows of each language: those for which learn holds, in the order of a hash of doc_id.
 
     What comes to the driver is one vector of DIM counts for each sampled row. Rows with a null text or lang teach nothing.
+    The ids of a language are counted first, and only the share of them that should hold three times its sample is put in
+    order, so no task orders a whole language. A model's languages are few enough for the driver, which holds it.
     """
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "lang", "text")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "length")
-    chosen = usable.select("doc_id", "lang", F.length("text").alias("length")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
-    ids = chosen.select("doc_id", "lang").distinct()
+    known = docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id")).alias("ids"))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    some = usable.select("doc_id", "lang", F.length("text").alias("length")).join(F.broadcast(known), "lang").where(at * F.col("ids") <= 3 * per_language)
+    w = Window.partitionBy("lang").orderBy(at, "doc_id", "length")
+    ids = some.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
     sample = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most per_language ids of each language
 
     def rows(columns):
         yield [columns[0], columns[1], [features(t).astype(np.int32).tobytes() for t in columns[2]]]
 
-    got = map_rows(sample, rows, "doc_id long, lang string, counts binary").toPandas()
-    got = got.sort_values(["lang", "doc_id", "counts"]).groupby("lang").head(per_language)
+    made = map_rows(sample, rows, "doc_id long, lang string, counts binary")
+    # Ids may repeat, so the rows are bounded too.
+    each = Window.partitionBy("lang").orderBy("doc_id", "counts")
+    got = made.withColumn("n", F.row_number().over(each)).where(F.col("n") <= per_language).drop("n").toPandas().sort_values(["lang", "doc_id", "counts"])
     return fit(got.reset_index(drop=True), centroids)
 
 
@@ -110,9 +116,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str], reject: bool = True
 
     A null text and one without a letter get `und` and score 0, as does every text if the model knows no language.
     With reject, so do texts that are too far from every centroid; without, these get the nearest language and
-    rejected says so.
+    rejected says so. Of keep, a column with the name of one that is made here is left out.
     """
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, kept(keep, ["lang_pred", "score", "rejected"])
     sent = spark.sparkContext.broadcast(model)
     schema = spark.createDataFrame([], docs.select(*keep).schema).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double, rejected boolean"
@@ -130,4 +136,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str], reject: bool = True
                     pred[i], score[i] = m.languages[k[j]], float(s[j])
         yield [*columns[:-2], pred, score, out]
 
-    return map_rows(docs.select(*keep, "text", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("letters")), rows, ddl, rows=256)
+    return map_rows(docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("letters")), rows, ddl, rows=256)

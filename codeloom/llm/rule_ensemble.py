@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD_SPLIT
+from codeloom.llm.common import WORD_SPLIT, kept
 
 PUNCTUATION = ".,;:?'\"-"
 SYMBOLS = "#*$%&|<>=@^~_+/\\{}[]"
@@ -73,20 +73,15 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def grow(x: np.ndarray, names: list[str], residual: np.ndarray, limits: list[np.ndarray], depth: int, least: int) -> tuple[list, np.ndarray]:
-    """A regression tree on the residuals: the rule of every node but the root, and the tree's prediction for each row."""
-    rules, predicted = [], np.zeros(len(x))
+def grow(x: np.ndarray, names: list[str], residual: np.ndarray, limits: list[np.ndarray], depth: int, least: int) -> tuple[list, list[bool]]:
+    """A regression tree on the residuals: the rule of every node but the root, and whether that node is a leaf."""
+    rules, leaves = [], []
     todo = [(np.arange(len(x)), (), depth)]
     while todo:
         rows, path, left = todo.pop()
         r = residual[rows]
-        predicted[rows] = r.mean()
-        if path:
-            rules.append(path)
-        if not left or len(rows) < 2 * least:
-            continue
         best = (1e-9 + r.sum() ** 2 / len(r), None)
-        for j in range(x.shape[1]):
+        for j in range(x.shape[1]) if left and len(rows) >= 2 * least else ():
             for limit in limits[j]:
                 above = x[rows, j] > limit
                 k = int(above.sum())
@@ -95,11 +90,14 @@ def grow(x: np.ndarray, names: list[str], residual: np.ndarray, limits: list[np.
                     gain = s * s / k + (r.sum() - s) ** 2 / (len(rows) - k)
                     if gain > best[0] * (1 + 1e-9):
                         best = gain, (j, limit, above)
+        if path:
+            rules.append(path)
+            leaves.append(best[1] is None)
         if best[1]:
             j, limit, above = best[1]
             todo.append((rows[~above], (*path, (names[j], False, float(limit))), left - 1))
             todo.append((rows[above], (*path, (names[j], True, float(limit))), left - 1))
-    return rules, predicted
+    return rules, leaves
 
 
 def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -128,14 +126,13 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, depth:
     for _ in range(trees):
         rows = np.sort(rng.choice(len(y), min(len(y), 1500), replace=False))
         residual = y - 1 / (1 + np.exp(-score))
-        found, _ = grow(x[rows], names, residual[rows], limits, depth, least=max(3, len(rows) // 200))
+        found, leaves = grow(x[rows], names, residual[rows], limits, depth, least=max(3, len(rows) // 200))
         rules.update(dict.fromkeys(found))
         z = holds(x, names, found)
-        for leaf in range(z.shape[1]):  # each rule moves the rows that it covers towards their residual
-            if len(found[leaf]) == depth or leaf == z.shape[1] - 1:
-                hit = z[:, leaf] > 0
-                if hit.any():
-                    score[hit] += rate * 4 * residual[hit].mean()
+        for k in np.flatnonzero(leaves):  # each leaf moves the rows that it covers towards their residual
+            hit = z[:, k] > 0
+            if hit.any():
+                score[hit] += rate * 4 * residual[hit].mean()
     kept = list(rules)
     z = holds(x, names, kept)
     w, b = lasso_logistic(z, y, penalty)
@@ -161,12 +158,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: i
     stats = statistics(F.col("text"))
     names = list(stats)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows of two numbers
-    got = sample.select("doc_id", "y", *[c.alias(n) for n, c in stats.items()]).toPandas().sort_values(["doc_id", *names])
+    # Ids may repeat, so the rows are bounded too.
+    made = sample.select("doc_id", "y", *[c.alias(n) for n, c in stats.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(most)
+    got = made.toPandas().sort_values(["doc_id", *names])
     return fit(got[names].to_numpy(float), got["y"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: RuleModel, keep: list[str]) -> DataFrame:
-    """The columns in keep and score (0 to 1) of each row's whole text; null and empty texts are scored as empty."""
+    """The columns in keep and score (0 to 1) of each row's whole text; null and empty texts are scored as empty.
+
+    Of keep, a column named score is left out.
+    """
+    keep = kept(keep, ["score"])
     stats = statistics(F.col("text"))
     used = sorted({c[0] for rule, _ in model.rules for c in rule})
     held = F.struct(*[stats[n].alias(n) for n in used]) if used else F.struct(F.lit(0).alias("none"))

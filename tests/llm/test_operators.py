@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -388,12 +389,72 @@ def test_rules_find_what_marks_quality(spark):
     got = {r.doc_id: r.score for r in rule_ensemble.score(docs, model, ["doc_id"]).collect()}
     assert all((got[i] >= 0.3) == (i % 4 != 0) for i in range(240))
     assert len(model.rules) < 60 and all(len(c) <= 3 for c, _ in model.rules)
-    odd = rule_ensemble.score(documents(spark, ODD), model, ["doc_id", "score"] if False else ["doc_id"]).collect()
-    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    odd = rule_ensemble.score(documents(spark, ODD), model, ["doc_id", "score"]).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 and len(r) == 2 for r in odd)  # the operator's own score
     constant = rule_ensemble.train(docs, labels.limit(0), "quality", F.lit(True))
     assert {r.score for r in rule_ensemble.score(documents(spark, ODD), constant, ["doc_id"]).collect()} == {0.5}
 
 
+def brute_statistics(text):
+    """The statistics by plain Python."""
+    t = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    lines = [x.strip(" ") for x in t.split("\n") if x.strip(" ")]
+    n, of_words = max(len(t), 1), max(len(words), 1)
+    share = lambda chars: sum(c in chars for c in t) / n
+    kind = lambda k: (n - len([c for c in t if not unicodedata.category(c).startswith(k)])) / n
+    return {
+        "chars": len(t), "words": len(words), "word_length": sum(map(len, words)) / of_words, "symbols": share(rule_ensemble.SYMBOLS), "marks": share("!"), "bars": share("|"),
+        "punctuation": share(rule_ensemble.PUNCTUATION), "digits": share("0123456789"), "upper": kind("Lu"), "letters": kind("L"), "distinct_words": len(set(words)) / of_words,
+        "repeats": sum(a == b for a, b in itertools.pairwise(words)) / of_words, "lines": len(lines) / of_words, "distinct_lines": len(set(lines)) / max(len(lines), 1), "longest_word": max(map(len, words), default=0),
+    }
+
+
+def test_statistics_and_compiled_rules_equal_brute_force(spark):
+    rng = random.Random(41)
+    texts = [None, "", " ", "\n\n", "A", *["".join(rng.choice("aB é|!#.,1\n\t 🙂ß") for _ in range(rng.randint(1, 200))) for _ in range(60)], "w " * 3000]
+    docs = documents(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    stats = rule_ensemble.statistics(F.col("text"))
+    got = {r.doc_id: r for r in docs.select("doc_id", *[c.alias(n) for n, c in stats.items()]).collect()}
+    names, x = list(stats), []
+    for k, t in enumerate(texts):
+        want = brute_statistics(t)
+        x.append([want[n] for n in names])
+        for n in names:
+            # An empty text counts a letter's place: (1 - 0) / 1.
+            assert got[k][n] == pytest.approx(want[n]), (n, t)
+    x = np.array(x, float)
+    rules = [tuple((names[j], bool(rng.getrandbits(1)), float(rng.choice(x[:, j]))) for j in rng.sample(range(len(names)), rng.randint(1, 3))) for _ in range(40)]
+    model = rule_ensemble.RuleModel(-0.3, [(r, rng.uniform(-2, 2)) for r in rules])
+    total = -0.3 + rule_ensemble.holds(x, names, rules) @ np.array([w for _, w in model.rules])
+    scored = {r.doc_id: r.score for r in rule_ensemble.score(docs, model, ["doc_id"]).collect()}
+    assert all(scored[k] == pytest.approx(1 / (1 + math.exp(-total[k]))) for k in range(len(texts)))
+
+
+def test_tree_paths_are_rules_and_leaves_part_the_rows():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 3))
+    y = (x[:, 0] > 0.5) & (x[:, 1] <= 0.4)
+    rules, leaves = rule_ensemble.grow(x, ["a", "b", "c"], y - y.mean(), [np.linspace(0.05, 0.95, 19)] * 3, 3, 5)
+    z = rule_ensemble.holds(x, ["a", "b", "c"], [r for r, leaf in zip(rules, leaves, strict=True) if leaf])
+    assert (z.sum(axis=1) == 1).all() and any(len(r) < 3 for r, leaf in zip(rules, leaves, strict=True) if leaf)
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    docs = documents(spark, [(1, "same text here", "aa", None)] * 500 + [(2, "other text there", "bb", None)] * 3)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    whole = rule_ensemble.fit
+    try:
+        rule_ensemble.fit = lambda x, y, names, **k: seen.append(len(x)) or whole(x, y, names, **k)
+        rule_ensemble.train(docs, labels, "quality", F.lit(True), most=50)
+    finally:
+        rule_ensemble.fit = whole
+    assert seen == [50]
+    model = language_id.train(docs, F.lit(True), per_language=20)
+    assert model.languages == ["aa", "bb"]
+
+
 def test_lasso_drops_useless_columns():
     rng = np.random.default_rng(0)
     z = rng.integers(0, 2, (400, 6)).astype(float)
@@ -515,6 +576,31 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in language_id.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_nearest_centroid_equals_brute_force(spark):
+    rng = random.Random(71)
+    rows = [(i, words(rng, rng.randint(1, 60), ["abcde", "cdefg", "xyzé"][i % 3]), ["aa", "bb", "cc"][i % 3]) for i in range(150)]
+    docs = documents(spark, rows)
+    model = language_id.train(docs, F.col("doc_id") < 90, per_language=30, centroids=3)
+    got = {r.doc_id: r for r in language_id.identify(docs, model, ["doc_id", "score", "lang"], reject=False).collect()}
+    for i, text, *_ in rows:
+        raw = b" " + " ".join(text.lower().split()).encode() + b" "
+        counts = Counter()
+        for at in range(len(raw)):  # n-grams of one, two and three bytes, with 32-bit arithmetic
+            counts[raw[at]] += 1
+            if at + 1 < len(raw):
+                counts[((raw[at] * 257 + raw[at + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+            if at + 2 < len(raw):
+                h = ((raw[at] * 257 + raw[at + 1]) * 0x85EBCA77 + raw[at + 2] * 0xC2B2AE3D) & 0xFFFFFFFF
+                counts[((h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 20] += 1
+        vector = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        cosine = [sum(v * float(c[k]) for k, v in vector.items()) / norm for c in model.centroids]
+        best = [max(x for x, o in zip(cosine, model.owner, strict=True) if o == k) for k in range(3)]
+        assert got[i].lang_pred == model.languages[int(np.argmax(best))]
+        assert got[i].score == pytest.approx(1 / sum(math.exp(20 * (x - max(best))) for x in best), rel=1e-3)
+        assert got[i].lang == ["aa", "bb", "cc"][i % 3] and len(got[i]) == 5
+
+
 def test_idf_vectors_are_unit_length():
     model = language_id.Model([], np.ones(language_id.DIM, np.float32), np.zeros((0, language_id.DIM)), np.zeros(0), np.zeros(0))
     x = model.vectors(np.stack([language_id.features("abc def"), language_id.features("")]))
@@ -747,6 +833,34 @@ def test_digests_tell_edits_from_other_texts(spark):
     assert fingerprints.likeness(got[0].fingerprint, got[0].fingerprint) == 1
 
 
+def brute_digest(text):
+    """The digest byte by byte: a triplet is the window's last byte and two older ones."""
+    raw, counts = (text or "").encode(), [0] * 256
+    for at in range(len(raw)):
+        byte = lambda back: raw[at - back] if at >= back else 0  # noqa: B023, E731
+        for salt, (i, j) in enumerate(fingerprints.TRIPLETS):
+            h = (byte(0) * 0x9E3779B1 + byte(i) * 0x85EBCA77 + byte(j) * 0xC2B2AE3D + salt * 0x27D4EB2F) & 0xFFFFFFFF
+            counts[((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[256 * k // 4 - 1] for k in (1, 2, 3))
+    codes = [sum(c > q for q in (q1, q2, q3)) for c in counts]
+    ratios = [15 * q // q3 if q3 else 0 for q in (q1, q2)]
+    head = [min(255, round(math.log(len(raw) + 1, 1.5))), 16 * ratios[0] + ratios[1]]
+    return head, codes
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_digest_and_likeness_equal_brute_force(seed):
+    rng = random.Random(100 + seed)
+    texts = [None, "", "a", "\x00\x00", *[words(rng, n, "abcdeé🙂") for n in (1, 3, 40, 400)]]
+    for a, b in itertools.product(texts, repeat=2):
+        (x, p), (y, q) = brute_digest(a), brute_digest(b)
+        packed = [p[4 * k] | p[4 * k + 1] << 2 | p[4 * k + 2] << 4 | p[4 * k + 3] << 6 for k in range(64)]
+        assert fingerprints.fingerprint(a) == bytes(x + packed).hex()
+        apart = 4 * abs(x[0] - y[0]) + abs(x[1] // 16 - y[1] // 16) + abs(x[1] % 16 - y[1] % 16)
+        apart += sum(6 if abs(c - d) == 3 else abs(c - d) for c, d in zip(p, q, strict=True))
+        assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) == pytest.approx(1 - min(apart, 416) / 416)
+
+
 def test_digests_of_odd_rows(spark):
     got = fingerprints.compare_with_next(documents(spark, ODD)).collect()
     order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
