@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,18 +28,18 @@ from codeloom.llm.rule_ensemble import lasso_logistic
 
 ORDER = 4
 #: A word's log-likelihood ratio counts by what it exceeds this on either side, so that common words of long texts do not add up.
-MARGIN = 1.5
+MARGIN = 2.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Runs of letters over twice as many are no words; they are scored in slices of so many n-grams.
 LONGEST = 40
 #: What a class discounts of an n-gram's count, and what the shared model does: Kneser-Ney discounts, under 1.
 OWN, DISCOUNT = 0.95, 0.75
-#: The features of a text: mean and sum over the root of the words' ratios towards toxic, and the mean of both sides.
-FEATURES = ("per_word", "per_root", "both_sides")
+#: The features of a text: mean of the words' ratios towards toxic, their sum over the root of the words and its logarithm, and the mean of both sides.
+FEATURES = ("per_word", "per_root", "log_root", "both_sides")
 #: Labels are broadcast up to this many, ratios up to that many; beyond it the same joins shuffle.
 MOST_LABELS, MOST_RATIOS = 1_000_000, 300_000
 #: Distinct words that a task counts before it hands on their n-grams.
-MOST_WORDS = 50_000
+MOST_WORDS = 300_000
 
 
 def words_of(text: str) -> tuple[list[str], list[str]]:
@@ -130,25 +130,44 @@ class Model:
     scale: tuple[float, ...] = (1.0,) * len(FEATURES)
 
 
-def features(text: str | None, known: dict[str, float], cache: dict[str, float]) -> tuple[float, ...]:
-    """FEATURES of a text, from the words' log-likelihood ratios beyond MARGIN; zeros without a word."""
+def beyond(ratio: float) -> float:
+    """What a ratio exceeds MARGIN on its side; 0 within it."""
+    return max(ratio - MARGIN, 0.0) + min(ratio + MARGIN, 0.0)
+
+
+class Words(dict):
+    """Words with their ratios beyond MARGIN, each worked out when it is first asked for."""
+
+    def __init__(self, known: dict[str, float]):
+        super().__init__()
+        self.known = known
 
-    def beyond(found: Iterable[str]) -> float:
-        ratio = sum(known[g] if g in known else known.get(g[:-1], 0.0) for g in found)
-        return max(ratio - MARGIN, 0.0) + min(ratio + MARGIN, 0.0)
+    def of(self, text: str) -> float:
+        """Of a padded word or a slice of a long run."""
+        get, total = self.known.get, 0.0
+        for k in range(len(text) - ORDER + 1):
+            ratio = get(text[k : k + ORDER])
+            if ratio is None:
+                ratio = get(text[k : k + ORDER - 1], 0.0)
+            total += ratio
+        return beyond(total)
 
+    def __missing__(self, word: str) -> float:
+        value = self[word] = self.of(padded(word))
+        return value
+
+
+def features(text: str | None, cache: Words) -> tuple[float, ...]:
+    """FEATURES of a text, from the words' log-likelihood ratios beyond MARGIN; zeros without a word."""
     words, slices = words_of(text or "")
     n = len(words) + len(slices)
     if not n:
         return (0.0,) * len(FEATURES)
     if len(cache) > 700_000:
         cache.clear()
-    for w in words:
-        if w not in cache:
-            cache[w] = beyond(grams(w))
-    values = [*map(cache.__getitem__, words), *map(beyond, map(windows, slices))]
-    toxic = sum(v for v in values if v > 0)
-    return toxic / n, toxic / math.sqrt(n), sum(values) / n
+    values = np.array([*map(cache.__getitem__, words), *map(cache.of, slices)])
+    toxic = float(values[values > 0].sum())
+    return toxic / n, toxic / math.sqrt(n), math.log1p(toxic / math.sqrt(n)), float(values.sum()) / n
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -164,7 +183,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 for found, split in ((words[y], grams), (pieces[y], windows)):
                     for w, n in found.items():
                         for g in split(w):
-                            c = out.setdefault(g, [0, 0, 0])
+                            c = out.get(g)
+                            if c is None:
+                                c = out[g] = [0, 0, 0]
                             c[2] += n
                             if y < 2:
                                 c[y] += n
@@ -227,10 +248,12 @@ def measured(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model.known)
     schema = docs.select(*keep).schema
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{c} double" for c in FEATURES])
-    cache: dict[str, float] = {}
+    held: list[Words] = []  # one for each task
 
     def rows(columns):
-        found = [features(t, sent.value, cache) for t in columns[-1]]
+        if not held:
+            held.append(Words(sent.value))
+        found = [features(t, held[0]) for t in columns[-1]]
         yield [*columns[:-1], *([f[k] for f in found] for k in range(len(FEATURES)))]
 
     return map_rows(docs.select(*keep, F.col("text").alias("__text")), rows, ddl)
@@ -259,7 +282,8 @@ def measured_by_join(docs: DataFrame, table: DataFrame, keep: list[str]) -> Data
     beyond = found.join(own, "gram", "left").join(rest, "h", "left").groupBy("word").agg(value.alias("value")).where("value <> 0")
     sums = [F.sum(F.col("n") * F.greatest("value", F.lit(0.0))).alias("toxic"), F.sum(F.col("n") * F.col("value")).alias("both")]
     total = held.join(beyond, "word").groupBy("h1", "h2", "words").agg(*sums)
-    per = [F.col("toxic") / F.col("words"), F.col("toxic") / F.sqrt("words"), F.col("both") / F.col("words")]
+    root = F.col("toxic") / F.sqrt("words")
+    per = [F.col("toxic") / F.col("words"), root, F.log1p(root), F.col("both") / F.col("words")]
     made = [F.coalesce(x, F.lit(0.0)).alias(c) for x, c in zip(per, FEATURES, strict=True)]
     return keyed.drop("text").join(total, ["h1", "h2"], "left").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *made)
 

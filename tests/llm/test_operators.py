@@ -536,7 +536,7 @@ def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
     large = toxicity.train(docs, labels, "toxic", F.lit(True), most=20)
     joined = toxicity.measured(again, large, ["doc_id", "key"]).collect()
     assert large.known is None and large.weights == pytest.approx(model.weights)
-    for a, b in zip(*(sorted(((-1 if r.doc_id is None else r.doc_id), r.per_word, r.per_root, r.both_sides) for r in x) for x in (here, joined)), strict=True):
+    for a, b in zip(*(sorted(((-1 if r.doc_id is None else r.doc_id), *(r[c] for c in toxicity.FEATURES)) for r in x) for x in (here, joined)), strict=True):
         assert a == pytest.approx(b, abs=1e-9)
 
 
@@ -546,7 +546,7 @@ def test_long_runs_are_counted_and_scored_whole():
     assert found == ["one", "two"] and [g for s in slices for g in toxicity.windows(s)] == toxicity.grams(run)
     assert "zzqu" in toxicity.grams(run)
     known = {"zzqu": 9.0, "abab": -0.5}
-    per_word, _, both = toxicity.features(run, known, {})
+    per_word, *_, both = toxicity.features(run, toxicity.Words(known))
     assert per_word * len(slices) == pytest.approx(9.0 - toxicity.MARGIN)
     assert both < per_word  # what the ordinary model explains better speaks against it
 
