@@ -8,7 +8,7 @@ common ones last); that is its replication across borders. Within a region, the
 documents' sizes (their distances to the empty set), their places in the order and their bucketed counts may lie apart.
 Large regions join in rounds: first every document with the leader of its band of sizes; then, once links have become
 components, only documents of different components, a share of the pairs before all the rest. All rounds verify
-candidates by their whole sets, so the links are exact (up to collisions of 48-bit hashes).
+candidates by their whole sets, so the links are exact (up to collisions of 64-bit hashes).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ MOST_COMMON = 1 << 18
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """The distinct k-word shingles of a text as sorted 48-bit hashes: words are lower-cased in A-Z; fewer than k words are one shingle."""
+    """The distinct k-word shingles of a text as sorted 64-bit hashes: words are lower-cased in A-Z; fewer than k words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -48,17 +48,15 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         g = (g ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         g ^= g >> np.uint64(29)
     g *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((g ^ (g >> np.uint64(32))) >> np.uint64(16))
+    return np.unique(g ^ (g >> np.uint64(32)))
 
 
 def packed(tokens: np.ndarray) -> bytes:
-    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return tokens.astype("<u8").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return raw.reshape(-1).view(">u8").astype(np.uint64)
+    return np.frombuffer(data, "<u8")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -79,7 +77,7 @@ def common_shingles(sets: DataFrame, share: int = 8, least: int = 5) -> np.ndarr
     """
 
     def rows(columns):
-        yield [[x for data in columns[0] for x in unpacked(data[: 6 * (len(data) // 24)]).astype(np.int64).tolist()]]
+        yield [[x for data in columns[0] for x in unpacked(data[: 8 * (len(data) // 32)]).astype(np.int64).tolist()]]
 
     some = map_rows(sets.where(F.pmod(F.xxhash64("v"), F.lit(share)) == 0).select("tokens"), rows, "token long")
     found = some.groupBy("token").count().where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
