@@ -38,13 +38,17 @@ def dispatch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.withColumn("n", n).select("source", "target", F.when(F.col("n") == 1, "RESOLVES_TO").otherwise("DISPATCH_CANDIDATES").alias("type"), F.round(1 / F.col("n"), 6).alias("confidence"))
 
 
-def flow_steps(edges: DataFrame) -> DataFrame:
+def flow_steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """source, target, flow_id: calls below route handlers; the flow is the least handler that reaches the call.
 
-    The labels of handlers spread along calls: in each round a node takes the least label that came to it, until none
+    Only calls between methods and constructors among nodes count. The labels of handlers spread along calls: in each round a node takes the least label that came to it, until none
     changes. Order within a flow needs a depth-first walk; step_order() gives it for one flow at a time.
     """
-    call = staged(edges.where("type = 'CALLS'").select("source", "target").distinct())
+    methods = nodes.where(F.col("type").isin("Method", "Constructor")).select("id").distinct()
+    call = edges.where("type = 'CALLS'").select("source", "target").distinct()
+    for end in ("source", "target"):
+        call = call.join(methods.withColumnRenamed("id", end), end, "left_semi")
+    call = staged(call.select("source", "target"))
     known = staged(edges.where("type = 'HANDLES_ROUTE'").select(F.col("source").alias("id"), F.col("source").alias("flow_id")).distinct())
     frontier = known
     while True:
@@ -85,24 +89,46 @@ def step_order(steps: DataFrame) -> DataFrame:
     return steps.groupBy("flow_id").applyInPandas(walk, "source string, target string, flow_id string, step_index long")
 
 
+#: Endings of names by layer, in the order in which they are tried, and the layer of each stereotype.
+NAME_LAYERS = (
+    ("PRESENTATION", ("Controller", "RestController", "Route")),
+    ("SERVICE", ("Service", "ServiceImpl")),
+    ("DATA_ACCESS", ("Repository", "RepositoryImpl", "Dao", "DAO", "Mapper", "DBModel")),
+    ("DOMAIN", ("Entity", "Dto", "DTO", "Model", "Record", "Enum")),
+)
+STEREOTYPES = {"CONTROLLER": "PRESENTATION", "SERVICE": "SERVICE", "REPOSITORY": "DATA_ACCESS", "ENTITY": "DOMAIN", "CONFIG": "OTHER", "COMPONENT": "OTHER"}
+FILE_ORDER = ("PRESENTATION", "SERVICE", "DATA_ACCESS", "DOMAIN", "OTHER")
+TYPES = ("Class", "Interface", "Enum", "Record", "DBModel")
+
+
 def layer_of_name(name: Column) -> Column:
-    """The layer that a type's name tells, by its ending."""
-    return (
-        F.when(name.rlike("(Controller|Resource|Endpoint|View)$"), "PRESENTATION").when(name.rlike("(Service|ServiceImpl|Facade|UseCase)$"), "SERVICE")
-        .when(name.rlike("(Repository|Dao|Mapper|Store)$"), "DATA_ACCESS").when(name.rlike("(Entity|Model|Dto|Record)$"), "DOMAIN")
-    )
+    """The layer that a type's name tells, by its ending, else OTHER."""
+    out = F.lit("OTHER")
+    for layer, endings in reversed(NAME_LAYERS):
+        out = F.when(name.rlike(f"({'|'.join(endings)})$"), layer).otherwise(out)
+    return out
 
 
 def layers(nodes: DataFrame) -> DataFrame:
-    """id, layer of types and methods: by DBModel, by name, else that of the owner, else of most types of the file, else OTHER."""
-    types = nodes.where(F.col("type").isin("Class", "Interface", "Enum", "Record", "DBModel"))
-    own = types.select("id", "file_path", F.when(F.col("type") == "DBModel", "DOMAIN").otherwise(layer_of_name(F.col("name"))).alias("own"))
-    counts = own.where("own is not null").groupBy("file_path", "own").agg(F.count(F.lit(1)).alias("n"))
-    file = counts.groupBy("file_path").agg(F.min_by("own", F.struct(-F.col("n"), F.col("own"))).alias("of_file"))
-    types_layer = own.join(file, "file_path", "left").select("id", F.coalesce("own", "of_file", F.lit("OTHER")).alias("layer"))
-    methods = nodes.where("type = 'Method'").select("id", owner_of(F.col("full_name")).alias("owner"), "file_path")
-    of_owner = methods.join(types_layer.select(F.col("id").alias("owner"), F.col("layer").alias("of_owner")), "owner", "left").join(file, "file_path", "left")
-    return types_layer.unionAll(of_owner.select("id", F.coalesce("of_owner", "of_file", F.lit("OTHER"))))
+    """id, layer of types, methods, constructors, fields, endpoints and files.
+
+    A node's own layer comes first: DBModel is DOMAIN, and a stereotype (a column spring_layer, if there is one) tells others.
+    A member takes its owner's layer, where the owner is there; an endpoint without one is PRESENTATION, records and enums
+    are DOMAIN, other types go by their names, other members are OTHER. A file takes the first of FILE_ORDER among its types.
+    """
+    name, kind = F.coalesce("name", F.lit("")), F.col("type")
+    stereotype = F.coalesce(*[F.when(F.col("spring_layer") == s, layer) for s, layer in STEREOTYPES.items()]) if "spring_layer" in nodes.columns else F.lit(None).cast("string")
+    explicit = F.when(kind == "DBModel", "DOMAIN").otherwise(stereotype)
+    by_name = F.when(kind.isin("APIEndpoint", "Route"), "PRESENTATION").when(kind.isin("Record", "Enum"), "DOMAIN").when(kind.isin(*TYPES), layer_of_name(name)).otherwise("OTHER")
+    known = nodes.where(kind.isin(*TYPES, "Method", "Constructor", "Field", "APIEndpoint", "Route")).select(
+        "id", "full_name", "file_path", "type", explicit.alias("explicit"), by_name.alias("by_name"), F.when(~kind.isin(*TYPES), owner_of(F.col("full_name"))).alias("owner")
+    )
+    types = known.where(kind.isin(*TYPES)).select("id", "full_name", "file_path", F.coalesce("explicit", "by_name").alias("layer"))
+    members = known.where(~kind.isin(*TYPES)).join(types.select(F.col("full_name").alias("owner"), F.col("layer").alias("of_owner")), "owner", "left")
+    place = F.array_position(F.array(*[F.lit(x) for x in FILE_ORDER]), F.col("layer"))
+    of_file = types.where("file_path is not null").groupBy("file_path").agg(F.min(place).cast("int").alias("place"))
+    files = nodes.where("type = 'File'").join(of_file, "file_path", "left").select("id", F.coalesce(F.element_at(F.array(*[F.lit(x) for x in FILE_ORDER]), F.coalesce("place", F.lit(5))), F.lit("OTHER")).alias("layer"))
+    return types.select("id", "layer").unionAll(members.select("id", F.coalesce("explicit", "of_owner", "by_name"))).unionAll(files)
 
 
 def layer_profile(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:

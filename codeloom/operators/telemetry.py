@@ -130,10 +130,15 @@ def fold_filters(rows: DataFrame, *, equal: dict | None = None, contains: dict |
 
 
 def tier_price(orders: DataFrame, tiers: DataFrame) -> DataFrame:
-    """orders (id, n) with the credits of the tier of the least max_files that is at least n; a null max_files has no end."""
+    """orders (n and any other columns) with the credits of the tier of the least max_files that is at least n; a null max_files has no end.
+
+    The price list is summed to one sorted array, and each order takes the first tier that holds it: no shuffle of orders,
+    and equal orders stay apart. Of tiers with one end the cheapest counts; an order that no tier holds has null credits.
+    """
     top = F.coalesce(F.col("max_files"), F.lit(2**63 - 1))
-    hit = orders.join(F.broadcast(tiers), F.col("n") <= top)  # a price list
-    return hit.groupBy("id", "n").agg(F.min_by("credits", top).alias("credits"))
+    prices = tiers.agg(F.array_sort(F.collect_list(F.struct(top.alias("top"), "credits"))).alias("__tiers"))
+    first = F.try_element_at(F.filter("__tiers", lambda t: t["top"] >= F.col("n")), F.lit(1))
+    return orders.crossJoin(F.broadcast(prices)).withColumn("credits", first["credits"]).drop("__tiers")  # one row
 
 
 def in_period(events: DataFrame, periods: DataFrame, key: str = "user_id") -> DataFrame:

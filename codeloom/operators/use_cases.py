@@ -22,11 +22,35 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(r"^\{[^}]*\}$"))
 
 
+#: Beginnings, whole paths and parts that are no business goals.
+EXCLUDED_STARTS = ("/actuator", "/health", "/metrics", "/swagger-ui", "/v3/api-docs", "/api/docs", "/static", "/assets", "/webjars", "/test", "/home/", "/index/")
+EXCLUDED_PATHS = ("/error", "/favicon.ico", "/", "/home", "/index")
+EXCLUDED_PARTS = ("/debug", "/internal", "/__", "/test/")
+AUTH_GOALS = ("register", "signup", "sign-up", "login", "signin", "sign-in")
+MUTATING = ("POST", "PUT", "PATCH", "DELETE")
+
+
+def excluded(path: Column) -> Column:
+    """Whether a path is no business goal: blank, plumbing, an asset, a landing page, a screen, or technical parts of signing in."""
+    p = F.lower(F.coalesce(path, F.lit("")))
+    any_of = lambda tests: F.coalesce(*[F.when(t, F.lit(True)) for t in tests], F.lit(False))
+    plumbing = any_of([F.trim(p) == "", p.isin(*EXCLUDED_PATHS), *[p.startswith(x) for x in EXCLUDED_STARTS], *[F.contains(p, F.lit(x)) for x in EXCLUDED_PARTS]])
+    parts = F.filter(F.split(p, "/"), lambda s: (F.trim(s) != "") & ~s.rlike(r"^\{[^}]*\}$") & (s != "api") & ~s.rlike(r"^v\d+$"))
+    last = F.try_element_at(parts, F.lit(-1))
+    screen = F.exists(parts, lambda s: s.rlike(TECH_SEGMENT)) | F.coalesce(last.rlike(UI_SCREEN_PREFIX) | last.rlike(UI_SCREEN_SUFFIX), F.lit(False))
+    technical = (F.contains(p, F.lit("/auth/")) | p.endswith("/auth")) & ~signs_in(p)
+    return plumbing | p.rlike(STATIC_ASSET) | screen | technical
+
+
+def signs_in(path: Column) -> Column:
+    """Whether a path in lower case is a goal of signing in or up."""
+    return F.coalesce(*[F.when(F.contains(path, F.lit(x)), F.lit(True)) for x in AUTH_GOALS], F.lit(False))
+
+
 def goals(endpoints: DataFrame) -> DataFrame:
-    """Endpoints (route, method, path, controller, role, is_view) that are goals of a user: no assets, screens, plumbing, or pages that are only read."""
-    bad = lambda s: s.rlike(UI_SCREEN_PREFIX) | s.rlike(UI_SCREEN_SUFFIX) | (s.rlike(TECH_SEGMENT) & ~F.lower(s).isin("api"))
-    page = F.coalesce("is_view", F.lit(False)) & (F.col("method") == "GET")
-    return endpoints.where(~page & ~F.col("path").rlike(STATIC_ASSET) & ~F.exists(segments(F.col("path")), bad))
+    """Endpoints (route, method, path, controller, role, is_view) that are goals of a user: not excluded, and no pages that are only read, but for signing in."""
+    page = F.coalesce("is_view", F.lit(False)) & ~F.upper(F.coalesce("method", F.lit(""))).isin(*MUTATING) & ~signs_in(F.lower(F.coalesce("path", F.lit(""))))
+    return endpoints.where(~page & ~excluded(F.col("path")))
 
 
 def auth_kind(path: Column, controller: Column) -> Column:

@@ -7,25 +7,40 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scalars import keywords
 from codeloom.operators.shaping import enclosing_symbol
-from codeloom.operators.traversal import affected_routes, impact, override_counterparts, owner_of, reachable_symbols, resolve
+from codeloom.operators.traversal import affected_routes, impact, override_counterparts, reachable_symbols, resolve
 from codeloom.sources.text_tables import compiler_errors, file_scores, lines, stack_frames
 
 #: Endings of tests' names, edges by which a test refers to code, and types that hold members.
-TEST_SUFFIXES = ("Test", "Tests", "IT", "IntegrationTest")
-REFERENCE_EDGES = ("CALLS", "IMPORTS", "INSTANTIATES", "INJECTS", "EXTENDS", "IMPLEMENTS", "TYPE_OF")
-CLASS_LIKE = ("Class", "Interface", "Enum", "Record", "DBModel")
+TEST_SUFFIXES = ("Test", "Tests", "IT", "ITCase", "IntegrationTest")
+REFERENCE_EDGES = ("IMPORTS", "CALLS", "TYPE_OF", "EXTENDS", "INSTANTIATES", "PARAMETER_TYPE", "RETURNS")
+CLASS_LIKE = ("Class", "Interface", "Enum", "Record")
+#: Words of a change that ask for a level of tests beside the unit tests, and endings of files that do.
+PERSISTENCE = ("repository", "neo4j", "cypher", "persist", "database", "entity")
+ENDPOINT = ("endpoint", "api", "controller", "route", "mcp")
+FRONTEND = ("vue", "frontend", "component")
+FRONTEND_FILES = (".vue", ".ts", ".tsx", ".js")
+LEVELS = ("unit", "integration/Testcontainers", "mcp-live / api", "frontend-unit", "browser-smoke")
 
 
 def is_test(nodes: DataFrame) -> Column:
     path = F.coalesce(F.lower("file_path"), F.lit(""))
-    return path.rlike("(src/test/|test/java/)") | F.col("name").rlike(f"({'|'.join(TEST_SUFFIXES)})$")
+    return path.rlike("(src/test/|test/java/)") | F.coalesce(F.col("name").rlike(f"({'|'.join(TEST_SUFFIXES)})$"), F.lit(False))
+
+
+def members_of(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """id of the nodes whose full name begins with that of one of classes (id, full_name) and a dot: members, and those of nested types.
+
+    A name meets each of its own dotted beginnings, as many as it has parts, in an equi join.
+    """
+    before_call = F.split(F.regexp_extract("full_name", r"^[^(]*", 0), "[.]")
+    starts = nodes.select("id", "full_name", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(before_call) - 1, F.lit(1))), lambda k: F.array_join(F.slice(before_call, 1, k), "."))).alias("start"))
+    return starts.where("full_name <> start").join(classes.select(F.col("full_name").alias("start")), "start", "left_semi").select("id").distinct()
 
 
 def related_tests(nodes: DataFrame, edges: DataFrame, target: str, cap: int = 50) -> DataFrame:
     """id, match_type, confidence, total: tests that refer to a class or its members (HIGH), then those named after it (MEDIUM)."""
     cls = nodes.where((F.col("id") == target) & F.col("type").isin(*CLASS_LIKE)).select("id", "full_name", "name")
-    members = nodes.withColumn("owner", owner_of(F.col("full_name"))).join(cls.select(F.col("full_name").alias("owner")), "owner", "left_semi").select("id")
-    ids = cls.select("id").unionAll(members)
+    ids = cls.select("id").unionAll(members_of(nodes, cls))
     tests = nodes.where(is_test(nodes))
     hit = edges.where(F.col("type").isin(*REFERENCE_EDGES)).join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
     by_graph = tests.join(hit, "id", "left_semi").select("id", "full_name", F.lit(0).alias("rank"))
@@ -95,11 +110,19 @@ def method_source(nodes: DataFrame, sources: DataFrame, query: str) -> DataFrame
     return lines(sources, "file").join(F.broadcast(span), "file").where(F.col("line").between(F.col("line_number"), F.col("end_line"))).select("id", "line", "text")  # one row
 
 
-def test_plan(changes: DataFrame) -> DataFrame:
-    """id, level: which levels of tests a change (id, text) asks for, by its words; a unit test always."""
-    rules = {"integration": "repository|database|sql|migration|transaction", "api": "controller|endpoint|route|rest|http", "security": "auth|login|token|permission|role", "performance": "cache|batch|index|throughput|latency"}
-    levels = F.array(F.lit("unit"), *[F.when(F.lower("text").rlike(p), F.lit(name)) for name, p in rules.items()])
-    return changes.select("id", F.explode(F.filter(levels, lambda x: x.isNotNull())).alias("level"))
+def test_plan(changes: DataFrame, tolerance: str = "low") -> DataFrame:
+    """id, level: the levels of tests that a change (id, text, and files, an array that may be missing) asks for; a unit test always.
+
+    With a high tolerance of risk a plan is its first two levels.
+    """
+    text = F.lower(F.coalesce("text", F.lit("")))
+    files = F.transform(F.coalesce("files", F.array().cast("array<string>")), lambda f: F.lower(f)) if "files" in changes.columns else F.array().cast("array<string>")
+    says = lambda words: F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(True)) for w in words], F.lit(False))
+    ends = lambda f: F.coalesce(*[F.when(F.endswith(f, F.lit(x)), F.lit(True)) for x in FRONTEND_FILES], F.lit(False))
+    front = says(FRONTEND) | F.exists(files, ends)
+    asked = (F.lit(True), says(PERSISTENCE), says(ENDPOINT), front, front)
+    levels = F.filter(F.array(*[F.when(a, F.lit(name)) for name, a in zip(LEVELS, asked, strict=True)]), lambda x: x.isNotNull())
+    return changes.select("id", F.explode(F.slice(levels, 1, 2) if tolerance == "high" else levels).alias("level"))
 
 
 def impact_summary(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 3) -> DataFrame:

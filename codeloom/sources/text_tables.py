@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.scalars import ignored, redacted
 
 #: Folders that a scan of sources leaves out.
-SKIPPED = ("target", "build", ".git", ".idea", "node_modules", "out", "bin", ".gradle")
+SKIPPED = ("target", "build", ".git", ".idea", ".gradle", "node_modules", "out", "bin")
 
 
 def java_files(spark: SparkSession, root: str) -> DataFrame:
@@ -24,40 +24,65 @@ def java_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.col("path").rlike(skip)).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def local_snapshot(spark: SparkSession, root: str, globs: list[str], most_bytes: int = 1 << 20) -> DataFrame:
-    """path, size, sha256 of the files under a folder that no rule ignores, no null byte marks as binary, and that aren't too large."""
+def _local_files(spark: SparkSession, root: str, globs: list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.col("path"), f"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
-    own = files.where(F.col("length") <= most_bytes).select(rel.alias("path"), F.col("length").alias("size"), "content")
-    return own.where(~ignored(F.col("path"), globs) & ~F.contains(F.col("content"), F.lit(b"\x00"))).select("path", "size", F.sha2("content", 256).alias("sha256"))
+    return files.select(rel.alias("path"), F.col("length").alias("size"), "content").where(~ignored(F.col("path"), globs))
 
 
-def archive_files(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
-    """archive, path, content of the files in ZIP and TAR archives; links, absolute paths and paths with .. are left out.
+def local_snapshot(spark: SparkSession, root: str, globs: list[str], most_bytes: int = 1 << 20) -> DataFrame:
+    """path, size, sha256 of the files under a folder that no rule ignores, no null byte marks as binary, and that aren't too large.
 
-    An archive is opened by one task and read until most_bytes are out.
+    It is complete if `not_in_snapshot` has no row with the reason "too large".
     """
+    own = _local_files(spark, root, globs).where(F.col("size") <= most_bytes)
+    return own.where(~F.contains(F.col("content"), F.lit(b"\x00"))).select("path", "size", F.sha2("content", 256).alias("sha256"))
+
 
-    def members(data: bytes) -> Iterator[tuple[str, bytes]]:
+def not_in_snapshot(spark: SparkSession, root: str, globs: list[str], most_bytes: int = 1 << 20) -> DataFrame:
+    """path, size, reason of the files that no rule ignores and that local_snapshot leaves out: too large, or binary."""
+    reason = F.when(F.col("size") > most_bytes, "too large").when(F.contains(F.col("content"), F.lit(b"\x00")), "binary")
+    return _local_files(spark, root, globs).select("path", "size", reason.alias("reason")).where("reason is not null")
+
+
+def _members(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
+    """archive, path, size, content, skipped of every entry but folders; content is null where skipped says why."""
+
+    def entries(data: bytes) -> Iterator[tuple[str, int, bool, Callable[[], bytes]]]:
         if data[:2] == b"PK":
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+                yield from ((i.filename, i.file_size, True, lambda i=i: z.read(i)) for i in z.infolist() if not i.is_dir())
         else:
             with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+                yield from ((m.name, m.size, m.isfile(), lambda m=m: t.extractfile(m).read()) for m in t if not m.isdir())
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, data in zip(batch["path"], batch["content"], strict=True):
-                left = most_bytes
-                for name, content in members(bytes(data)):
-                    left -= len(content)
-                    if left < 0:
-                        break
-                    if not name.startswith("/") and ".." not in name.split("/"):
-                        yield pd.DataFrame({"archive": [archive], "path": [name], "content": [content]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "archive string, path string, content binary")
+                try:
+                    for name, size, is_file, read in entries(bytes(data)):
+                        unsafe = name.startswith("/") or ".." in name.split("/")
+                        skipped = "unsafe path" if unsafe else "no plain file" if not is_file else "too large" if size > most_bytes else None
+                        yield pd.DataFrame({"archive": [archive], "path": [name], "size": [size], "content": [None if skipped else read()], "skipped": [skipped]})
+                except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as e:
+                    yield pd.DataFrame({"archive": [archive], "path": [None], "size": [0], "content": [None], "skipped": [f"broken: {type(e).__name__}"]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(rows, "archive string, path string, size long, content binary, skipped string")
+
+
+def archive_files(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
+    """archive, path, content of the files in ZIP and TAR archives, whatever they come to together.
+
+    An archive is opened by one task, a member at a time. Links, absolute paths, paths with .. and members that are over
+    most_bytes by their header are left out before they are unpacked; archive_skips lists them.
+    """
+    return _members(spark, path, most_bytes).where("skipped is null").select("archive", "path", "content")
+
+
+def archive_skips(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
+    """archive, skipped, n: how many members archive_files leaves out, for each reason; a broken archive says so."""
+    return _members(spark, path, most_bytes).where("skipped is not null").groupBy("archive", "skipped").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lines(texts: DataFrame, key: str) -> DataFrame:

@@ -32,6 +32,9 @@ def test_goals_leave_out_assets_screens_and_pages(spark):
     rows = [("a", "GET", "/a.css", None, None, None), ("b", "GET", "/x/add-new-cards", None, None, None), ("c", "GET", "/shop", None, None, True), ("d", "POST", "/shop", None, None, True), ("e", "GET", "/api/v1/cities/{id}", "UserApi", "ROLE_SELLER", False)]
     got = {r.route: r for r in use_cases.inferred(spark.createDataFrame(rows, "route string, method string, path string, controller string, role string, is_view boolean")).collect()}
     assert set(got) == {"d", "e"}
+    paths = ["/actuator/x", "/ERROR", "/", "/home/x", "/a/internal/b", "/api/auth/token", "/auth/login", "/user-apis", "/api/check-deletes/brand/{id}", "/orders/my-page", "/my-page/orders", "/login", None, " "]
+    views = spark.createDataFrame([(p, "GET", p, None, None, p == "/login") for p in paths], "route string, method string, path string, controller string, role string, is_view boolean")
+    assert {r.route for r in use_cases.goals(views).collect()} == {"/auth/login", "/my-page/orders", "/login"}
     assert (got["e"].actor, got["e"].domain, got["e"].domain_confidence) == ("Seller", "User", 0.9)
     assert (got["d"].actor, got["d"].actor_confidence, got["d"].domain) == ("User", 0.7, "Shop")
 
@@ -40,6 +43,8 @@ def test_tests_that_refer_come_before_those_that_are_named_alike(spark):
     n, e = graph(spark, [("A", "Class"), ("A.m()", "Method"), ("ATest", "Class"), ("BTest", "Class"), ("C", "Class")], [("BTest", "CALLS", "A.m()"), ("C", "CALLS", "A")])
     got = tools.related_tests(n, e, "A").collect()
     assert [(r.id, r.confidence, r.total) for r in got] == [("BTest", "HIGH", 2), ("ATest", "MEDIUM", 2)]
+    n, e = graph(spark, [("A", "Class"), ("A.B", "Class"), ("A.B.m(x.Y)", "Method"), ("AB.m()", "Method"), ("DTest", "Class"), ("AITCase", "Class"), ("ETest", "Class")], [("DTest", "RETURNS", "A.B.m(x.Y)"), ("ETest", "CALLS", "AB.m()")])
+    assert [r.id for r in tools.related_tests(n, e, "A").collect()] == ["DTest", "AITCase"]  # members of nested types count, names that begin alike don't
 
 
 def test_changes_errors_and_plans(spark):
@@ -50,6 +55,8 @@ def test_changes_errors_and_plans(spark):
     sources = spark.createDataFrame([("/f/a", "fetch the order\norder"), ("/f/b", "nothing")], "file string, text string")
     assert [(r.file, r.score, r.n_dependents) for r in tools.planned_change(n, e, sources, "fetch order").collect()] == [("/f/a", 32, 1)]
     assert {(r.line, r.id) for r in tools.found_lines(n, sources, "ORDER").collect()} == {(1, "a.x()"), (2, "a.x()")}
-    assert {r.level for r in tools.test_plan(spark.createDataFrame([(1, "Login route")], "id int, text string")).collect()} == {"unit", "api", "security"}
+    assert {r.level for r in tools.test_plan(spark.createDataFrame([(1, "Login route")], "id int, text string")).collect()} == {"unit", "mcp-live / api"}
+    high = tools.test_plan(spark.createDataFrame([(1, "Login route of the repository", ["a.vue"])], "id int, text string, files array<string>"), "high").collect()
+    assert [r.level for r in high] == ["unit", "integration/Testcontainers"]
     assert tools.method_source(n, sources, "a.x()").where(F.col("line") == 2).first().text == "order"
     assert tools.impact_summary(n, e, "a.x()").first().n_routes == 1

@@ -107,8 +107,8 @@ def test_triggers_keep_one_event_a_pair_and_no_loops(spark):
 
 
 def test_a_step_belongs_to_the_least_handler_that_reaches_it(spark):
-    _, e = graph(spark, [], [("h2", "HANDLES_ROUTE", "r2"), ("h1", "HANDLES_ROUTE", "r1"), ("h2", "CALLS", "a"), ("a", "CALLS", "b"), ("h1", "CALLS", "b"), ("b", "CALLS", "a"), ("x", "CALLS", "a")])
-    assert {(r.source, r.target, r.flow_id) for r in inference.flow_steps(e).collect()} == {("h2", "a", "h2"), ("h1", "b", "h1"), ("b", "a", "h1"), ("a", "b", "h1")}
+    n, e = graph(spark, [(x, "Method") for x in ("h1", "h2", "a", "b", "x")] + [("k", "Class")], [("b", "CALLS", "k"), ("h2", "HANDLES_ROUTE", "r2"), ("h1", "HANDLES_ROUTE", "r1"), ("h2", "CALLS", "a"), ("a", "CALLS", "b"), ("h1", "CALLS", "b"), ("b", "CALLS", "a"), ("x", "CALLS", "a")])
+    assert {(r.source, r.target, r.flow_id) for r in inference.flow_steps(e, n).collect()} == {("h2", "a", "h2"), ("h1", "b", "h1"), ("b", "a", "h1"), ("a", "b", "h1")}
 
 
 def test_steps_are_numbered_depth_first(spark):

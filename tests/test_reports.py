@@ -51,7 +51,9 @@ def test_redaction_keeps_line_numbers(spark):
 
 def test_globs(spark):
     paths = ["src/a.log", "a.log", "build/x/y.java", "src/build.java", "keep.log"]
-    assert values(spark, "string", paths, lambda c: scalars.ignored(c, ["*.log", "build", "!keep.log"])) == [True, True, True, False, False]
+    assert values(spark, "string", paths, lambda c: scalars.ignored(c, ["*.log", "build", "!keep.log"])) == [True, True, True, False, True]
+    paths = ["a/dist/x", "dist/x/y", "a/b.pem", "src/node_modules/x", "node_modules/x", "a/.env", "q/x1.txt"]
+    assert values(spark, "string", paths, lambda c: scalars.ignored(c, ["dist/**", "*.pem", "node_modules/", ".env", "q/x?.txt"])) == [False, True, True, False, True, True, True]
 
 
 def test_words(spark):
@@ -63,7 +65,14 @@ def test_words(spark):
 
 
 def test_fnv(spark):
-    assert values(spark, "string", ["", "a"], scalars.fnv1a) == [2166136261, 0xE40C292C]
+    def units(text):
+        raw, h = text.encode("utf-16-le"), 2166136261
+        for k in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[k : k + 2], "little")) * 16777619 % 2**32
+        return h
+
+    texts = ["", "a", "é", "𝄞x🙂", "漢字"]
+    assert values(spark, "string", texts, scalars.fnv1a) == [units(t) for t in texts] and units("a") == 0xE40C292C
 
 
 def test_a_null_key_is_a_group(spark):
@@ -90,6 +99,9 @@ def test_tiers_without_an_end(spark):
     tiers = spark.createDataFrame([(None, 9), (10, 1), (20, 4)], "max_files long, credits int")
     orders = spark.createDataFrame([(1, 10), (2, 11), (3, 999)], "id long, n long")
     assert {(r.id, r.credits) for r in telemetry.tier_price(orders, tiers).collect()} == {(1, 1), (2, 4), (3, 9)}
+    again = orders.unionAll(orders).withColumn("note", F.lit("x"))
+    assert telemetry.tier_price(again, tiers).where("note = 'x'").count() == 6
+    assert telemetry.tier_price(orders, tiers.where("max_files = 10")).where("credits is null").count() == 2
 
 
 def test_stacks_and_compilers(spark):
@@ -112,12 +124,17 @@ def test_sources_and_archives(spark, tmp_path):
     files = text_tables.java_files(spark, str(root)).select(text_tables.source_root(F.col("path"), F.col("text")).alias("r")).collect()
     assert len(files) == 1 and files[0].r.endswith("/proj/src")
     assert {r.path for r in text_tables.local_snapshot(spark, str(root), ["target"]).collect()} == {"src/com/x/A.java"}
+    (root / "big.txt").write_text("x" * 99)
+    (root / "b.bin").write_bytes(b"\x00")
+    assert {(r.path, r.reason) for r in text_tables.not_in_snapshot(spark, str(root), ["target"], 50).collect()} == {("big.txt", "too large"), ("b.bin", "binary")}
     with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
         for name in ("ok.txt", "../bad.txt"):
             i = tarfile.TarInfo(name)
             i.size = 2
             t.addfile(i, io.BytesIO(b"hi"))
     assert [(r.path, bytes(r.content)) for r in text_tables.archive_files(spark, str(tmp_path / "a.tar.gz")).collect()] == [("ok.txt", b"hi")]
+    (tmp_path / "broken.zip").write_bytes(b"PK no")
+    assert {(r.skipped, r.n) for r in text_tables.archive_skips(spark, f"{tmp_path}/*.[tz]*", 1).collect()} == {("unsafe path", 1), ("too large", 1), ("broken: BadZipFile", 1)}
 
 
 def replay(spark, tmp_path, rows, schema, make, name):
