@@ -15,13 +15,21 @@ QUALITY, TOXIC = 0.3, 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose score by the sparse rule ensemble is under QUALITY."""
+    """Drops documents whose score by the sparse rule ensemble is under QUALITY.
+
+    Null and empty texts are scored as empty; rows with a null doc_id teach nothing and are scored; rows that repeat fare alike.
+    Without labels all documents stay.
+    """
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"), "quality", F.col("doc_id").isNotNull())
     return rule_ensemble.score(docs, model, COLUMNS).where(F.col("score") >= QUALITY).select(*COLUMNS)
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose score by the class-conditional Kneser-Ney models is TOXIC or more."""
+    """Drops documents whose score by the class-conditional Kneser-Ney models is TOXIC or more.
+
+    Null and empty texts have no word and stay; rows with a null doc_id are counted for what both classes share, and are
+    scored; rows that repeat fare alike. Without labels all documents stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", F.col("doc_id").isNotNull())
     return toxicity.score(docs, model, COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
 
@@ -39,13 +47,16 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens, every window with the sources' shares of all tokens."""
+    """Packs what is left into sequences of 1024 tokens, every window with the sources' shares of all tokens.
+
+    Null texts are the end token alone, null sources a queue of their own, null ids stay null, and rows that repeat are all packed.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality classifier", quality), ("toxicity", non_toxic), ("n-gram Jaccard join", distinct_documents), ("mixture packing", packed)]
 
-#: Trained models and tokens are beyond SQL; tests compare the stages with brute force.
+#: Trained models and tokens are beyond SQL; tests/llm/test_pipeline.py compares every stage with plain Python.
 ORACLE_SQL = None
 
 
