@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,19 +176,23 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def accepted_debits(debits: DataFrame) -> DataFrame:
-    """user_id, id, accepted: debits in order of id against a limit; one that the rest of the balance can't pay is refused.
+    """user_id, id, accepted: debits in order of id and amount against a limit, that of the user's first debit; one that the rest can't pay is refused.
 
-    What is refused leaves the balance to the later ones, which no running sum can tell, so each user's debits are folded in
-    one group.
+    What is refused leaves the balance to the later ones, which no running sum can tell. The debits stream by, sorted by
+    user, and a balance is all that is held, however many debits a user has. A null or negative amount is refused.
     """
 
-    def fold(pdf):
-        pdf = pdf.sort_values("id")
-        left, out = int(pdf["credits_limit"].iloc[0]), []
-        for amount in pdf["amount"]:
-            ok = 0 < amount <= left
-            left -= int(amount) if ok else 0
-            out.append(ok)
-        return pdf[["user_id", "id"]].assign(accepted=out)
-
-    return debits.groupBy("user_id").applyInPandas(fold, "user_id long, id long, accepted boolean")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, left, first = None, 0, True
+        for b in batches:
+            out = []
+            for who, amount, limit in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if first or who != user:
+                    user, left, first = who, limit or 0, False
+                ok = amount is not None and 0 < amount <= left
+                left -= amount if ok else 0
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["user_id", "id", "accepted"])
+
+    rows = debits.select(*[F.col(c).cast("long").alias(c) for c in ("user_id", "id", "amount", "credits_limit")])
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "id", "amount").mapInArrow(fold, "user_id long, id long, accepted boolean")

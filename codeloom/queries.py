@@ -572,7 +572,10 @@ def snapshot_diff(spark, sf_dir):
     return telemetry.snapshot_diff(p.where("k % 5 <> 0").select("path", "sha256"), later.select("path", "sha256"))
 
 
-@query(None, graph=False)
+@query("""WITH RECURSIVE d AS (SELECT o_custkey AS user_id, o_orderkey AS id, trunc(o_totalprice / 1000)::bigint AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+w AS (SELECT user_id, n, id, amount BETWEEN 1 AND 500 AS accepted, CASE WHEN amount BETWEEN 1 AND 500 THEN 500 - amount ELSE 500 END AS balance FROM d WHERE n = 1
+UNION ALL SELECT d.user_id, d.n, d.id, amount BETWEEN 1 AND balance, CASE WHEN amount BETWEEN 1 AND balance THEN balance - amount ELSE balance END FROM w JOIN d ON d.user_id = w.user_id AND d.n = w.n + 1)
+SELECT user_id, id, accepted FROM w""", graph=False)
 def accepted_debits(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).cast("long").alias("amount"), F.lit(500).cast("long").alias("credits_limit"))
     return telemetry.accepted_debits(o)
@@ -886,7 +889,14 @@ def online_series(spark, sf_dir):
     return streams.online_series(e).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
 
 
-@query(None, graph=False)
+@query("""WITH RECURSIVE e AS (SELECT user_id::varchar AS key, event_id AS id, epoch_ms(ts) AS ms, event_type <> 'error' AS success, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT key, 0::bigint AS n, 0::bigint AS id, TRUE AS allowed, 0 AS failed, 0 AS locks, 0::bigint AS locked FROM e WHERE n = 1
+UNION ALL SELECT e.key, e.n, e.id, ms >= locked,
+  CASE WHEN ms < locked THEN failed WHEN success OR failed + 1 >= 2 THEN 0 ELSE failed + 1 END,
+  CASE WHEN ms < locked THEN locks WHEN success THEN 0 WHEN failed + 1 >= 2 THEN locks + 1 ELSE locks END,
+  CASE WHEN ms < locked THEN locked WHEN success THEN 0 WHEN failed + 1 >= 2 THEN ms + least(3600000 * pow(2, locks), 86400000)::bigint ELSE locked END
+FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+SELECT key, id, allowed FROM w WHERE n > 0""", graph=False)
 def login_verdicts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") != "error").alias("success"))
     return streams.throttled_rows(e, failures=2, lock_ms=3_600_000, longest_ms=86_400_000)
@@ -965,7 +975,9 @@ def use_case_titles(spark, sf_dir):
     return use_cases.use_cases(use_cases.inferred(_routes(spark, sf_dir)))
 
 
-@query(None)
+@query(_CASES + """, a AS (SELECT unnest(string_split(actors, ', ')) AS actor, domain FROM cases)
+SELECT '0' AS line, '@startuml' AS text UNION ALL SELECT '4', '@enduml' UNION ALL SELECT DISTINCT '1' || actor, 'actor ' || actor FROM a
+UNION ALL SELECT '2' || domain, 'usecase "' || title || '" as ' || domain FROM cases UNION ALL SELECT '3' || actor || '|' || domain, actor || ' --> ' || domain FROM a""", graph=False)
 def use_case_diagram(spark, sf_dir):
     return use_cases.plantuml(use_cases.use_cases(use_cases.inferred(_routes(spark, sf_dir))))
 
