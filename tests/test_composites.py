@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import flows, use_cases
+from codeloom.operators import flows, shaping, use_cases
 from codeloom.plans import tools
+from codeloom.streaming import events
 from test_graph import graph
 
 
@@ -60,3 +61,15 @@ def test_changes_errors_and_plans(spark):
     assert [r.level for r in high] == ["unit", "integration/Testcontainers"]
     assert tools.method_source(n, sources, "a.x()").where(F.col("line") == 2).first().text == "order"
     assert tools.impact_summary(n, e, "a.x()").first().n_routes == 1
+
+
+def test_watched_paths_titles_and_flow_parts(spark):
+    paths = spark.createDataFrame([("a/B.java",), ("target/B.java",), ("a/.git/B.java",), ("a/b.png",)], "path string")
+    assert [r.path for r in events.watched(paths).collect()] == ["a/B.java"]
+    titles = spark.createDataFrame([("/api/order_lines/{id}/items",)], "path string")
+    assert titles.select(flows.path_title(F.col("path"))).first()[0] == "Api order lines items"
+    n, e = graph(spark, [("a()", "Method"), ("b()", "Method"), ("c()", "Method")], [("a()", "CALLS", "b()"), ("b()", "CALLS", "c()")])
+    kept, among = shaping.flow_part(n, e, spark.createDataFrame([("a()",), ("b()",)], "id string"))
+    assert {r.id for r in kept.collect()} == {"a()", "b()"} and [(r.source, r.target) for r in among.collect()] == [("a()", "b()")]
+    listed = [r.id for r in e.where("target = 'c()'").collect()]
+    assert [r.target for r in shaping.flow_part(n, e, kept.select("id"), listed)[1].collect()] == ["c()"]
