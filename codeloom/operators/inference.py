@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.traversal import owner_of, suffix_of
+from codeloom.operators.traversal import COMPACT, owner_of, suffix_of
 from codeloom.plans.staging import staged
 
 
@@ -42,21 +42,25 @@ def flow_steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """source, target, flow_id: calls below route handlers; the flow is the least handler that reaches the call.
 
     Only calls between methods and constructors among nodes count. The labels of handlers spread along calls: in each round a node takes the least label that came to it, until none
-    changes. Order within a flow needs a depth-first walk; step_order() gives it for one flow at a time.
+    changes. A round writes its changes alone. Order within a flow needs a depth-first walk; step_order() gives it for one flow at a time.
     """
     methods = nodes.where(F.col("type").isin("Method", "Constructor")).select("id").distinct()
     call = edges.where("type = 'CALLS'").select("source", "target").distinct()
     for end in ("source", "target"):
         call = call.join(methods.withColumnRenamed("id", end), end, "left_semi")
     call = staged(call.select("source", "target"))
-    known = staged(edges.where("type = 'HANDLES_ROUTE'").select(F.col("source").alias("id"), F.col("source").alias("flow_id")).distinct())
-    frontier = known
+    frontier = known = staged(edges.where("type = 'HANDLES_ROUTE'").select(F.col("source").alias("id"), F.col("source").alias("flow_id")).distinct())
+    least, rounds = known, 0
     while True:
         came = frontier.join(call, frontier.id == call.source).groupBy(F.col("target").alias("id")).agg(F.min("flow_id").alias("new"))
-        frontier = staged(came.join(known, "id", "left").where(F.col("flow_id").isNull() | (F.col("new") < F.col("flow_id"))).select("id", F.col("new").alias("flow_id")))
+        frontier = staged(came.join(least, "id", "left").where(F.col("flow_id").isNull() | (F.col("new") < F.col("flow_id"))).select("id", F.col("new").alias("flow_id")))
         if frontier.isEmpty():
             break
-        known = staged(known.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
+        known, rounds = known.unionByName(frontier), rounds + 1
+        least = known.groupBy("id").agg(F.min("flow_id").alias("flow_id"))
+        if rounds % COMPACT == 0:
+            known = least = staged(least)
+    known = least
     return call.join(known, call.source == known.id).select("source", "target", "flow_id")
 
 

@@ -1,7 +1,7 @@
 """Bounded traversal over an edge table.
 
-Each level joins the frontier with the edges, drops what was seen before and is staged, so the cost of a level is one
-shuffle of its own edges, whatever the levels before it held.
+Each level joins the frontier with the edges, drops what was seen before and is staged. A small frontier is broadcast, so
+a level reads the edges where they lie; a large one shuffles them once.
 """
 
 from __future__ import annotations
@@ -25,20 +25,29 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     """at, next: where one step leads; direction is out, in or both."""
     out = edges.select(F.col("source").alias("at"), F.col("target").alias("next"))
     back = edges.select(F.col("target").alias("at"), F.col("source").alias("next"))
-    return {"out": out, "in": back, "both": out.unionAll(back)}[direction].distinct()
+    return {"out": out, "in": back, "both": out.unionAll(back)}[direction]
+
+
+#: After so many levels what was seen becomes one table again: neither the plan nor the number of files grows with depth.
+COMPACT = 8
 
 
 def reach(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out") -> DataFrame:
-    """id, depth: every node within depth steps of a seed (id), at its least number of steps; seeds at depth 0."""
-    step = staged(steps(edges, direction))
+    """id, depth: every node within depth steps of a seed (id), at its least number of steps; seeds at depth 0.
+
+    The edges are read anew at each level: hand in a stored table, not a long plan.
+    """
+    step = steps(edges, direction)
     seen = staged(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
         found = frontier.join(step, frontier.id == step.at).select(F.col("next").alias("id")).distinct()
         frontier = staged(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        if level < depth and frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
+        if level % COMPACT == 0:
+            seen = staged(seen)
     return seen
 
 
@@ -77,7 +86,7 @@ def node_detail(nodes: DataFrame, edges: DataFrame, center: str, hops: int, dire
     `hops` edges leads back to it.
     """
     here, there = ("source", "target") if direction == "out" else ("target", "source")
-    step = staged(edges.select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("type").alias("edge_type")).distinct())
+    step = edges.select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("type").alias("edge_type"))
     seen = staged(step.where(F.col("at") == center).groupBy(F.col("next").alias("id")).agg(F.min("edge_type").alias("edge_type")).withColumn("depth", F.lit(1)))
     frontier = seen
     for level in range(2, hops + 1):
@@ -164,7 +173,7 @@ def trace_endpoint(edges: DataFrame, route: str, depth: int = 10, most: int = 10
     handler = edges.where((F.col("type") == "HANDLES_ROUTE") & (F.col("target") == route)).select(F.col("source").alias("id")).distinct()
     flows = edges.where("type = 'STEP_IN_FLOW'").join(handler, edges.source == handler.id, "left_semi")
     kind = "CALLS" if flows.isEmpty() else "STEP_IN_FLOW"
-    step = staged(edges.where(F.col("type") == kind).select(F.col("source").alias("parent"), F.col("target").alias("next"), F.col("line_number").alias("line")))
+    step = edges.where(F.col("type") == kind).select(F.col("source").alias("parent"), F.col("target").alias("next"), F.col("line_number").alias("line"))
     seen = staged(handler.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("line_number")))
     frontier = seen
     for level in range(1, depth + 1):

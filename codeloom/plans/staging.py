@@ -1,21 +1,35 @@
-"""Cutting lineage between the rounds of an iterative plan."""
+"""Cutting lineage between the rounds of an iterative plan, by tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a local session without one (as in tests) gets a temporary folder, any other is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
-    The folder is spark.checkpoint.dir of the session; a session without one (local, as in tests) gets a temporary one.
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, computed once, written as Parquet into the shared folder and read back.
+
+    The files survive lost executors and go when the driver ends. Their size is known to the planner: a small frontier is
+    broadcast and leaves the large side where it is, one beyond spark.sql.autoBroadcastJoinThreshold is shuffled. With
+    `by` there is a folder for each of its few values, so that filters on it prune files.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
