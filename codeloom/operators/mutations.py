@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.shaping import overlaid, with_both_ends
 
+#: Node types that have no package of their own, and those that take one wherever they lie.
+NO_PACKAGE = ("Annotation",)
+ANY_FILE = ("Package", "APIEndpoint", "Route")
+
 
 def upserted_nodes(nodes: DataFrame, batch: DataFrame) -> DataFrame:
     """nodes (id, ..., props) with a batch of the same columns: its values where they aren't null, its properties over the old ones."""
@@ -70,3 +74,106 @@ def usage(changes: DataFrame) -> DataFrame:
     ops = F.array_sort(F.collect_list(F.struct("seq", "kind", "bytes")))
     size = F.aggregate(ops, F.lit(0).cast("long"), lambda acc, x: F.when(x["kind"] == "set", x["bytes"]).when(x["kind"] == "delete", F.lit(0)).otherwise(F.greatest(acc + x["bytes"], F.lit(0))).cast("long"))
     return changes.groupBy("owner", "project").agg(size.alias("size")).groupBy("owner").agg(F.sum("size").alias("used_bytes"))
+
+
+def with_packages(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """nodes (id, type, file_path, parsed_from, props) with the package of the file they were parsed from (file, package) as the property packageName.
+
+    Nodes of another file keep theirs, but for packages and endpoints; annotations get none. A file without a package
+    gives an empty name; nodes of a file that is not listed stay as they are.
+    """
+    f = files.select(F.col("file").alias("parsed_from"), F.coalesce("package", F.lit("")).alias("package"))
+    takes = ~F.col("type").isin(*NO_PACKAGE) & (F.col("type").isin(*ANY_FILE) | F.coalesce(F.col("file_path") == F.col("parsed_from"), F.lit(False)))
+    return overlaid_props(nodes.join(f, "parsed_from", "left"), F.when(takes & F.col("package").isNotNull(), F.create_map(F.lit("packageName"), F.col("package")))).drop("package")
+
+
+def with_method_props(nodes: DataFrame, extra: DataFrame) -> DataFrame:
+    """nodes (full_name, props) with the properties of extra (full_name, more) over their own; extra has one row a name."""
+    return overlaid_props(nodes.join(extra, "full_name", "left"), F.col("more")).drop("more")
+
+
+def overlaid_props(nodes: DataFrame, more: Column) -> DataFrame:
+    """nodes with the entries of the map `more` over those of props; a null map changes nothing."""
+    empty = F.create_map().cast("map<string,string>")
+    return nodes.withColumn("props", F.map_zip_with(F.coalesce("props", empty), F.coalesce(more, empty), lambda k, old, new: F.coalesce(new, old)))
+
+
+def file_change(nodes: DataFrame, edges: DataFrame, path: str, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph after a file was parsed anew, and what changed at it (kind, id, change): added, modified or removed.
+
+    The file's nodes (with a column hash of what they hold) and the edges at them go, the new ones come in, and edges
+    without both ends go. Edges have no value of their own: they are added or removed.
+    """
+
+    def at_file(n: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = n.where(F.col("file_path") == path)
+        ids = own.select("id")
+        touching = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(e.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"))
+        return own.select("id", "hash"), touching.select("id").distinct().withColumn("hash", F.lit(0))
+
+    kept_nodes, kept_edges = without_file(nodes, edges, path)
+    n = overlaid(kept_nodes, new_nodes)
+    e = with_both_ends(overlaid(kept_edges, new_edges), n)
+    before, after = at_file(nodes, edges), at_file(n, e)
+    changes = diff(before[0], after[0], "hash").withColumn("kind", F.lit("node")).unionByName(diff(before[1], after[1], "hash").withColumn("kind", F.lit("edge")))
+    return n, e, changes.select("kind", "id", "change")
+
+
+def patch_problems(files: DataFrame, deletions: DataFrame, max_files: int = 200, max_file_bytes: int = 1 << 20, max_total_bytes: int = 5 << 20) -> DataFrame:
+    """reason, path: why a patch of files (path, bytes, content) and deletions (path) must be refused whole; no row if it may be applied.
+
+    Counts and sums give a row with a null path. A path lies over another one if it is a folder of it: each path meets its
+    own beginnings in an equi join, as many as it has parts. A file with a zero byte among its first 8,192 is binary.
+    """
+    entries = files.select("path").unionAll(deletions.select("path"))
+    none = F.lit(None).cast("string").alias("path")
+    n, total, many = F.count(F.lit(1)), F.sum("bytes"), F.lit("TOO_MANY_FILES").alias("reason")
+    found = [
+        files.agg(n.alias("n")).where(F.col("n") > max_files).select(many, none),
+        deletions.agg(n.alias("n")).where(F.col("n") > max_files).select(many, none),
+        files.agg(total.alias("n")).where(F.col("n") > max_total_bytes).select(F.lit("TOTAL_TOO_LARGE").alias("reason"), none),
+        files.where(F.col("bytes") > max_file_bytes).select(F.lit("FILE_TOO_LARGE").alias("reason"), "path"),
+        files.where(~F.endswith(F.lower("path"), F.lit(".java"))).select(F.lit("NOT_JAVA_SOURCE").alias("reason"), "path"),
+        files.where(F.contains(F.substring("content", 1, 8192), F.lit(b"\x00"))).select(F.lit("BINARY_CONTENT").alias("reason"), "path"),
+        entries.where(F.trim("path") == "").select(F.lit("BLANK_PATH").alias("reason"), "path"),
+        entries.where(F.contains("path", F.lit("\\"))).select(F.lit("BACKSLASH_PATH").alias("reason"), "path"),
+        entries.where(F.startswith("path", F.lit("/"))).select(F.lit("ABSOLUTE_PATH").alias("reason"), "path"),
+        entries.where(F.array_contains(F.split("path", "/"), "..")).select(F.lit("PATH_TRAVERSAL").alias("reason"), "path"),
+        entries.groupBy("path").agg(n.alias("n")).where("n > 1").select(F.lit("DUPLICATE_PATH").alias("reason"), "path"),
+    ]
+    parts = F.split("path", "/")
+    above = entries.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path")).distinct()
+    found.append(entries.distinct().join(above, "path", "left_semi").select(F.lit("OVERLAPPING_PATH").alias("reason"), "path"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def deletion_safety(previous: DataFrame, scan: DataFrame, unsafe: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """n_previous, n_now, n_deleted, n_uncertain, verdict: whether the files (path) that a scan lacks may be deleted.
+
+    UNCERTAIN: the scan could not read a path (unsafe), with which the files known before under it count, or passed over a
+    file known before (skipped). DESTRUCTIVE: the
+    scan is empty, or at least 20 files and half of those known would go. NOTHING: none would go. Otherwise SAFE.
+    """
+    p, u = previous.select("path").distinct(), unsafe.select("path").distinct()
+    parts = F.split("path", "/")
+    starts = p.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("start"))
+    under = starts.join(u.withColumnRenamed("path", "start"), "start", "left_semi").select("path")
+    doubt = u.unionAll(under)
+    if skipped is not None:
+        doubt = doubt.unionAll(p.join(skipped.select("path"), "path", "left_semi"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    row = count(p, "n_previous")
+    for df, name in ((scan.select("path").distinct(), "n_now"), (p.join(scan, "path", "left_anti"), "n_deleted"), (doubt.distinct(), "n_uncertain")):
+        row = row.crossJoin(F.broadcast(count(df, name)))  # one row each
+    gone = (F.col("n_now") == 0) | ((F.col("n_deleted") >= 20) & (F.col("n_deleted") * 2 >= F.col("n_previous")))
+    verdict = F.when(F.col("n_uncertain") > 0, "UNCERTAIN").when((F.col("n_previous") == 0) | (F.col("n_deleted") == 0), "NOTHING").when(gone, "DESTRUCTIVE").otherwise("SAFE")
+    return row.withColumn("verdict", verdict)
+
+
+def changed_bytes(before: DataFrame, after: DataFrame, cap: int) -> DataFrame:
+    """changed_bytes, over: the bytes of the files of `after` (path, sha256, bytes) that are new or differ, and whether they are more than the cap."""
+    new = after.join(before.select("path", "sha256"), ["path", "sha256"], "left_anti")
+    return new.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("changed_bytes")).withColumn("over", F.col("changed_bytes") > cap)

@@ -49,8 +49,9 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def by_type(nodes: DataFrame, node_types: str) -> DataFrame:
-    return nodes.where(F.col("type").isin(parse_types(node_types, NODE_TYPES)))
+def by_type(nodes: DataFrame, node_types: str, include_types: str | None = None) -> DataFrame:
+    """Nodes of the types of a list; include_types, where it names any, stands in for node_types."""
+    return nodes.where(F.col("type").isin(parse_types(include_types or "", NODE_TYPES) or parse_types(node_types, NODE_TYPES)))
 
 
 def edges_by_type(nodes: DataFrame, edges: DataFrame, edge_types: str) -> DataFrame:
@@ -83,6 +84,16 @@ def architecture(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return kept, merged(e)
 
 
+def view(nodes: DataFrame, edges: DataFrame, mode: str | None = None, include_deep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The graph of a mode: baseline (also none or a blank) is the architecture, deep is all; spaces and case don't matter, another mode raises."""
+    name = (mode or "").strip().lower()
+    if include_deep or name == "deep":
+        return nodes, edges
+    if name in ("", "baseline"):
+        return architecture(nodes, edges)
+    raise ValueError("mode must be baseline or deep")
+
+
 def merged(edges: DataFrame) -> DataFrame:
     """source, type, target, weight, line_number: one edge for each triple; weights under 1 or null count as 1."""
     return edges.groupBy("source", "type", "target").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1))).alias("weight"), F.min("line_number").alias("line_number"))
@@ -237,3 +248,32 @@ def project_metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """n_nodes, n_edges, n_files: counts of a graph; files by distinct paths that aren't empty. The sides are summed apart."""
     n = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct(F.nullif("file_path", F.lit(""))).alias("n_files"))
     return n.crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("n_edges"))))  # one row
+
+
+def project_list(projects: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, name, total_files, total_nodes, total_edges of projects (id, name), by name and id; nodes (project, type, file_path) and edges (project).
+
+    Each side is counted before the join. Nodes of the type Project don't count, empty paths are no files, and projects
+    without an id are left out.
+    """
+    path = F.when(F.col("file_path") != "", F.col("file_path"))
+    n = nodes.where("type <> 'Project'").groupBy(F.col("project").alias("id")).agg(F.countDistinct(path).alias("total_files"), F.count(F.lit(1)).alias("total_nodes"))
+    e = edges.groupBy(F.col("project").alias("id")).agg(F.count(F.lit(1)).alias("total_edges"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total_files", "total_nodes", "total_edges")]
+    return projects.where("id is not null").join(n, "id", "left").join(e, "id", "left").select("id", "name", *zero).orderBy("name", "id")
+
+
+#: What is listed around a method, by edge type and direction.
+RELATED = {"calls": ("CALLS", "out"), "calledBy": ("CALLS", "in"), "reads": ("READS", "out"), "writes": ("WRITES", "out"), "returnsTypes": ("RETURNS", "out")}
+
+
+def related_symbols(nodes: DataFrame, edges: DataFrame, method: str, cap: int = 25) -> DataFrame:
+    """kind, id, full_name, rank: the symbols around a method, distinct and by full name, name and id, at most `cap` of each kind."""
+    rows = None
+    for kind, (type_, direction) in RELATED.items():
+        here, there = ("source", "target") if direction == "out" else ("target", "source")
+        part = edges.where((F.col("type") == type_) & (F.col(here) == method)).select(F.lit(kind).alias("kind"), F.col(there).alias("id"))
+        rows = part if rows is None else rows.unionAll(part)
+    named = rows.distinct().join(nodes.select("id", "full_name", "name"), "id")
+    w = Window.partitionBy("kind").orderBy(F.coalesce("full_name", F.lit("")), F.coalesce("name", F.lit("")), "id")
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).select("kind", "id", "full_name", "rank")

@@ -79,12 +79,39 @@ def dense_months(monthly: DataFrame, months: int = 12) -> DataFrame:
     return spine.join(monthly, "month", "left").select("month", F.coalesce("value", F.lit(0)).alias("value"))
 
 
+def dense_quarters(daily: DataFrame) -> DataFrame:
+    """quarter, value: the four quarters of the latest year that has a day, those without a row as 0."""
+    last = daily.agg(F.max(F.year("day")).alias("year"))
+    spine = last.select("year", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("quarter"))
+    sums = daily.groupBy(F.year("day").alias("year"), F.quarter("day").alias("quarter")).agg(F.sum("value").alias("value"))
+    return spine.join(sums, ["year", "quarter"], "left").select("quarter", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def dense_years(daily: DataFrame, now: Column, years: int = 5) -> DataFrame:
+    """year, value: the last `years` years up to that of now, those without a row as 0."""
+    spine = daily.sparkSession.range(1).select(F.explode(F.sequence(F.year(now) - years + 1, F.year(now))).alias("year"))
+    sums = daily.groupBy(F.year("day").alias("year")).agg(F.sum("value").alias("value"))
+    return spine.join(sums, "year", "left").select("year", F.coalesce("value", F.lit(0)).alias("value"))
+
+
 def storage(projects: DataFrame, limit: int) -> DataFrame:
     """owner, used_bytes, projects: the owners that hold most; null sizes count as 0."""
     g = projects.groupBy("owner").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("used_bytes"), F.count(F.lit(1)).alias("projects"))
     return g.orderBy(F.desc("used_bytes"), "owner").limit(limit)
 
 
+def storage_of(projects: DataFrame, owners: DataFrame) -> DataFrame:
+    """owner, used_bytes of the owners given; those that hold nothing have 0."""
+    used = projects.join(owners.select("owner"), "owner", "left_semi").groupBy("owner").agg(F.sum("bytes").alias("used_bytes"))
+    return owners.select("owner").distinct().join(used, "owner", "left").select("owner", F.coalesce("used_bytes", F.lit(0)).alias("used_bytes"))
+
+
+def top_projects(projects: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """project, name, used_bytes: the projects that hold most, then by id; one without a name (project, name) goes by its id."""
+    top = projects.select("project", F.col("bytes").alias("used_bytes")).orderBy(F.desc("used_bytes"), "project").limit(limit)
+    return top.join(names, "project", "left").select("project", F.coalesce("name", F.col("project").cast("string")).alias("name"), "used_bytes")
+
+
 def latest_events(events: DataFrame, minutes: int, limit: int, now: Column) -> DataFrame:
     """The latest events of the last minutes (1 to 1440), 1 to 200 of them."""
     span = F.make_interval(mins=F.lit(max(1, min(1440, minutes))))

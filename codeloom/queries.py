@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
-from codeloom.operators import flows, inference, mutations, shaping, tasks, telemetry, traversal, use_cases
+from codeloom.operators import accounts, flows, inference, mutations, shaping, tasks, telemetry, traversal, use_cases
 from codeloom.plans import tools
 from codeloom.plans.staging import staged
 from codeloom.sources import text_tables
@@ -1033,5 +1033,234 @@ def flow_list(spark, sf_dir):
     return flows.flow_list(staged(nodes(spark, sf_dir)), staged(e))
 
 
+# Listings, accounts, patches
+
+
+@query("""WITH p AS (SELECT id, name FROM nodes WHERE type = 'Package'), n AS (SELECT package_name AS id, count(DISTINCT file_path) AS f, count(*) AS n FROM nodes GROUP BY 1),
+e AS (SELECT a.package_name AS id, count(*) AS n FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE a.package_name = b.package_name GROUP BY 1)
+SELECT p.id, p.name, n.f AS total_files, n.n AS total_nodes, coalesce(e.n, 0) AS total_edges FROM p JOIN n USING (id) LEFT JOIN e USING (id)""")
+def project_list(spark, sf_dir):
+    """Packages stand for projects."""
+    n = nodes(spark, sf_dir)
+    of = n.select("id", F.col("package_name").alias("project"))
+    e = edges(spark, sf_dir).select("source", "target").join(of.withColumnRenamed("id", "source"), "source").join(of.select(F.col("id").alias("target"), F.col("project").alias("p")), "target").where("project = p")
+    return shaping.project_list(n.where("type = 'Package'").select("id", "name"), n.withColumnRenamed("package_name", "project"), e)
+
+
+@query(f"""SELECT kind, id, full_name, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY full_name, name, id) AS rank FROM (SELECT DISTINCT kind, n.id, full_name, name FROM (
+SELECT CASE type WHEN 'CALLS' THEN 'calls' WHEN 'READS' THEN 'reads' WHEN 'WRITES' THEN 'writes' ELSE 'returnsTypes' END AS kind, target AS id FROM edges WHERE source = '{METHOD}' AND type IN ('CALLS', 'READS', 'WRITES', 'RETURNS')
+UNION ALL SELECT 'calledBy', source FROM edges WHERE target = '{METHOD}' AND type = 'CALLS') r JOIN nodes n ON n.id = r.id)) WHERE rank <= 25""")
+def related_symbols(spark, sf_dir):
+    return shaping.related_symbols(nodes(spark, sf_dir), edges(spark, sf_dir), METHOD)
+
+
+@query(f"""SELECT 'deep' AS mode, type, count(*) AS n FROM edges GROUP BY 2 UNION ALL SELECT 'baseline', e.type, count(DISTINCT (source, target)) FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target
+WHERE e.type IN ('DEFINES','HAS_METHOD','CALLS','HANDLES_ROUTE','IMPLEMENTS') AND s.type IN ({_KEPT}) AND t.type IN ({_KEPT}) GROUP BY 2""")
+def view_modes(spark, sf_dir):
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    deep, baseline = [shaping.count_by_type(shaping.view(n, e, mode)[1]) for mode in (" Deep", None)]
+    return deep.withColumn("mode", F.lit("deep")).unionByName(baseline.withColumn("mode", F.lit("baseline"))).select("mode", "type", "n")
+
+
+_COUNTERPARTS = f"SELECT '{METHOD}' AS id UNION SELECT b.id FROM ({_SUFFIX}) a JOIN (SELECT source AS owner, target AS o2 FROM edges WHERE type = 'IMPLEMENTS' UNION SELECT target, source FROM edges WHERE type = 'IMPLEMENTS') r ON r.owner = a.owner JOIN ({_SUFFIX}) b ON b.owner = o2 AND b.suffix = a.suffix WHERE a.id = '{METHOD}'"
+
+
+@query(_levels(2, _COUNTERPARTS, "target", "source", "'CALLS','STEP_IN_FLOW','EXTENDS','IMPLEMENTS','INJECTS','IMPORTS'") + " SELECT id, depth FROM s2 WHERE depth > 0")
+def impact_with_counterparts(spark, sf_dir):
+    return tools.impact_with_counterparts(nodes(spark, sf_dir), edges(spark, sf_dir), METHOD)
+
+
+@query(_levels(3, f"SELECT '{METHOD}' AS id", "target", "source", DEPENDENCY) + """, c AS (SELECT count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 0) AS total FROM s3),
+r AS (SELECT least(100, count(DISTINCT target)) AS n_routes FROM edges WHERE type = 'HANDLES_ROUTE' AND source IN (SELECT id FROM s3))
+SELECT direct, total, CASE WHEN direct >= 50 THEN 'CRITICAL' WHEN direct >= 15 THEN 'HIGH' WHEN direct >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk, n_routes FROM c, r""")
+def impact_summary(spark, sf_dir):
+    return tools.impact_summary(nodes(spark, sf_dir), edges(spark, sf_dir), METHOD)
+
+
+_USERS = "WITH u AS (SELECT c_custkey AS id, lower(c_name) || '@x.io' AS email, c_custkey % 7 = 0 AS off, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS plan, c_custkey % 5 <> 0 AND c_custkey % 11 = 0 AS blocked FROM customer)"
+
+
+def _users(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    users = c.select(k.alias("id"), F.concat(F.lower("c_name"), F.lit("@x.io")).alias("email"), F.lit("nobody").alias("display_name"), (k % 7 == 0).alias("deactivated"))
+    return users, c.where("c_custkey % 5 <> 0").select(k.alias("user_id"), F.col("c_mktsegment").alias("plan"), F.when(k % 11 == 0, F.to_timestamp(F.lit("2024-01-01"))).alias("blocked_at"))
+
+
+@query(_USERS + """ SELECT 'blocked' AS status, id FROM u WHERE blocked UNION ALL SELECT 'deactivated', id FROM u WHERE off AND contains(email, '9') UNION ALL SELECT 'active', id FROM u WHERE NOT off AND NOT blocked AND lower(plan) = 'building'
+UNION ALL SELECT 'active without settings', id FROM u WHERE NOT off AND NOT blocked AND plan IS NULL""", graph=False)
+def user_search(spark, sf_dir):
+    u, s = _users(spark, sf_dir)
+    found = [("blocked", accounts.searched_users(u, s, status="Blocked")), ("deactivated", accounts.searched_users(u, s, text="9", status="deactivated")), ("active", accounts.searched_users(u, s, "", "Building", "active"))]
+    found.append(("active without settings", accounts.searched_users(u, s, status="active").where("plan is null")))
+    parts = [df.select(F.lit(name).alias("status"), "id") for name, df in found]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+@query(_USERS + """, p AS (SELECT * FROM u ORDER BY id LIMIT 25 OFFSET 10) SELECT p.id, email, plan, coalesce(sum(o_orderkey), 0)::bigint AS storage_bytes FROM p LEFT JOIN orders ON o_custkey = p.id GROUP BY 1, 2, 3""", graph=False)
+def user_page(spark, sf_dir):
+    u, s = _users(spark, sf_dir)
+    return accounts.user_page(u, s, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("bytes")), 10, 25)
+
+
+_KEYS = """WITH k AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderkey % 4 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'USER' END AS who, o_orderkey % 9 = 0 AS gone,
+['disable', 'enable', 'delete', 'lock', 'unlock'][(o_orderkey % 5 + 1)::int] AS action, o_orderkey % 10 <> 3 AS own FROM orders)"""
+
+
+def _keys(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    t = F.to_timestamp(F.lit("2024-01-01"))
+    keys = o.select(k.alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_custkey").alias("project_id"), F.when(k % 4 < 2, t).alias("disabled_at"), F.when(k % 4 == 0, "ADMIN").when(k % 4 == 1, "USER").alias("disabled_by"), F.when(k % 9 == 0, t).alias("deleted_at"))
+    actions = F.array(*[F.lit(a) for a in ("disable", "enable", "delete", "lock", "unlock")])
+    return keys, o.select(k.alias("id"), (F.col("o_custkey") + F.when(k % 10 == 3, 1).otherwise(0)).alias("user_id"), F.get(actions, (k % 5).cast("int")).alias("action"))
+
+
+@query(_KEYS + """, m AS (SELECT *, NOT gone AND CASE action WHEN 'disable' THEN own AND who IS DISTINCT FROM 'ADMIN' WHEN 'delete' THEN own AND who IS DISTINCT FROM 'ADMIN' WHEN 'enable' THEN own AND who IS NOT DISTINCT FROM 'USER' WHEN 'unlock' THEN who IS NOT DISTINCT FROM 'ADMIN' ELSE TRUE END AS changed FROM k)
+SELECT id, changed, CASE WHEN changed AND action = 'disable' THEN 'USER' WHEN changed AND action = 'lock' THEN 'ADMIN' WHEN changed AND action IN ('enable', 'unlock') THEN NULL ELSE who END AS disabled_by, gone OR changed AND action = 'delete' AS deleted FROM m""", graph=False)
+def key_requests(spark, sf_dir):
+    keys, requests = _keys(spark, sf_dir)
+    return accounts.changed_keys(keys, requests, F.to_timestamp(F.lit("2024-02-01"))).select("id", "changed", "disabled_by", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query("SELECT DISTINCT o_custkey AS project_id FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 9 <> 0", graph=False)
+def admin_locked_projects(spark, sf_dir):
+    return accounts.admin_locked_projects(_keys(spark, sf_dir)[0])
+
+
+_CHARGES = """WITH RECURSIVE d AS (SELECT o_custkey AS user_id, o_orderkey AS id, CASE WHEN o_orderkey % 30 <= 5 THEN 1 WHEN o_orderkey % 30 <= 20 THEN 4 ELSE 9 END AS credits,
+CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 20 + o_custkey % 5 - 3 END AS start, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+w AS (SELECT user_id, n, id, credits, credits <= start AS accepted, CASE WHEN credits <= start THEN start - credits ELSE start END AS left_over FROM d WHERE n = 1
+UNION ALL SELECT d.user_id, d.n, d.id, d.credits, d.credits <= left_over, CASE WHEN d.credits <= left_over THEN left_over - d.credits ELSE left_over END FROM w JOIN d ON d.user_id = w.user_id AND d.n = w.n + 1)"""
+
+
+def _charges(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    tiers = spark.createDataFrame([(20, 4), (None, 9), (5, 1)], "max_files long, credits int")
+    imports = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 30).alias("n"))
+    balances = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), F.lit(20).alias("credits_limit"), (F.col("c_custkey") % 5).alias("adjustment"), F.lit(3).alias("used"))
+    return accounts.import_charges(imports, tiers, balances)
+
+
+@query(_CHARGES + " SELECT user_id, id, credits, accepted FROM w", graph=False)
+def import_charges(spark, sf_dir):
+    return _charges(spark, sf_dir)
+
+
+@query(_CHARGES + " SELECT user_id, id, 'IMPORT' AS operation, 'CLI' AS channel, -credits AS credits_delta FROM w WHERE accepted", graph=False)
+def import_ledger(spark, sf_dir):
+    return accounts.ledger(_charges(spark, sf_dir), "IMPORT", "CLI")
+
+
+@query("""SELECT id FROM (SELECT o_orderkey AS id, o_orderkey % 10 = 0 AS locked, count(*) FILTER (o_orderkey % 10 = 0) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS stuck
+FROM orders WHERE o_orderdate < '1999-01-01') WHERE NOT locked AND stuck < 200""", graph=False)
+def trash_sweep(spark, sf_dir):
+    trash = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("deleted_at"), (F.col("o_orderkey") % 10 == 0).alias("locked"))
+    return accounts.purged(trash, F.to_date(F.lit("1999-01-01")))
+
+
+@query("""WITH RECURSIVE d AS (SELECT event_id AS id, CASE WHEN user_id % 20 = 0 THEN 'unknown' ELSE 'a' || user_id END AS address, epoch_us(ts) AS t, row_number() OVER (PARTITION BY CASE WHEN user_id % 20 = 0 THEN 'unknown' ELSE 'a' || user_id END ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT id, address, t, n, t AS opened, 1::bigint AS nth FROM d WHERE n = 1 UNION ALL
+SELECT d.id, d.address, d.t, d.n, CASE WHEN d.t >= opened + 86400000000 THEN d.t ELSE opened END, CASE WHEN d.t >= opened + 86400000000 THEN 1 ELSE nth + 1 END FROM w JOIN d ON d.address = w.address AND d.n = w.n + 1)
+SELECT id, address, nth, nth <= 3 AS allowed, CASE WHEN nth > 3 THEN greatest(1, ceil((opened + 86400000000 - t) / 1000000.0)::bigint) END AS retry_after FROM w""", graph=False)
+def sign_up_verdicts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    address = F.when(u % 40 == 0, " ").when(u % 20 != 0, F.concat(F.lit("a"), u.cast("string")))
+    return accounts.sign_up_verdicts(e.select(F.col("event_id").alias("id"), address.alias("address"), F.col("ts").alias("at")), 3, 86400)
+
+
+@query("SELECT c_custkey AS id, 500 + c_nationkey - trunc(c_acctbal)::bigint AS credits_left FROM customer", graph=False)
+def credits_left(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), accounts.remaining_credits(F.lit(500), F.col("c_nationkey"), F.col("c_acctbal")).alias("credits_left"))
+
+
+@query("""SELECT id, CASE WHEN type IN ('Package', 'APIEndpoint') THEN 'other' WHEN type = 'Method' AND line_number % 2 = 1 THEN 'old' ELSE package_name END AS package FROM nodes""")
+def package_overlay(spark, sf_dir):
+    """Routes, packages and every other method are said to come from a file that isn't their own."""
+    n = nodes(spark, sf_dir)
+    files = n.where("type = 'File'").select(F.col("file_path").alias("file"), F.col("package_name").alias("package")).unionAll(spark.createDataFrame([("/other.java", "other")], "file string, package string"))
+    away = F.col("type").isin("Package", "APIEndpoint") | ((F.col("type") == "Method") & (F.col("line_number") % 2 == 1))
+    n = n.withColumns({"parsed_from": F.when(away, "/other.java").otherwise(F.col("file_path")), "props": F.create_map(F.lit("packageName"), F.lit("old"))})
+    return mutations.with_packages(n, files).select("id", F.col("props")["packageName"].alias("package"))
+
+
+@query("""WITH own AS (SELECT * FROM nodes WHERE file_path = (SELECT file_path FROM nodes WHERE id = 'cls.5')), gone AS (SELECT id FROM own WHERE type = 'Method' AND line_number % 3 = 0),
+touch AS (SELECT * FROM edges WHERE source IN (SELECT id FROM own) OR target IN (SELECT id FROM own)), stay AS (SELECT id FROM touch WHERE type <> 'CALLS' AND source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone))
+SELECT 'node' AS kind, id, 'removed' AS change FROM gone UNION ALL SELECT 'node', id, 'modified' FROM own WHERE line_number % 2 = 0 AND id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'node', 'cls.5.new()', 'added'
+UNION ALL SELECT 'edge', id, 'removed' FROM touch WHERE id NOT IN (SELECT id FROM stay) UNION ALL SELECT 'edge', sha256('cls.5|HAS_METHOD|cls.5.new()'), 'added'""")
+def file_reparse(spark, sf_dir):
+    """A file in which some methods went, some lines moved, one method is new and no calls were found."""
+    n, e = nodes(spark, sf_dir).withColumn("hash", F.col("line_number")), edges(spark, sf_dir)
+    path = n.where("id = 'cls.5'").first()["file_path"]
+    own = n.where(F.col("file_path") == path)
+    kept = own.where("type <> 'Method' or line_number % 3 <> 0").withColumn("hash", F.col("line_number") + (F.col("line_number") % 2 == 0).cast("int"))
+    fresh = n.where("id = 'cls.5'").withColumns({"id": F.lit("cls.5.new()"), "type": F.lit("Method"), "hash": F.lit(7)})
+    ids = own.select("id")
+    touching = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(e.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")).where("type <> 'CALLS'").dropDuplicates(["id"])
+    edge = e.where("type = 'DEFINES' and target = 'cls.5'").withColumns({"source": F.lit("cls.5"), "target": F.lit("cls.5.new()"), "type": F.lit("HAS_METHOD"), "id": F.sha2(F.lit("cls.5|HAS_METHOD|cls.5.new()"), 256)})
+    return mutations.file_change(n, e, path, kept.unionByName(fresh), touching.unionByName(edge))[2]
+
+
+_PATCH = """WITH f AS (SELECT p_partkey AS k, p_size * 30000 AS bytes, CASE WHEN p_partkey % 97 = 0 THEN 'src/dup.java' WHEN p_partkey % 101 = 0 THEN '../x' || p_partkey || '.java' WHEN p_partkey % 89 = 0 THEN '/abs' || p_partkey || '.java' WHEN p_partkey % 83 = 0 THEN 'src/b' || p_partkey || '.kt'
+ELSE 'src/a' || p_partkey || '.java' END AS path FROM part), d AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'src/a' || s_suppkey || '.java' WHEN s_suppkey % 10 = 1 THEN 'del' ELSE 'del/' || s_suppkey END AS path FROM supplier), a AS (SELECT path FROM f UNION ALL SELECT path FROM d)"""
+
+
+@query(_PATCH + """ SELECT DISTINCT * FROM (SELECT 'TOO_MANY_FILES' AS reason, NULL AS path WHERE (SELECT count(*) FROM f) > 200 OR (SELECT count(*) FROM d) > 200 UNION ALL SELECT 'TOTAL_TOO_LARGE', NULL WHERE (SELECT sum(bytes) FROM f) > 5242880
+UNION ALL SELECT 'FILE_TOO_LARGE', path FROM f WHERE bytes > 1048576 UNION ALL SELECT 'NOT_JAVA_SOURCE', path FROM f WHERE path NOT LIKE '%.java' UNION ALL SELECT 'BINARY_CONTENT', path FROM f WHERE k % 79 = 0
+UNION ALL SELECT 'PATH_TRAVERSAL', path FROM a WHERE starts_with(path, '../') UNION ALL SELECT 'ABSOLUTE_PATH', path FROM a WHERE starts_with(path, '/') UNION ALL SELECT 'DUPLICATE_PATH', path FROM a GROUP BY path HAVING count(*) > 1
+UNION ALL SELECT 'OVERLAPPING_PATH', 'del' WHERE EXISTS (SELECT 1 FROM d WHERE path = 'del') AND EXISTS (SELECT 1 FROM d WHERE starts_with(path, 'del/')))""", graph=False)
+def patch_problems(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    named = lambda a, c, z: F.concat(F.lit(a), c.cast("string"), F.lit(z))
+    path = F.when(k % 97 == 0, "src/dup.java").when(k % 101 == 0, named("../x", k, ".java")).when(k % 89 == 0, named("/abs", k, ".java")).when(k % 83 == 0, named("src/b", k, ".kt")).otherwise(named("src/a", k, ".java"))
+    files = table(spark, sf_dir, "part").select(path.alias("path"), (F.col("p_size") * 30000).cast("long").alias("bytes"), F.when(k % 79 == 0, F.lit(b"a\x00b")).otherwise(F.lit(b"class A")).alias("content"))
+    gone = table(spark, sf_dir, "supplier").select(F.when(s % 2 == 0, named("src/a", s, ".java")).when(s % 10 == 1, "del").otherwise(named("del/", s, "")).alias("path"))
+    return mutations.patch_problems(files, gone)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part), c AS (SELECT count(*) AS n, count(*) FILTER (k % 3 = 0) AS third, count(*) FILTER (k % 10 = 7) AS seven FROM p) SELECT 'some' AS state, n AS n_previous, n - third AS n_now, third AS n_deleted, 0::bigint AS n_uncertain, 'SAFE' AS verdict FROM c
+UNION ALL SELECT 'most', n, third, n - third, 0, 'DESTRUCTIVE' FROM c UNION ALL SELECT 'unread', n, n - third, third, seven + 1, 'UNCERTAIN' FROM c UNION ALL SELECT 'none', n, n, 0, 0, 'NOTHING' FROM c""", graph=False)
+def deletion_safety(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k, F.concat(F.lit("d"), (k % 10).cast("string"), F.lit("/f"), k.cast("string")).alias("path"))
+    unsafe = spark.createDataFrame([("d7",)], "path string")
+    cases = [("some", p.where("p_partkey % 3 <> 0"), unsafe.limit(0)), ("most", p.where("p_partkey % 3 = 0"), unsafe.limit(0)), ("unread", p.where("p_partkey % 3 <> 0"), unsafe), ("none", p, unsafe.limit(0))]
+    rows = [mutations.deletion_safety(p, scan, bad).withColumn("state", F.lit(name)) for name, scan, bad in cases]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query("SELECT sum(p_size)::bigint AS changed_bytes, sum(p_size) > 1000 AS over FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 2 = 0", graph=False)
+def changed_bytes(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").cast("string").alias("sha256"), F.col("p_size").cast("long").alias("bytes"))
+    return mutations.changed_bytes(p.where("path % 5 <> 0"), p.withColumn("sha256", F.when(F.col("path") % 2 == 0, "x").otherwise(F.col("sha256"))), 1000)
+
+
+@query("""WITH d AS (SELECT o_orderdate AS day, count(*) AS v FROM orders WHERE month(o_orderdate) <> 5 AND quarter(o_orderdate) <> 3 GROUP BY 1) SELECT 'quarter' AS period, q AS at, coalesce((SELECT sum(v) FROM d WHERE year(day) = (SELECT max(year(day)) FROM d) AND quarter(day) = q), 0)::bigint AS value FROM range(1, 5) t(q)
+UNION ALL SELECT 'year', y, coalesce((SELECT sum(v) FROM d WHERE year(day) = y), 0)::bigint FROM range(1996, 2001) t(y)""", graph=False)
+def dense_quarters_and_years(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").where("month(o_orderdate) <> 5 and quarter(o_orderdate) <> 3").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("value"))
+    q = telemetry.dense_quarters(d).select(F.lit("quarter").alias("period"), F.col("quarter").cast("long").alias("at"), "value")
+    return q.unionAll(telemetry.dense_years(d, F.to_date(F.lit("2000-06-01"))).select(F.lit("year"), F.col("year").cast("long"), "value"))
+
+
+@query("SELECT c_custkey AS owner, coalesce(sum(o_orderkey), 0)::bigint AS used_bytes FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 2 = 0 GROUP BY 1", graph=False)
+def storage_of_owners(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("bytes"))
+    return telemetry.storage_of(o, table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("owner")))
+
+
+@query("SELECT p_partkey AS project, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_partkey::varchar END AS name, p_size AS used_bytes FROM part ORDER BY p_size DESC, p_partkey LIMIT 20", graph=False)
+def top_projects(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return telemetry.top_projects(p.select(F.col("p_partkey").alias("project"), F.col("p_size").alias("bytes")), p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("project"), F.col("p_name").alias("name")), 20)
+
+
+@query("SELECT p_partkey AS id, 2 AS line, 'a~b' AS cells FROM part UNION ALL SELECT p_partkey, 4, p_name || '~x|' || p_size FROM part", graph=False)
+def markdown_rows(spark, sf_dir):
+    text = F.concat(F.lit("# t\n| a | b |\n|---|:-:|\n | "), F.col("p_name"), F.lit(" | x\\|"), F.col("p_size").cast("string"), F.lit(" |\nend | x"))
+    rows = text_tables.markdown_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), "id")
+    return rows.select("id", "line", F.array_join("cells", "~").alias("cells"))
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_dependency(spark, sf_dir)

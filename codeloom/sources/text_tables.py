@@ -155,3 +155,19 @@ def folders(paths: DataFrame) -> DataFrame:
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1)))).alias("depth")
     rows = paths.select(parts.alias("parts")).where(F.size("parts") > 1).select("parts", at)
     return rows.groupBy(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("folder"), "depth").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def markdown_rows(files: DataFrame, key: str) -> DataFrame:
+    """key, line, cells: the rows of Markdown tables in texts (key, text), rules below the heads left out; cells are trimmed.
+
+    A row is a line that begins with a bar, spaces aside; a bar after a backslash belongs to its cell.
+    """
+    row = F.regexp_replace(F.trim("text"), r"^[|]|(?<!\\)[|]$", "")
+    cells = F.transform(F.split(row, r"(?<!\\)[|]"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
+    at = lines(files, key).where(F.startswith(F.trim("text"), F.lit("|")) & ~F.col("text").rlike(r"^[\s|:\-]+$"))
+    return at.select(key, "line", cells.alias("cells"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV files with a head, every part by its own task; arrays are spread over columns first by the caller."""
+    rows.write.mode("errorifexists").option("header", True).csv(path)
