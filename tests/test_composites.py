@@ -73,3 +73,9 @@ def test_watched_paths_titles_and_flow_parts(spark):
     assert {r.id for r in kept.collect()} == {"a()", "b()"} and [(r.source, r.target) for r in among.collect()] == [("a()", "b()")]
     listed = [r.id for r in e.where("target = 'c()'").collect()]
     assert [r.target for r in shaping.flow_part(n, e, kept.select("id"), listed)[1].collect()] == ["c()"]
+
+
+def test_frames_of_a_trace_are_found_in_the_graph(spark):
+    nodes = spark.createDataFrame([("1", "Method", "m", "a.B.m(x.Y)"), ("2", "Class", "B", "a.B"), ("3", "Method", "k", "a.B.k()")], "id string, type string, name string, full_name string")
+    traces = spark.createDataFrame([(1, "boom\n at a.B.m(B.java:3)\n at no.Such.m(C.java:1)"), (2, None)], "key int, text string")
+    assert [(r.key, r.cause, r.id) for r in tools.explained_failures(nodes, traces, "key").collect()] == [(1, 0, "1")]
