@@ -1,9 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of the characters of a word, one of toxic and one of ordinary documents, share the counts that they back off to,
-so an expression that neither class has seen often gets the same likelihood from both. A document is judged by the mean
+so an expression that neither class has seen often gets the same likelihood from both. A document is judged by one mean
 over its words of the difference of the two log-likelihoods, taken from both sides beyond a margin: words that the toxic
-model explains better speak for it, words that the ordinary one explains better against it.
+model explains better speak for it, words that the ordinary one explains better against it. The mean has a number of
+neutral words of its own, so that a word or two of a short text weigh no more than they should, and a logistic map that
+rises with the mean makes it a probability. So one more toxic word never lowers a score, however many there are, and one
+more ordinary word never raises it.
 
 All documents are counted on Spark, and all labelled ones by class. Where neither class has an n-gram, the shared
 probability cancels out of the ratio, which then depends on the context alone. So the ratios of the other n-grams and of
@@ -27,15 +30,18 @@ from codeloom.llm.common import kept, map_rows, materialise
 from codeloom.llm.rule_ensemble import lasso_logistic
 
 ORDER = 4
-#: A word's log-likelihood ratio counts by what it exceeds this on either side, so that common words of long texts do not add up.
-MARGIN = 2.0
+#: A word's log-likelihood ratio counts by what it exceeds this on either side, so that common words of long texts do not add up,
+#: and by no more than CAP. The ordinary class is many times larger and knows far more words, so its side counts by a part.
+MARGIN, CAP, ORDINARY = 2.5, 12.0, 0.1
+#: The neutral words that every text has beside its own, and the mean from which on a text is as toxic as can be.
+NEUTRAL, MOST_MEAN = 240, 0.1
 WORD = re.compile(r"[^\W\d_]+")
 #: Runs of letters over twice as many are no words; they are scored in slices of so many n-grams.
 LONGEST = 40
 #: What a class discounts of an n-gram's count, and what the shared model does: Kneser-Ney discounts, under 1.
 OWN, DISCOUNT = 0.95, 0.75
-#: The features of a text: mean of the words' ratios towards toxic, their sum over the root of the words and its logarithm, and the mean of both sides.
-FEATURES = ("per_word", "per_root", "log_root", "both_sides")
+#: What is measured of a text: the mean of its words' ratios towards toxic, of those towards ordinary (0 or less), and both together, from 0 to MOST_MEAN.
+FEATURES = ("toxic_side", "ordinary_side", "mean")
 #: Labels are broadcast up to this many, ratios up to that many; beyond it the same joins shuffle.
 MOST_LABELS, MOST_RATIOS = 1_000_000, 300_000
 #: Distinct words that a task counts before it hands on their n-grams.
@@ -125,14 +131,14 @@ class Model:
     """gram, ratio: n-grams of ORDER characters, and contexts (one less) whose other n-grams have that ratio; any other n-gram has 0."""
     known: dict[str, float] | None
     """The same as a dictionary, if there are at most MOST_RATIOS."""
-    weights: tuple[float, ...] = (0.0,) * len(FEATURES)
+    weight: float = 0.0
+    """Of evidence(mean), 0 or more."""
     intercept: float = -2.0
-    scale: tuple[float, ...] = (1.0,) * len(FEATURES)
 
 
 def beyond(ratio: float) -> float:
-    """What a ratio exceeds MARGIN on its side; 0 within it."""
-    return max(ratio - MARGIN, 0.0) + min(ratio + MARGIN, 0.0)
+    """What a ratio exceeds MARGIN on its side, CAP at most and ORDINARY times that on the ordinary side; 0 within it."""
+    return min(max(ratio - MARGIN, 0.0), CAP) + ORDINARY * max(min(ratio + MARGIN, 0.0), -CAP)
 
 
 class Words(dict):
@@ -166,8 +172,13 @@ def features(text: str | None, cache: Words) -> tuple[float, ...]:
     if len(cache) > 700_000:
         cache.clear()
     values = np.array([*map(cache.__getitem__, words), *map(cache.of, slices)])
-    toxic = float(values[values > 0].sum())
-    return toxic / n, toxic / math.sqrt(n), math.log1p(toxic / math.sqrt(n)), float(values.sum()) / n
+    toxic, ordinary = float(values[values > 0].sum()) / (n + NEUTRAL), float(values[values < 0].sum()) / (n + NEUTRAL)
+    return toxic, ordinary, min(max(toxic + ordinary, 0.0), MOST_MEAN)
+
+
+def evidence(mean: Column | np.ndarray) -> Column | np.ndarray:
+    """What the logistic map weighs: a logarithm, as the first toxic words of a text tell most."""
+    return F.log1p(mean * 100) if isinstance(mean, Column) else np.log1p(mean * 100)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -278,12 +289,13 @@ def measured_by_join(docs: DataFrame, table: DataFrame, keep: list[str]) -> Data
     found = held.select("word").distinct().select("word", gram).withColumn("h", F.substring("gram", 1, ORDER - 1))
     own, rest = table.where(F.length("gram") == ORDER), table.where(F.length("gram") < ORDER).select(F.col("gram").alias("h"), F.col("ratio").alias("other"))
     ratio = F.sum(F.coalesce("ratio", "other", F.lit(0.0)))
-    value = F.greatest(ratio - MARGIN, F.lit(0.0)) + F.least(ratio + MARGIN, F.lit(0.0))
+    value = F.least(F.greatest(ratio - MARGIN, F.lit(0.0)), F.lit(CAP)) + ORDINARY * F.greatest(F.least(ratio + MARGIN, F.lit(0.0)), F.lit(-CAP))
     beyond = found.join(own, "gram", "left").join(rest, "h", "left").groupBy("word").agg(value.alias("value")).where("value <> 0")
-    sums = [F.sum(F.col("n") * F.greatest("value", F.lit(0.0))).alias("toxic"), F.sum(F.col("n") * F.col("value")).alias("both")]
+    all_words = F.col("words") + NEUTRAL
+    sums = [(F.sum(F.col("n") * side("value", F.lit(0.0))) / all_words).alias(c) for c, side in zip(FEATURES, (F.greatest, F.least), strict=False)]
     total = held.join(beyond, "word").groupBy("h1", "h2", "words").agg(*sums)
-    root = F.col("toxic") / F.sqrt("words")
-    per = [F.col("toxic") / F.col("words"), root, F.log1p(root), F.col("both") / F.col("words")]
+    toxic, ordinary = F.col("toxic_side"), F.col("ordinary_side")
+    per = [toxic, ordinary, F.least(F.greatest(toxic + ordinary, F.lit(0.0)), F.lit(MOST_MEAN))]
     made = [F.coalesce(x, F.lit(0.0)).alias(c) for x, c in zip(per, FEATURES, strict=True)]
     return keyed.drop("text").join(total, ["h1", "h2"], "left").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *made)
 
@@ -292,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: i
     """A model that counts all rows of docs for what both classes share, and for each class all its labelled rows for which learn holds.
 
     Only a quarter of the labelled rows, `most` at most and the first in the order of a hash of doc_id, are in no class: they
-    set how the features become a probability. Labels that are null or not 0 or 1 teach nothing; an id with several labels takes
+    set how the mean becomes a probability, which never falls with it. Labels that are null or not 0 or 1 teach nothing; an id with several labels takes
     the largest. With one label only, the score is constant.
     """
     usable = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -307,22 +319,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: i
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # Ids may repeat, so the rows are bounded too.
     got = measured(sample, model, ["doc_id", "y"]).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most).toPandas().sort_values(["y", *FEATURES])
-    x, y = got[list(FEATURES)].to_numpy(), got["y"].to_numpy(float)
+    x, y = evidence(got[["mean"]].to_numpy()), got["y"].to_numpy(float)
     if len(y) and y.min() < y.max():
-        model.scale = tuple(float(s) for s in np.maximum(x.std(axis=0), 1e-9))
-        w, b = lasso_logistic(x / np.array(model.scale), y, penalty=1e-4, rounds=3000)
-        model.weights, model.intercept = tuple(map(float, w)), b
+        w, b = lasso_logistic(x, y, penalty=1e-4, rounds=3000)
+        model.weight, model.intercept = max(float(w[0]), 0.0), b
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep, score (0 to 1) and FEATURES of each row's whole text; null and empty texts as without words.
 
-    Of keep, a column with the name of one that is made here is left out.
+    A word more whose ratio exceeds MARGIN by MOST_MEAN never lowers a score, however long or toxic the text is, and one whose
+    ratio is under MARGIN never raises it. Of keep, a column with the name of one that is made here is left out.
     """
-    z = F.lit(model.intercept)
-    for name, w, s in zip(FEATURES, model.weights, model.scale, strict=True):
-        z = z + F.col(name) * (w / s)
+    z = F.lit(model.intercept) + evidence(F.col("mean")) * model.weight
     found = measured(docs, model, keep)
     own = found.columns[: -len(FEATURES)]
     return found.select(*own, (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))).alias("score"), *FEATURES)

@@ -535,7 +535,7 @@ def test_ratios_come_from_every_row_as_in_one_dictionary(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_LABELS", 10)
     large = toxicity.train(docs, labels, "toxic", F.lit(True), most=20)
     joined = toxicity.measured(again, large, ["doc_id", "key"]).collect()
-    assert large.known is None and large.weights == pytest.approx(model.weights)
+    assert large.known is None and (large.weight, large.intercept) == pytest.approx((model.weight, model.intercept))
     for a, b in zip(*(sorted(((-1 if r.doc_id is None else r.doc_id), *(r[c] for c in toxicity.FEATURES)) for r in x) for x in (here, joined)), strict=True):
         assert a == pytest.approx(b, abs=1e-9)
 
@@ -546,16 +546,69 @@ def test_long_runs_are_counted_and_scored_whole():
     assert found == ["one", "two"] and [g for s in slices for g in toxicity.windows(s)] == toxicity.grams(run)
     assert "zzqu" in toxicity.grams(run)
     known = {"zzqu": 9.0, "abab": -0.5}
-    per_word, *_, both = toxicity.features(run, toxicity.Words(known))
-    assert per_word * len(slices) == pytest.approx(9.0 - toxicity.MARGIN)
-    assert both < per_word  # what the ordinary model explains better speaks against it
+    toxic, ordinary, both = toxicity.features(run, toxicity.Words(known))
+    assert toxic * (len(slices) + toxicity.NEUTRAL) == pytest.approx(9.0 - toxicity.MARGIN)
+    assert ordinary < 0 and both == pytest.approx(max(toxic + ordinary, 0))  # what the ordinary model explains better speaks against it
+
+
+TOXIC = ["zzqux", "vokkerl", "wuzzgat", "jyffed", "qwozzle", "xarvunk", "yibbok", "zhuvvy", "kwezzit", "vuxxor"]
+
+
+def brute_score(model, text):
+    """The score of a text by the ratios of its words, in plain Python."""
+    total, n = 0.0, 0
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        ratio, padded = 0.0, "^^^" + w + "$"
+        for k in range(len(w) + 1):
+            ratio += model.known.get(padded[k : k + 4], model.known.get(padded[k : k + 3], 0.0))
+        n += 1
+        total += min(ratio - 2.5, 12) if ratio > 2.5 else 0.1 * max(ratio + 2.5, -12) if ratio < -2.5 else 0
+    mean = min(max(total / (n + 240), 0), 0.1)
+    return 1 / (1 + math.exp(-model.intercept - model.weight * math.log(1 + 100 * mean)))
+
+
+def test_scores_rise_with_toxic_words_and_fall_with_ordinary_ones(spark):
+    def make(rng, bad):
+        text = words(rng, 120).split()
+        for _ in range(bad and rng.randint(1, 6)):
+            text.insert(rng.randrange(len(text)), rng.choice(TOXIC))
+        return " ".join(text)
+
+    docs, labels = labelled(spark, make, 400, toxic=True)
+    model = toxicity.train(docs, labels, "toxic", F.lit(True))
+    rng = random.Random(5)
+    plain = words(rng, 60)
+    texts = {"none": "", "plain": plain, "one": TOXIC[0], "ten": " ".join(TOXIC), "repeated": " ".join([TOXIC[0]] * 40), "hundreds": " ".join(TOXIC * 40)}
+    texts |= {f"plain and {k}": f"{plain} {' '.join((TOXIC * 3)[:k])}" for k in (1, 3, 10, 30)}
+    texts |= {f"ten in {k}": f"{' '.join(TOXIC)} {words(rng, k)}" for k in (50, 200, 1000, 20_000)}
+    got = {r.key: r.score for r in toxicity.score(spark.createDataFrame(list(texts.items()), "key string, text string"), model, ["key"]).collect()}
+    for k, t in texts.items():
+        assert got[k] == pytest.approx(brute_score(model, t), abs=1e-9), k
+    assert all(got[k] >= 0.7 for k in ("one", "ten", "repeated", "hundreds", "plain and 3", "plain and 10", "plain and 30", "ten in 50"))
+    assert max(got["none"], got["plain"]) < 0.3
+    cache = toxicity.Words(model.known)
+    most = [w for w in TOXIC if cache[w] >= toxicity.MOST_MEAN]
+    least = [w for w in words(rng, 300).split() if cache[w] <= 0]
+    assert len(most) == len(TOXIC) and len(least) > 100
+    for start in ([], plain.split(), most, most * 30, [*plain.split(), *most]):
+        text, last = list(start), toxicity.features(" ".join(start), cache)[-1]
+        for _ in range(60):
+            text.insert(rng.randrange(len(text) + 1), rng.choice(most))
+            now = toxicity.features(" ".join(text), cache)[-1]
+            assert now >= last
+            last = now
+        for _ in range(60):
+            text.insert(rng.randrange(len(text) + 1), rng.choice(least))
+            now = toxicity.features(" ".join(text), cache)[-1]
+            assert now <= last + 1e-15
+            last = now
 
 
 def test_columns_with_the_names_of_features(spark):
     model = toxicity.Model(spark.createDataFrame([], "gram string, ratio double"), {"zzqu": 9.0})
     docs = documents(spark, ODD).withColumns({c: F.lit(5.0) for c in toxicity.FEATURES})
-    got = toxicity.score(docs, model, ["doc_id", "score", "per_word", "text", "n_chars"])
-    assert got.columns == ["doc_id", "text", "n_chars", "score", *toxicity.FEATURES] and got.where("per_word = 5 or n_chars <> 7").isEmpty()
+    got = toxicity.score(docs, model, ["doc_id", "score", "mean", "text", "n_chars"])
+    assert got.columns == ["doc_id", "text", "n_chars", "score", *toxicity.FEATURES] and got.where("mean = 5 or n_chars <> 7").isEmpty()
 
 
 # 5

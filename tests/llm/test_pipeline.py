@@ -93,10 +93,9 @@ def test_stages_and_run(spark, corpus):
 
     def toxic(text):
         found = [sum(map(whole.gram_ratio, toxicity.grams(w))) for w in toxicity.WORD.findall((text or "").lower())]
-        beyond = [max(v - toxicity.MARGIN, 0) + min(v + toxicity.MARGIN, 0) for v in found]
-        n, up = max(len(found), 1), sum(v for v in beyond if v > 0)
-        x = (up / n, up / math.sqrt(n), math.log1p(up / math.sqrt(n)), sum(beyond) / n)
-        z = trained.intercept + sum(a * w / s for a, w, s in zip(x, trained.weights, trained.scale, strict=True))
+        total = sum(min(max(v - 2.5, 0), 12) + 0.1 * max(min(v + 2.5, 0), -12) for v in found)
+        mean = min(max(total / (len(found) + 240), 0), 0.1)
+        z = trained.intercept + trained.weight * math.log(1 + 100 * mean)
         return 1 / (1 + math.exp(-z)) >= corpus_pipeline.TOXIC
 
     calm = corpus_pipeline.non_toxic(spark, kept, at).cache()
