@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, rule_ensemble, tool_calls, toxicity, warc
+from codeloom.llm import (
+    byte_bpe, collocations, conversation_repair, fingerprints, jaccard_join, language_id, packing, personal_data, quality_rules, rule_ensemble, tool_calls,
+    toxicity, warc,
+)
 from codeloom.llm.common import id_remainder, table
 
 
@@ -91,8 +94,25 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_derivatives, op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op7_tool_call_linking, op8_class_kneser_ney, op9_jaccard_join, op10_quartile_digest)
-}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.ORACLE_SQL, "op7_tool_call_linking": OP7_SQL}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"), personal_data.fit(personal_data.table()), ["doc_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_warc_derivatives, op2_line_frequency_rules, op3_mixture_packing, op4_sparse_rule_ensemble, op5_nearest_centroid_language, op6_byte_bpe, op7_tool_call_linking,
+        op8_class_kneser_ney, op9_jaccard_join, op10_quartile_digest, op11_phrase_collocations, op12_conversation_repair, op13_personal_data,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_derivatives": warc.ORACLE_SQL, "op7_tool_call_linking": OP7_SQL, "op11_phrase_collocations": collocations.ORACLE_SQL, "op12_conversation_repair": conversation_repair.ORACLE_SQL,
+}

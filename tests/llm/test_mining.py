@@ -1,0 +1,334 @@
+"""Phrase collocations, conversation repair and personal data against plain Python, over odd rows, hot keys and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom.llm import collocations, conversation_repair, personal_data
+from test_operators import LONG, ODD, documents, words
+
+# 11
+
+
+def brute_phrases(rows, least, share=80, most=2_000):
+    """rows: (text, lang) -> (lang, rank, phrase, a, l, r, n, score), counting every phrase."""
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        c = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        gone = set()
+        for p, a in c.items():
+            for k in range(2, len(p)):
+                gone |= {p[i : i + k] for i in range(len(p) - k + 1) if 100 * a >= share * counts[p[i : i + k]]}
+        rows = []
+        for p, a in c.items():
+            if p not in gone:
+                score, _, left, right = min((2_000_000 * a // (counts[p[:k]] + counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, rank, p.decode(), -a, left, right, n[lang], -score) for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:most], 1)]
+    return sorted(out)
+
+
+def mined(df):
+    return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+
+
+def phrase_rows(rng, n):
+    vocabulary = ["Alpha", "beta", "GAMMA", "delta", "ünï", "É", "é", "x", "#", "\x0b", "zeta\x00", "🙂"]
+    marks = [" ", "  ", "\t", ". ", ",", ";", ":", "!", "?", "\n", "\r\n", "\x0c"]
+    return [("".join(rng.choice(vocabulary) + rng.choice(marks if rng.random() < 0.3 else [" "]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de", None])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_phrases_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [*phrase_rows(rng, 80), (None, "en"), ("", None), (" \n\t", "fr"), ("one two three four " * 30, "es"), *[("same old words here again", "it")] * 12, (LONG[:3000], "xx")]
+    docs = documents(spark, [(i if i % 7 else None, t, lang) for i, (t, lang) in enumerate(rows)])
+    assert mined(collocations.mine(docs, least=5)) == brute_phrases(rows, 5)
+    assert mined(collocations.mine(docs, least=5, share=101, most=7)) == brute_phrases(rows, 5, 101, 7)
+
+
+def test_phrases_of_empty_tables_and_rare_words(spark):
+    docs = documents(spark, ODD)
+    assert collocations.mine(docs.limit(0)).count() == 0
+    assert mined(collocations.mine(docs, least=10**6)) == []
+    assert mined(collocations.mine(docs.select("doc_id", "text", F.lit("a").alias("lang"), F.lit(1).alias("ws")), least=2)) == brute_phrases([(t, "a") for _, t in ODD], 2)
+
+
+def test_small_slices_chunks_and_classes_change_nothing(spark):
+    rng = random.Random(3)
+    rows = phrase_rows(rng, 60)
+    docs = spark.createDataFrame(rows, "text string, lang string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    want = {(lang, w): n for lang, w, n in ((r.lang, r.word, r.n) for r in collocations.word_counts(docs).collect())}
+    assert {(r.lang, r.word): r.n for r in collocations.word_counts(docs, most=3, size=7).collect()} == want
+    every = collocations.Bits(20, 1, None)
+    whole = {tuple(r.ws): r.f for r in collocations.phrase_counts(collocations.coded(docs, every, 0), 2, None, None, 1, 1).collect()}
+    ids = collocations.coded(docs, every, 0, chunk=20, size=9)
+    assert {tuple(r.ws): r.f for r in collocations.phrase_counts(ids, 2, None, None, 7, 1).collect()} == whole
+    full = collocations.full_pairs(ids, 1000, 5)
+    assert {k: v for k, v in whole.items() if v >= 5} == {tuple(r.ws): r.f for r in collocations.phrase_counts(ids, 2, None, full, 3, 5).collect()}
+    assert collocations.full_pairs(ids, collocations.MOST_PAIRED + 1, 5).packed is None
+
+
+def test_perfect_hash_has_each_slot_once_and_tells_strangers():
+    rng = np.random.default_rng(1)
+    for n, k in ((0, 2), (1, 1), (5_000, 2), (20_000, 3)):
+        keys = rng.integers(-(2**63), 2**63 - 1, (n, k), dtype=np.int64)
+        made = collocations.PerfectHash(keys)
+        assert sorted(made.slots(keys)) == list(range(n)) and (made.keys[made.slots(keys)] == keys).all()
+        strange = rng.integers(0, 2**62, (1_000, k), dtype=np.int64)
+        assert (made.slots(strange) == -1).all()
+    twice = np.concatenate([keys, keys[:50]])
+    assert len(collocations.distinct_rows(twice)) == len(keys)
+    arrays = [rng.integers(0, 9, 5) for _ in range(7)]
+    assert (collocations.tree_sum(list(arrays)) == sum(arrays)).all()
+
+
+def test_hashes_are_those_of_spark(spark):
+    df = spark.createDataFrame([("en", "wörd"), ("", ""), ("und", "🙂x")], "lang string, word string")
+    for r in df.select("lang", "word", collocations.word_hash(F.col("lang"), F.col("word"), 3).alias("h")).collect():
+        codes = collocations.Codes(r.lang, 3, [])
+        codes[r.word.encode()]
+        assert np.array(codes.hashes, np.uint64).view(np.int64)[0] == r.h
+
+
+# 12
+
+
+def damaged_rows(rows):
+    """(conv_id, turn, role, text) -> the same after damage, by conversation and in order."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        say = lambda x: " " if x is None else str(x)
+        fault = zlib.crc32(f"{say(conv)}:{say(turn)}".encode()) % 20
+        role, text = say(role), say(text)
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        out[conv] += [(turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    return {c: sorted(v, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())) for c, v in out.items()}
+
+
+def brute_repair(rows):
+    """The contract's columns of one conversation's rows in order, by a dynamic programme over (cost, audit, texts)."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        if not re.search(r"[^\x20\x09-\x0D]", text):
+            faults.append("blank")
+        elif (role, text) in seen:
+            faults.append("duplicate")
+        elif text.rstrip("\x20\t\n\v\f\r")[-1] not in ".!?":
+            faults.append("truncated")
+        else:
+            faults.append(None)
+        seen.add((role, text))
+    state = {"": (0, "", ())}  # by the last of the repaired initials
+
+    def better(into, key, value):
+        if key not in into or value[:2] < into[key][:2]:
+            into[key] = value
+
+    def may(last, y):
+        return {"": "su", "s": "u", "u": "a", "a": "u"}[last].find(y) >= 0
+
+    def inserts(state):
+        for _ in range(2):
+            for last, (c, a, t) in list(state.items()):
+                for y, role in (("u", "user"), ("a", "assistant")):
+                    if may(last, y):
+                        better(state, y, (c + 5, a + "I", (*t, f"{role}:")))
+        return state
+
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        after: dict = {}
+        for last, (c, a, t) in inserts(state).items():
+            better(after, last, (c + 2, a + "D", t))
+            if fault in (None, "truncated"):
+                more = 5 if fault else 0
+                if role[:1] in ("s", "u", "a") and may(last, role[:1]):
+                    better(after, role[:1], (c + more, a + "K", (*t, f"{role}:{text}")))
+                for y, made in (("u", "user"), ("a", "assistant")):
+                    if may(last, y):
+                        better(after, y, (c + 1 + more, a + "R", (*t, f"{made}:{text}")))
+        state = after
+    cost, audit, texts = min((v for last, v in inserts(state).items() if last in ("", "a")), key=lambda v: v[:2])
+    turns = {t for t, *_ in rows if t is not None}
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(x + y not in ("su", "ua", "au") for x, y in zip(initials, initials[1:], strict=False))
+    counts = Counter(faults)
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, hashlib.sha256("\n".join(texts).encode()).hexdigest())
+
+
+def conversation_rows(seed):
+    rng = random.Random(seed)
+    texts = ["Yes.", "No!", "so", "", " \n", "what?", "ok. ", "a longer text", None, " "]
+    rows = [(c, rng.choice([None, *range(6)]), rng.choice(["user", "assistant", "system", "tool", "", None, "u"]), rng.choice(texts)) for c in (1, 2, 3, None) for _ in range(rng.randint(0, 9))]
+    for c in range(10, 60):
+        start = rng.random() < 0.5
+        rows += [(c, t, "system" if start and t == 0 else ["user", "assistant"][(t - start) % 2], rng.choice([f"text {t}.", "cut", "Yes."])) for t in range(rng.randint(1, 12))]
+    return rows + rows[:3]
+
+
+COLUMNS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+@pytest.mark.parametrize("bits, group", [(9, 9), (1, 1), (2, 9), (0, 2)])
+def test_repairs_equal_brute_force(spark, bits, group):
+    rows = [*conversation_rows(5), (99, 1, "user", "x" * 50_000), *[(98, t, "user", "Same.") for t in range(40)], *[(97, 7, "assistant", "Copied.")] * 30]
+    frame = spark.createDataFrame([(*r, "mine", 3) for r in rows], "conv_id long, turn long, role string, text string, audit string, block int")
+    got = {r.conv_id: tuple(r[c] for c in COLUMNS) for r in conversation_repair.repair(frame, bits, group).collect()}
+    after = damaged_rows(rows)
+    assert set(got) == {r[0] for r in rows}
+    for conv in got:
+        assert got[conv] == brute_repair(after[conv]), (conv, after[conv])
+
+
+def test_one_conversation_of_most_rows(spark):
+    rng = random.Random(9)
+    rows = [(7, t, rng.choice(["user", "assistant"]), rng.choice(["Fine.", f"number {t}.", f"cut {t}", ""])) for t in range(3_000)] + [(8, 0, "user", "Hi.")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: tuple(r[c] for c in COLUMNS) for r in conversation_repair.repair(frame, 6, 2).collect()}
+    assert {c: brute_repair(v) for c, v in damaged_rows(rows).items()} == {c: v for c, v in got.items() if c in damaged_rows(rows)}
+
+
+def test_dropped_conversations_and_empty_tables(spark):
+    dropped = next(c for c in range(1_000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    frame = spark.createDataFrame([(dropped, 0, "user", "Hi.")], "conv_id long, turn int, role string, text string")
+    r = conversation_repair.repair(frame).collect()[0]
+    assert tuple(r) == (dropped, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert conversation_repair.repair(frame.limit(0)).count() == 0
+
+
+def test_search_expands_in_the_order_of_cost_and_audit():
+    assert conversation_repair.search("", 0, True) == {0: (0, "")}
+    assert conversation_repair.search("sua", 0, True)[0] == (0, "KKK")
+    assert conversation_repair.search("aua", 0, True)[0] == (2, "DKK")  # RKK is no dialogue: both would be the user's
+    assert conversation_repair.search("uu", 0, True)[0] == (1, "KR")
+    assert conversation_repair.search("u", 0, True)[0] == (2, "D")
+    assert conversation_repair.search("-U-", 0, True)[0] == (6, "DDD")
+    assert conversation_repair.search("uua" + "-" * 3, 0, True)[0] == (8, "DKKDDD")
+    assert conversation_repair.edits_of("IKDIIRI") == ["IK", "D", "IIR", "I"]
+
+
+# 13
+
+
+def brute_spans(text):
+    """The rules read as they are written: leftmost, non-overlapping, failing matches dropped."""
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            number = "".join(c for c in m.group() if c in "0123456789")
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card":
+                doubled = [int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(number))]
+                if not 13 <= len(number) <= 19 or sum(doubled) % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(number) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_rules_equal_the_patterns():
+    rng = random.Random(4)
+    letters = "0123456789" * 3 + "..--  @@++()ab_é\n٣"
+    for _ in range(4_000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        assert personal_data.rule_spans(text) == brute_spans(text), repr(text)
+    number = "4111 1111 1111 1111"
+    assert personal_data.rule_spans(number) == [("card", 0, 19)] and personal_data.rule_spans(number[:-1] + "2") == []
+    long = "1" * 200_000 + " a@" + "b" * 200_000 + "+1(" + "." * 200_000
+    assert personal_data.rule_spans(long) == []
+
+
+@pytest.fixture(scope="module")
+def field():
+    return personal_data.fit(personal_data.table())
+
+
+def test_field_finds_what_the_rules_miss(field):
+    def found(text):
+        return [(k, text[a:b]) for k, a, b in personal_data.added(text, personal_data.rule_spans(text), personal_data.field_spans([text], field)[0])]
+
+    assert found("call (407) 555-7710 now or write") == [("phone", "(407) 555-7710")]
+    assert found("mail anna.berg (at) example.org today") == [("email", "anna.berg (at) example.org")]
+    assert found("paid by 7536784127813050 4845168114407329 then") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    for clean in ("nothing here.", "on 12.03.2024 at 10:30", "version 1.2.3 of 400 pages", 'token = "04dbebab91ab85687d33eeaa"', "meet at noon", "order 12345678 for $19.99", ""):
+        assert found(clean) == []
+    # Held-out rows of the labelled table.
+    test = personal_data.table(400, seed=77)
+    got = personal_data.field_spans([t for t, _ in test], field)
+    right = sum(len(set(s) & set(g)) for (_, s), g in zip(test, got, strict=True))
+    assert right >= 0.93 * sum(len(s) for _, s in test) and right >= 0.93 * sum(map(len, got))
+
+
+def test_viterbi_and_sums_equal_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    n = personal_data.N
+    follow = np.where(personal_data.allowed(), rng.normal(size=(n, n)), -1e9)
+    scores = rng.normal(size=(3, 4, n))
+    lengths = np.array([4, 1, 3])
+    total, p, pairs = personal_data.marginals(scores, lengths, follow)
+    best = personal_data.viterbi(scores, lengths, follow)
+    expected = np.zeros((n, n))
+    for i, length in enumerate(lengths):
+        ways = {w: scores[i, range(length), w].sum() + sum(follow[a, b] for a, b in itertools.pairwise(w)) for w in itertools.product(range(n), repeat=int(length))}
+        assert tuple(best[i]) == max(ways, key=ways.get)
+        weights = np.exp(np.array(list(ways.values())))
+        assert total[i] == pytest.approx(np.log(weights.sum()))
+        for k in range(length):
+            for label in range(n):
+                assert p[i, k, label] == pytest.approx(sum(x for w, x in zip(ways, weights, strict=True) if w[k] == label) / weights.sum(), abs=1e-9)
+        for w, x in zip(ways, weights, strict=True):
+            for a, b in itertools.pairwise(w):
+                expected[a, b] += x / weights.sum()
+    assert pairs == pytest.approx(expected, abs=1e-8)
+
+
+def test_islands_change_nothing_that_features_reach(field):
+    """Labels in a long text are those of the words around each cue alone, and islands that meet are one."""
+    rng = random.Random(8)
+    filler = words(rng, 300)
+    text = f"{filler} call (407) 555-7710 now {filler} mail x.y (at) abc.org {filler}"
+    spans = personal_data.field_spans([text], field)[0]
+    assert [text[a:b] for _, a, b in spans] == ["(407) 555-7710", "x.y (at) abc.org"]
+    assert len(personal_data.islands(text)) == 2 and len(personal_data.islands("1 a b 2 c 3")) == 1
+    assert personal_data.islands("no cue") == [] and personal_data.islands("") == []
+    digits = " ".join(str(k) for k in range(2_000))
+    assert [len(w) for w in personal_data.islands(digits)][:2] == [personal_data.LONGEST] * 2
+    assert sum(map(len, personal_data.islands(digits))) >= 2_000  # every word of a long run is read
+
+
+def test_personal_data_of_odd_rows(spark, field):
+    rows = [*ODD, (50, "a@b.co, +49 30 1234567 and 10.0.0.1 or 4111111111111111"), (50, "a@b.co"), (51, f"{LONG} x@y.org {LONG}")]
+    docs = documents(spark, rows).withColumn("spans", F.lit("mine"))
+    got = personal_data.find(docs, field, ["doc_id", "spans", "text"])
+    assert got.columns == ["doc_id", "text", *personal_data.FOUND]
+    assert got.count() == len(rows) and personal_data.find(docs.limit(0), field, ["doc_id"]).count() == 0
+    for r in got.collect():
+        base = brute_spans(r.text or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in personal_data.KINDS]
+        told = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest() and set(told) <= set(r.spans.split(",")) | {""}
+    assert personal_data.masked("x a@b.co y", "email:2:8") == "x <email> y"
