@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.scalars import keywords
-from codeloom.operators.shaping import enclosing_symbol
+from codeloom.functions.scalars import keywords, redacted_lines
+from codeloom.operators.shaping import enclosing_symbol, related_symbols
 from codeloom.operators.traversal import affected_routes, impact, override_counterparts, owner_of, reachable_symbols, resolve
 from codeloom.sources.text_tables import compiler_errors, file_scores, lines, stack_frames
 
@@ -103,11 +103,22 @@ def found_lines(nodes: DataFrame, sources: DataFrame, query: str) -> DataFrame:
     return hit.join(enclosing_symbol(nodes, hit.distinct()), ["file_path", "line"], "left").select(F.col("file_path").alias("file"), "line", "id")
 
 
-def method_source(nodes: DataFrame, sources: DataFrame, query: str) -> DataFrame:
-    """id, line, text: the lines of the one symbol that a name means; none if the name is ambiguous."""
+def method_source(nodes: DataFrame, edges: DataFrame, sources: DataFrame, query: str, window: int = 60, most: int = 500) -> DataFrame:
+    """kind, id, line, text of the one symbol that a name means: its lines with secrets hidden (source), and the symbols that it
+    calls, reads, writes and returns or that call it, 25 of each kind by name; none if the name is ambiguous or unknown.
+
+    Without an end line the `window` lines after the first are shown. sources: file, text.
+    """
     one = resolve(nodes, query).where("status = 'UNIQUE'").select("id")
-    span = nodes.join(one, "id", "left_semi").select("id", F.col("file_path").alias("file"), "line_number", "end_line")
-    return lines(sources, "file").join(F.broadcast(span), "file").where(F.col("line").between(F.col("line_number"), F.col("end_line"))).select("id", "line", "text")  # one row
+    span = nodes.join(one, "id", "left_semi").select("id", F.col("file_path").alias("file"), F.greatest("line_number", F.lit(1)).alias("first"), F.coalesce("end_line", F.col("line_number") + window).alias("last"))
+    part = F.slice(F.split("text", "\r?\n"), F.col("first"), F.greatest(F.lit(1), F.least(F.col("last") - F.col("first") + 1, F.lit(most))))
+    shown = sources.join(F.broadcast(span), "file").select("id", "first", F.posexplode(redacted_lines(part)).alias("at", "text"))  # one row
+    lines_ = shown.select(F.lit("source").alias("kind"), "id", (F.col("first") + F.col("at")).alias("line"), "text")
+    found = one.first()
+    if found is None:
+        return lines_
+    near = related_symbols(nodes, edges, found["id"])
+    return lines_.unionAll(near.select("kind", "id", F.col("rank").cast("int"), F.col("full_name")))
 
 
 def test_plan(changes: DataFrame, tolerance: str = "low") -> DataFrame:

@@ -715,17 +715,19 @@ def feature_gates(spark, sf_dir):
 # Texts
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, line FROM l WHERE contains(lower(text), 'idiot')""", graph=False)
-def search_source(spark, sf_dir):
-    return text_tables.search_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "Idiot")
-
-
 def _hidden_sql(t: str) -> str:
     for word in ("(password|passwd|pwd)", "(secret|client[_-]?secret)", "(token|access[_-]?token|refresh[_-]?token)", "(api[_-]?key|apikey)", "(authorization)"):
         t = f"regexp_replace({t}, '(?i){word}(\\s*[=:]\\s*)(\\S+)', '\\1\\2[REDACTED]', 'g')"
     return f"regexp_replace({t}, 'AKIA[0-9A-Z]{{16}}', '[REDACTED]', 'g')"
 
 
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+h AS (SELECT doc_id, line, regexp_replace({_hidden_sql("t")}, '^\\s+|\\s+$', '', 'g') AS t FROM l WHERE contains(lower(t), 'idiot'))
+SELECT doc_id, line, CASE WHEN length(t) > 200 THEN left(t, 200) || chr(8230) ELSE t END AS snippet FROM h""", graph=False)
+def search_source(spark, sf_dir):
+    return text_tables.search_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "Idiot")
+
+
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
 SELECT doc_id, line, {_hidden_sql("t")} AS text FROM l WHERE line BETWEEN 2 AND 4""", graph=False)
 def line_ranges(spark, sf_dir):
@@ -1264,3 +1266,6 @@ def markdown_rows(spark, sf_dir):
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_dependency(spark, sf_dir)
+
+
+import codeloom.queries_more  # noqa: E402, F401 - registers more

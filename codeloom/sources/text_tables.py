@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.scalars import ignored, redacted
+from codeloom.functions.scalars import ignored, redacted_lines
 
 #: Folders that a scan of sources leaves out.
 SKIPPED = ("target", "build", ".git", ".idea", ".gradle", "node_modules", "out", "bin")
@@ -91,14 +91,19 @@ def lines(texts: DataFrame, key: str) -> DataFrame:
 
 
 def line_range(texts: DataFrame, key: str, first: int, last: int, most: int = 500) -> DataFrame:
-    """Lines first to last of each text, at most `most` of them, secrets hidden."""
+    """Lines first to last of each text, at most `most` of them, secrets and private keys hidden."""
     end = min(last, first + most - 1)
-    return lines(texts, key).where(F.col("line").between(first, end)).select(key, "line", redacted(F.col("text")).alias("text"))
+    part = F.slice(F.split("text", "\r?\n"), first, max(0, end - first + 1))
+    return texts.select(key, F.posexplode(redacted_lines(part)).alias("at", "line_text")).select(key, (F.col("at") + first).alias("line"), F.col("line_text").alias("text"))
 
 
-def search_lines(texts: DataFrame, key: str, query: str) -> DataFrame:
-    """key, line of lines that hold the query, whatever its case."""
-    return lines(texts, key).where(F.contains(F.lower("text"), F.lit(query.lower()))).select(key, "line")
+def search_lines(texts: DataFrame, key: str, query: str, longest: int = 200) -> DataFrame:
+    """key, line, snippet of lines that hold the query, whatever its case: the line without spaces around it, `longest` characters
+    at most; secrets and the lines of private keys are hidden."""
+    kept = F.split("text", "\r?\n")
+    both = texts.select(key, F.posexplode(F.arrays_zip(kept.alias("line"), redacted_lines(kept).alias("shown"))).alias("at", "both"))
+    hit = both.where(F.contains(F.lower("both.line"), F.lit(query.lower()))).select(key, (F.col("at") + 1).alias("line"), F.regexp_replace("both.shown", r"^\s+|\s+$", "").alias("shown"))
+    return hit.select(key, "line", F.when(F.length("shown") > longest, F.concat(F.substring("shown", 1, longest), F.lit("\u2026"))).otherwise(F.col("shown")).alias("snippet"))
 
 
 def source_root(path: Column, text: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-#: Folders and endings that a watcher leaves out or takes.
-IGNORED_FOLDERS = ("target", "build", "node_modules", ".git", ".idea", "out", "bin", "dist")
-WATCHED = ("java", "xml", "yml", "yaml", "properties")
+#: Folders that a watcher leaves out, and endings of the files that it watches.
+IGNORED_FOLDERS = ("target", "build", ".git", ".idea", "node_modules")
+WATCHED = (".java",)
 
 
 def stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -20,8 +20,11 @@ def stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def watched(changes: DataFrame) -> DataFrame:
-    return changes.where(~F.col("path").rlike(f"(^|/)({'|'.join(x.replace('.', chr(92) + '.') for x in IGNORED_FOLDERS)})/") & F.col("path").rlike(f"[.]({'|'.join(WATCHED)})$"))
+def watched(changes: DataFrame, ignored: tuple[str, ...] = IGNORED_FOLDERS, endings: tuple[str, ...] = WATCHED) -> DataFrame:
+    """Changes of watched files that lie in no ignored folder, at whatever depth."""
+    parts = F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/")
+    inside = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.isin(*ignored))
+    return changes.where(~inside & F.coalesce(*[F.when(F.endswith("path", F.lit(e)), F.lit(True)) for e in endings], F.lit(False)))
 
 
 def debounced(changes: DataFrame, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:

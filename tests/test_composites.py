@@ -59,13 +59,16 @@ def test_changes_errors_and_plans(spark):
     assert {r.level for r in tools.test_plan(spark.createDataFrame([(1, "Login route")], "id int, text string")).collect()} == {"unit", "mcp-live / api"}
     high = tools.test_plan(spark.createDataFrame([(1, "Login route of the repository", ["a.vue"])], "id int, text string, files array<string>"), "high").collect()
     assert [r.level for r in high] == ["unit", "integration/Testcontainers"]
-    assert tools.method_source(n, sources, "a.x()").where(F.col("line") == 2).first().text == "order"
+    assert tools.method_source(n, e, sources, "a.x()").where(F.col("line") == 2).first().text == "order"
+    assert tools.method_source(n, e, sources, "no.such()").count() == 0
+    hidden = spark.createDataFrame([("/f/a", "x\npassword=hunter2\n-----BEGIN PRIVATE KEY-----\nabc")], "file string, text string")
+    assert "hunter2" not in str(tools.method_source(n, e, hidden, "a.x()").collect())
     assert tools.impact_summary(n, e, "a.x()").first().n_routes == 1
 
 
 def test_watched_paths_titles_and_flow_parts(spark):
-    paths = spark.createDataFrame([("a/B.java",), ("target/B.java",), ("a/.git/B.java",), ("a/b.png",)], "path string")
-    assert [r.path for r in events.watched(paths).collect()] == ["a/B.java"]
+    paths = spark.createDataFrame([("a/B.java",), ("target/B.java",), ("a/.git/B.java",), ("a/b.png",), ("out/B.java",), ("a\\build\\B.java",), ("pom.xml",), ("build.java",)], "path string")
+    assert [r.path for r in events.watched(paths).collect()] == ["a/B.java", "out/B.java", "build.java"]
     titles = spark.createDataFrame([("/api/order_lines/{id}/items",)], "path string")
     assert titles.select(flows.path_title(F.col("path"))).first()[0] == "Api order lines items"
     n, e = graph(spark, [("a()", "Method"), ("b()", "Method"), ("c()", "Method")], [("a()", "CALLS", "b()"), ("b()", "CALLS", "c()")])

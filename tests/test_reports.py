@@ -1,6 +1,8 @@
 """Scalars, telemetry, texts and streams."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,34 @@ def test_redaction_keeps_line_numbers(spark):
     assert values(spark, "string", [text], scalars.redacted_source) == ["a\n[REDACTED]\n[REDACTED]\n[REDACTED]\npassword = [REDACTED]"]
     got = values(spark, "string", ['{"a": [{"Token": 1}], "b": 2}', "no", None], scalars.redacted_json)
     assert got == ['{"a":[{"Token":"[REDACTED]"}],"b":2}', None, None]
+    got = values(spark, "string", ['{"pass-word": [1], "JWT": {"a": 1}, "source_content": "x", "cookie": "kept", "note": ["Bearer abc.def and vbg_0123456789abc", 3]}'], scalars.redacted_json)
+    assert got == ['{"JWT":"[REDACTED]","cookie":"kept","note":["Bearer [REDACTED] and [REDACTED]",3],"pass-word":"[REDACTED]","source_content":"[REDACTED]"}']
+
+
+BEGIN, END = "-----BEGIN EC PRIVATE KEY-----", "-----END EC PRIVATE KEY-----"
+
+
+def brute_hidden(lines):
+    """Whole keys first, then one that is still open, then what is before the first end that is left without a beginning."""
+    text = "\n".join(lines)
+    many = lambda m: "\n".join(["\0"] * (m.group().count("\n") + 1))
+    text = re.sub(f"{BEGIN}[\\s\\S]*?{END}", many, text)
+    text = re.sub(f"{BEGIN}[\\s\\S]*$", many, text)
+    text = re.sub(f"\\A[\\s\\S]*?{END}", many, text)
+    return ["[REDACTED]" if "\0" in x else x for x in text.split("\n")]
+
+
+def test_private_keys_are_hidden_whole_open_and_orphaned(spark):
+    rng = random.Random(4)
+    texts = [[rng.choice(["a", "b", BEGIN, END, f"x {BEGIN} MII {END} y", "password=x"]) for _ in range(rng.randint(1, 9))] for _ in range(200)]
+    got = values(spark, "array<string>", texts, scalars.redacted_lines)
+    for t, g in zip(texts, got, strict=True):
+        want = [re.sub("password=x", "password=[REDACTED]", x) for x in brute_hidden(t)]
+        assert g == want, t
+    body = spark.createDataFrame([("f", f"a\n{BEGIN}\nMII\nQQ\n{END}\nb\ntoken: t")], "file string, text string")
+    shown = lambda first, last: [r.text for r in text_tables.line_range(body, "file", first, last).orderBy("line").collect()]
+    assert shown(1, 3) == ["a", "[REDACTED]", "[REDACTED]"] and shown(3, 7) == ["[REDACTED]"] * 3 + ["b", "token: [REDACTED]"]
+    assert shown(9, 12) == [] and [r.snippet for r in text_tables.search_lines(body, "file", "QQ").collect()] == ["[REDACTED]"]
 
 
 def test_globs(spark):
