@@ -9,6 +9,7 @@ from codeloom.plans import tools
 from codeloom.queries import METHOD, ORACLE_SQL, QUERIES, query, seeds
 from codeloom.sources import text_tables
 from codeloom.sources.graph_tables import edges, nodes, table
+from codeloom.streaming import throttle
 
 __all__ = ["ORACLE_SQL", "QUERIES", "seeds"]
 
@@ -71,3 +72,38 @@ def redacted_details(spark, sf_dir):
     made = [F.replace(F.lit(raw), F.lit("@"), F.col("event_id").cast("string")) for raw, _ in _JSON]
     props = F.element_at(F.array(*made), (F.col("event_id") % len(made) + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", scalars.redacted_json(props).alias("props"))
+
+
+# Sign-ins
+
+
+def _guard_sql(per_address: int, per_account: int, lock: int, longest: int, window: int) -> str:
+    """One login after another, with the states of all addresses and accounts as lists."""
+    kept = max(window, longest, lock)
+    none = "{'failed': 0, 'locks': 0, 'until': 0::bigint, 'since': NULL::bigint}"
+    live = lambda s: f"CASE WHEN {s}.since IS NOT NULL AND ts - {s}.since >= {kept} THEN {none} ELSE {s} END"
+
+    def after(s: str, failures: int, doubles: bool) -> str:
+        wait = f"least({lock} * power(2, {s}.locks)::bigint, {longest})" if doubles else str(lock)
+        return f"""CASE WHEN NOT (ok_a AND ok_b) THEN {s} WHEN success THEN {none}
+          WHEN {s}.failed + 1 >= {failures} THEN {{'failed': 0, 'locks': {s}.locks + 1, 'until': ts + {wait}, 'since': coalesce({s}.since, ts)}}
+          ELSE {{'failed': {s}.failed + 1, 'locks': {s}.locks, 'until': {s}.until, 'since': coalesce({s}.since, ts)}} END"""
+
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS id, epoch_ms(ts) AS ts, event_type = 'signup' AS success,
+  dense_rank() OVER (ORDER BY json_extract_string(props, '$.k')) AS a, dense_rank() OVER (ORDER BY user_id) AS b, row_number() OVER (ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+run AS (SELECT 0::bigint AS n, NULL::bigint AS id, true AS ok_a, true AS ok_b, list_transform(range(1, (SELECT max(a) FROM e) + 1), lambda i: {none}) AS sa, list_transform(range(1, (SELECT max(b) FROM e) + 1), lambda i: {none}) AS sb
+UNION ALL SELECT n, id, ok_a, ok_b, list_transform(sa, lambda s, i: CASE WHEN i = a THEN {after("xa", per_address, True)} ELSE s END), list_transform(sb, lambda s, i: CASE WHEN i = b THEN {after("xb", per_account, False)} ELSE s END)
+FROM (SELECT *, ts >= xa.until AS ok_a, ts >= xb.until AS ok_b FROM (SELECT *, {live("ya")} AS xa, {live("yb")} AS xb
+  FROM (SELECT e.*, sa, sb, sa[a] AS ya, sb[b] AS yb FROM run JOIN e ON e.n = run.n + 1))))
+SELECT id, ok_a AS address_allowed, ok_b AS account_allowed, ok_a AND ok_b AS allowed FROM run WHERE id IS NOT NULL"""
+
+
+_LIMITS = throttle.Limits(per_address=5, per_account=4, lock_ms=3_600_000, longest_ms=86_400_000, window_ms=900_000)
+
+
+@query(_guard_sql(5, 4, 3_600_000, 86_400_000, 900_000), graph=False)
+def guarded_logins(spark, sf_dir):
+    """Events stand for logins: a user's account from an address, the k of its properties; a sign-up is one that succeeds."""
+    e = table(spark, sf_dir, "events")
+    logins = e.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("address"), F.col("user_id").alias("account"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") == "signup").alias("success"))
+    return throttle.guarded(logins, _LIMITS)[0]
