@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import scalars
+from codeloom.functions import addresses, scalars
 from codeloom.operators import accounts, flows, inference, mutations, shaping, tasks, telemetry, traversal, use_cases
 from codeloom.plans import tools
 from codeloom.plans.staging import staged
@@ -633,10 +633,10 @@ def normal_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.normal_method(v).alias("method"), scalars.normal_text(v, "unknown", 120).alias("address"))
 
 
-@query("""SELECT c_custkey, (c_custkey % 256) BETWEEN 10 AND 10 AS in_ten, NOT ((c_custkey % 256) IN (10, 127) OR ((c_custkey % 256) = 172 AND c_nationkey BETWEEN 16 AND 31) OR (c_custkey % 256 = 0) OR (c_custkey % 256 BETWEEN 224 AND 239)) AS is_public FROM customer""", graph=False)
+@query("""SELECT c_custkey, (c_custkey % 256) BETWEEN 10 AND 10 AS in_ten, NOT ((c_custkey % 256) IN (10, 127) OR ((c_custkey % 256) = 172 AND c_nationkey BETWEEN 16 AND 31) OR (c_custkey % 256 BETWEEN 224 AND 239)) AS is_public FROM customer""", graph=False)
 def address_classes(spark, sf_dir):
     a = F.concat((F.col("c_custkey") % 256).cast("string"), F.lit("."), F.col("c_nationkey").cast("string"), F.lit(".1.2"))
-    return table(spark, sf_dir, "customer").select("c_custkey", scalars.in_network(a, "10.0.0.0/8").alias("in_ten"), scalars.is_public(a).alias("is_public"))
+    return table(spark, sf_dir, "customer").select("c_custkey", addresses.in_networks(a, ["10.0.0.0/8"]).alias("in_ten"), addresses.is_public(a).alias("is_public"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderdate::date AS r, (o_orderdate::date + (o_orderkey % 400)::int) AS t FROM orders), a AS (SELECT *, (date_trunc('month', t) + to_days(least(day(r), day(last_day(t)))::int - 1))::date AS now_ FROM d),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.functions import scalars
+from codeloom.functions import addresses, scalars
 from codeloom.plans import tools
 from codeloom.queries import METHOD, ORACLE_SQL, QUERIES, query, seeds
 from codeloom.sources import text_tables
@@ -107,3 +107,22 @@ def guarded_logins(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     logins = e.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("address"), F.col("user_id").alias("account"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") == "signup").alias("success"))
     return throttle.guarded(logins, _LIMITS)[0]
+
+
+# Addresses
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '10.' || c_custkey % 30 || '.' || c_custkey % 256 || '.1' WHEN 1 THEN '2001:db8:' || lower(hex(c_custkey % 30)) || ':0:0:0:0:' || lower(hex(c_custkey % 65536))
+  WHEN 2 THEN '10.' || c_custkey % 30 || '.0.9' END AS address,
+CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN c_custkey % 30 >= 25 THEN CASE c_custkey % 4 WHEN 1 THEN '2001:db8::/32' ELSE '10.0.0.0/8' END WHEN c_custkey % 4 = 1 THEN '2001:db8:' || lower(hex(c_custkey % 30)) || '::/48'
+  WHEN c_custkey % 4 = 0 AND c_custkey % 256 >= 128 THEN '10.' || c_custkey % 30 || '.128.0/17' ELSE '10.' || c_custkey % 30 || '.0.0/16' END AS network FROM customer""", graph=False)
+def networks_of_addresses(spark, sf_dir):
+    """Customers' addresses of both families, as they may be spelled, and the narrowest of the nations' networks around each."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    group, low = F.hex(k % 30), F.hex(k % 65536)
+    raw = F.when(k % 4 == 0, F.concat_ws(".", F.lit("10"), k % 30, k % 256, F.lit("1"))).when(k % 4 == 1, F.concat(F.lit(" 2001:DB8:"), group, F.lit("::"), low))
+    raw = raw.when(k % 4 == 2, F.concat(F.lit("::ffff:10."), k % 30, F.lit(".0.9"))).otherwise(F.concat(F.lit("x:"), k))
+    nets = F.array(F.concat(F.lit("10."), n, F.lit(".0.0/16")), F.concat(F.lit("2001:db8:"), F.lower(F.hex(n)), F.lit("::/48")), F.concat(F.lit("10."), n, F.lit(".128.0/17")), F.lit("10.0.0.0/8"), F.lit("2001:db8::/32"))
+    networks = table(spark, sf_dir, "nation").select(F.explode(nets).alias("cidr")).distinct()
+    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    return addresses.longest_match(rows, "raw", networks).select("c_custkey", addresses.canonical(F.col("raw")).alias("address"), "network")

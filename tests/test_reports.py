@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions import scalars
+from codeloom.functions import addresses, scalars
 from codeloom.operators import telemetry
 from codeloom.sources import text_tables
 from codeloom.streaming import events
@@ -26,9 +26,39 @@ def test_routes_are_masked(spark):
 
 def test_addresses(spark):
     rows = ["10.1.2.3", "100.64.0.1", "203.0.113.9", "::1", "fe80::1", "2001:db8::1", "224.0.0.1", "300.1.1.1"]
-    assert values(spark, "string", rows, scalars.is_public) == [False, False, True, False, False, True, False, False]
-    assert values(spark, "string", ["10.255.0.1", "11.0.0.1", "x"], lambda c: scalars.in_network(c, "10.0.0.0/8")) == [True, False, False]
-    assert values(spark, "string", ["203.0.113.1, 198.51.100.7, 10.0.0.1", "10.0.0.1"], lambda c: scalars.client_address(c, ["198.51.100.0/24"])) == ["203.0.113.1", None]
+    assert values(spark, "string", rows, addresses.is_public) == [False, False, True, False, False, True, False, False]
+    assert values(spark, "string", ["10.255.0.1", "11.0.0.1", "x"], lambda c: addresses.in_networks(c, ["10.0.0.0/8"])) == [True, False, False]
+    assert values(spark, "string", ["203.0.113.1, 198.51.100.7, 10.0.0.1", "10.0.0.1"], lambda c: addresses.client_address(c, ["198.51.100.0/24"])) == ["203.0.113.1", None]
+    rows = ["ff02::1", "x:y", "::ffff:10.0.0.1", "::ffff:0:1", "fec0::1", "::", "1::2::3", " 2001:DB8::5%eth0 ", "0.1.2.3", "", None, "1:2:3:4:5:6:7:8:9", "::1.2.3.4", "a" * 5000]
+    assert values(spark, "string", rows, addresses.is_public) == [False, False, False, True, False, False, False, True, True, False, False, False, True, False]
+    assert values(spark, "string", [" 2001:DB8::5%eth0 ", "::ffff:10.0.0.1", "010.1.1.1", "nope"], addresses.canonical) == ["2001:db8:0:0:0:0:0:5", "10.0.0.1", "10.1.1.1", None]
+    assert values(spark, "string", ["10.0.0.1, 2001:db8::9, fe80::1, junk, 198.51.100.7"], lambda c: addresses.client_address(c, ["198.51.100.7"])) == ["2001:db8:0:0:0:0:0:9"]
+
+
+def test_addresses_and_networks_equal_the_library(spark):
+    import ipaddress
+
+    rng = random.Random(6)
+
+    def spelled():
+        n = ipaddress.ip_address(rng.getrandbits(32)) if rng.random() < 0.4 else ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([(1 << 128) - 1, (1 << 64) - 1, ((1 << 16) - 1) << 112, 0xFFFF]))
+        return n, rng.choice([str(n), n.exploded.upper() if n.version == 6 else str(n)])
+
+    made = [spelled() for _ in range(300)]
+    broken = ["1.2.3", "1.2.3.4.5", ":1", "1:", ":::", "g::1", "1:2:3:4:5:6:7", "::1.2.3", "1.2.3.4:5", "12345::", "1::2:3:4:5:6:7:8"]
+    text = [t for _, t in made] + broken
+    got = values(spark, "string", text, addresses.bits)
+    want = [format(int(n.ipv4_mapped or n) if n.version == 6 else int(n), f"0{32 if n.version == 4 or n.ipv4_mapped else 128}b") for n, _ in made] + [None] * len(broken)
+    assert got == want
+    cidrs = [f"{ipaddress.ip_network((int(n) >> (n.max_prefixlen - k) << (n.max_prefixlen - k), k))}" if n.version == 4 else f"{n}/{k}" for n, _ in made[:60] for k in (rng.choice([0, 8, 20, 32]),)]
+    table = spark.createDataFrame([(c,) for c in [*cidrs, "junk", "10.0.0.0/99", "1.2.3.4/x"]], "cidr string")
+    rows = spark.createDataFrame([(t,) for t in text], "address string")
+    got = {r.address: r.network for r in addresses.longest_match(rows, "address", table).collect()}
+    for (n, t) in made:
+        known = [c for c in cidrs if ipaddress.ip_network(c, strict=False).version == n.version and n in ipaddress.ip_network(c, strict=False)]
+        best = max(known, key=lambda c: ipaddress.ip_network(c, strict=False).prefixlen, default=None)
+        assert (got[t] is None) == (best is None) and (best is None or int(got[t].split("/")[1]) == int(best.split("/")[1])), t
+    assert all(got[t] is None for t in broken) and addresses.longest_match(rows, "address", table.limit(0)).where("network is not null").isEmpty()
 
 
 def test_credit_periods_clamp_to_short_months(spark):
