@@ -1,13 +1,14 @@
 """Language identification by nearest centroid.
 
-Character n-grams (one to three bytes of the lower-cased text) are hashed to buckets; counts become normalised TF-IDF
-vectors. Each language has several centroids, found by spherical k-means on a bounded sample, and a text takes the
+Character n-grams (one to three bytes of the lower-cased words, other signs being blanks) are hashed to buckets; counts become
+normalised TF-IDF vectors. Each language has several centroids, found by spherical k-means on a bounded sample, and a text takes the
 language of the centroid with the largest cosine. A text farther from every centroid of a language than nearly all
 of that language's own sample is rejected.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +20,12 @@ from codeloom.llm.common import kept, map_rows
 
 DIM = 4096
 LETTER = r"\p{L}"
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str) -> np.ndarray:
-    """Counts of hashed n-grams of one, two and three bytes, with a space before and after the text."""
-    v = np.frombuffer(b" " + " ".join(text.lower().split()).encode("utf-8", "surrogatepass") + b" ", np.uint8).astype(np.uint32)
+    """Counts of hashed n-grams of one, two and three bytes of the words, with a space before and after each."""
+    v = np.frombuffer(b" " + " ".join(WORD.findall(text.lower())).encode("utf-8", "surrogatepass") + b" ", np.uint8).astype(np.uint32)
     out = np.bincount(v, minlength=DIM)
     two = v[:-1] * np.uint32(257) + v[1:]
     out += np.bincount((two * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=DIM)
@@ -55,10 +57,15 @@ class Model:
         return k, 1 / e.sum(axis=1), top < self.farthest[k]
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Centroids by cosine, from a start that takes the farthest row each time; equal input gives equal centroids."""
-    c = [x.mean(axis=0)]
-    near = x @ (c[0] / max(np.linalg.norm(c[0]), 1e-9))
+def k_means(x: np.ndarray, k: int, rounds: int = 15, odd: float = 0.05) -> np.ndarray:
+    """Centroids by cosine, from a start that takes the farthest row each time; equal input gives equal centroids.
+
+    The share `odd` of the rows that is farthest from their mean takes no part, so that no centroid stands for junk.
+    """
+    mean = x.mean(axis=0)
+    near = x @ (mean / max(np.linalg.norm(mean), 1e-9))
+    x = x[near >= np.quantile(near, odd)]
+    near = near[near >= np.quantile(near, odd)]
     start = [int(near.argmax())]
     for _ in range(1, min(k, len(x))):
         start.append(int((x @ x[start].T).max(axis=1).argmin()))
@@ -90,11 +97,11 @@ def train(docs: DataFrame, learn: Column, per_language: int = 400, centroids: in
     """A model from at most per_language rows of each language: those for which learn holds, in the order of a hash of doc_id.
 
     What comes to the driver is one vector of DIM counts for each sampled row. Rows with a null text or lang teach nothing.
-    The ids of a language are counted first, and only the share of them that should hold three times its sample is put in
+    A language's ids with a letter are counted first, and only the share of them that should hold three times its sample is put in
     order, so no task orders a whole language. A model's languages are few enough for the driver, which holds it.
     """
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "lang", "text")
-    known = docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id")).alias("ids"))
+    known = usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id")).alias("ids"))
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     some = usable.select("doc_id", "lang", F.length("text").alias("length")).join(F.broadcast(known), "lang").where(at * F.col("ids") <= 3 * per_language)
     w = Window.partitionBy("lang").orderBy(at, "doc_id", "length")

@@ -47,35 +47,42 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-#: The one tool that plain conversations call: a question has 400 characters at most.
-REPLY = {"reply": {"text": ("string", True, {"min_length": 1, "max_length": 400}), "turn": ("integer", True, {"minimum": 0})}}
+#: The tools that plain conversations call: a first question, and one that goes on in a shorter text and up to turn 5.
+TOOLS = {
+    "reply": {"text": ("string", True, {"min_length": 1, "max_length": 320}), "turn": ("integer", True, {"minimum": 0})},
+    "follow_up": {"text": ("string", True, {"min_length": 40, "max_length": 300}), "turn": ("integer", True, {"minimum": 2, "maximum": 5})},
+}
 
 
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
-    made = tool_calls.serialised(tool_calls.ordered(tool_calls.link(calls, results)), REPLY)
-    return made.select("conv_id", "call_id", "level", "turn", "result_turn", "n_calls", "n_results", "status", "valid", "violations", "record")
+    made = tool_calls.serialised(tool_calls.ordered(tool_calls.link(calls, results)), TOOLS)
+    return made.select("conv_id", "call_id", "level", "name", "turn", "result_turn", "n_calls", "n_results", "status", "valid", "violations", "record")
 
 
 OP7_SQL = """
-WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, min(text) AS text, count(*) AS n_calls
-  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, min(text) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-run AS (SELECT conv_id, call_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS start FROM calls),
-levels AS (SELECT conv_id, call_id, (row_number() OVER (PARTITION BY conv_id, turn % 2, start ORDER BY turn) - 1)::int AS level FROM run),
-both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, level, c.turn, result_turn, text, content,
-  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  concat_ws('; ', CASE WHEN c.call_id IS NOT NULL AND text IS NULL THEN 'missing: text' END, CASE WHEN length(text) < 1 THEN 'too short: text' END,
-    CASE WHEN length(text) > 400 THEN 'too long: text' END, CASE WHEN c.turn < 0 THEN 'too small: turn' END) AS violations
-  FROM calls c FULL JOIN results r ON c.call_id = r.call_id LEFT JOIN levels l ON l.call_id = c.call_id)
-SELECT conv_id, call_id, level, turn, result_turn, n_calls, n_results, status, violations = '' AS valid, violations,
+WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+asked AS (SELECT conv_id, turn, text, conv_id || ':' || CASE WHEN turn % 10 IN (6, 7) THEN turn - 2 ELSE turn END AS call_id,
+  CASE WHEN turn >= 2 THEN conv_id || ':' || CASE WHEN (turn - 2) % 10 IN (6, 7) THEN turn - 4 ELSE turn - 2 END END AS need1,
+  CASE WHEN turn >= 4 THEN conv_id || ':' || CASE WHEN (turn - 4) % 10 IN (6, 7) THEN turn - 6 ELSE turn - 4 END END AS need2 FROM turns WHERE role = 'user'),
+calls AS (SELECT conv_id, call_id, min(turn) AS turn, arg_min(text, (turn, '{"' || CASE WHEN text IS NOT NULL THEN 'text":' || to_json(text) ELSE 'turn' END)) AS text,
+  list_sort(list_filter([arg_min(need1, turn), arg_min(need2, turn)], lambda x: x IS NOT NULL AND x <> call_id)) AS needs, count(*) AS n_calls FROM asked GROUP BY conv_id, call_id),
+results AS (SELECT conv_id, conv_id || ':' || CASE WHEN (turn - 1) % 10 IN (6, 7) THEN turn - 3 ELSE turn - 1 END AS call_id, min(turn) AS result_turn, arg_min(text, (turn, text)) AS content, count(*) AS n_results
+  FROM turns WHERE role = 'assistant' GROUP BY ALL),
+steps AS (SELECT DISTINCT c.conv_id, c.call_id, n.call_id AS need FROM (SELECT conv_id, call_id, unnest(needs) AS need FROM calls) c JOIN calls n ON n.conv_id = c.conv_id AND n.call_id = c.need),
+way AS (SELECT conv_id, call_id, 0 AS level FROM calls UNION SELECT s.conv_id, s.call_id, level + 1 FROM way JOIN steps s ON s.conv_id = way.conv_id AND s.need = way.call_id),
+levels AS (SELECT conv_id, call_id, max(level)::int AS level FROM way GROUP BY ALL),
+both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, level, CASE WHEN turn < 2 THEN 'reply' WHEN turn >= 2 THEN 'follow_up' END AS name, turn, result_turn, text, content, needs,
+  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' WHEN result_turn < turn THEN 'early' ELSE 'linked' END AS status
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.call_id),
+checked AS (SELECT *, concat_ws('; ', CASE WHEN name IS NOT NULL AND text IS NULL THEN 'missing: text' END, CASE WHEN length(text) < CASE name WHEN 'reply' THEN 1 ELSE 40 END THEN 'too short: text' END,
+  CASE WHEN length(text) > CASE name WHEN 'reply' THEN 320 ELSE 300 END THEN 'too long: text' END, CASE WHEN name = 'reply' AND turn < 0 THEN 'too small: turn' END, CASE WHEN name = 'follow_up' AND turn > 5 THEN 'too large: turn' END) AS violations FROM both_)
+SELECT conv_id, call_id, level, name, turn, result_turn, n_calls, n_results, status, violations = '' AS valid, violations,
   '{' || CASE WHEN status <> 'orphan' THEN '"arguments":{' || coalesce('"text":' || to_json(text) || ',', '') || '"turn":' || turn || '},' ELSE '' END
   || '"call_id":"' || call_id || '"' || CASE WHEN content IS NOT NULL THEN ',"content":' || to_json(content) ELSE '' END
-  || CASE WHEN status <> 'orphan' AND turn >= 2 THEN ',"depends_on":["' || conv_id || ':' || (turn - 2) || '"]' ELSE '' END
-  || coalesce(',"level":' || level, '') || CASE WHEN status <> 'orphan' THEN ',"name":"reply"' ELSE '' END || ',"status":"' || status || '"}' AS record
-FROM both_"""
+  || CASE WHEN len(needs) > 0 THEN ',"depends_on":["' || array_to_string(needs, '","') || '"]' ELSE '' END
+  || coalesce(',"level":' || level, '') || coalesce(',"name":"' || name || '"', '') || ',"status":"' || status || '"}' AS record
+FROM checked"""
 
 
 def op8_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Tool-call linking: calls and results are joined by identifier, ordered, validated and written as canonical JSON.
 
-Both sides are summed to one row an identifier before they meet, so copies of a conversation never multiply. Everything
-is a Spark expression; JSON is parsed as VARIANT, whose objects keep their keys sorted.
+Both sides are summed to one row an identifier before they meet, so copies of a conversation never multiply. All but the
+levels of calls with several needs are Spark expressions; JSON is parsed as VARIANT, whose objects keep their keys sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +39,20 @@ def results_of_messages(messages: DataFrame) -> DataFrame:
     return parsed.select("conv_id", "turn", F.col("m.tool_call_id").alias("call_id"), F.col("m.content").alias("content")).where(F.col("call_id").isNotNull())
 
 
-def turns_as_calls(conversations: DataFrame, tool: str = "reply") -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations: a user's turn calls `tool`, and the assistant's next turn is the result.
+def turns_as_calls(conversations: DataFrame, tools: tuple[str, str] = ("reply", "follow_up")) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of plain conversations: a user's turn calls the first tool at the start (turns 0 and 1) and the second one
+    later, and the assistant's next turn is the result.
 
-    The identifier is conv_id:turn of the user's turn; a call depends on the user's turn before the last answer.
+    The identifier is conv_id:turn of the user's turn; turns that end with 6 or 7 go on with the turn before, so they repeat its
+    identifier. A call needs those of the two user's turns before it, as far as turns go back.
     """
     turn = F.col("turn")
-    call_id = F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    before = F.concat_ws(":", F.col("conv_id").cast("string"), (turn - 2).cast("string"))
+    identifier = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), F.when((t % 10).isin(6, 7), t - 2).otherwise(t).cast("string"))
     arguments = F.to_json(F.struct(F.col("text").alias("text"), turn.alias("turn")))
-    needs = F.when(turn >= 2, F.array(before)).otherwise(F.array().cast("array<string>"))
+    needs = F.filter(F.array(*[F.when(turn >= back, identifier(turn - back)) for back in (2, 4)]), lambda x: x.isNotNull())
     whole = conversations.where(F.col("conv_id").isNotNull() & turn.isNotNull())
-    calls = whole.where(F.col("role") == "user").select("conv_id", "turn", call_id.alias("call_id"), F.lit(tool).alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
-    asked = F.concat_ws(":", F.col("conv_id").cast("string"), (turn - 1).cast("string"))
-    results = whole.where(F.col("role") == "assistant").select("conv_id", "turn", asked.alias("call_id"), F.col("text").alias("content"))
+    calls = whole.where(F.col("role") == "user").select("conv_id", "turn", identifier(turn).alias("call_id"), F.when(turn < 2, tools[0]).otherwise(tools[1]).alias("name"), arguments.alias("arguments"), F.array_remove(needs, identifier(turn)).alias("depends_on"))
+    results = whole.where(F.col("role") == "assistant").select("conv_id", "turn", identifier(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -104,6 +107,8 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 KEY = ["conv_id", "call_id"]
+#: The most needs of a conversation's calls that one task holds together.
+MOST_NEEDS = 200_000
 
 
 def chains(single: DataFrame) -> DataFrame:
@@ -127,7 +132,8 @@ def ordered(linked: DataFrame) -> DataFrame:
 
     A call without needs in its conversation has level 0. Calls on a cycle, or behind one, and results without a call have a
     null level. Needs that are not calls of the conversation don't count, nor does a need named twice. Ways through calls
-    with one need each take rounds by their logarithm; only calls with several needs are levelled one after another.
+    with one need each take rounds by their logarithm. Calls with several needs are levelled a conversation at a time where these
+    have at most MOST_NEEDS between them, and in rounds, one for each step between such calls, in longer conversations.
     """
     calls = linked.where(F.col("turn").isNotNull())
     needs = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("to")).join(calls.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_semi")
@@ -144,15 +150,68 @@ def ordered(linked: DataFrame) -> DataFrame:
 
 
 def _levels_of_joints(needs: DataFrame, ways: DataFrame, joints: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of the calls with several needs, a round for each step between such calls."""
-    known = joints.limit(0).withColumn("level", F.lit(0))
+    """conv_id, call_id, level of the calls with several needs; those on or behind a cycle are left out."""
     if joints.isEmpty():
-        return known
+        return joints.limit(0).withColumn("level", F.lit(0))
     own = needs.join(joints, KEY, "left_semi")
     to = ways.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("end"), "steps")
     edges = own.join(to, ["conv_id", "to"], "left").select(*KEY, F.coalesce("end", "to").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
     has_need = needs.select("conv_id", F.col("call_id").alias("to")).distinct().withColumn("waits", F.lit(True))
     edges = materialise(edges.join(has_need, ["conv_id", "to"], "left").select(*KEY, "to", "steps", F.coalesce("waits", F.lit(False)).alias("waits")), "edges")
+    long = materialise(edges.groupBy("conv_id").count().where(F.col("count") > MOST_NEEDS).select("conv_id"), "long")
+    known = _levels_by_conversation(edges.join(long, "conv_id", "left_anti"))
+    return known if long.isEmpty() else known.unionByName(_levels_by_rounds(edges.join(long, "conv_id", "left_semi")))
+
+
+def _levels_by_conversation(edges: DataFrame) -> DataFrame:
+    """The levels of joints by edges (conv_id, call_id, to, steps, waits), each conversation's together in one task."""
+
+    def levels(of: dict[str, list[tuple[str, int, bool]]]) -> dict[str, int]:
+        waiting = {x: sum(waits for _, _, waits in e) for x, e in of.items()}
+        after: dict[str, list[tuple[str, int]]] = {}
+        level = dict.fromkeys(of, 0)
+        for x, e in of.items():
+            for to, steps, waits in e:
+                if waits:
+                    after.setdefault(to, []).append((x, steps))
+                else:
+                    level[x] = max(level[x], steps)
+        ready, done = [x for x, n in waiting.items() if n == 0], {}
+        while ready:
+            x = ready.pop()
+            done[x] = level[x]
+            for y, steps in after.get(x, ()):
+                level[y] = max(level[y], level[x] + steps)
+                waiting[y] -= 1
+                if waiting[y] == 0:
+                    ready.append(y)
+        return done
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, of, type_ = None, {}, pa.null()
+
+        def made() -> pa.RecordBatch:
+            found = levels(of)
+            return pa.RecordBatch.from_arrays([pa.array([at] * len(found), type_), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], names=[*KEY, "level"])
+
+        for batch in batches:
+            type_ = batch.schema.field(0).type
+            for c, x, to, steps, waits in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if of and c != at:
+                    yield made()
+                    of = {}
+                at = c
+                of.setdefault(x, []).append((to, steps, waits))
+        if of:
+            yield made()
+
+    conv = edges.schema["conv_id"].dataType.simpleString()
+    return edges.select(*KEY, "to", "steps", "waits").repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(run, f"conv_id {conv}, call_id string, level int")
+
+
+def _levels_by_rounds(edges: DataFrame) -> DataFrame:
+    """The same, a round for each step between joints: for conversations that no task should hold."""
+    known = edges.select(*KEY, F.lit(0).alias("level")).limit(0)
     while True:
         met = edges.join(known.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
         base = F.when(F.col("waits"), F.col("level")).otherwise(F.lit(0))
