@@ -913,23 +913,48 @@ def traceable_endpoints(spark, sf_dir):
     return flows.endpoints(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-_DATA_FLOW = """WITH step AS MATERIALIZED (SELECT DISTINCT source AS parent, target AS nxt, type FROM edges WHERE type IN ('CALLS', 'READS') UNION SELECT source, target, type FROM edges WHERE type = 'IMPLEMENTS' UNION SELECT target, source, type FROM edges WHERE type = 'IMPLEMENTS'),
-s0 AS (SELECT target AS flow, max(source) AS id, 0 AS depth, NULL::varchar AS parent, NULL::varchar AS edge_type FROM edges WHERE type = 'HANDLES_ROUTE' GROUP BY 1),
-s1 AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT flow, nxt, 1, (min((type, step.parent)))[2], (min((type, step.parent)))[1] FROM s0 JOIN step ON step.parent = s0.id WHERE nxt <> s0.id GROUP BY flow, nxt),
-model AS (SELECT id FROM nodes WHERE type = 'DBModel'),
-s2 AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT flow, nxt, 2, (min((type, step.parent)))[2], (min((type, step.parent)))[1] FROM s1 JOIN step ON step.parent = s1.id WHERE depth = 1 AND flow NOT IN (SELECT flow FROM s1 JOIN model USING (id))
-  AND (flow, nxt) NOT IN (SELECT (flow, id) FROM s1) GROUP BY flow, nxt),
-t AS (SELECT flow, id, depth, CASE WHEN id IN (SELECT id FROM model) THEN 0 WHEN regexp_extract(id, '^(.*)[.]m[0-9]+', 1) IN (SELECT id FROM nodes WHERE name LIKE '%Repository') THEN 1 ELSE 2 END AS tier FROM s2 WHERE depth > 0),
-l AS (SELECT flow, arg_min(id, (tier, CASE WHEN tier < 2 THEN depth ELSE -depth END, id)) AS id, min(tier) = 0 AS complete FROM t GROUP BY 1),
-p0 AS (SELECT s2.*, complete FROM l JOIN s2 USING (flow, id)), p1 AS (SELECT s2.*, complete FROM p0 JOIN s2 ON s2.flow = p0.flow AND s2.id = p0.parent), p2 AS (SELECT s2.*, complete FROM p1 JOIN s2 ON s2.flow = p1.flow AND s2.id = p1.parent)
-SELECT flow, depth + 1 AS step, id, edge_type, complete FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
-
-
-@query(_DATA_FLOW)
+_ENDPOINT_STARTS = "starts AS (SELECT target AS flow, max(source) AS id FROM edges WHERE type = 'HANDLES_ROUTE' GROUP BY 1)"
+
+
+def _nearest_sql(name: str, targets: str, levels: int) -> str:
+    """CTEs {name}0.. of (id, distance, target, type, next), backwards from targets; {name} is the last."""
+    out = f"{name}0 AS MATERIALIZED (SELECT id, 0 AS distance, id AS target, NULL::varchar AS type, NULL::varchar AS nxt FROM ({targets}))"
+    for k in range(1, levels + 1):
+        out += f""", {name}{k} AS MATERIALIZED (SELECT * FROM {name}{k - 1} UNION ALL SELECT parent, {k}, min((target, step.type, step.nxt))[1], min((target, step.type, step.nxt))[2], min((target, step.type, step.nxt))[3]
+  FROM step JOIN {name}{k - 1} l ON l.id = step.nxt WHERE distance = {k - 1} AND parent NOT IN (SELECT id FROM {name}{k - 1}) GROUP BY parent)"""
+    return out + f", {name} AS (SELECT * FROM {name}{levels})"
+
+
+def _flow_sql(starts: str, models: str, levels: int) -> str:
+    """CTE path (flow, step, id, edge_type, complete) of starts that reach a model or a store within so many levels, as all do here."""
+    first = "SELECT s.flow, s.id, min((distance, target, step.type, step.nxt)) AS w FROM starts s JOIN step ON parent = s.id JOIN {l} l ON l.id = step.nxt WHERE step.nxt <> s.id {more} GROUP BY 1, 2"
+    stores = "SELECT id FROM nodes WHERE type = 'Method' AND regexp_extract(id, '^(.*)[.]m[0-9]+', 1) IN (SELECT id FROM nodes WHERE name LIKE '%Repository')"
+    out = f"""WITH step AS MATERIALIZED (SELECT DISTINCT source AS parent, target AS nxt, type FROM edges WHERE type IN ('CALLS', 'IMPLEMENTS', 'RETURNS', 'READS', 'WRITES') UNION SELECT target, source, type FROM edges WHERE type = 'IMPLEMENTS'),
+{starts}, {_nearest_sql("m", models, levels)}, {_nearest_sql("r", stores, levels)},
+fm AS MATERIALIZED ({first.format(l="m", more="")}), fr AS MATERIALIZED ({first.format(l="r", more="AND s.flow NOT IN (SELECT flow FROM fm)")}),
+p1 AS (SELECT flow, 1 AS step, id, NULL::varchar AS edge_type, true AS complete FROM fm UNION ALL SELECT flow, 1, id, NULL, false FROM fr),
+p2 AS MATERIALIZED (SELECT flow, 2 AS step, w[4] AS id, w[3] AS edge_type, true AS complete FROM fm UNION ALL SELECT flow, 2, w[4], w[3], false FROM fr)"""
+    for k in range(3, levels + 3):
+        out += f""", p{k} AS MATERIALIZED (SELECT flow, {k} AS step, coalesce(m.nxt, r.nxt) AS id, coalesce(m.type, r.type) AS edge_type, complete FROM p{k - 1} LEFT JOIN m ON complete AND m.id = p{k - 1}.id LEFT JOIN r ON NOT complete AND r.id = p{k - 1}.id WHERE coalesce(m.nxt, r.nxt) IS NOT NULL)"""
+    return out + ", path AS (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, levels + 3)) + ")"
+
+
+@query(_flow_sql(_ENDPOINT_STARTS, "SELECT id FROM nodes WHERE type = 'DBModel'", 6) + " SELECT * FROM path")
 def data_flow_traces(spark, sf_dir):
-    """Flows of all endpoints at once; of the edges to models only reads, so that some flows are longer."""
-    n, e = staged(nodes(spark, sf_dir)), staged(edges(spark, sf_dir).where("type in ('CALLS', 'READS', 'IMPLEMENTS', 'HANDLES_ROUTE')"))
-    return flows.data_flows(n, e, flows.endpoints(n, e).select("flow", "id"), 2)
+    """Flows of all endpoints over all edges."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    return flows.data_flows(n, e, flows.endpoints(n, e).select("flow", "id"))
+
+
+_FEW_MODELS = "SELECT id FROM nodes WHERE type = 'DBModel' AND id LIKE '%9' AND id NOT LIKE '%19'"
+
+
+@query(_flow_sql("starts AS (SELECT id AS flow, id FROM nodes WHERE type = 'Method')", _FEW_MODELS, 8) + " SELECT * FROM path")
+def data_flows_of_methods(spark, sf_dir):
+    """Flows of every method to fewer models, without what a method reads and writes itself for all but one of them: longer ways."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    n = n.withColumn("type", F.when((F.col("type") == "DBModel") & ~(F.endswith("id", F.lit("9")) & ~F.endswith("id", F.lit("19"))), "Class").otherwise(F.col("type")))
+    return flows.data_flows(n, e, n.where("type = 'Method'").select(F.col("id").alias("flow"), "id"))
 
 
 @query("""WITH c AS (SELECT source, target FROM edges WHERE type = 'CALLS'), t AS (SELECT id FROM nodes WHERE regexp_matches(name, '(Controller|Service|Component)$'))
@@ -1029,10 +1054,18 @@ def explained_failures(spark, sf_dir):
     return tools.explained_failures(nodes(spark, sf_dir), trace, "key").select("key", "id", "cause")
 
 
-@query(None)
+_LIST_STARTS = """c AS (SELECT DISTINCT source, target FROM edges WHERE type = 'CALLS'), t AS (SELECT id FROM nodes WHERE regexp_matches(name, '(Controller|Service|Component)$')),
+ep AS (SELECT target AS flow, max(source) AS id, 'endpoint' AS kind, 'GET ' || substr(target, 5) AS title FROM edges WHERE type = 'HANDLES_ROUTE' GROUP BY 1),
+roots AS (SELECT n.id AS flow, n.id, 'method' AS kind, upper(left(name, 1)) || regexp_replace(substr(name, 2), '([0-9]+)$', '\\1') AS title FROM nodes n WHERE type = 'Method' AND regexp_extract(id, '^(.*)[.]m[0-9]+', 1) IN (SELECT id FROM t)
+  AND id IN (SELECT source FROM c) AND id NOT IN (SELECT target FROM c) AND id NOT IN (SELECT id FROM ep)),
+starts AS MATERIALIZED (SELECT * FROM ep UNION ALL SELECT * FROM roots)"""
+
+
+@query(_flow_sql(_LIST_STARTS, "SELECT id FROM nodes WHERE type = 'DBModel'", 6) + """, g AS (SELECT flow, count(*) AS n_steps, count(DISTINCT file_path) AS n_files, arg_min(package_name, step) AS domain, bool_and(complete) AS complete,
+  arg_min(name, step) || CASE WHEN count(*) > 1 THEN ' to ' || arg_max(name, step) ELSE '' END AS description FROM path LEFT JOIN nodes USING (id) GROUP BY 1)
+SELECT kind, flow, title, description, n_steps, n_files, domain, complete FROM starts JOIN g USING (flow) WHERE kind = 'endpoint' OR n_steps >= 2 ORDER BY kind, lower(title), flow LIMIT 80""")
 def flow_list(spark, sf_dir):
-    e = edges(spark, sf_dir).where("type in ('CALLS', 'READS', 'HANDLES_ROUTE')")
-    return flows.flow_list(staged(nodes(spark, sf_dir)), staged(e))
+    return flows.flow_list(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
 # Listings, accounts, patches
