@@ -20,6 +20,27 @@ def triggers(publishers: DataFrame, listeners: DataFrame) -> DataFrame:
     return pairs.groupBy("source", "target").agg(F.min("event").alias("event")).withColumn("confidence", F.lit(0.95))
 
 
+def event_classes(publishers: DataFrame, listeners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The triggers of all events without their pairs: classes (event, n_publishers, n_listeners, n_links), and members (event, id, role).
+
+    Every publisher of an event triggers every listener of it but itself, so n_links is the product less those that do both.
+    What comes out grows with the members, also where one event has most of them.
+    """
+    p = publishers.select("event", "id").distinct().withColumn("role", F.lit("publisher"))
+    members = p.unionAll(listeners.select("event", "id").distinct().withColumn("role", F.lit("listener")))
+    members = staged(members.where("event is not null and id is not null"))
+    both = members.groupBy("event", "id").agg(F.count_if(F.col("role") == "publisher").alias("p"), F.count_if(F.col("role") == "listener").alias("q"))
+    g = both.groupBy("event").agg(F.sum("p").alias("n_publishers"), F.sum("q").alias("n_listeners"), F.count_if((F.col("p") > 0) & (F.col("q") > 0)).alias("both"))
+    return g.select("event", "n_publishers", "n_listeners", (F.col("n_publishers") * F.col("n_listeners") - F.col("both")).alias("n_links")), members
+
+
+def triggered_by(members: DataFrame, ids: DataFrame) -> DataFrame:
+    """source, target, event, confidence: the edges of `triggers` that begin at given nodes (id), from the members of event_classes."""
+    own = members.where("role = 'publisher'").join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("source"), "event")
+    pairs = own.join(members.where("role = 'listener'").select(F.col("id").alias("target"), "event"), "event").where("source <> target")
+    return pairs.groupBy("source", "target").agg(F.min("event").alias("event")).withColumn("confidence", F.lit(0.95))
+
+
 def dispatch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """source, target, type, confidence: interface methods and the methods of classes that implement them.
 

@@ -238,10 +238,40 @@ def method_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def enclosing_symbol(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """file_path, line, id: the symbol with the tightest span around each line of a file, ties by id; none if no span holds it."""
-    spans = nodes.where("line_number is not null and type <> 'File'").select("file_path", "id", "line_number", F.coalesce("end_line", "line_number").alias("end_line"))
-    hit = lines.join(spans, "file_path").where(F.col("line").between(F.col("line_number"), F.col("end_line")))
-    return hit.groupBy("file_path", "line").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("line_number"), F.col("id"))).alias("id"))
+    """file_path, line, id: the symbol with the tightest span around each line of a file, ties by id; none if no span holds it.
+
+    A sweep over each file's starts and lines in order: spans that have begun lie in a heap, the tightest first, and leave it
+    when they are met after their end. So a file takes about linear time however many symbols and lines it has, and
+    spans may cross. What is held is one file's open spans.
+    """
+    import heapq
+
+    import pyarrow as pa
+
+    spans = nodes.where("line_number is not null and type <> 'File' and file_path is not null").select("file_path", F.col("line_number").alias("at"), F.lit(0).alias("kind"), F.coalesce("end_line", "line_number").alias("end"), "id")
+    asked = lines.where("file_path is not null and line is not null").select("file_path", F.col("line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("id")).distinct()
+    both = spans.select("file_path", F.col("at").cast("int"), "kind", F.col("end").cast("int"), "id").unionAll(asked.select("file_path", F.col("at").cast("int"), "kind", "end", "id"))
+
+    def swept(batches):
+        file, heap = None, []
+        for batch in batches:
+            out = ([], [], [])
+            for path, at, kind, end, id_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != file:
+                    file, heap = path, []
+                if kind == 0:
+                    if end >= at:
+                        heapq.heappush(heap, (end - at, id_, end))
+                    continue
+                while heap and heap[0][2] < at:
+                    heapq.heappop(heap)
+                if heap:
+                    for o, x in zip(out, (path, at, heap[0][1]), strict=True):
+                        o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["file_path", "line", "id"])
+
+    ordered = both.repartition("file_path").sortWithinPartitions("file_path", "at", "kind")
+    return ordered.mapInArrow(swept, "file_path string, line int, id string")
 
 
 def project_metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:

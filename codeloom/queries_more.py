@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import addresses, scalars
+from codeloom.operators import inference, text_index
 from codeloom.plans import tools
-from codeloom.queries import METHOD, ORACLE_SQL, QUERIES, query, seeds
+from codeloom.queries import METHOD, _event_sides, query
 from codeloom.sources import text_tables
 from codeloom.sources.graph_tables import edges, nodes, table
 from codeloom.streaming import throttle
 
-__all__ = ["ORACLE_SQL", "QUERIES", "seeds"]
 
 # Secrets
 
@@ -126,3 +126,54 @@ def networks_of_addresses(spark, sf_dir):
     networks = table(spark, sf_dir, "nation").select(F.explode(nets).alias("cidr")).distinct()
     rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
     return addresses.longest_match(rows, "raw", networks).select("c_custkey", addresses.canonical(F.col("raw")).alias("address"), "network")
+
+
+# Events, spans and ranked search
+
+
+@query("""WITH m AS (SELECT DISTINCT event_type AS event, user_id AS id, event_id % 2 AS role FROM events), b AS (SELECT event, id, count(*) FILTER (role = 0) AS p, count(*) FILTER (role = 1) AS q FROM m GROUP BY 1, 2)
+SELECT event, sum(p)::bigint AS n_publishers, sum(q)::bigint AS n_listeners, (sum(p) * sum(q) - count(*) FILTER (p > 0 AND q > 0))::bigint AS n_links FROM b GROUP BY 1""", graph=False)
+def event_classes(spark, sf_dir):
+    """Five events with very many members each, and how many edges they stand for."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"), F.col("event_type").alias("event"))
+    return inference.event_classes(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"))[0]
+
+
+@query("""WITH ev AS (SELECT event_id, user_id AS id, concat_ws('-', event_type, json_extract_string(props, '$.k')) AS event FROM events)
+SELECT p.id AS source, l.id AS target, min(p.event) AS event, 0.95::double AS confidence FROM (SELECT * FROM ev WHERE event_id % 2 = 0 AND id % 20 = 0) p JOIN (SELECT * FROM ev WHERE event_id % 2 = 1) l ON p.event = l.event WHERE p.id <> l.id GROUP BY 1, 2""", graph=False)
+def triggered_by_users(spark, sf_dir):
+    """The edges that begin at every twentieth user, from the members alone."""
+    publishers, listeners = _event_sides(spark, sf_dir)
+    members = inference.event_classes(publishers, listeners)[1]
+    return inference.triggered_by(members, publishers.where("id % 20 = 0").select("id"))
+
+
+def _bm25_sql(texts: str, chosen: str) -> str:
+    return f"""WITH x AS ({texts}), t AS MATERIALIZED (SELECT id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM x),
+l AS (SELECT x.id, count(term) AS n FROM (SELECT DISTINCT id FROM x) x LEFT JOIN t ON t.id = x.id GROUP BY 1), c AS (SELECT count(*) AS n, avg(n) AS mean FROM l),
+p AS (SELECT term, id, count(*) AS tf FROM t WHERE {chosen} GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT p.id, round(sum(ln(1 + (c.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.n / c.mean))), 6) AS score FROM p JOIN d USING (term) JOIN l ON l.id = p.id, c GROUP BY 1)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::int AS rank FROM s ORDER BY score DESC, id LIMIT 50"""
+
+
+_SYMBOL_TEXTS = "SELECT id, concat_ws(' ', name, full_name) AS text FROM nodes"
+
+
+
+def _symbol_index(spark, sf_dir):
+    return text_index.build(nodes(spark, sf_dir).select("id", F.concat_ws(" ", "name", "full_name").alias("text")))
+
+
+@query(_bm25_sql(_SYMBOL_TEXTS, "term IN ('c5controller', 'm1', '7', 'pkg')"))
+def ranked_symbols(spark, sf_dir):
+    return _symbol_index(spark, sf_dir).search("m1 7 C5Controller, m1 PKG")
+
+
+@query(_bm25_sql(_SYMBOL_TEXTS, "starts_with(term, 'c1')"))
+def ranked_symbols_starting(spark, sf_dir):
+    return _symbol_index(spark, sf_dir).starting("C1")
+
+
+@query(_bm25_sql("SELECT doc_id AS id, text FROM documents", "term IN ('the', 'idiot', 'lyon')"), graph=False)
+def ranked_documents(spark, sf_dir):
+    return text_index.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).search("the Idiot, Lyon")
