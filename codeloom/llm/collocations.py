@@ -32,6 +32,8 @@ LONGEST = 4
 SLICE, MOST_WORDS, CHUNK = 1 << 22, 400_000, 1 << 20
 #: Buckets or bits of one slice of an array, of all slices at most, and occurrences of a class.
 SLICE_BITS, MOST_BITS, PER_CLASS = 20, 27, 4_000_000
+#: Parts of a language whose phrases are ordered apart before they are together.
+PARTS = 16
 #: Beyond so many words every bucket of pairs is full, so none is counted.
 MOST_PAIRED = 1 << 31
 
@@ -400,8 +402,11 @@ def mine(docs: DataFrame, least: int = 30, share: int = 80, most: int = 2_000) -
         kept = kept.withColumn("h", F.try_element_at("ws", F.lit(k))).join(own, "h", "left").drop("h")
     kept = kept.join(totals, "lang")
     phrase = F.concat_ws(" ", *[f"w{k}" for k in range(1, LONGEST + 1)])
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", phrase.alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score").withColumn("rank", F.row_number().over(order).cast("long"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    rows = kept.select("lang", phrase.alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    # The first of a language are among the first of its parts, so no task orders a whole language.
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
