@@ -876,7 +876,7 @@ def change_bursts(spark, sf_dir):
 SELECT project, path, arg_max('t' || event_id, (ts, 't' || event_id)) AS type FROM s GROUP BY project, k, path""", graph=False)
 def debounced_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("project"), F.col("event_type").alias("path"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("type"), F.col("ts").cast("timestamp").alias("ts"))
-    return streams.debounced(e, "1 minute").select("project", "path", "type")
+    return streams.debounced_rows(e, "1 minute").select("project", "path", "type")
 
 
 @query("SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY 1, 2", graph=False)

@@ -6,10 +6,12 @@ Windows and debouncing go by the events' own times, under a watermark, so a repl
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from codeloom.plans.staging import staged
+
 #: Folders that a watcher leaves out, and endings of the files that it watches.
 IGNORED_FOLDERS = ("target", "build", ".git", ".idea", "node_modules")
 WATCHED = (".java",)
@@ -27,19 +29,65 @@ def watched(changes: DataFrame, ignored: tuple[str, ...] = IGNORED_FOLDERS, endi
     return changes.where(~inside & F.coalesce(*[F.when(F.endswith("path", F.lit(e)), F.lit(True)) for e in endings], F.lit(False)))
 
 
+class Debounce(StatefulProcessor):
+    """The open burst of a project: the last change of each path, until no change has come for the gap in event time."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", "first_ms long, last_ms long")
+        self.last = handle.getMapState("last", "path string", "ts_ms long, type string")
+
+    def burst(self, key, span):
+        rows = [(key[0], span[0], span[1] + self.gap_ms, path, value[1]) for (path,), value in self.last.iterator()]
+        self.last.clear()
+        self.span.clear()
+        return pd.DataFrame(rows, columns=["project", "first_ms", "end_ms", "path", "type"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        span = self.span.get() if self.span.exists() else None
+        for e in pd.concat(list(rows)).sort_values(["ts_ms", "path", "type"]).itertuples():
+            if span is not None and e.ts_ms >= span[1] + self.gap_ms:
+                yield self.burst(key, span)
+                span = None
+            span = (e.ts_ms if span is None else min(span[0], e.ts_ms), e.ts_ms if span is None else max(span[1], e.ts_ms))
+            held = self.last.getValue((e.path,)) if self.last.containsKey((e.path,)) else None
+            if held is None or (held[0], held[1]) <= (e.ts_ms, e.type):
+                self.last.updateValue((e.path,), (int(e.ts_ms), e.type))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.span.update((int(span[0]), int(span[1])))
+        self.handle.registerTimer(int(span[1] + self.gap_ms))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.span.exists():
+            yield self.burst(key, self.span.get())
+
+    def close(self) -> None:
+        pass
+
+
 def debounced(changes: DataFrame, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:
     """project, session_start, session_end, path, type: the last change of each path within a burst of a project's changes.
 
-    A burst ends when no change follows within the gap.
+    A burst ends when no change follows within the gap. Its state is one row for each path, however often a path changes.
     """
-    burst = F.session_window("ts", gap)
-    by_path = F.struct("ts", "path", "type")
-    rows = changes.withWatermark("ts", late).groupBy("project", burst.alias("w")).agg(F.collect_list(by_path).alias("changes"))
-    last = F.transform(
-        F.array_distinct(F.transform("changes", lambda c: c["path"])),
-        lambda p: F.array_max(F.filter("changes", lambda c: c["path"] == p)),
-    )
-    return rows.select("project", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), F.explode(last).alias("c")).select("project", "session_start", "session_end", "c.path", "c.type")
+    gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
+    rows = changes.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
+    out = rows.groupBy("project").transformWithStateInPandas(Debounce(gap_ms), "project string, first_ms long, end_ms long, path string, type string", "Append", "EventTime")
+    return out.select("project", F.timestamp_millis("first_ms").alias("session_start"), F.timestamp_millis("end_ms").alias("session_end"), "path", "type")
+
+
+def debounced_rows(changes: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
+    """The same for a table at rest, its last bursts included: bursts are told apart by the gaps before changes, then each path keeps its last."""
+    w = Window.partitionBy("project").orderBy("ts")
+    apart = F.coalesce(F.col("ts") >= F.lag("ts").over(w) + F.expr(f"interval {gap}"), F.lit(True))
+    nth = changes.withColumn("apart", apart.cast("int")).withColumn("burst", F.sum("apart").over(w))
+    each = nth.groupBy("project", "burst", "path").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max(F.struct("ts", "type")).alias("c"))
+    span = each.groupBy("project", "burst").agg(F.min("first").alias("session_start"), (F.max("last") + F.expr(f"interval {gap}")).alias("session_end"))
+    return each.join(span, ["project", "burst"]).select("project", "session_start", "session_end", "path", "c.type")
 
 
 def bursts(changes: DataFrame, key: str, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:
@@ -108,37 +156,74 @@ def throttled(logins: DataFrame, **limits: int) -> DataFrame:
 
 
 def throttled_rows(logins: DataFrame, failures: int = 5, lock_ms: int = 60_000, longest_ms: int = 3_600_000) -> DataFrame:
-    """The same verdicts for a table at rest, each key's logins folded as one sorted array; JVM only."""
-    rows = F.array_sort(F.collect_list(F.struct("ts_ms", "id", "success")))
-    start = F.struct(F.lit(0).alias("failed"), F.lit(0).alias("locks"), F.lit(0).cast("long").alias("until"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(a, e):
-        allowed = e["ts_ms"] >= a["until"]
-        locks_now = allowed & ~e["success"] & (a["failed"] + 1 >= failures)
-        until = e["ts_ms"] + F.least(F.lit(lock_ms) * F.pow(F.lit(2.0), a["locks"]), F.lit(float(longest_ms))).cast("long")
-        return F.struct(
-            F.when(~allowed, a["failed"]).when(e["success"] | locks_now, F.lit(0)).otherwise(a["failed"] + 1).alias("failed"),
-            F.when(allowed & e["success"], F.lit(0)).when(locks_now, a["locks"] + 1).otherwise(a["locks"]).alias("locks"),
-            F.when(allowed & e["success"], F.lit(0).cast("long")).when(locks_now, until).otherwise(a["until"]).alias("until"),
-            F.concat(a["out"], F.array(F.struct(e["id"].cast("long").alias("id"), allowed.alias("allowed")))).alias("out"),
-        )
-
-    g = logins.groupBy("key").agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return g.select("key", F.explode("out").alias("o")).select("key", "o.id", "o.allowed")
-
-
-def upsert_latest(target: str, key: str, at: str):
-    """A foreachBatch function that keeps the latest row of each key in a folder of versions, one version a batch.
-
-    A batch that runs again writes the same version, so nothing is counted twice.
+    """The same verdicts for a table at rest: each key's logins stream by in order, so a key may have any number of them."""
+    import pyarrow as pa
+
+    key_type = logins.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        at, state = None, None
+        for batch in batches:
+            keys, ids, allowed_ = [], [], []
+            for key, ts, id_, success in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or key != at:
+                    at, state = key, (0, 0, 0)
+                failed, locks, until = state
+                allowed = ts >= until
+                if allowed and success:
+                    failed, locks, until = 0, 0, 0
+                elif allowed:
+                    failed += 1
+                    if failed >= failures:
+                        until, failed, locks = ts + min(lock_ms * 2 ** min(locks, 60), longest_ms), 0, locks + 1
+                state = failed, locks, until
+                keys.append(key), ids.append(id_), allowed_.append(allowed)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ids, pa.int64()), pa.array(allowed_, pa.bool_())], names=["key", "id", "allowed"])
+
+    ordered = logins.repartition("key").sortWithinPartitions("key", "ts_ms", "id").select("key", F.col("ts_ms").cast("long"), F.col("id").cast("long"), "success")
+    return ordered.mapInArrow(run, f"key {key_type}, id long, allowed boolean")
+
+
+KEY_BUCKETS = 32
+
+
+def upsert_latest(target: str, key: str, at: str, buckets: int = KEY_BUCKETS):
+    """A foreachBatch function that keeps the latest row of each key; `latest_of` reads them.
+
+    Keys are dealt over buckets, and a batch writes only the buckets that it has rows of, each as the version of the batch. A
+    batch that runs again starts from the versions before it and writes the same, so nothing is counted twice.
     """
     from codeloom.operators.telemetry import latest_rows
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id:
-            rows = batch.unionByName(spark.read.parquet(f"{target}/{batch_id - 1}"))
-        latest_rows(rows, key, at).write.mode("overwrite").parquet(f"{target}/{batch_id}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+        before = _versions(batch.sparkSession, target, batch_id)
+        held = {b: v for b, v in before.items() if b in touched}
+        if held:
+            old = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{target}/bucket={b}/{v}" for b, v in held.items()])
+            rows = rows.drop("bucket").unionByName(old).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        kept = staged(latest_rows(rows, key, at), "bucket")
+        for b in touched:
+            kept.where(F.col("bucket") == b).select(batch.columns).coalesce(1).write.mode("overwrite").parquet(f"{target}/bucket={b}/{batch_id}")
 
     return apply
+
+
+def _versions(spark: SparkSession, target: str, before: int) -> dict[int, int]:
+    """The last version of each bucket that was written by a batch before the given one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket=*/*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    out: dict[int, int] = {}
+    for status in found:
+        at = status.getPath()
+        version, bucket = at.getName(), at.getParent().getName().partition("=")[2]
+        if version.isdigit() and int(version) < before:
+            out[int(bucket)] = max(out.get(int(bucket), -1), int(version))
+    return out
+
+
+def latest_of(spark: SparkSession, target: str, schema: str, before: int = 1 << 62) -> DataFrame:
+    """What upsert_latest keeps: the latest row of each key."""
+    paths = [f"{target}/bucket={b}/{v}" for b, v in _versions(spark, target, before).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

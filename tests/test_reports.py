@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import addresses, scalars
 from codeloom.operators import telemetry
 from codeloom.sources import text_tables
-from codeloom.streaming import events
+from codeloom.streaming import events, throttle
 
 
 def values(spark, column, rows, make):
@@ -210,8 +210,45 @@ def test_a_debounced_stream_keeps_the_last_change_of_a_burst(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     ms = lambda n: t + dt.timedelta(milliseconds=n)
     rows = [("p", "a", "CREATE", ms(0)), ("p", "a", "MODIFY", ms(300)), ("p", "b", "DELETE", ms(600)), ("p", "a", "DELETE", ms(3000)), ("p", "z", "CREATE", ms(999_999))]
-    got = replay(spark, tmp_path, rows, "project string, path string, type string, ts timestamp", events.debounced, "d")
+    schema = "project string, path string, type string, ts timestamp"
+    got = replay(with_state(spark), tmp_path, rows, schema, events.debounced, "d")
     assert sorted((r.path, r.type) for r in got) == [("a", "DELETE"), ("a", "MODIFY"), ("b", "DELETE")]  # the last burst is still open
+    closed = {(r.session_start, r.session_end, r.path, r.type) for r in events.debounced_rows(spark.createDataFrame(rows, schema)).collect()}
+    assert {tuple(r)[1:] for r in got} == {c for c in closed if c[2] != "z"} and len(closed) == 4
+
+
+def with_state(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def test_bursts_equal_brute_force_over_one_busy_project(spark):
+    rng = random.Random(2)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["p", "p", "q"]), rng.choice("abc"), rng.choice(["CREATE", "MODIFY"]), t + dt.timedelta(milliseconds=rng.randint(0, 60_000))) for _ in range(300)]
+    want = set()
+    for project in ("p", "q"):
+        own = sorted((r[3], r[1], r[2]) for r in rows if r[0] == project)
+        bursts = [[own[0]]]
+        for r in own[1:]:
+            bursts.append([]) if r[0] - bursts[-1][-1][0] >= dt.timedelta(milliseconds=500) else None
+            bursts[-1].append(r)
+        for b in bursts:
+            for path in {r[1] for r in b}:
+                last = max((r[0], r[2]) for r in b if r[1] == path)
+                want.add((project, b[0][0], b[-1][0] + dt.timedelta(milliseconds=500), path, last[1]))
+    frame = spark.createDataFrame(rows, "project string, path string, type string, ts timestamp")
+    assert {tuple(r) for r in events.debounced_rows(frame).collect()} == want
+
+
+def test_a_stream_of_logins_has_the_verdicts_of_the_table(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), k, k * 100 + rng.randint(0, 99), rng.random() < 0.2) for k in range(400)]
+    schema = "key string, id long, ts_ms long, success boolean"
+    limits = {"failures": 3, "lock_ms": 2_000, "longest_ms": 9_000}
+    got = replay(with_state(spark), tmp_path, rows, schema, lambda s: events.throttled(s, **limits), "t")
+    want = events.throttled_rows(spark.createDataFrame(rows, schema), **limits).collect()
+    assert {(r.key, r.id, r.allowed) for r in got} == {(r.key, r.id, r.allowed) for r in want} and any(not r.allowed for r in want)
 
 
 def test_duplicates_go_within_the_watermark(spark, tmp_path):
@@ -233,7 +270,14 @@ def test_upserts_of_a_stream_keep_the_latest(spark, tmp_path):
         df = spark.createDataFrame(rows, "id long, at long, v string")
         apply(df, k)
         apply(df, k)
-    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "s" / "2")).collect()} == {(1, "c"), (2, "b")}
+    assert {(r.id, r.v) for r in events.latest_of(spark, str(tmp_path / "s"), "id long, at long, v string").collect()} == {(1, "c"), (2, "b")}
+    assert {(r.id, r.v) for r in events.latest_of(spark, str(tmp_path / "s"), "id long, at long, v string", before=1).collect()} == {(1, "a"), (2, "b")}
+    rows = spark.range(500).selectExpr("id", "0L at", "'x' v")
+    events.upsert_latest(str(tmp_path / "m"), "id", "at", 4)(rows, 0)
+    events.upsert_latest(str(tmp_path / "m"), "id", "at", 4)(spark.createDataFrame([(3, 1, "new")], "id long, at long, v string"), 1)
+    assert len(list((tmp_path / "m").glob("bucket=*/1"))) == 1  # the other buckets stay as they are
+    kept = events.latest_of(spark, str(tmp_path / "m"), "id long, at long, v string")
+    assert kept.count() == 500 and kept.where("v = 'new'").first().id == 3
 
 
 @pytest.mark.parametrize("name", ["impact_dependency", "top_users", "dynamic_dispatch"])
@@ -247,3 +291,66 @@ def test_every_sql_belongs_to_a_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def brute_guard(rows, limits):
+    """Verdicts of logins one after another, and how many turns would not do."""
+    state, out = {}, {}
+    for id_, address, account, ts, success in sorted(rows, key=lambda r: (r[3], r[0])):
+        keys = [("ip", (address or "").strip() and address or "unknown"), ("account", (account or "").strip().lower())]
+        for k in keys:
+            if k in state and ts - state[k]["since"] >= limits.kept_ms:
+                del state[k]
+        ok = [ts >= state.get(k, {}).get("until", 0) for k in keys]
+        out[id_] = tuple(ok)
+        if all(ok) and success:
+            for k in keys:
+                state.pop(k, None)
+        elif all(ok):
+            for k, most, doubles in zip(keys, (limits.per_address, limits.per_account), (True, False), strict=True):
+                s = state.setdefault(k, {"failed": 0, "locks": 0, "until": 0, "since": ts})
+                s["failed"] += 1
+                if s["failed"] >= most:
+                    s["failed"], s["locks"] = 0, s["locks"] + 1
+                    s["until"] = ts + limits.lock(s["locks"], doubles)
+    return out
+
+
+LOGINS = "id long, address string, account string, ts_ms long, success boolean"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_guarded_logins_equal_a_walk_in_order(spark, seed):
+    rng = random.Random(seed)
+    limits = throttle.Limits(per_address=4, per_account=3, lock_ms=900, longest_ms=4_000, window_ms=2_000)
+    rows = [(k, rng.choice(["a", "a", "b", "c", " ", None]), rng.choice(["X@y", " x@Y ", "z", "w", None]), rng.randint(0, 30_000), rng.random() < 0.15) for k in range(400)]
+    verdicts, states, turns = throttle.guarded(spark.createDataFrame(rows, LOGINS), limits)
+    want = brute_guard(rows, limits)
+    assert {r.id: (r.address_allowed, r.account_allowed) for r in verdicts.collect()} == want and turns >= 2
+    assert not all(all(v) for v in want.values()) and states.where("kind = 'account'").count() == 4
+    assert throttle.guarded(spark.createDataFrame([], LOGINS), limits)[0].count() == 0
+
+
+def test_lock_of_an_account_holds_from_every_address_and_stays_flat(spark):
+    limits = throttle.Limits(per_address=10, per_account=5, lock_ms=900_000, window_ms=900_000)
+    minute = 60_000
+    rows = [(k, "ip", "victim", k, False) for k in range(5)] + [(5, "other", "victim", 10, False), (6, "other", "fine", 11, True), (7, "new", "victim", 16 * minute, False)]
+    rows += [(20 + k, "spray", f"u{k}", k, False) for k in range(10)] + [(40, "spray", "u99", 20, True), (41, "spray", "u98", 16 * minute, False)]
+    rows += [(50 + k, "spray", f"v{k}", 16 * minute + k + 1, False) for k in range(9)] + [(60, "spray", "w", 32 * minute, False), (61, "spray", "w", 47 * minute, False)]
+    got = {r.id: r.allowed for r in throttle.guarded(spark.createDataFrame(rows, LOGINS), limits)[0].collect()}
+    assert (got[5], got[6], got[7]) == (False, True, True) and (got[40], got[41], got[60], got[61]) == (False, True, False, True)
+    assert throttle.Limits(lock_ms=1 << 60, longest_ms=1 << 61).lock(50, True) == throttle.MOST_LOCK_MS
+
+
+def test_guarded_batches_go_on_where_the_last_one_ended(spark, tmp_path):
+    rng = random.Random(9)
+    limits = throttle.Limits(per_address=4, per_account=3, lock_ms=2_000, longest_ms=9_000, window_ms=9_000)
+    rows = [(k, rng.choice("abc"), rng.choice("xyz"), k * 50, rng.random() < 0.1) for k in range(240)]
+    apply = throttle.guard_batches(str(tmp_path), limits)
+    for n in range(3):
+        batch = spark.createDataFrame(rows[80 * n : 80 * n + 80], LOGINS)
+        apply(batch, n)
+        if n == 1:
+            apply(batch, n)  # again, after a failure
+    got = {r.id: (r.address_allowed, r.account_allowed) for r in spark.read.parquet(f"{tmp_path}/verdicts/*").collect()}
+    assert got == brute_guard(rows, limits)
