@@ -1,8 +1,8 @@
-"""Upserts, deletes and patches of graph tables, as tables made anew; publish() makes a version current."""
+"""Upserts, deletes and patches of graph tables, as tables made anew; sources/snapshots.py makes a version current."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.shaping import overlaid, with_both_ends
@@ -51,20 +51,6 @@ def patched(nodes: DataFrame, edges: DataFrame, changed_nodes: DataFrame, change
     return n, with_both_ends(e, n)
 
 
-def publish(df: DataFrame, root: str, version: str) -> None:
-    """Write a version and then make it current: readers see all of the old one or all of the new one."""
-    spark = df.sparkSession
-    df.write.mode("errorifexists").parquet(f"{root}/versions/{version}")
-    pointer = spark.createDataFrame([(version,)], "version string")
-    pointer.coalesce(1).write.mode("append").json(f"{root}/current")
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The version that was published last, by its name."""
-    last = spark.read.schema("version string").json(f"{root}/current").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/versions/{last}")
-
-
 def usage(changes: DataFrame) -> DataFrame:
     """owner, used_bytes of size changes (owner, project, seq, kind, bytes) applied in order of seq.
 

@@ -142,11 +142,6 @@ def test_upserts_and_patches(spark):
     assert [r.id for r in left.collect()] == ["a"] and edges.count() == 0
 
 
-def test_published_versions_are_read_whole(spark, tmp_path):
-    for k in (1, 2):
-        mutations.publish(spark.range(k), str(tmp_path / "t"), f"v{k}")
-    assert mutations.current(spark, str(tmp_path / "t")).count() == 2
-
 
 def test_usage_never_falls_below_nothing(spark):
     rows = [("o", "p", 1, "set", 5), ("o", "p", 2, "delta", -9), ("o", "p", 3, "delta", 4), ("o", "q", 1, "set", 7), ("o", "q", 2, "delete", 0)]
