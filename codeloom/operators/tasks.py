@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.traversal import closure
+from codeloom.operators.traversal import COMPACT, closure
 from codeloom.plans.staging import staged
 
 #: States in which a task still takes part in cascades, and those that pruning may remove.
@@ -14,16 +14,30 @@ ENDED = ("COMPLETED", "SUPERSEDED", "FAILED_TERMINAL")
 
 
 def would_cycle(dependencies: DataFrame, links: DataFrame) -> DataFrame:
-    """task, needs, cycle of links: whether a link makes a task need itself, through what the task it needs depends on."""
-    e = dependencies.select(F.col("task").alias("source"), F.col("needs").alias("target")).distinct()
-    step = staged(e)
-    seen = staged(links.select("task", "needs", F.col("needs").alias("at")).distinct())
-    frontier = seen
+    """task, needs, cycle of links: whether a link makes a task need itself, through what the task it needs depends on.
+
+    First whole sets of nodes are walked, one row a node: forwards from all that links need, and backwards from all their
+    tasks. Only links between both sets can close a cycle, and only dependencies inside both are walked for them, link by
+    link, until a link has met its task.
+    """
+    all_ = staged(links.select("task", "needs").distinct())
+    e = staged(dependencies.select(F.col("task").alias("source"), F.col("needs").alias("target")).distinct())
+    ahead = closure(all_.select(F.col("needs").alias("id")), e)
+    behind = closure(all_.select(F.col("task").alias("id")), e, "in")
+    between = staged(ahead.join(behind, "id", "left_semi").select("id"))
+    step = staged(e.join(between.withColumnRenamed("id", "source"), "source", "left_semi").join(between.withColumnRenamed("id", "target"), "target", "left_semi"))
+    open_ = all_.join(between.withColumnRenamed("id", "needs"), "needs", "left_semi").join(between.withColumnRenamed("id", "task"), "task", "left_semi")
+    seen = frontier = staged(open_.select("task", "needs", F.col("needs").alias("at")))
+    met, rounds = staged(seen.where("at = task").select("task", "needs")), 0
     while not frontier.isEmpty():
-        found = frontier.join(step, F.col("at") == F.col("source")).select("task", "needs", F.col("target").alias("at")).distinct()
+        left = frontier.join(met, ["task", "needs"], "left_anti")
+        found = left.join(step, F.col("at") == F.col("source")).select("task", "needs", F.col("target").alias("at")).distinct()
         frontier = staged(found.join(seen, ["task", "needs", "at"], "left_anti"))
-        seen = seen.unionAll(frontier)
-    return seen.groupBy("task", "needs").agg(F.bool_or(F.col("at") == F.col("task")).alias("cycle"))
+        seen, met, rounds = seen.unionAll(frontier), met.unionAll(frontier.where("at = task").select("task", "needs")), rounds + 1
+        if rounds % COMPACT == 0:
+            seen, met = staged(seen), staged(met)
+    closes = met.distinct().withColumn("cycle", F.lit(True))
+    return all_.join(closes, ["task", "needs"], "left").select("task", "needs", F.coalesce("cycle", F.lit(False)).alias("cycle"))
 
 
 def escalated(tasks: DataFrame, dependencies: DataFrame, failed: DataFrame) -> DataFrame:
@@ -46,14 +60,17 @@ def prunable(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
     return tasks.where(F.col("status").isin(*ENDED)).select("id").join(dependencies.select(F.col("needs").alias("id")), "id", "left_anti")
 
 
-def pruned(tasks: DataFrame, dependencies: DataFrame, rounds: int = 100) -> DataFrame:
-    """id, round of the tasks that go when leaves are removed again and again; a round that removes none is the last."""
-    left, edges, out = tasks, dependencies, None
-    for k in range(1, rounds + 1):
+def pruned(tasks: DataFrame, dependencies: DataFrame, rounds: int | None = None) -> DataFrame:
+    """id, round of the tasks that go when leaves are removed again and again, until a round removes none or for so many rounds."""
+    left, edges, out, k = tasks, dependencies, None, 0
+    while rounds is None or k < rounds:
+        k += 1
         gone = staged(prunable(left, edges).withColumn("round", F.lit(k)))
         if gone.isEmpty():
             break
         out = gone if out is None else out.unionAll(gone)
+        if k % COMPACT == 0:
+            out = staged(out)
         left, edges = staged(left.join(gone, "id", "left_anti")), staged(edges.join(gone.select(F.col("id").alias("task")), "task", "left_anti"))
     return out if out is not None else tasks.select("id", F.lit(0).alias("round")).limit(0)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.scalars import keywords, redacted_lines
 from codeloom.operators.shaping import enclosing_symbol, related_symbols
 from codeloom.operators.traversal import affected_routes, impact, override_counterparts, owner_of, reachable_symbols, resolve
-from codeloom.sources.text_tables import compiler_errors, file_scores, lines, stack_frames
+from codeloom.sources.text_tables import compiler_errors, file_scores, line_range, lines, stack_frames
 
 #: Endings of tests' names, edges by which a test refers to code, and types that hold members.
 TEST_SUFFIXES = ("Test", "Tests", "IT", "ITCase", "IntegrationTest")
@@ -121,6 +121,16 @@ def method_source(nodes: DataFrame, edges: DataFrame, sources: DataFrame, query:
     return lines_.unionAll(near.select("kind", "id", F.col("rank").cast("int"), F.col("full_name")))
 
 
+def source_file(nodes: DataFrame, sources: DataFrame, first: int, last: int, most: int = 500) -> DataFrame:
+    """file, kind, line, text: lines first to last of each of sources (file, text), `most` at most and secrets hidden (line), and the
+    symbols whose spans meet the range, by their first line (symbol: id)."""
+    end = min(last, first + most - 1)
+    shown = line_range(sources, "file", first, last, most).select("file", F.lit("line").alias("kind"), "line", "text")
+    spans = nodes.where("line_number is not null and type <> 'File'").select(F.col("file_path").alias("file"), "line_number", F.coalesce("end_line", "line_number").alias("end"), "id")
+    own = spans.join(sources.select("file"), "file", "left_semi").where((F.col("line_number") <= end) & (F.col("end") >= first))
+    return shown.unionAll(own.select("file", F.lit("symbol"), "line_number", "id"))
+
+
 def test_plan(changes: DataFrame, tolerance: str = "low") -> DataFrame:
     """id, level: the levels of tests that a change (id, text, and files, an array that may be missing) asks for; a unit test always.
 

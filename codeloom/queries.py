@@ -130,13 +130,18 @@ def resolve_exact(spark, sf_dir):
     return traversal.resolve(nodes(spark, sf_dir), "cls.3.m1()")
 
 
-@query(f"""WITH step AS MATERIALIZED (SELECT source AS parent, target AS nxt, line_number AS line FROM edges WHERE type = 'CALLS'),
-s0 AS (SELECT DISTINCT source AS id, 0 AS depth, NULL::varchar AS parent, 0 AS line_number FROM edges WHERE type = 'HANDLES_ROUTE' AND target = '{ROUTE}'),
-s1 AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT nxt, 1, (min((line, step.parent)))[2], (min((line, step.parent)))[1] FROM s0 JOIN step ON step.parent = id WHERE nxt NOT IN (SELECT id FROM s0) GROUP BY nxt),
-s2 AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT nxt, 2, (min((line, step.parent)))[2], (min((line, step.parent)))[1] FROM s1 JOIN step ON step.parent = id WHERE depth = 1 AND nxt NOT IN (SELECT id FROM s1) GROUP BY nxt)
-SELECT id, depth, parent, line_number FROM s2 ORDER BY depth, line_number, id LIMIT 100""")
+def _trace_sql(depth: int) -> str:
+    out = f"""WITH step AS MATERIALIZED (SELECT source AS parent, target AS nxt, line_number AS line FROM edges WHERE type = 'CALLS'),
+s0 AS (SELECT DISTINCT source AS id, 0 AS depth, NULL::varchar AS parent, 0 AS line_number FROM edges WHERE type = 'HANDLES_ROUTE' AND target = '{ROUTE}')"""
+    for k in range(1, depth + 1):
+        out += f""", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT nxt, {k}, (min((line, step.parent)))[2], (min((line, step.parent)))[1] FROM s{k - 1} JOIN step ON step.parent = id
+  WHERE depth = {k - 1} AND nxt NOT IN (SELECT id FROM s{k - 1}) GROUP BY nxt)"""
+    return out + f" SELECT id, depth, parent, line_number FROM s{depth} ORDER BY depth, line_number, id LIMIT 100"
+
+
+@query(_trace_sql(10))
 def trace_endpoint(spark, sf_dir):
-    return traversal.trace_endpoint(edges(spark, sf_dir), ROUTE, depth=2)
+    return traversal.trace_endpoint(edges(spark, sf_dir), ROUTE)
 
 
 # Shapes
@@ -558,10 +563,12 @@ def over_limit(spark, sf_dir):
 
 
 @query("""SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS n_left, (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0) AS n_right,
-(SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS only_left, (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0) AS only_right, FALSE AS same""", graph=False)
+(SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS only_left, (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0) AS only_right, FALSE AS same,
+(SELECT min(o_orderdate) FROM orders WHERE o_orderkey % 7 <> 0) AS first_left, (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 7 <> 0) AS last_left,
+(SELECT min(o_orderdate) FROM orders WHERE o_orderkey % 5 <> 0) AS first_right, (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 5 <> 0) AS last_right""", graph=False)
 def reconciliation(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    return telemetry.reconciliation(o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 5 <> 0"), "o_orderdate", "o_orderkey").select("n_left", "n_right", "only_left", "only_right", "same")
+    return telemetry.reconciliation(o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 5 <> 0"), "o_orderdate", "o_orderkey")
 
 
 @query("""SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 7 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM part
@@ -777,11 +784,11 @@ def _tasks(spark, sf_dir):
     return t, d.select(k.alias("task"), F.floor(k / 2).alias("needs")).union(d.select(k.alias("task"), F.floor(k / 3).alias("needs"))).distinct()
 
 
-@query(_TASKS.replace("WITH t", "WITH RECURSIVE t", 1) + """, links AS (SELECT p_partkey AS task, p_partkey * 4 AS needs FROM part WHERE p_partkey BETWEEN 1 AND 20 UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey BETWEEN 40 AND 60),
+@query(_TASKS.replace("WITH t", "WITH RECURSIVE t", 1) + """, links AS (SELECT p_partkey AS task, p_partkey * 4 AS needs FROM part UNION SELECT p_partkey, p_partkey + 1 FROM part),
 w AS (SELECT task, needs, needs AS cur FROM links UNION SELECT w.task, w.needs, dep.needs FROM w JOIN dep ON w.cur = dep.task) SELECT task, needs, bool_or(cur = task) AS cycle FROM w GROUP BY 1, 2""", graph=False)
 def task_cycles(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    links = p.where("p_partkey between 1 and 20").selectExpr("p_partkey as task", "p_partkey * 4 as needs").unionAll(p.where("p_partkey between 40 and 60").selectExpr("p_partkey as task", "p_partkey + 1 as needs"))
+    links = p.selectExpr("p_partkey as task", "p_partkey * 4 as needs").unionAll(p.selectExpr("p_partkey as task", "p_partkey + 1 as needs"))
     return tasks.would_cycle(_tasks(spark, sf_dir)[1], links)
 
 
@@ -801,11 +808,19 @@ def task_leaves(spark, sf_dir):
     return tasks.prunable(*_tasks(spark, sf_dir))
 
 
-@query(_TASKS + """, r1 AS MATERIALIZED (SELECT id FROM t WHERE status IN ('COMPLETED', 'SUPERSEDED') AND id NOT IN (SELECT needs FROM dep)),
-r2 AS MATERIALIZED (SELECT id FROM t WHERE status IN ('COMPLETED', 'SUPERSEDED') AND id NOT IN (SELECT id FROM r1) AND id NOT IN (SELECT needs FROM dep WHERE task NOT IN (SELECT id FROM r1)))
-SELECT id, 1 AS round FROM r1 UNION ALL SELECT id, 2 FROM r2""", graph=False)
+def _pruning_sql(rounds: int) -> str:
+    """Leaf by leaf: g{k} has what is gone after round k."""
+    out = _TASKS + ", g0 AS (SELECT 0::bigint AS id, 0 AS round WHERE FALSE)"
+    for k in range(1, rounds + 1):
+        out += f""", g{k} AS MATERIALIZED (SELECT * FROM g{k - 1} UNION ALL SELECT id, {k} FROM t WHERE status IN ('COMPLETED', 'SUPERSEDED') AND id NOT IN (SELECT id FROM g{k - 1})
+  AND id NOT IN (SELECT needs FROM dep WHERE task NOT IN (SELECT id FROM g{k - 1})))"""
+    return out + f" SELECT * FROM g{rounds}"
+
+
+@query(_pruning_sql(24), graph=False)
 def task_pruning(spark, sf_dir):
-    return tasks.pruned(*_tasks(spark, sf_dir), rounds=2)
+    """All rounds; the SQL has more than the longest way through halves of the largest table takes."""
+    return tasks.pruned(*_tasks(spark, sf_dir))
 
 
 @query(_TASKS + """ SELECT DISTINCT CASE WHEN task % 10 = 3 THEN task + 1000000 ELSE task END AS task, CASE WHEN needs % 10 = 3 THEN needs + 1000000 ELSE needs END AS needs FROM dep""", graph=False)
@@ -1048,10 +1063,14 @@ def test_plans(spark, sf_dir):
     return tools.test_plan(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), files.alias("files")))
 
 
-@query("""SELECT 1 AS key, n.id, 0::bigint AS cause FROM nodes n WHERE n.id = 'cls.3.m1()'""")
+@query("""WITH f AS (SELECT event_id AS key, 0::bigint AS cause, 2::int AS position, 'cls.' || user_id || '.m' || event_id % 25 || '()' AS id FROM events
+UNION ALL SELECT event_id, 1, 5, 'cls.' || event_id % 40 || '.m' || user_id % 30 || '()' FROM events) SELECT key, cause, position, f.id FROM f JOIN nodes USING (id)""")
 def explained_failures(spark, sf_dir):
-    trace = spark.createDataFrame([(1, "x\n at cls.3.m1(A.java:3)\n at no.Such.m(B.java:1)")], "key int, text string")
-    return tools.explained_failures(nodes(spark, sf_dir), trace, "key").select("key", "id", "cause")
+    """A stack trace for each event, with a cause and frames that the graph may or may not have."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    frame = lambda cls, m, at: F.concat(F.lit("\n\tat cls."), cls, F.lit(".m"), m, F.lit(f"({at})"))
+    text = F.concat(F.lit("java.lang.Error: x"), frame(F.col("user_id"), k % 25, "A.java:3"), F.lit("\n\tat no.Such.m(B.java:1)\nCaused by: y"), frame(k % 40, F.col("user_id") % 30, "C.java"))
+    return tools.explained_failures(nodes(spark, sf_dir), e.select(k.alias("key"), text.alias("text")), "key")
 
 
 _LIST_STARTS = """c AS (SELECT DISTINCT source, target FROM edges WHERE type = 'CALLS'), t AS (SELECT id FROM nodes WHERE regexp_matches(name, '(Controller|Service|Component)$')),

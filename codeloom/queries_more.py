@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import addresses, scalars
-from codeloom.operators import inference, text_index
+from codeloom.operators import flows, inference, text_index
 from codeloom.plans import tools
 from codeloom.queries import METHOD, _event_sides, query
 from codeloom.sources import text_tables
@@ -177,3 +177,62 @@ def ranked_symbols_starting(spark, sf_dir):
 @query(_bm25_sql("SELECT doc_id AS id, text FROM documents", "term IN ('the', 'idiot', 'lyon')"), graph=False)
 def ranked_documents(spark, sf_dir):
     return text_index.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).search("the Idiot, Lyon")
+
+
+# Composite analyses
+
+
+@query(f"""WITH l AS (SELECT file_path AS file, i FROM nodes, range(20, 61) r(i) WHERE type = 'File')
+SELECT file, 'line' AS kind, i AS line, CASE WHEN i % 7 = 0 THEN 'password=[REDACTED]' ELSE {_NUMBERED} END AS text FROM l
+UNION ALL SELECT file_path, 'symbol', line_number, id FROM nodes WHERE type <> 'File' AND line_number <= 60 AND end_line >= 20""")
+def source_files(spark, sf_dir):
+    return tools.source_file(nodes(spark, sf_dir), numbered_sources(spark, sf_dir), 20, 60)
+
+
+@query("""WITH q AS (SELECT '/src/' || n_name || '/' || s_suppkey || '.java' AS file, s_suppkey AS key, s_suppkey % 60 + 1 AS at_line,
+  CASE s_suppkey % 3 WHEN 0 THEN 'cannot find symbol' WHEN 1 THEN 'incompatible types: x' ELSE 'package a does not exist' END AS message FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+around AS (SELECT key, arg_min(id, (end_line - line_number, id)) AS id FROM q JOIN nodes ON file_path = file AND type <> 'File' AND at_line BETWEEN line_number AND end_line GROUP BY 1),
+c AS (SELECT target AS id, count(DISTINCT source) AS n FROM edges WHERE type = 'CALLS' GROUP BY 1)
+SELECT q.key, file, at_line, message, around.id, coalesce(c.n, 0) AS n_callers, CASE key % 3 WHEN 0 THEN 'missing import or renamed symbol' WHEN 1 THEN 'type mismatch' ELSE 'missing dependency' END AS hint
+FROM q LEFT JOIN around USING (key) LEFT JOIN c ON c.id = around.id""")
+def explained_compile_errors(spark, sf_dir):
+    """Output of a compiler for the file of each supplier."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    k = F.col("s_suppkey")
+    message = F.when(k % 3 == 0, "cannot find symbol").when(k % 3 == 1, "incompatible types: x").otherwise("package a does not exist")
+    text = F.concat(F.lit("[INFO] x\n[ERROR] /src/"), "n_name", F.lit("/"), k, F.lit(".java:["), k % 60 + 1, F.lit(",7] "), message, F.lit("\nBUILD FAILURE"))
+    outputs = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select(k.alias("key"), text.alias("text"))
+    return tools.explained_errors(nodes(spark, sf_dir), edges(spark, sf_dir), outputs, "key")
+
+
+@query("""WITH s AS (SELECT file_path AS file, regexp_extract(name, '[0-9]+')::int AS k FROM nodes WHERE type = 'File'),
+best AS (SELECT file, CASE WHEN k % 7 > 0 THEN 10 * (k % 7) + 1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 11 ELSE 0 END AS score FROM s WHERE k % 7 > 0 OR k % 3 = 0 ORDER BY score DESC, file LIMIT 10),
+n AS (SELECT file_path AS file, count(DISTINCT source) AS n FROM edges JOIN nodes ON nodes.id = target WHERE edges.type IN ('CALLS', 'IMPLEMENTS') GROUP BY 1)
+SELECT best.file, best.score, coalesce(n.n, 0) AS n_dependents FROM best LEFT JOIN n USING (file)""")
+def planned_change(spark, sf_dir):
+    """Files in which a task's words stand in several lines."""
+    k = F.regexp_extract("name", "[0-9]+", 0).cast("int")
+    text = F.concat(F.repeat(F.lit("an Invoice line\n"), k % 7), F.when(k % 3 == 0, "for shipping").otherwise("nothing"))
+    sources = nodes(spark, sf_dir).where("type = 'File'").select(F.col("file_path").alias("file"), text.alias("text"))
+    return tools.planned_change(nodes(spark, sf_dir), edges(spark, sf_dir), sources, "invoice shipping")
+
+
+_RELATIONS = """rel AS (SELECT 'Manager' AS source, 'User' AS target, 'generalization' AS type UNION ALL SELECT 'User', 'Guest', 'generalization'
+UNION ALL SELECT CASE c_custkey % 4 WHEN 0 THEN 'Guest' WHEN 1 THEN 'User' WHEN 2 THEN 'Manager' ELSE 'Other' END, 'u' || c_custkey, 'association' FROM customer WHERE c_custkey % 9 = 0
+UNION ALL SELECT 'u' || c_custkey, 'u' || c_custkey // 2, CASE c_custkey % 2 WHEN 0 THEN 'include' ELSE 'extend' END FROM customer)"""
+
+
+@query(f"""WITH RECURSIVE {_RELATIONS}, up AS (SELECT 'User' AS id UNION SELECT target FROM up JOIN rel ON source = id AND type = 'generalization'),
+own AS (SELECT target AS id FROM rel WHERE type = 'association' AND source IN (SELECT id FROM up) UNION SELECT target FROM own JOIN rel ON source = id AND type IN ('include', 'extend')) SELECT id FROM own""", graph=False)
+def use_case_closure(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    actor = F.when(k % 4 == 0, "Guest").when(k % 4 == 1, "User").when(k % 4 == 2, "Manager").otherwise("Other")
+    use = lambda x: F.concat(F.lit("u"), x)
+    relations = spark.createDataFrame([("Manager", "User", "generalization"), ("User", "Guest", "generalization")], "source string, target string, type string")
+    relations = relations.unionAll(c.where("c_custkey % 9 = 0").select(actor, use(k), F.lit("association"))).unionAll(c.select(use(k), use(F.floor(k / 2)), F.when(k % 2 == 0, "include").otherwise("extend")))
+    return flows.use_case_view(relations, "User")
+
+
+@query("""SELECT id, list_reduce(list_transform(string_split(id, ''), lambda x: ord(x)::bigint), lambda h, x: (xor(h, x) * 16777619) & 4294967295, 2166136261::bigint) AS seed FROM nodes""")
+def layout_seeds(spark, sf_dir):
+    return nodes(spark, sf_dir).select("id", scalars.fnv1a("id").alias("seed"))
