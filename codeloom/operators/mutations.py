@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.shaping import overlaid, with_both_ends
@@ -54,12 +54,19 @@ def patched(nodes: DataFrame, edges: DataFrame, changed_nodes: DataFrame, change
 def usage(changes: DataFrame) -> DataFrame:
     """owner, used_bytes of size changes (owner, project, seq, kind, bytes) applied in order of seq.
 
-    `set` puts a project's size, `delta` adds to it but never below 0, `delete` makes it 0. As the bound at 0 makes the
-    result depend on the order, the changes of one project are folded as a sorted array.
+    `set` puts a project's size, `delta` adds to it but never below 0, `delete` makes it 0. A project's size is what the changes
+    since its last `set` or `delete` sum to, less the lowest that their running sum fell below 0; so its changes stream by
+    in order and may be any number.
     """
-    ops = F.array_sort(F.collect_list(F.struct("seq", "kind", "bytes")))
-    size = F.aggregate(ops, F.lit(0).cast("long"), lambda acc, x: F.when(x["kind"] == "set", x["bytes"]).when(x["kind"] == "delete", F.lit(0)).otherwise(F.greatest(acc + x["bytes"], F.lit(0))).cast("long"))
-    return changes.groupBy("owner", "project").agg(size.alias("size")).groupBy("owner").agg(F.sum("size").alias("used_bytes"))
+    key = ["owner", "project"]
+    order = Window.partitionBy(*key).orderBy("seq")
+    value = F.when(F.col("kind") == "delete", F.lit(0)).otherwise(F.coalesce("bytes", F.lit(0))).cast("long")
+    part = F.sum(F.when(F.col("kind") == "delta", 0).otherwise(1)).over(order)
+    rows = changes.select(*key, "seq", "kind", value.alias("value"), part.alias("part"))
+    running = F.sum("value").over(Window.partitionBy(*key, "part").orderBy("seq"))
+    each = rows.withColumn("running", running).groupBy(*key, "part").agg(F.sum("value").alias("total"), F.min(F.when(F.col("kind") == "delta", F.col("running"))).alias("least"))
+    size = F.col("total") - F.least(F.lit(0), F.coalesce("least", F.lit(0)))
+    return each.groupBy(*key).agg(F.max_by(size, "part").alias("size")).groupBy("owner").agg(F.sum("size").alias("used_bytes"))
 
 
 def with_packages(nodes: DataFrame, files: DataFrame) -> DataFrame:

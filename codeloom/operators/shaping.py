@@ -100,9 +100,18 @@ def merged(edges: DataFrame) -> DataFrame:
 
 
 def aggregated(rows: DataFrame, first: int = 10) -> DataFrame:
-    """source, type, target, weight, line_number, occurrences of raw edge rows (with seq): the first line and the first lines in input order."""
-    lines = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("line_number").isNotNull(), F.struct("seq", "line_number")))), lambda x: x["line_number"]), 1, first)
-    return rows.groupBy("source", "type", "target").agg(F.count(F.lit(1)).alias("weight"), F.min_by("line_number", F.when(F.col("line_number").isNotNull(), F.col("seq"))).alias("line_number"), lines.alias("occurrences"))
+    """source, type, target, weight, line_number, occurrences of raw edge rows (with seq): the first line and the first lines in input order.
+
+    Only an edge's first lines are put in an array, so one edge may have any number of rows.
+    """
+    key = ["source", "type", "target"]
+    total = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("weight"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("seq", "line_number"))
+    lines = rows.where("line_number is not null").select(*key, "seq", "line_number").withColumn("nth", nth).where(F.col("nth") <= first)
+    own = lines.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line_number"))), lambda x: x["line_number"]).alias("occurrences"))
+    both = total.join(own.select(*[F.col(c).alias(f"own_{c}") for c in key], "occurrences"), [total[c].eqNullSafe(F.col(f"own_{c}")) for c in key], "left")
+    occurrences = F.coalesce("occurrences", F.array().cast("array<int>"))
+    return both.select(*key, "weight", F.try_element_at("occurrences", F.lit(1)).alias("line_number"), occurrences.alias("occurrences"))
 
 
 def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -107,9 +107,9 @@ def storage_of(projects: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def top_projects(projects: DataFrame, names: DataFrame, limit: int) -> DataFrame:
-    """project, name, used_bytes: the projects that hold most, then by id; one without a name (project, name) goes by its id."""
+    """project, name, used_bytes: the projects that hold most, then by id; one without a name (project, name), or with a blank one, goes by its id."""
     top = projects.select("project", F.col("bytes").alias("used_bytes")).orderBy(F.desc("used_bytes"), "project").limit(limit)
-    return top.join(names, "project", "left").select("project", F.coalesce("name", F.col("project").cast("string")).alias("name"), "used_bytes")
+    return top.join(names, "project", "left").select("project", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("project").cast("string")).alias("name"), "used_bytes")
 
 
 def latest_events(events: DataFrame, minutes: int, limit: int, now: Column) -> DataFrame:

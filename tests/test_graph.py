@@ -148,6 +148,27 @@ def test_usage_never_falls_below_nothing(spark):
     assert mutations.usage(spark.createDataFrame(rows, "owner string, project string, seq int, kind string, bytes long")).first().used_bytes == 4
 
 
+def test_usage_equals_a_fold(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("op"), rng.choice("abc"), k, rng.choice(["delta", "delta", "delta", "set", "delete"]), rng.randint(-9, 9)) for k in range(300)]
+    size = {}
+    for owner, project, _, kind, n in rows:
+        size[owner, project] = n if kind == "set" else 0 if kind == "delete" else max(size.get((owner, project), 0) + n, 0)
+    want = {o: sum(v for (x, _), v in size.items() if x == o) for o in "op"}
+    frame = spark.createDataFrame(rows, "owner string, project string, seq int, kind string, bytes long")
+    assert {r.owner: r.used_bytes for r in mutations.usage(frame).collect()} == want
+    hot = spark.range(50_000).selectExpr("'o' owner", "'p' project", "id seq", "'delta' kind", "1L bytes")
+    assert mutations.usage(hot).first().used_bytes == 50_000
+
+
+def test_an_edge_of_very_many_rows_keeps_its_first_lines(spark):
+    rows = spark.range(60_000).selectExpr("'a' source", "'CALLS' type", "'b' target", "if(id % 3 = 0, null, cast(id as int)) line_number", "-id seq")
+    r = shaping.aggregated(rows).first()
+    assert (r.weight, r.line_number, r.occurrences) == (60_000, 59_999, [59_999, 59_998, 59_996, 59_995, 59_993, 59_992, 59_990, 59_989, 59_987, 59_986])
+
+
 def test_evaluation_of_equal_sets_is_perfect(spark):
     a = spark.createDataFrame([("x",), ("y",)], "key string")
     r = inference.evaluation(a, a).first()
