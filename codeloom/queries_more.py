@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import addresses, scalars
-from codeloom.operators import flows, inference, text_index
+from codeloom.operators import flows, inference, text_index, upkeep
 from codeloom.plans import tools
 from codeloom.queries import METHOD, _event_sides, query
 from codeloom.sources import text_tables
@@ -236,3 +236,28 @@ def use_case_closure(spark, sf_dir):
 @query("""SELECT id, list_reduce(list_transform(string_split(id, ''), lambda x: ord(x)::bigint), lambda h, x: (xor(h, x) * 16777619) & 4294967295, 2166136261::bigint) AS seed FROM nodes""")
 def layout_seeds(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", scalars.fnv1a("id").alias("seed"))
+
+
+# Upkeep
+
+
+def _after_change(spark, sf_dir):
+    """Nodes and edges without the methods and interfaces of every tenth class, and the classes that this changes."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    gone = F.regexp_extract("id", r"^cls[.]([0-9]*7)[.]m", 1) != ""
+    changed = n.where("id like 'cls.%7' and type <> 'Method'").select("id")
+    return n.where(~gone), e.where("not (type = 'IMPLEMENTS' and source like 'cls.%7')"), changed
+
+
+_AFTER = """WITH n2 AS (SELECT * FROM nodes WHERE NOT regexp_matches(id, '^cls[.][0-9]*7[.]m')), m AS (SELECT id, regexp_extract(id, '^(cls[.][0-9]+)[.]', 1) AS owner, regexp_extract(id, '[.](m[0-9]+.*)$', 1) AS suffix FROM n2 WHERE type = 'Method'),
+c AS (SELECT DISTINCT a.id AS source, b.id AS target FROM edges e JOIN n2 i ON i.id = e.target AND i.type = 'Interface' JOIN n2 k ON k.id = e.source AND k.type = 'Class' JOIN m a ON a.owner = i.id JOIN m b ON b.owner = k.id AND b.suffix = a.suffix
+  WHERE e.type = 'IMPLEMENTS' AND e.source NOT LIKE 'cls.%7')
+SELECT source, target, CASE WHEN count(*) OVER (PARTITION BY source) = 1 THEN 'RESOLVES_TO' ELSE 'DISPATCH_CANDIDATES' END AS type, round(1.0 / count(*) OVER (PARTITION BY source), 6)::double AS confidence FROM c"""
+
+
+@query(_AFTER)
+def dispatch_after_change(spark, sf_dir):
+    """Dispatch kept up after a change of every tenth class, compared with dispatch worked out anew."""
+    n, e, changed = _after_change(spark, sf_dir)
+    known = inference.dispatch(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return upkeep.dispatch_after(known, n, edges(spark, sf_dir), e, changed)
