@@ -190,6 +190,14 @@ def capped(nodes: DataFrame, edges: DataFrame, most_nodes: int = 5000, most_edge
     return kept, with_both_ends(edges, kept).orderBy("id").limit(most_edges)
 
 
+def cap_meta(nodes: DataFrame, edges: DataFrame, kept_nodes: DataFrame, kept_edges: DataFrame) -> DataFrame:
+    """truncated, total_nodes, total_edges, returned_nodes, returned_edges, reason of what `capped` kept: one row."""
+    n = lambda rows, name: F.broadcast(rows.agg(F.count(F.lit(1)).alias(name)))  # noqa: E731 - one row
+    out = n(nodes, "total_nodes").crossJoin(n(edges, "total_edges")).crossJoin(n(kept_nodes, "returned_nodes")).crossJoin(n(kept_edges, "returned_edges"))
+    truncated = (F.col("returned_nodes") < F.col("total_nodes")) | (F.col("returned_edges") < F.col("total_edges"))
+    return out.select(truncated.alias("truncated"), *out.columns, F.when(truncated, "GRAPH_TOO_LARGE").alias("reason"))
+
+
 def file_slice(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     """id, kind: a file's nodes and the edges that touch one; an edge within the file comes twice, once for each end."""
     own = nodes.where(F.col("file_path") == path).select("id")

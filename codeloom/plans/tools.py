@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.scalars import keywords, redacted_lines
 from codeloom.operators.shaping import enclosing_symbol, related_symbols
 from codeloom.operators.traversal import affected_routes, impact, override_counterparts, owner_of, reachable_symbols, resolve
+from codeloom.plans.staging import staged
 from codeloom.sources.text_tables import compiler_errors, file_scores, line_range, lines, stack_frames
 
 #: Endings of tests' names, edges by which a test refers to code, and types that hold members.
@@ -60,6 +61,26 @@ def verified_change(nodes: DataFrame, edges: DataFrame, files: list[str], depth:
     return own.select(F.lit("changed").alias("kind"), "id", F.lit(0).alias("depth")).unionAll(near.select(F.lit("dependent"), "id", "depth")).unionAll(routes.select(F.lit("route"), F.col("route").alias("id"), "depth"))
 
 
+def change_report(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 8, most: int = 50, classes: int = 5, tests: int = 15) -> DataFrame:
+    """kind, id, depth: what `verified_change` finds, then the tests of the first changed types (test), and what to look out for (risk): routes
+    that reach the change, an interface in it, and types without a test."""
+    found = staged(verified_change(nodes, edges, files, depth, most))
+    own = nodes.join(found.where("kind = 'changed'").select("id"), "id", "left_semi").where(F.col("type").isin(*CLASS_LIKE)).select("id", "type", "full_name")
+    first = own.orderBy("full_name", "id").limit(classes).collect()  # `classes` rows
+    near = None
+    for r in first:
+        of = related_tests(nodes, edges, r["id"], 10).select("id")
+        near = of if near is None else near.unionAll(of)
+    named = (near.distinct().orderBy("id").limit(tests) if near is not None else found.select("id").limit(0)).select(F.lit("test").alias("kind"), "id", F.lit(0).alias("depth"))
+    named = staged(named)
+    n_routes, n_tests = found.where("kind = 'route'").count(), named.count()
+    risks = [f"{n_routes} routes can reach the changed symbols"] if n_routes else []
+    risks += ["an interface changed: every implementation is affected"] if any(r["type"] == "Interface" for r in first) else []
+    risks += ["no related test was found"] if not n_tests and not found.where("kind = 'changed'").isEmpty() else []
+    told = nodes.sparkSession.createDataFrame([("risk", r, 0) for r in risks], "kind string, id string, depth int")
+    return found.unionAll(named).unionAll(told)
+
+
 def impact_with_counterparts(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 2, most: int = 100) -> DataFrame:
     """id, depth: dependents of a symbol and of the methods that override it or that it overrides, each at its least depth."""
     other = override_counterparts(nodes, edges).where(F.col("id") == target).select(F.col("counterpart").alias("id")).distinct().orderBy("id").limit(most)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import addresses, scalars
-from codeloom.operators import flows, inference, text_index, upkeep
+from codeloom.operators import flows, inference, shaping, text_index, upkeep
 from codeloom.plans import tools
-from codeloom.queries import METHOD, _event_sides, query
+from codeloom.queries import METHOD, _event_sides, _levels, query
 from codeloom.sources import text_tables
 from codeloom.sources.graph_tables import edges, nodes, table
 from codeloom.streaming import throttle
@@ -261,3 +261,31 @@ def dispatch_after_change(spark, sf_dir):
     n, e, changed = _after_change(spark, sf_dir)
     known = inference.dispatch(nodes(spark, sf_dir), edges(spark, sf_dir))
     return upkeep.dispatch_after(known, n, edges(spark, sf_dir), e, changed)
+
+
+# Reports
+
+
+@query("""WITH k AS (SELECT n.id FROM nodes n LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) d USING (id)
+  ORDER BY CASE type WHEN 'Package' THEN 90 WHEN 'File' THEN 80 WHEN 'Class' THEN 70 WHEN 'Interface' THEN 70 WHEN 'DBModel' THEN 65 WHEN 'APIEndpoint' THEN 60 ELSE 40 END DESC, coalesce(degree, 0) DESC, n.id LIMIT 300)
+SELECT true AS truncated, (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, 300::bigint AS returned_nodes,
+  least(100, (SELECT count(*) FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)))::bigint AS returned_edges, 'GRAPH_TOO_LARGE' AS reason""")
+def capped_meta(spark, sf_dir):
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    return shaping.cap_meta(n, e, *shaping.capped(n, e, 300, 100))
+
+
+_CHANGED = "SELECT id FROM nodes WHERE file_path = (SELECT file_path FROM nodes WHERE id = 'cls.5') AND type <> 'File'"
+
+
+@query(_levels(8, f"SELECT * FROM ({_CHANGED} ORDER BY full_name, id LIMIT 50)", "target", "source", "'CALLS','STEP_IN_FLOW','EXTENDS','IMPLEMENTS','INJECTS','IMPORTS'") + """,
+r AS (SELECT count(DISTINCT target) AS n FROM edges JOIN s8 ON s8.id = source WHERE type = 'HANDLES_ROUTE')
+SELECT kind, count(*) AS n, NULL::varchar AS risk FROM (SELECT CASE depth WHEN 0 THEN 'changed' ELSE 'dependent' END AS kind FROM (SELECT * FROM s8 ORDER BY depth, id LIMIT 500)) GROUP BY 1
+UNION ALL SELECT 'route', least(n, 50), NULL FROM r WHERE n > 0 UNION ALL SELECT 'risk', 1, least(n, 50) || ' routes can reach the changed symbols' FROM r WHERE n > 0
+UNION ALL SELECT 'risk', 1, unnest(['an interface changed: every implementation is affected', 'no related test was found'])""")
+def change_report(spark, sf_dir):
+    """The report on a change of one interface's file, summed by kind."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    found = tools.change_report(n, e, [n.where("id = 'cls.5'").first()["file_path"]])
+    risk = F.when(F.col("kind") == "risk", F.col("id"))
+    return found.groupBy("kind", risk.alias("risk")).agg(F.count(F.lit(1)).alias("n")).select("kind", "n", "risk")

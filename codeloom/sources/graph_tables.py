@@ -44,11 +44,16 @@ def n_classes(spark: SparkSession, sf_dir: str) -> int:
 
 
 def stored(spark: SparkSession, sf_dir: str, label: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """make(spark, sf_dir), written once a session by type and read from there until a source table is written anew."""
+    """make(spark, sf_dir), written once a session by type and read from there until a file of a source table is another one."""
 
-    def written(name: str) -> int:
+    def written(name: str) -> tuple:
+        """Names, lengths and times of a table's files."""
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+        files, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(out))
 
     key = (spark.sparkContext.applicationId, sf_dir, label, *map(written, SOURCES))
     if key not in _STORED:
