@@ -82,3 +82,51 @@ def test_frames_of_a_trace_are_found_in_the_graph(spark):
     nodes = spark.createDataFrame([("1", "Method", "m", "a.B.m(x.Y)"), ("2", "Class", "B", "a.B"), ("3", "Method", "k", "a.B.k()")], "id string, type string, name string, full_name string")
     traces = spark.createDataFrame([(1, "boom\n at a.B.m(B.java:3)\n at no.Such.m(C.java:1)"), (2, None)], "key int, text string")
     assert [(r.key, r.cause, r.id) for r in tools.explained_failures(nodes, traces, "key").collect()] == [(1, 0, "1")]
+
+
+def test_reports_on_changes_name_tests_and_risks(spark):
+    n, e = graph(
+        spark, [("A", "Interface"), ("A.x()", "Method"), ("ATest", "Class"), ("c()", "Method"), ("GET /r", "APIEndpoint")],
+        [("c()", "CALLS", "A.x()"), ("c()", "HANDLES_ROUTE", "GET /r"), ("ATest", "TYPE_OF", "A")],
+    )
+    got = {(r.kind, r.id) for r in tools.change_report(n, e, ["/f/A"]).collect()}
+    assert {("test", "ATest"), ("dependent", "c()"), ("route", "GET /r")} <= got
+    assert {i for k, i in got if k == "risk"} == {"1 routes can reach the changed symbols", "an interface changed: every implementation is affected"}
+    assert tools.change_report(n, e, ["/none"]).count() == 0
+
+
+def test_meta_of_a_cap_tells_what_is_left_out(spark):
+    from codeloom.operators import shaping
+
+    n, e = graph(spark, [("a", "Class"), ("b", "Class"), ("c", "Method")], [("a", "CALLS", "b"), ("b", "CALLS", "c")])
+    whole = shaping.cap_meta(n, e, *shaping.capped(n, e, 9, 9)).first()
+    assert (whole.truncated, whole.returned_nodes, whole.reason) == (False, 3, None)
+    part = shaping.cap_meta(n, e, *shaping.capped(n, e, 2, 9)).first()
+    assert (part.truncated, part.total_nodes, part.returned_nodes, part.returned_edges, part.reason) == (True, 3, 2, 1, "GRAPH_TOO_LARGE")
+
+
+def test_cycles_and_pruning_take_whole_tables(spark):
+    import random
+
+    from codeloom.operators import tasks
+
+    rng = random.Random(2)
+    dep = {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(60)}
+    links = {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(80)}
+
+    def reaches(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            new = {y for s, y in dep if s == x} - seen
+            seen |= new
+            todo += new
+        return b in seen
+
+    d = spark.createDataFrame(sorted(dep), "task long, needs long")
+    got = {(r.task, r.needs): r.cycle for r in tasks.would_cycle(d, spark.createDataFrame(sorted(links), "task long, needs long")).collect()}
+    assert got == {(t, n): reaches(n, t) for t, n in links}
+    assert tasks.would_cycle(d, spark.createDataFrame([], "task long, needs long")).count() == 0
+    chain = spark.range(13).selectExpr("id", "'COMPLETED' status")
+    gone = tasks.pruned(chain, spark.range(12).selectExpr("id task", "id + 1 needs"))
+    assert sorted((r.id, r["round"]) for r in gone.collect()) == [(k, k + 1) for k in range(13)]
