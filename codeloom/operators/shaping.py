@@ -244,6 +244,12 @@ def class_context(nodes: DataFrame, edges: DataFrame, class_id: str, cap: int =
     return all_.where(F.col("rank") <= cap).select("kind", "id", "rank", "total")
 
 
+def truncations(context: DataFrame) -> DataFrame:
+    """kind, shown, total of the kinds of a `class_context` of which the cap hides some."""
+    g = context.groupBy("kind").agg(F.count(F.lit(1)).alias("shown"), F.max("total").alias("total"))
+    return g.where("shown < total")
+
+
 def method_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and counts by kind of relation of each method that has one: calls, reads, writes, type_links, flow_steps, catches."""
     kind = F.when(F.col("type") == "CALLS", "calls").when(F.col("type") == "READS", "reads").when(F.col("type") == "WRITES", "writes")

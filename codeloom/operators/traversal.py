@@ -164,6 +164,13 @@ def resolve(nodes: DataFrame, query: str, types: list[str] | None = None) -> Dat
     return found.crossJoin(F.broadcast(count)).select("id", "full_name", F.when(F.col("n") == 1, "UNIQUE").otherwise("AMBIGUOUS").alias("status"))
 
 
+def resolution(nodes: DataFrame, query: str, types: list[str] | None = None) -> DataFrame:
+    """query, status, n, id: one row on what a name means: UNIQUE with its id, AMBIGUOUS or NOT_FOUND; n counts the candidates."""
+    found = resolve(nodes, query, types).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    status = F.when(F.col("n") == 0, "NOT_FOUND").when(F.col("n") == 1, "UNIQUE").otherwise("AMBIGUOUS")
+    return found.select(F.lit(query).alias("query"), status.alias("status"), "n", F.when(F.col("n") == 1, F.col("id")).alias("id"))
+
+
 def trace_endpoint(edges: DataFrame, route: str, depth: int = 10, most: int = 100) -> DataFrame:
     """id, depth, parent, line_number: calls below a route's handler in breadth-first order, siblings by line, then id.
 

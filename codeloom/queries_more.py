@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import addresses, scalars
-from codeloom.operators import flows, inference, shaping, text_index, upkeep
+from codeloom.operators import flows, inference, shaping, text_index, traversal, upkeep
 from codeloom.plans import tools
 from codeloom.queries import METHOD, _event_sides, _levels, query
 from codeloom.sources import text_tables
@@ -289,3 +289,17 @@ def change_report(spark, sf_dir):
     found = tools.change_report(n, e, [n.where("id = 'cls.5'").first()["file_path"]])
     risk = F.when(F.col("kind") == "risk", F.col("id"))
     return found.groupBy("kind", risk.alias("risk")).agg(F.count(F.lit(1)).alias("n")).select("kind", "n", "risk")
+
+
+@query("""WITH q AS (SELECT unnest(['cls.3.m1()', 'm3', 'no such name']) AS query), m AS (SELECT query, id FROM q JOIN nodes ON id = query UNION ALL
+  SELECT query, id FROM q JOIN nodes ON name = query OR ends_with(full_name, query) OR ends_with(split_part(full_name, '(', 1), '.' || query) WHERE query NOT IN (SELECT id FROM nodes))
+SELECT query, CASE count(DISTINCT id) WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS status, count(DISTINCT id) AS n, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM q LEFT JOIN m USING (query) GROUP BY 1""")
+def resolutions(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return traversal.resolution(n, "cls.3.m1()").unionAll(traversal.resolution(n, "m3")).unionAll(traversal.resolution(n, "no such name"))
+
+
+@query("""WITH k AS (SELECT kind, count(*) AS total FROM (SELECT DISTINCT 'out:' || type AS kind, target AS id FROM edges WHERE source = 'cls.5' AND type <> 'CONTAINS' UNION SELECT 'in:' || type, source FROM edges WHERE target = 'cls.5' AND type <> 'CONTAINS') GROUP BY 1)
+SELECT kind, 4::bigint AS shown, total FROM k WHERE total > 4""")
+def context_truncations(spark, sf_dir):
+    return shaping.truncations(shaping.class_context(nodes(spark, sf_dir), edges(spark, sf_dir), "cls.5", 4))

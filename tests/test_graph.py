@@ -174,3 +174,14 @@ def test_evaluation_of_equal_sets_is_perfect(spark):
     r = inference.evaluation(a, a).first()
     assert (r.tp, r.fp, r.fn, r.f1) == (2, 0, 0, 1.0)
     assert inference.evaluation(a.limit(0), a).agg(F.max("recall")).first()[0] == 0.0
+
+
+def test_what_a_name_means_in_one_row(spark):
+    n, _ = graph(spark, [("a.x()", "Method"), ("b.x()", "Method"), ("c", "Class")], [("c", "CALLS", "c")])
+    got = [tuple(traversal.resolution(n, q).first()) for q in ("c", "x()", "none")]
+    assert got == [("c", "UNIQUE", 1, "c"), ("x()", "AMBIGUOUS", 2, None), ("none", "NOT_FOUND", 0, None)]
+
+
+def test_kinds_that_a_cap_hides_are_told(spark):
+    n, e = graph(spark, [(x, "Class") for x in "abcd"], [("a", "CALLS", "b"), ("a", "CALLS", "c"), ("a", "CALLS", "d"), ("b", "CALLS", "a")])
+    assert [tuple(r) for r in shaping.truncations(shaping.class_context(n, e, "a", 2)).collect()] == [("out:CALLS", 2, 3)]
