@@ -951,3 +951,11 @@ def test_digests_of_odd_rows(spark):
     assert alone.near_next == 1 and alone.edited_sha256 == hashlib.sha256(b"abcd efab").hexdigest()
     assert fingerprints.compare_with_next(documents(spark, [])).count() == 0
     assert {r.fingerprint for r in fingerprints.fingerprints(documents(spark, [(1, "same"), (2, "same")])).collect()} == {fingerprints.fingerprint("same")}
+
+
+def test_columns_with_the_names_of_steps_change_nothing(spark):
+    """Columns that operators make on their way, as columns of the documents."""
+    docs = documents(spark, [(i, words(random.Random(i), 30), "en", "s") for i in range(12)])
+    named = docs.withColumns({c: F.lit("mine") for c in ("part", "edge", "q", "block", "u", "own", "at", "rank", "a", "l", "r", "word", "words_", "gram", "component_id", "fingerprint")})
+    for run in (fingerprints.compare_with_next, lambda d: packing.pack_documents(d, VOCABULARY), lambda d: jaccard_join.join(d, k=4, pct=85), quality_rules.apply_rules):
+        assert sorted(map(str, run(docs).collect())) == sorted(map(str, run(named).collect()))
