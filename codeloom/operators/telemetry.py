@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scalars import PRIVATE_ADDRESS, period_label
+from codeloom.plans.staging import staged
 
 PERIODS = ("day", "month", "quarter", "year")
 
@@ -41,6 +42,17 @@ def network_breakdown(events: DataFrame, since: Column, addresses: DataFrame, he
     return e.groupBy("ip_address", "user_id", "api_key_ref").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def network_alerts(events: DataFrame, since: Column, users: DataFrame, limit: int) -> DataFrame:
+    """ip_address, total_requests, user_id, api_key_ref, requests, email: the busiest public addresses with who asked from them.
+
+    users: id, email. A user that is not known, and requests without one, have no email.
+    """
+    top = staged(suspicious_networks(events, since, limit))
+    rows = network_breakdown(events, since, top).join(F.broadcast(top.select("ip_address", "total_requests")), "ip_address")  # `limit` rows
+    known = users.select(F.col("id").alias("user_id"), "email")
+    return rows.join(known, "user_id", "left").select("ip_address", "total_requests", "user_id", "api_key_ref", "requests", "email")
+
+
 def security_summary(events: DataFrame, since: Column) -> DataFrame:
     return events.where(F.col("created_at") >= since).groupBy("event_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_at"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import addresses, scalars
-from codeloom.operators import flows, inference, shaping, text_index, traversal, upkeep
+from codeloom.operators import flows, inference, shaping, telemetry, text_index, traversal, upkeep
 from codeloom.plans import tools
-from codeloom.queries import METHOD, _event_sides, _levels, query
+from codeloom.queries import _REQ, METHOD, SINCE, _event_sides, _levels, _since, query, request_events
 from codeloom.sources import text_tables
 from codeloom.sources.graph_tables import edges, nodes, table
 from codeloom.streaming import throttle
@@ -303,3 +303,12 @@ def resolutions(spark, sf_dir):
 SELECT kind, 4::bigint AS shown, total FROM k WHERE total > 4""")
 def context_truncations(spark, sf_dir):
     return shaping.truncations(shaping.class_context(nodes(spark, sf_dir), edges(spark, sf_dir), "cls.5", 4))
+
+
+@query(_REQ + f""", n AS (SELECT ip_address, count(*) AS total_requests FROM re WHERE occurred_at >= '{SINCE}' AND ip_address <> 'unknown' AND route <> '/actuator/health' AND NOT regexp_matches(ip_address, '^(127[.]|10[.]|192[.]168[.])')
+  GROUP BY 1 ORDER BY total_requests DESC, ip_address LIMIT 20)
+SELECT re.ip_address, total_requests, user_id, api_key_ref, count(*) AS requests, c_name AS email FROM re JOIN n USING (ip_address) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = user_id
+WHERE occurred_at >= '{SINCE}' AND route <> '/actuator/health' GROUP BY ALL""", graph=False)
+def network_alerts(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"))
+    return telemetry.network_alerts(request_events(spark, sf_dir), _since(), users, 20)

@@ -155,3 +155,18 @@ def test_staged_tables_keep_their_columns(spark):
     df = spark.createDataFrame([(1, "x", 2)], "b int, type string, a int")
     assert staged(df, "type").columns == df.columns and rows(staged(df, "type")) == [(1, "x", 2)]
     assert rows(staged(df.limit(0))) == []
+
+
+def test_alerts_name_the_users_of_busy_networks(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from codeloom.operators import telemetry
+
+    t = dt.datetime(2024, 1, 2)
+    rows_ = [("203.0.113.1", 1, "k", "/a", t)] * 3 + [("203.0.113.1", None, None, "/a", t), ("203.0.113.1", 9, None, "/a", t), ("10.0.0.1", 1, None, "/a", t), ("203.0.113.2", 1, None, "/a", t), ("203.0.113.1", 1, "k", "/a", t - dt.timedelta(days=9))]
+    e = spark.createDataFrame(rows_, "ip_address string, user_id int, api_key_ref string, route string, occurred_at timestamp")
+    users = spark.createDataFrame([(1, "a@x")], "id int, email string")
+    got = telemetry.network_alerts(e, F.lit(dt.datetime(2024, 1, 1)), users, 1).collect()
+    assert {(r.ip_address, r.total_requests, r.user_id, r.api_key_ref, r.requests, r.email) for r in got} == {("203.0.113.1", 5, 1, "k", 3, "a@x"), ("203.0.113.1", 5, None, None, 1, None), ("203.0.113.1", 5, 9, None, 1, None)}
