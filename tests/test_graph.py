@@ -100,6 +100,25 @@ def test_dispatch_needs_classes(spark):
     assert [(r.source, r.target, r.type, r.confidence) for r in inference.dispatch(n, e).collect()] == [("I.m()", "A.m()", "RESOLVES_TO", 1.0)]
 
 
+def test_triggers_stream_by_and_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    side = lambda k: [(rng.randrange(40), f"e{rng.randrange(k)}") for _ in range(500)] + [(None, "e1"), (3, None)]
+    monkeypatch.setattr(inference, "BLOCK", 3)
+    for most in (1024, 10):  # by bits, and grouped where there are too many events
+        monkeypatch.setattr(inference, "BIT_EVENTS", most)
+        p, q = side(150), side(150)
+        got = inference.triggers(*[spark.createDataFrame(x, "id long, event string") for x in (p, q)])
+        want = {}
+        for a, e in p:
+            for b, f in q:
+                if a is not None and b is not None and e is not None and e == f and a != b:
+                    want[a, b] = min(e, want.get((a, b), e))
+        assert sorted((r.source, r.target, r.event) for r in got.collect()) == sorted((a, b, e) for (a, b), e in want.items())
+        assert ("hashpartitioning(source" in got._jdf.queryExecution().executedPlan().toString()) == (most == 10)  # pairs aren't shuffled
+
+
 def test_triggers_keep_one_event_a_pair_and_no_loops(spark):
     side = lambda rows: spark.createDataFrame(rows, "id string, event string")
     got = inference.triggers(side([("p", "e2"), ("p", "e1"), ("q", "e1")]), side([("l", "e1"), ("l", "e2"), ("p", "e1")])).collect()
