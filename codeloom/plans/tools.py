@@ -53,18 +53,18 @@ def related_tests(nodes: DataFrame, edges: DataFrame, target: str, cap: int = 50
     return top.select("id", F.when(F.col("rank") == 0, "GRAPH_REFERENCE").otherwise("NAMING_CONVENTION").alias("match_type"), F.when(F.col("rank") == 0, "HIGH").otherwise("MEDIUM").alias("confidence"), "total")
 
 
-def verified_change(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 2, most: int = 50) -> DataFrame:
-    """kind, id, depth: the symbols of changed files, what depends on them, and the routes that reach them."""
+def verified_change(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 2, most: int = 50, most_routes: int | None = None) -> DataFrame:
+    """kind, id, depth: the symbols of changed files, what depends on them, and the routes that reach them, all unless most_routes says how many."""
     own = nodes.where(F.col("file_path").isin(files) & (F.col("type") != "File")).orderBy("full_name", "id").limit(most).select("id")
     near = reachable_symbols(edges, own, depth, 10 * most).where("depth > 0")
-    routes = affected_routes(edges, own, depth, most)
+    routes = affected_routes(edges, own, depth, most_routes)
     return own.select(F.lit("changed").alias("kind"), "id", F.lit(0).alias("depth")).unionAll(near.select(F.lit("dependent"), "id", "depth")).unionAll(routes.select(F.lit("route"), F.col("route").alias("id"), "depth"))
 
 
 def change_report(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 8, most: int = 50, classes: int = 5, tests: int = 15) -> DataFrame:
     """kind, id, depth: what `verified_change` finds, then the tests of the first changed types (test), and what to look out for (risk): routes
     that reach the change, an interface in it, and types without a test."""
-    found = staged(verified_change(nodes, edges, files, depth, most))
+    found = staged(verified_change(nodes, edges, files, depth, most, most))
     own = nodes.join(found.where("kind = 'changed'").select("id"), "id", "left_semi").where(F.col("type").isin(*CLASS_LIKE)).select("id", "type", "full_name")
     first = own.orderBy("full_name", "id").limit(classes).collect()  # `classes` rows
     near = None

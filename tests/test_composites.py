@@ -48,6 +48,14 @@ def test_tests_that_refer_come_before_those_that_are_named_alike(spark):
     assert [r.id for r in tools.related_tests(n, e, "A").collect()] == ["DTest", "AITCase"]  # members of nested types count, names that begin alike don't
 
 
+def test_a_change_tells_all_routes_that_reach_it(spark):
+    routes = [f"GET /{k}" for k in range(60)]
+    n, e = graph(spark, [("a.x()", "Method"), ("b.y()", "Method")], [("b.y()", "CALLS", "a.x()"), *[("b.y()", "HANDLES_ROUTE", r) for r in routes]])
+    got = [r.id for r in tools.verified_change(n, e, ["/f/a"]).collect() if r.kind == "route"]
+    assert sorted(got) == sorted(routes)
+    assert tools.verified_change(n, e, ["/f/a"], most_routes=7).where("kind = 'route'").count() == 7
+
+
 def test_changes_errors_and_plans(spark):
     n, e = graph(spark, [("a.x()", "Method"), ("b.y()", "Method")], [("b.y()", "CALLS", "a.x()"), ("b.y()", "HANDLES_ROUTE", "GET /r")])
     assert {(r.kind, r.id) for r in tools.verified_change(n, e, ["/f/a"]).collect()} == {("changed", "a.x()"), ("dependent", "b.y()"), ("route", "GET /r")}
