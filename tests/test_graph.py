@@ -204,3 +204,44 @@ def test_what_a_name_means_in_one_row(spark):
 def test_kinds_that_a_cap_hides_are_told(spark):
     n, e = graph(spark, [(x, "Class") for x in "abcd"], [("a", "CALLS", "b"), ("a", "CALLS", "c"), ("a", "CALLS", "d"), ("b", "CALLS", "a")])
     assert [tuple(r) for r in shaping.truncations(shaping.class_context(n, e, "a", 2)).collect()] == [("out:CALLS", 2, 3)]
+
+
+def test_links_that_close_cycles_equal_a_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    for cyclic in (False, True):
+        deps = {(max(a, b), min(a, b)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if a != b} | ({(3, 40), (9, 9)} if cyclic else set())
+        links = {(rng.randrange(70), rng.randrange(70)) for _ in range(200)}
+
+        def reached(at):
+            seen, left = {at}, [at]
+            while left:
+                x = left.pop()
+                new = {b for a, b in deps if a == x} - seen
+                seen |= new
+                left += new
+            return seen
+
+        d, l = spark.createDataFrame(sorted(deps), "task long, needs long"), spark.createDataFrame(sorted(links), "task long, needs long")
+        got = {(r.task, r.needs): r.cycle for r in tasks.would_cycle(d, l).collect()}
+        assert got == {(t, n): t in reached(n) for t, n in links}
+
+
+def test_ranks_rise_along_steps_and_leave_cycles_out(spark):
+    n = spark.createDataFrame([(k,) for k in "abcdxy"], "id string")
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("y", "d")], "source string, target string")
+    assert {(r.id, r["rank"]) for r in tasks.ranks(n, e).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
+def test_the_stored_graph_is_written_without_a_sort(spark):
+    from codeloom.plans.staging import OPEN_FOLDERS, staged
+    from codeloom.sources.graph_tables import edges
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    rows = spark.range(3000).select("id", F.concat(F.lit("t"), F.col("id") % 50).alias("type"))  # more folders than are open at once
+    assert OPEN_FOLDERS < 50 and {tuple(r) for r in staged(rows, "type").collect()} == {tuple(r) for r in rows.collect()} and spark.conf.get(name) == before
+    e = edges(spark, "/root/testdata/sf0.001")
+    assert all("id=" not in f and "seq" not in spark.read.parquet(f).columns for f in e.inputFiles()[:3])  # made where they are read
+    assert e.where("id <> sha2(concat_ws('|', source, type, target), 256)").isEmpty() and e.columns[0] == "id"
