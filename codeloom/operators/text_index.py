@@ -70,16 +70,15 @@ def _by_score():
 def build(texts: DataFrame) -> Index:
     """The index of texts (id, text). Rows with a null id are left out; the texts of one id count as one."""
     each = texts.where("id is not null").select("id", terms_of(F.col("text")).alias("terms"))
-    each = each.groupBy("id").agg(F.flatten(F.collect_list("terms")).alias("terms")) if _repeats(texts) else each
+    ids = texts.where("id is not null").groupBy("id").count().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
+    each = each.groupBy("id").agg(F.flatten(F.collect_list("terms")).alias("terms")) if ids["most"] > 1 else each
     sized = each.select("id", "terms", F.size("terms").alias("length"))
-    counts = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
     rows = staged(sized.select("id", "length", F.explode("terms").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    total = rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).first()["total"]  # of texts read once
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = staged(df.select(F.substring("term", 1, 1).alias("first"), "term", "df"), "first")
-    salted = rows.join(terms.select("term", "df"), "term").withColumn("bucket", bucket_of(F.col("term")))
-    dealt = salted.repartition("bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / PER_TASK))).sortWithinPartitions("bucket", "term").select("bucket", "term", "id", "tf", "length")
-    return Index(staged(dealt, "bucket"), terms, counts["n"], counts["mean"])
-
-
-def _repeats(texts: DataFrame) -> bool:
-    return not texts.groupBy("id").count().where("count > 1 and id is not null").isEmpty()
+    wide = terms.where(F.col("df") > PER_TASK).select("term", "df")  # a row for each PER_TASK rows at most
+    salted = rows.join(F.broadcast(wide), "term", "left").withColumn("bucket", bucket_of(F.col("term")))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("df", F.lit(1)) / PER_TASK))
+    dealt = salted.repartition("bucket", part).sortWithinPartitions("bucket", "term").select("bucket", "term", "id", "tf", "length")
+    return Index(staged(dealt, "bucket"), terms, ids["n"], total / max(ids["n"], 1))
