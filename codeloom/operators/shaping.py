@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.traversal import reach
+from codeloom.plans.staging import held
 
 #: Node and edge types of the vocabulary.
 NODE_TYPES = ("Project", "Package", "File", "Class", "Interface", "Enum", "Record", "DBModel", "Method", "Constructor", "Field", "Annotation", "LocalVariable", "Route", "APIEndpoint", "External")
@@ -45,7 +46,7 @@ def parse_types(text: str, known: tuple[str, ...]) -> list[str]:
 
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are among the nodes; dangling ones go."""
-    ids = nodes.select("id").distinct()
+    ids = held(nodes.select("id"), "id")
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import inference, mutations, shaping, tasks, traversal
+from codeloom.plans import staging
 
 
 def graph(spark, nodes, edges):
@@ -245,3 +246,18 @@ def test_the_stored_graph_is_written_without_a_sort(spark):
     e = edges(spark, "/root/testdata/sf0.001")
     assert all("id=" not in f and "seq" not in spark.read.parquet(f).columns for f in e.inputFiles()[:3])  # made where they are read
     assert e.where("id <> sha2(concat_ws('|', source, type, target), 256)").isEmpty() and e.columns[0] == "id"
+
+
+def test_ends_are_looked_up_without_sorting_the_edges(spark, monkeypatch):
+    ids = [f"n{k:02}" for k in range(40)]
+    n, e = graph(spark, [(i, "Method") for i in ids], [(i, t, j) for i in [*ids, "gone"] for t in ("CALLS", "READS", "WRITES") for j in (ids[3], ids[31], "lost")])
+    monkeypatch.setattr(staging, "FEW", 10)
+    monkeypatch.setattr(staging, "PER_TASK", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = shaping.edges_by_type(n, e, "calls, reads")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and found.rdd.getNumPartitions() >= 8
+        assert {r.id for r in found.collect()} == {f"{i}|{t}|{j}" for i in ids for t in ("CALLS", "READS") for j in (ids[3], ids[31])}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
