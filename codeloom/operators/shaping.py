@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.traversal import reach
-from codeloom.plans.staging import held
+from codeloom.plans.staging import dealt, held
 
 #: Node and edge types of the vocabulary.
 NODE_TYPES = ("Project", "Package", "File", "Class", "Interface", "Enum", "Record", "DBModel", "Method", "Constructor", "Field", "Annotation", "LocalVariable", "Route", "APIEndpoint", "External")
@@ -116,12 +116,15 @@ def aggregated(rows: DataFrame, first: int = 10) -> DataFrame:
 
 
 def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """source, type, target, weight, n_edges among files: both ends of a dependency mapped to their file; edges within a file go."""
+    """source, type, target, weight, n_edges among files: both ends of a dependency mapped to their file; edges within a file go.
+
+    Nearly every pair of files is one of its own, so edges are dealt by it before anything is summed.
+    """
     edges = edges.where(F.col("type").isin(*FILE_DEPENDENCIES))
-    file = nodes.where(F.col("file_path").isNotNull() & F.col("type").isin(*ARCHITECTURE_NODES)).select("id", "file_path")
+    file = held(nodes.where(F.col("file_path").isNotNull() & F.col("type").isin(*ARCHITECTURE_NODES)).select("id", "file_path"), "id")
     e = edges.join(file.select(F.col("id").alias("source"), F.col("file_path").alias("s")), "source").join(file.select(F.col("id").alias("target"), F.col("file_path").alias("t")), "target")
-    e = e.where("s <> t").groupBy(F.col("s").alias("source"), "type", F.col("t").alias("target"))
-    return e.agg(F.sum(F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1))).alias("weight"), F.count(F.lit(1)).alias("n_edges"))
+    pairs = e.where("s <> t").select(F.col("s").alias("source"), "type", F.col("t").alias("target"), "weight")
+    return dealt(pairs, edges.count(), "source", "type", "target").groupBy("source", "type", "target").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1))).alias("weight"), F.count(F.lit(1)).alias("n_edges"))
 
 
 def visible(nodes: DataFrame, edges: DataFrame, hidden_nodes: tuple[str, ...], hidden_edges: tuple[str, ...], drop_isolated: bool = True) -> tuple[DataFrame, DataFrame]:

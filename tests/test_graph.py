@@ -261,3 +261,13 @@ def test_ends_are_looked_up_without_sorting_the_edges(spark, monkeypatch):
         assert {r.id for r in found.collect()} == {f"{i}|{t}|{j}" for i in ids for t in ("CALLS", "READS") for j in (ids[3], ids[31])}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_file_pairs_are_summed_in_parts_by_the_number_of_edges(spark, monkeypatch):
+    ids = [f"f{k:02}.m" for k in range(20)]
+    n, e = graph(spark, [(i, "Method") for i in ids], [(i, "CALLS", j) for i in ids for j in [*ids[:5], "lost.m"]])
+    monkeypatch.setattr(staging, "FEW", 10)
+    monkeypatch.setattr(staging, "PER_TASK", 10)
+    found = shaping.file_dependencies(n, e)
+    assert found.rdd.getNumPartitions() == 12
+    assert {(r.source, r.target, r.weight, r.n_edges) for r in found.collect()} == {(f"/f/{i[:3]}", f"/f/{j[:3]}", 1, 1) for i in ids for j in ids[:5] if i != j}
