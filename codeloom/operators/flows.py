@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scalars import humanised
 from codeloom.operators.traversal import COMPACT, closure, owner_of
-from codeloom.plans.staging import staged
+from codeloom.plans.staging import FEW, dealt, held, staged
 
 #: Edges of calls, edges between a method and what implements it (both ways), edges to the model.
 CALL_EDGES, RESOLVE_EDGES, MODEL_EDGES = ("CALLS",), ("IMPLEMENTS", "OVERRIDES"), ("RETURNS", "READS", "WRITES", "PARAMETER_TYPE")
@@ -20,7 +20,7 @@ MAX_STEPS = 200
 
 def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """flow, id, method, path: routes with the methods that handle them; the name of a route without a verb is its path."""
-    methods = nodes.where(F.col("type").isin("Method", "Constructor")).select(F.col("id").alias("handler"))
+    methods = held(nodes.where(F.col("type").isin("Method", "Constructor")).select(F.col("id").alias("handler")), "handler")
     handled = edges.where("type = 'HANDLES_ROUTE'").select(F.col("source").alias("handler"), F.col("target").alias("route")).join(methods, "handler", "left_semi")
     named = handled.groupBy("route").agg(F.max("handler").alias("id")).join(nodes.select(F.col("id").alias("route"), "full_name"), "route")
     verb = F.regexp_extract("full_name", r"^([A-Za-z]+)\s", 1)
@@ -43,23 +43,26 @@ def is_repository(nodes: DataFrame) -> DataFrame:
 
 
 def flow_edges(edges: DataFrame) -> DataFrame:
-    """parent, next, type: the steps that a flow may take, edges between a method and what implements it in both ways."""
+    """parent, next, type: the steps that a flow may take, edges between a method and what implements it in both ways. A step may come twice."""
     out = edges.where(F.col("type").isin(*CALL_EDGES, *RESOLVE_EDGES, *MODEL_EDGES)).select(F.col("source").alias("parent"), F.col("target").alias("next"), "type")
     back = edges.where(F.col("type").isin(*RESOLVE_EDGES)).select(F.col("target").alias("parent"), F.col("source").alias("next"), "type")
-    return out.unionAll(back).distinct()
+    return out.unionAll(back)
 
 
 def nearest(step: DataFrame, targets: DataFrame, depth: int = MAX_STEPS) -> DataFrame:
     """id, distance, target, type, next: the nearest of targets (id) for every node that reaches one within depth steps.
 
     Of several at one distance the least counts, and of several ways to it the one with the least edge type and next node. One
-    row a node; a round of joins with the steps (parent, next, type) for each distance.
+    row a node; a round of joins with the steps (parent, next, type) for each distance. Steps stream by the nodes of a distance, and
+    those found are dealt by parent, in as many parts as all steps ask for.
     """
+    n = step.count()
     null = F.lit(None).cast("string")
     frontier = known = staged(targets.select("id").distinct().select("id", F.lit(0).alias("distance"), F.col("id").alias("target"), null.alias("type"), null.alias("next")))
     for level in range(1, depth + 1):
         way = F.min(F.struct("target", "type", "next")).alias("w")
-        came = step.join(frontier.select(F.col("id").alias("next"), "target"), "next").groupBy(F.col("parent").alias("id")).agg(way).join(known.select("id"), "id", "left_anti")
+        found = dealt(step.join(held(frontier.select(F.col("id").alias("next"), "target"), "next", n), "next").withColumnRenamed("parent", "id"), n, "id")
+        came = found.groupBy("id").agg(way).join(held(known.select("id"), "id", n), "id", "left_anti")
         frontier = staged(came.select("id", F.lit(level).alias("distance"), "w.target", "w.type", "w.next"))
         if frontier.isEmpty():
             break
@@ -71,8 +74,11 @@ def nearest(step: DataFrame, targets: DataFrame, depth: int = MAX_STEPS) -> Data
 
 def _first(starts: DataFrame, step: DataFrame, labels: DataFrame) -> DataFrame:
     """flow, id, target, type, next, own: the first step of starts (flow, id) to their nearest target; own says that it may be the start itself."""
-    at = labels.select(F.col("id").alias("next"), "distance", "target")
-    each = starts.select("flow", "id").join(step.withColumnRenamed("parent", "id"), "id").join(at, "next").where("next <> id")
+    n_starts, n = starts.count(), step.count()
+    own, step = starts.select("flow", "id"), step.withColumnRenamed("parent", "id")
+    own, step = (F.broadcast(own), step) if n_starts <= FEW else (dealt(own, n, "id"), dealt(step, n, "id"))
+    at = held(labels.select(F.col("id").alias("next"), "distance", "target"), "next", n)
+    each = dealt(own.join(step, "id").join(at, "next").where("next <> id"), max(n, n_starts), "flow", "id")
     best = each.groupBy("flow", "id").agg(F.min(F.struct("distance", "target", "type", "next")).alias("w"), F.bool_or(F.col("target") == F.col("id")).alias("own"))
     return best.select("flow", "id", "w.target", "w.type", "w.next", "own")
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from codeloom.operators import flows
+from codeloom.plans import staging
 from test_graph import graph
 
 
@@ -59,3 +60,21 @@ def test_labels_of_a_long_chain_are_one_row_a_node(spark):
     got = {r.id: (r.distance, r.target, r.next) for r in flows.nearest(step, spark.createDataFrame([(f"k{n:03}",)], "id string")).collect()}
     assert got == {f"k{k:03}": (n - k, f"k{n:03}", f"k{k + 1:03}" if k < n else None) for k in range(n + 1)}
     assert flows.nearest(step, spark.createDataFrame([], "id string")).count() == 0
+
+
+def test_flows_are_dealt_by_the_number_of_steps(spark, monkeypatch):
+    rng = random.Random(7)
+    methods = [f"{o}.m{k}()" for o in ("AService", "ARepository", "B") for k in range(9)]
+    types = {m: "Method" for m in methods} | {f"M{k}": "DBModel" for k in range(3)} | {"AService": "Class", "ARepository": "Class", "B": "Class"}
+    edges = {(rng.choice(methods), rng.choice(["CALLS", "OVERRIDES"]), rng.choice(methods)) for _ in range(40)} | {(methods[k], "READS", f"M{k}") for k in range(3)}
+    n, e = graph(spark, list(types.items()), sorted(edges))
+    starts = n.where("type = 'Method'").selectExpr("id as flow", "id")
+    step, models = flows.flow_edges(e).localCheckpoint(), n.where("type = 'DBModel'").select("id")
+    labels = flows.nearest(step, models)
+    plain, first = set(labels.collect()), set(flows._first(starts, step, labels).collect())
+    monkeypatch.setattr(staging, "PER_TASK", 5)
+    for module in (staging, flows):
+        monkeypatch.setattr(module, "FEW", 0)
+    assert set(flows.nearest(step, models).collect()) == plain
+    dealt = flows._first(starts, step, labels)
+    assert dealt.rdd.getNumPartitions() == -(-step.count() // 5) and set(dealt.collect()) == first
