@@ -85,7 +85,7 @@ def _first(starts: DataFrame, step: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _followed(first: DataFrame, labels: DataFrame) -> DataFrame:
     """flow, step, id, edge_type: the steps after the first, along the labels' pointers."""
-    pointers = labels.where("next is not null").select("id", F.col("type").alias("t"), F.col("next").alias("n"))
+    pointers = held(labels.where("next is not null").select("id", F.col("type").alias("t"), F.col("next").alias("n")), "id", first.count())
     at = staged(first.select("flow", F.lit(2).alias("step"), F.col("next").alias("id"), F.col("type").alias("edge_type")))
     path, rounds = at, 0
     while True:
