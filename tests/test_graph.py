@@ -271,3 +271,21 @@ def test_file_pairs_are_summed_in_parts_by_the_number_of_edges(spark, monkeypatc
     found = shaping.file_dependencies(n, e)
     assert found.rdd.getNumPartitions() == 12
     assert {(r.source, r.target, r.weight, r.n_edges) for r in found.collect()} == {(f"/f/{i[:3]}", f"/f/{j[:3]}", 1, 1) for i in ids for j in ids[:5] if i != j}
+
+
+def test_only_small_frontiers_pass_through_the_driver(spark, monkeypatch):
+    _, e = graph(spark, [], [(f"n{k:02}", "CALLS", f"n{j:02}") for k in range(30) for j in (k // 2, k // 3) if j < k])
+    plans = []
+
+    def noted(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staging.staged(df, *by)
+
+    monkeypatch.setattr(traversal, "staged", noted)
+    seeds = spark.createDataFrame([("n00",)], "id string")
+    few = set(traversal.reach(seeds, e, 5, "in").collect())
+    assert any("BroadcastHashJoin" in p for p in plans)
+    plans.clear()
+    monkeypatch.setattr(staging, "FEW", 0)
+    assert set(traversal.reach(seeds, e, 5, "in").collect()) == few
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
