@@ -141,12 +141,20 @@ def sanitised(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return kept, with_both_ends(edges, kept)
 
 
-def strongest_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """source, target, type: for each unordered pair of nodes that aren't packages the edge of the highest priority, then of the least id."""
+def strongest_edges(nodes: DataFrame, edges: DataFrame, key: Column | None = None) -> DataFrame:
+    """source, target, type: for each unordered pair of nodes that aren't packages the edge of the highest priority, then of the least id.
+
+    An id that follows from source, target and type is handed in as their expression (key): then it is made where a pair's edges
+    meet, and no shuffle carries it.
+    """
     ids = nodes.where("type <> 'Package'").select("id")
-    e = with_both_ends(edges, ids).where("source <> target")
-    best = F.min_by(F.struct("source", "target", "type"), F.struct(-ranked(F.col("type"), EDGE_PRIORITY), F.col("id")))
-    return e.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(best.alias("e")).select("e.source", "e.target", "e.type")
+    own = [] if key is not None else ["id"]
+    e = with_both_ends(edges.select("source", "target", "type", *own), ids).where("source <> target")
+    pair = [F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), (F.col("source") < F.col("target")).alias("rising")]
+    pairs = dealt(e.select(*pair, "type", *own), edges.count(), "a", "b").withColumns({"source": F.when(F.col("rising"), F.col("a")).otherwise(F.col("b")), "target": F.when(F.col("rising"), F.col("b")).otherwise(F.col("a"))})
+    best = F.min_by(F.struct("rising", "type"), F.struct(-ranked(F.col("type"), EDGE_PRIORITY), F.col("id") if key is None else key))
+    e = pairs.groupBy("a", "b").agg(best.alias("e"))
+    return e.select(F.when(F.col("e.rising"), F.col("a")).otherwise(F.col("b")).alias("source"), F.when(F.col("e.rising"), F.col("b")).otherwise(F.col("a")).alias("target"), "e.type")
 
 
 def focus(nodes: DataFrame, edges: DataFrame, selected: list[str]) -> DataFrame:

@@ -96,6 +96,28 @@ def test_the_tightest_span_wins(spark):
     assert {(r.line, r.id) for r in shaping.enclosing_symbol(n, lines).collect()} == {(15, "m"), (50, "c"), (30, "o")}
 
 
+def test_strongest_edges_need_no_ids_that_follow_from_their_ends(spark):
+    import random
+
+    from codeloom.functions.scalars import edge_key
+
+    rng = random.Random(5)
+    ids = [f"n{k}" for k in range(12)]
+    rows = {(rng.choice(ids), rng.choice(["CALLS", "READS", "WRITES", "EXTENDS"]), rng.choice([*ids, "gone"])) for _ in range(300)}
+    n, e = graph(spark, [(i, "Package" if i == "n3" else "Class") for i in ids], sorted(rows))
+    key = edge_key(F.col("source"), F.col("type"), F.col("target"))
+    e = e.withColumn("id", key)
+    best = {}
+    for r in e.collect():
+        if r.source != r.target and not {r.source, r.target} & {"gone", "n3"}:
+            rank = (-shaping.EDGE_PRIORITY.get(r.type, 0), r.id, (r.source, r.target, r.type))
+            pair = frozenset((r.source, r.target))
+            best[pair] = min(rank, best.get(pair, rank))
+    want = sorted(b[2] for b in best.values())
+    assert sorted(map(tuple, shaping.strongest_edges(n, e).collect())) == want
+    assert sorted(map(tuple, shaping.strongest_edges(n, e.drop("id"), key).collect())) == want and len(want) > 40
+
+
 def test_dispatch_needs_classes(spark):
     n, e = graph(spark, [("I", "Interface"), ("A", "Class"), ("E", "Enum"), ("I.m()", "Method"), ("A.m()", "Method"), ("E.m()", "Method"), ("A.x()", "Method")], [("A", "IMPLEMENTS", "I"), ("E", "IMPLEMENTS", "I")])
     assert [(r.source, r.target, r.type, r.confidence) for r in inference.dispatch(n, e).collect()] == [("I.m()", "A.m()", "RESOLVES_TO", 1.0)]
