@@ -53,10 +53,14 @@ def related_tests(nodes: DataFrame, edges: DataFrame, target: str, cap: int = 50
     return top.select("id", F.when(F.col("rank") == 0, "GRAPH_REFERENCE").otherwise("NAMING_CONVENTION").alias("match_type"), F.when(F.col("rank") == 0, "HIGH").otherwise("MEDIUM").alias("confidence"), "total")
 
 
-def verified_change(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 2, most: int = 50, most_routes: int | None = None) -> DataFrame:
-    """kind, id, depth: the symbols of changed files, what depends on them, and the routes that reach them, all unless most_routes says how many."""
-    own = nodes.where(F.col("file_path").isin(files) & (F.col("type") != "File")).orderBy("full_name", "id").limit(most).select("id")
-    near = reachable_symbols(edges, own, depth, 10 * most).where("depth > 0")
+def verified_change(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 2, most: int | None = None, most_routes: int | None = None) -> DataFrame:
+    """kind, id, depth: the symbols of changed files, what depends on them, and the routes that reach them.
+
+    All of them, unless `most` says how many symbols (and ten times as many dependents with them) and most_routes how many routes.
+    """
+    own = nodes.where(F.col("file_path").isin(files) & (F.col("type") != "File"))
+    own = (own if most is None else own.orderBy("full_name", "id").limit(most)).select("id")
+    near = reachable_symbols(edges, own, depth, None if most is None else 10 * most).where("depth > 0")
     routes = affected_routes(edges, own, depth, most_routes)
     return own.select(F.lit("changed").alias("kind"), "id", F.lit(0).alias("depth")).unionAll(near.select(F.lit("dependent"), "id", "depth")).unionAll(routes.select(F.lit("route"), F.col("route").alias("id"), "depth"))
 

@@ -56,6 +56,14 @@ def test_a_change_tells_all_routes_that_reach_it(spark):
     assert tools.verified_change(n, e, ["/f/a"], most_routes=7).where("kind = 'route'").count() == 7
 
 
+def test_a_change_tells_all_symbols_and_all_that_depends_on_them(spark):
+    own, far = [f"a.m{k}()" for k in range(60)], [f"b.n{k}()" for k in range(600)]
+    n, e = graph(spark, [(i, "Method") for i in own + far], [(i, "CALLS", own[k % 60]) for k, i in enumerate(far)])
+    count = lambda **most: {r.kind: r["count"] for r in tools.verified_change(n, e, ["/f/a"], **most).groupBy("kind").count().collect()}
+    assert count() == {"changed": 60, "dependent": 600}
+    assert count(most=5) == {"changed": 5, "dependent": 45}
+
+
 def test_changes_errors_and_plans(spark):
     n, e = graph(spark, [("a.x()", "Method"), ("b.y()", "Method")], [("b.y()", "CALLS", "a.x()"), ("b.y()", "HANDLES_ROUTE", "GET /r")])
     assert {(r.kind, r.id) for r in tools.verified_change(n, e, ["/f/a"]).collect()} == {("changed", "a.x()"), ("dependent", "b.y()"), ("route", "GET /r")}
