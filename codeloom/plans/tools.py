@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.scalars import keywords, redacted_lines
 from codeloom.operators.shaping import enclosing_symbol, related_symbols
 from codeloom.operators.traversal import affected_routes, impact, override_counterparts, owner_of, reachable_symbols, resolve
-from codeloom.plans.staging import staged
+from codeloom.plans.staging import held, staged
 from codeloom.sources.text_tables import compiler_errors, file_scores, line_range, lines, stack_frames
 
 #: Endings of tests' names, edges by which a test refers to code, and types that hold members.
@@ -38,16 +38,21 @@ def members_of(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return starts.where("full_name <> start").join(classes.select(F.col("full_name").alias("start")), "start", "left_semi").select("id").distinct()
 
 
-def related_tests(nodes: DataFrame, edges: DataFrame, target: str, cap: int = 50) -> DataFrame:
-    """id, match_type, confidence, total: tests that refer to a class or its members (HIGH), then those named after it (MEDIUM)."""
-    cls = nodes.where((F.col("id") == target) & F.col("type").isin(*CLASS_LIKE)).select("id", "full_name", "name")
-    ids = cls.select("id").unionAll(members_of(nodes, cls))
+def tests_of(nodes: DataFrame, edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, full_name, rank: all tests that refer to one of classes (id, full_name, name) or its members (0) or else are named after one (1), each once."""
+    ids = held(classes.select("id").unionAll(members_of(nodes, classes)).distinct(), "id")
     tests = nodes.where(is_test(nodes))
     hit = edges.where(F.col("type").isin(*REFERENCE_EDGES)).join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
     by_graph = tests.join(hit, "id", "left_semi").select("id", "full_name", F.lit(0).alias("rank"))
-    expected = cls.select(F.explode(F.array(*[F.concat(F.col("name"), F.lit(s)) for s in TEST_SUFFIXES])).alias("name"))
+    expected = classes.select(F.explode(F.array(*[F.concat(F.col("name"), F.lit(s)) for s in TEST_SUFFIXES])).alias("name"))
     by_name = tests.where(F.col("type").isin(*CLASS_LIKE)).join(expected, "name", "left_semi").select("id", "full_name", F.lit(1).alias("rank"))
-    all_ = by_graph.unionAll(by_name).groupBy("id", "full_name").agg(F.min("rank").alias("rank"))
+    return by_graph.unionAll(by_name).groupBy("id", "full_name").agg(F.min("rank").alias("rank"))
+
+
+def related_tests(nodes: DataFrame, edges: DataFrame, target: str, cap: int = 50) -> DataFrame:
+    """id, match_type, confidence, total: tests that refer to a class or its members (HIGH), then those named after it (MEDIUM)."""
+    cls = nodes.where((F.col("id") == target) & F.col("type").isin(*CLASS_LIKE)).select("id", "full_name", "name")
+    all_ = tests_of(nodes, edges, cls)
     total = all_.agg(F.count(F.lit(1)).alias("total"))
     top = all_.orderBy("rank", "full_name", "id").limit(cap).crossJoin(F.broadcast(total))  # one row
     return top.select("id", F.when(F.col("rank") == 0, "GRAPH_REFERENCE").otherwise("NAMING_CONVENTION").alias("match_type"), F.when(F.col("rank") == 0, "HIGH").otherwise("MEDIUM").alias("confidence"), "total")
@@ -65,21 +70,21 @@ def verified_change(nodes: DataFrame, edges: DataFrame, files: list[str], depth:
     return own.select(F.lit("changed").alias("kind"), "id", F.lit(0).alias("depth")).unionAll(near.select(F.lit("dependent"), "id", "depth")).unionAll(routes.select(F.lit("route"), F.col("route").alias("id"), "depth"))
 
 
-def change_report(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 8, most: int = 50, classes: int = 5, tests: int = 15) -> DataFrame:
-    """kind, id, depth: what `verified_change` finds, then the tests of the first changed types (test), and what to look out for (risk): routes
-    that reach the change, an interface in it, and types without a test."""
+def change_report(nodes: DataFrame, edges: DataFrame, files: list[str], depth: int = 8, most: int | None = None, classes: int | None = None, tests: int | None = None) -> DataFrame:
+    """kind, id, depth: what `verified_change` finds, then the tests of the changed types (test), and what to look out for (risk): routes
+    that reach the change, an interface in it, and types without a test.
+
+    All of it, unless `most` says how many symbols and routes, `classes` of how many types the tests are looked for, and `tests` how many are told.
+    """
     found = staged(verified_change(nodes, edges, files, depth, most, most))
-    own = nodes.join(found.where("kind = 'changed'").select("id"), "id", "left_semi").where(F.col("type").isin(*CLASS_LIKE)).select("id", "type", "full_name")
-    first = own.orderBy("full_name", "id").limit(classes).collect()  # `classes` rows
-    near = None
-    for r in first:
-        of = related_tests(nodes, edges, r["id"], 10).select("id")
-        near = of if near is None else near.unionAll(of)
-    named = (near.distinct().orderBy("id").limit(tests) if near is not None else found.select("id").limit(0)).select(F.lit("test").alias("kind"), "id", F.lit(0).alias("depth"))
-    named = staged(named)
+    changed = held(found.where("kind = 'changed'").select("id"), "id")
+    own = nodes.join(changed, "id", "left_semi").where(F.col("type").isin(*CLASS_LIKE)).select("id", "type", "full_name", "name")
+    own = staged(own if classes is None else own.orderBy("full_name", "id").limit(classes))
+    near = tests_of(nodes, edges, own).select("id").distinct()
+    named = staged((near if tests is None else near.orderBy("id").limit(tests)).select(F.lit("test").alias("kind"), "id", F.lit(0).alias("depth")))
     n_routes, n_tests = found.where("kind = 'route'").count(), named.count()
     risks = [f"{n_routes} routes can reach the changed symbols"] if n_routes else []
-    risks += ["an interface changed: every implementation is affected"] if any(r["type"] == "Interface" for r in first) else []
+    risks += ["an interface changed: every implementation is affected"] if not own.where("type = 'Interface'").isEmpty() else []
     risks += ["no related test was found"] if not n_tests and not found.where("kind = 'changed'").isEmpty() else []
     told = nodes.sparkSession.createDataFrame([("risk", r, 0) for r in risks], "kind string, id string, depth int")
     return found.unionAll(named).unionAll(told)

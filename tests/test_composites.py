@@ -64,6 +64,17 @@ def test_a_change_tells_all_symbols_and_all_that_depends_on_them(spark):
     assert count(most=5) == {"changed": 5, "dependent": 45}
 
 
+def test_a_report_tells_all_routes_and_the_tests_of_all_types(spark):
+    types, names = [f"a.C{k}" for k in range(8)], [f"a.T{k}Test" for k in range(30)]
+    n, e = graph(spark, [(i, "Interface" if i == "a.C7" else "Class") for i in types] + [("q.x()", "Method")] + [(i.replace("a.", "t."), "Class") for i in names],
+                 [("q.x()", "CALLS", types[0])] + [("q.x()", "HANDLES_ROUTE", f"GET /{k}") for k in range(60)] + [(i.replace("a.", "t."), "TYPE_OF", types[k % 8]) for k, i in enumerate(names)])
+    got = tools.change_report(n, e, ["/f/a"]).collect()
+    assert {k: sum(r.kind == k for r in got) for k in ("changed", "dependent", "route", "test")} == {"changed": 8, "dependent": 1, "route": 60, "test": 30}
+    assert {r.id for r in got if r.kind == "risk"} == {"60 routes can reach the changed symbols", "an interface changed: every implementation is affected"}
+    few = tools.change_report(n, e, ["/f/a"], most=50, classes=1, tests=3).collect()
+    assert sum(r.kind == "test" for r in few) == 3 and sum(r.kind == "route" for r in few) == 50
+
+
 def test_changes_errors_and_plans(spark):
     n, e = graph(spark, [("a.x()", "Method"), ("b.y()", "Method")], [("b.y()", "CALLS", "a.x()"), ("b.y()", "HANDLES_ROUTE", "GET /r")])
     assert {(r.kind, r.id) for r in tools.verified_change(n, e, ["/f/a"]).collect()} == {("changed", "a.x()"), ("dependent", "b.y()"), ("route", "GET /r")}
