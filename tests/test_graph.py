@@ -142,6 +142,27 @@ def test_triggers_stream_by_and_equal_all_pairs(spark, monkeypatch):
         assert ("hashpartitioning(source" in got._jdf.queryExecution().executedPlan().toString()) == (most == 10)  # pairs aren't shuffled
 
 
+def test_triggers_meet_each_pair_once_where_members_share_many_events(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    side = lambda kinds: [(rng.randrange(40), f"e{rng.randrange(kinds):03}") for _ in range(900)] + [(None, "e1"), (3, None)]
+    monkeypatch.setattr(inference, "CELL", 9)
+    for kinds, once in ((63, True), (130, True), (900, False)):  # bits of one word and of three, and pairs that seldom share an event
+        p, q = side(kinds), side(kinds)
+        got = inference.triggers(*[spark.createDataFrame(x, "id long, event string") for x in (p, q)])
+        want = {}
+        for a, e in p:
+            for b, f in q:
+                if a is not None and b is not None and e is not None and e == f and a != b:
+                    want[a, b] = min(e, want.get((a, b), e))
+        assert sorted((r.source, r.target, r.event) for r in got.collect()) == sorted((a, b, e) for (a, b), e in want.items())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning(__p" in plan) == once and "hashpartitioning(source" not in plan
+    none = spark.createDataFrame([], "id long, event string")
+    assert inference.triggers(none, none).count() == 0
+
+
 def test_triggers_keep_one_event_a_pair_and_no_loops(spark):
     side = lambda rows: spark.createDataFrame(rows, "id string, event string")
     got = inference.triggers(side([("p", "e2"), ("p", "e1"), ("q", "e1")]), side([("l", "e1"), ("l", "e2"), ("p", "e1")])).collect()
